@@ -16,7 +16,7 @@ from insight.functions.columns import (
     seeded_hash,
     substring_flags,
 )
-from insight.operators.ranking import rank_within
+from insight.operators.ranking import order_code, rank_within
 
 # Event names that count as a view; the name used when absent.
 VIEW_EVENTS = ("screen_view", "page_view")
@@ -99,7 +99,7 @@ def dict_encode(df: DataFrame, value: str, order: Sequence[str], out: str | None
     balanced ``rank_within``; the dimension is joined back with a null-safe
     equi-join (AQE broadcasts it when small)."""
     out = out or f"{value}_id"
-    first = F.min(F.struct(*[F.col(c) for c in order])).alias("first_seen")
+    first = F.min(order_code(df, order)).alias("first_seen")
     dim = df.groupBy(value).agg(first)
     dim = rank_within(dim, [F.col("first_seen"), F.col(value).asc_nulls_first()], out=out)
     d = dim.select(F.col(value).alias("__v"), out)

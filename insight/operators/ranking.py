@@ -20,6 +20,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _PID, _POS, _CNT, _FIRST, _OFF = "__pid", "__pos", "__cnt", "__first", "__off"
 
@@ -54,3 +55,35 @@ def rank_within(df: DataFrame, order: Sequence[str | Column], group: Sequence[st
     joined = staged.join(counts, cond, "inner")
     rank = (F.col(_OFF) + (F.col(_POS) - F.col(_FIRST)) + F.lit(start)).cast("long")
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], rank.alias(out))
+
+
+_LOW = 10 ** 18
+
+
+def order_code(df: DataFrame, order: Sequence[str]) -> Column:
+    """An order-preserving scalar for a (time or integer, integer) order key.
+
+    ``min(struct(a, b))`` can only run as a sort-based aggregate; the packed
+    ``decimal(38,0)`` ``a * 10^18 + b`` keeps the same order and aggregates in
+    a hash map.  Other key shapes fall back to the struct."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    if len(order) == 2 and all(o in types for o in order):
+        a, b = order
+        ta, tb = types[a], types[b]
+        integral = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
+        if isinstance(tb, integral):
+            if isinstance(ta, T.TimestampNTZType):
+                hi = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(a))
+            elif isinstance(ta, T.TimestampType):
+                hi = F.unix_micros(F.col(a))
+            elif isinstance(ta, T.DateType):
+                hi = F.unix_date(F.col(a))
+            elif isinstance(ta, integral):
+                hi = F.col(a)
+            else:
+                hi = None
+            if hi is not None:
+                dec = "decimal(38,0)"
+                # b is shifted into [0, 10^18) so a negative id cannot borrow from a
+                return (hi.cast(dec) * F.lit(_LOW).cast(dec) + (F.col(b).cast(dec) + F.lit(_LOW // 2).cast(dec)))
+    return F.struct(*[F.col(o) for o in order])
