@@ -11,8 +11,12 @@ DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
 def has_at_most(df: DataFrame, rows: int) -> bool:
-    """True when ``df`` has no more than ``rows`` rows (reads at most rows+1)."""
-    return df.limit(rows + 1).count() <= rows
+    """True when ``df`` has no more than ``rows`` rows.
+
+    A plain distributed count (partial counts per task, one number per task
+    shuffled).  ``limit(rows + 1).count()`` would instead move up to
+    ``partitions x rows`` rows into a single task when the table is large."""
+    return df.count() <= rows
 
 
 def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
