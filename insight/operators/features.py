@@ -10,6 +10,7 @@ from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from insight.operators.joins import join_dimension
 
@@ -50,14 +51,37 @@ def category_levels(df: DataFrame, column: str, max_levels: int = MAX_LEVELS) ->
     return sorted(r[0] for r in rows)
 
 
+def all_levels(df: DataFrame, cols: Sequence[str], max_levels: int = MAX_LEVELS) -> dict[str, list]:
+    """Sorted distinct non-null values of several categoricals in one job:
+    (column, value) pairs are de-duplicated with a partial aggregation and at
+    most ``len(cols) * max_levels + 1`` of them reach the driver."""
+    if not cols:
+        return {}
+    types = {f.name: f.dataType for f in df.schema.fields}
+    pairs = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for c in cols])).alias("p"))
+    rows = pairs.select("p.c", "p.v").filter(F.col("v").isNotNull()).distinct() \
+        .limit(len(cols) * max_levels + 1).collect()
+    levels: dict[str, list] = {c: [] for c in cols}
+    for r in rows:
+        levels[r["c"]].append(r["v"])
+    for c, vals in levels.items():
+        if len(vals) > max_levels or len(rows) > len(cols) * max_levels:
+            raise ValueError(f"{c} has more than {max_levels} levels; not a categorical")
+        numeric = isinstance(types[c], (T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.DoubleType,
+                                        T.FloatType, T.DecimalType))
+        vals.sort(key=(lambda v: float(v)) if numeric else None)
+    return levels
+
+
 def dummy_columns(df: DataFrame, cols: Sequence[str], drop_first: bool = True,
                   max_levels: int = MAX_LEVELS) -> list[Column]:
-    """0/1 indicator per level (levels sorted, first dropped); null -> all 0."""
+    """0/1 indicator per level (levels in natural order, first dropped);
+    null -> all 0."""
     out = []
-    for c in cols:
-        levels = category_levels(df, c, max_levels)
+    for c, levels in all_levels(df, cols, max_levels).items():
         for v in levels[1:] if drop_first else levels:
-            out.append(F.when(F.col(c) == F.lit(v), 1).otherwise(0).alias(f"{c}_{v}"))
+            out.append(F.when(F.col(f"`{c}`").cast("string") == F.lit(v), 1).otherwise(0).alias(f"{c}_{v}"))
     return out
 
 
