@@ -76,7 +76,7 @@ def parallel_arrays(arr: str | Column, fields: Sequence[str], prefix: str) -> li
 
 def article_table(df: DataFrame, *, nested: str = "enriched_article", sep: str = "|",
                   ts_format: str = "yyyy-MM-dd'T'HH:mm:ss",
-                  new_only: bool = False) -> DataFrame:
+                  new_only: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """The flat article row: typed defaults by dotted path, list fields joined
     with ``sep``, publication time parsed, brand-safety struct flattened.
     Absent mandatory fields give null rather than an error."""
@@ -99,6 +99,7 @@ def article_table(df: DataFrame, *, nested: str = "enriched_article", sep: str =
         F.array_join(F.coalesce(F.col(a + "source_keywords"), F.array()), sep).alias("keywords_curated"),
         F.col(a + "enrichments.brand_safety.is_brandsafe").alias("brand_safety_is_brandsafe"),
         F.col(a + "enrichments.brand_safety.confidence").alias("brand_safety_confidence"),
+        *keep,
     )
 
 
