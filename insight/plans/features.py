@@ -19,7 +19,7 @@ PRIVACY_COLS = ["privacy_functional", "privacy_analytics", "privacy_target_adver
                 "privacy_advertising"]
 # The levels of the stand-in categoricals (from the view definition).
 LEVELS = {
-    "APP_ID": ["nu.app.android", "nu.app.ios", "nu.web"],
+    "APP_ID": ["site.app.android", "site.app.ios", "site.web"],
     "GEO_REGION": sorted(f"R{i}" for i in range(12)),
     "GEO_COUNTRY": ["BE", "NL"],
 }
@@ -28,7 +28,7 @@ LEVELS = {
 def views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reduced views with the device merge and time parts."""
     v = E.split_views(E.event_reduce(ev(spark, sf_dir)))
-    v = E.replace_value(v, "nu.web.advertorial", "nu.web", subset=["APP_ID"])
+    v = E.replace_value(v, "site.web.advertorial", "site.web", subset=["APP_ID"])
     return v.select("*", *time_parts("DERIVED_TSTAMP"))
 
 

@@ -28,7 +28,7 @@ REDUCED_CTE = EV_CTE + f""", reduced AS (SELECT event_id, DERIVED_TSTAMP, APP_ID
 FROM ev)
 """
 
-APP_SQL = "CASE WHEN APP_ID = 'nu.web.advertorial' THEN 'nu.web' ELSE APP_ID END"
+APP_SQL = "CASE WHEN APP_ID = 'site.web.advertorial' THEN 'site.web' ELSE APP_ID END"
 
 
 def reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def q_time_parts(spark, sf_dir):
 
 @register("replace_value", EV_CTE + f"SELECT event_id, {APP_SQL} AS APP_ID FROM ev")
 def q_replace_value(spark, sf_dir):
-    return E.replace_value(ev(spark, sf_dir).select("event_id", "APP_ID"), "nu.web.advertorial", "nu.web")
+    return E.replace_value(ev(spark, sf_dir).select("event_id", "APP_ID"), "site.web.advertorial", "site.web")
 
 
 _SPLIT_COLS = "event_id, coalesce(EVENT_NAME, 'no-event') AS event_name, APP_ID, ARTICLE_ID"
@@ -95,7 +95,7 @@ def q_event_counts(spark, sf_dir):
 @register("value_counts", EV_CTE + f"""SELECT {APP_SQL} AS APP_ID, count(*) AS count FROM ev
 WHERE APP_ID IS NOT NULL GROUP BY 1""")
 def q_value_counts(spark, sf_dir):
-    views = E.replace_value(ev(spark, sf_dir).select("APP_ID"), "nu.web.advertorial", "nu.web")
+    views = E.replace_value(ev(spark, sf_dir).select("APP_ID"), "site.web.advertorial", "site.web")
     return E.value_counts(views, "APP_ID")
 
 
@@ -126,7 +126,7 @@ ranked AS (SELECT event_id, APP_ID, row_number() OVER (PARTITION BY APP_ID
 SELECT event_id, APP_ID FROM ranked
 WHERE rn <= (SELECT min(c) FROM (SELECT APP_ID, count(*) AS c FROM r GROUP BY APP_ID))""")
 def q_balanced_sample(spark, sf_dir):
-    views = E.replace_value(ev(spark, sf_dir).select("event_id", "APP_ID"), "nu.web.advertorial", "nu.web")
+    views = E.replace_value(ev(spark, sf_dir).select("event_id", "APP_ID"), "site.web.advertorial", "site.web")
     return E.balanced_sample(views, "APP_ID", "event_id", seed=42)
 
 

@@ -32,8 +32,8 @@ EV_COLUMNS: list[tuple[str, str]] = [
     ("event_id", "event_id"),
     ("DERIVED_TSTAMP", "ts"),
     ("DVCE_CREATED_TSTAMP", "cast(ts as string)"),
-    ("APP_ID", "CASE user_id % 4 WHEN 0 THEN 'nu.web' WHEN 1 THEN 'nu.app.ios' WHEN 2 THEN 'nu.app.android' "
-               "ELSE 'nu.web.advertorial' END"),
+    ("APP_ID", "CASE user_id % 4 WHEN 0 THEN 'site.web' WHEN 1 THEN 'site.app.ios' WHEN 2 THEN 'site.app.android' "
+               "ELSE 'site.web.advertorial' END"),
     ("EVENT_NAME", "CASE WHEN event_type = 'view' AND user_id % 4 IN (1, 2) THEN 'screen_view' "
                    "WHEN event_type = 'view' THEN 'page_view' WHEN event_type = 'error' THEN NULL "
                    "ELSE event_type END"),

@@ -11,11 +11,11 @@ SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in [
     + [T.StructField("TS", T.LongType())])
 
 ROWS = [
-    ("1", None, "article__42", None, "ios-1", None, "", "functional", "Amsterdam", "NH", "Noord", "CET", "t", "nu.web", 1),
-    ("2", "page_view", "42", "", "", "", None, None, None, "NH", "Noord", "UTC", "t", "nu.web.advertorial", 2),
+    ("1", None, "article__42", None, "ios-1", None, "", "functional", "Amsterdam", "NH", "Noord", "CET", "t", "site.web", 1),
+    ("2", "page_view", "42", "", "", "", None, None, None, "NH", "Noord", "UTC", "t", "site.web.advertorial", 2),
     ("3", "screen_view", "7", "and-3", "ios-3", None, "g", "target_advertising_all,analytics", "Utrecht", "UT",
-     "Utrecht", None, "t", "nu.app", 3),
-    ("4", "click", "7", None, None, "pw-4", None, "marketing,geo_location", None, "NH", None, "WET", "t", "nu.app", 4),
+     "Utrecht", None, "t", "site.app", 3),
+    ("4", "click", "7", None, None, "pw-4", None, "marketing,geo_location", None, "NH", None, "WET", "t", "site.app", 4),
 ]
 
 
@@ -72,8 +72,8 @@ def test_latest_lookup_last_write_wins_with_nulls(spark):
 
 
 def test_replace_value_only_exact(spark):
-    out = E.replace_value(frame(spark), "nu.web.advertorial", "nu.web").select("APP_ID").collect()
-    assert sorted(r[0] for r in out) == ["nu.app", "nu.app", "nu.web", "nu.web"]
+    out = E.replace_value(frame(spark), "site.web.advertorial", "site.web").select("APP_ID").collect()
+    assert sorted(r[0] for r in out) == ["site.app", "site.app", "site.web", "site.web"]
 
 
 def test_balanced_sample_exact_and_deterministic(spark):
