@@ -106,12 +106,25 @@ def standardize(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) ->
     return df.select(*keep, *standard_columns(df, cols))
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared ``spark.checkpoint.dir``: the
+    multi-pass fits below read the written rows instead of recomputing the
+    joins behind them, and a lost executor re-reads instead of re-deriving."""
+    from insight.session import checkpoint_root
+
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def feature_matrix(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str],
                    passthrough: Sequence[str], keep: Sequence[str] = (), out: str = "features",
                    skip_invalid: bool = True) -> DataFrame:
     """Column transformer: dummy-coded categoricals, standardised numerics,
     passed-through columns, everything else dropped; assembled into one vector.
-    Rows with a null feature are skipped (``skip_invalid``) like a dropna."""
+    Rows with a null feature are skipped (``skip_invalid``) like a dropna.
+    The input is read three times (levels, statistics, assembly), so it is
+    checkpointed first."""
+    df = materialise(df.select(*dict.fromkeys([*keep, *categorical, *numeric, *passthrough])))
     dummies = dummy_columns(df, categorical)
     scaled = standard_columns(df, numeric)
     parts = [*dummies, *scaled, *[F.col(c).cast("double") for c in passthrough]]
@@ -123,21 +136,24 @@ def feature_matrix(df: DataFrame, categorical: Sequence[str], numeric: Sequence[
     return assembler.transform(wide).select(*keep, out)
 
 
-def pca_project(df: DataFrame, k: int, features: str = "features", out: str = "pca") -> DataFrame:
+def pca_project(df: DataFrame, k: int, features: str = "features", out: str = "pca",
+                cut_lineage: bool = True) -> DataFrame:
     """Centre, then project on the top-k principal components (Spark's PCA
-    transform does not centre by itself).  The covariance is a k x d
+    transform does not centre by itself).  The covariance is a d x d
     aggregation; rows never leave the executors."""
+    data = materialise(df) if cut_lineage else df
     centre = StandardScaler(inputCol=features, outputCol="__centred", withMean=True, withStd=False)
     pca = PCA(k=k, inputCol="__centred", outputCol=out)
-    model = Pipeline(stages=[centre, pca]).fit(df)
-    return model.transform(df).drop("__centred")
+    model = Pipeline(stages=[centre, pca]).fit(data)
+    return model.transform(data).drop("__centred")
 
 
 def kmeans_assign(df: DataFrame, k: int = 8, seed: int = 42, features: str = "pca",
-                  out: str = "cluster") -> DataFrame:
+                  out: str = "cluster", cut_lineage: bool = True) -> DataFrame:
     """KMeans fit (k-means|| init, distributed) and assignment."""
-    model = KMeans(k=k, seed=seed, featuresCol=features, predictionCol=out).fit(df)
-    return model.transform(df)
+    data = materialise(df) if cut_lineage else df
+    model = KMeans(k=k, seed=seed, featuresCol=features, predictionCol=out).fit(data)
+    return model.transform(data)
 
 
 def vector_columns(vec: str, k: int, prefix: str) -> list[Column]:
