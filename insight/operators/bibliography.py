@@ -75,17 +75,14 @@ def dedupe_first(df: DataFrame, key: Sequence[str], order: Sequence[str], missin
 def mark_later_duplicates(df: DataFrame, key: Sequence[str], order: Sequence[str], missing: str = "keep",
                           out: str = "is_duplicate", key_col: str | None = None) -> DataFrame:
     """Flag rows that are not the first of their key (1) vs first / keyless (0).
-    The first position per key is a partial aggregate joined back; AQE splits a
-    hot key on the row side of that join."""
+    Positions come from ``rank_within``: a key held by a third of the rows is
+    range-split across tasks instead of landing in one."""
     key = list(key)
     kc = key_col or key[-1]
-    ordk = F.struct(*[F.col(o) for o in order])
-    firsts = (df.filter(_has_key(kc, missing)).groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)])
-              .agg(F.min(ordk).alias("__first")))
-    cond = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)]
-    j = df.withColumn("__ord", ordk).join(firsts, cond, "left")
-    flag = F.when(F.col("__first").isNotNull() & (F.col("__ord") != F.col("__first")), 1).otherwise(0)
-    return j.withColumn(out, flag).drop("__ord", "__first", *[f"__k{i}" for i in range(len(key))])
+    has = _has_key(kc, missing)
+    ranked = rank_within(df.filter(has), [F.col(o) for o in order], group=key, out="__pos")
+    flagged = ranked.withColumn(out, F.when(F.col("__pos") > 1, 1).otherwise(0)).drop("__pos")
+    return flagged.unionByName(df.filter(~has).withColumn(out, F.lit(0)))
 
 
 def duplicate_count(df: DataFrame, key: str, missing: str = "keep", group: Sequence[str] = ()) -> DataFrame:

@@ -105,3 +105,20 @@ def test_record_ids_unique(spark):
     assert ids == 3000
     first = B.record_ids(df, "year", "t", ["id"]).filter("id = 'x'")
     assert first.count() == 0
+
+
+def test_hot_key_third_of_rows(spark):
+    """One DOI on a third of all rows: results stay exact and whole."""
+    n = 30000
+    df = spark.range(0, n).select(
+        F.concat(F.lit("s"), (F.col("id") % 4).cast("string")).alias("db"), F.col("id").alias("rec"),
+        F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.concat(F.lit("d"), (F.col("id") % 5000)
+                                                                       .cast("string"))).alias("doi"))
+    marked = B.mark_later_duplicates(df, ["doi"], ["db", "rec"])
+    assert marked.count() == n
+    firsts = marked.filter("is_duplicate = 0").count()
+    assert firsts == df.select("doi").distinct().count()
+    kept = B.dedupe_first(df, ["doi"], ["rec"])
+    assert kept.filter("doi = 'HOT'").first()["rec"] == 0
+    ov = {(r["db1"], r["db2"]): r["duplicates"] for r in B.overlap_matrix(df, "db", "doi").collect()}
+    assert ov[("s0", "s0")] == df.filter("db = 's0'").select("doi").distinct().count()
