@@ -124,7 +124,7 @@ def balanced_sample(df: DataFrame, stratum: str, id_col: str, seed: int = 42, ma
     tasks.  Only per-stratum counts reach the driver."""
     h = seeded_hash(id_col, seed)
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("__size"))
-    n = sizes.agg(F.min("__size")).first()[0]
+    n, n_strata = sizes.agg(F.min("__size"), F.count(F.lit(1))).first()
     if not n:
         return df.limit(0)
     keyed = df.withColumn("__h", h).withColumn("__u", hash_fraction(F.col("__h")))
@@ -139,7 +139,8 @@ def balanced_sample(df: DataFrame, stratum: str, id_col: str, seed: int = 42, ma
         if short == 0:
             break
         widen *= 4
-    ranked = rank_within(cut.drop("__p", "__size"), [F.col("__h"), F.col(id_col)], group=[stratum], out="__r")
+    ranked = rank_within(cut.drop("__p", "__size"), [F.col("__h"), F.col(id_col)], group=[stratum], out="__r",
+                         groups_bound=n_strata)
     return ranked.filter(F.col("__r") <= n).drop("__h", "__u", "__r")
 
 

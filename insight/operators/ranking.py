@@ -29,13 +29,23 @@ def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+# Largest per-(partition, group) count table shipped to every task.
+BROADCAST_COUNTS = 1_000_000
+
+
 def rank_within(df: DataFrame, order: Sequence[str | Column], group: Sequence[str] = (),
-                out: str = "rank", start: int = 1, partitions: int | None = None) -> DataFrame:
+                out: str = "rank", start: int = 1, partitions: int | None = None,
+                groups_bound: int | None = None) -> DataFrame:
     """Add ``out`` = position (from ``start``) of each row inside its group.
 
     ``order`` columns may be expressions; ``group`` are column names (null is
     its own group).  Equivalent to ``row_number() over (partition by group
     order by order) - 1 + start`` but balanced across tasks.
+
+    The count table has at most ``partitions + groups`` rows.  With no group,
+    or a caller-known ``groups_bound``, that bound is proven up front and the
+    table is broadcast, so the rows are shuffled once (by range) and never
+    again; otherwise it is a plain join (AQE may still broadcast it).
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -51,6 +61,9 @@ def rank_within(df: DataFrame, order: Sequence[str | Column], group: Sequence[st
               .agg(F.count(F.lit(1)).alias(_CNT), F.min(_POS).alias(_FIRST)))
     before = Window.partitionBy(*gkeys).orderBy("__cpid").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn(_OFF, F.coalesce(F.sum(_CNT).over(before), F.lit(0)))
+    bound = n + (groups_bound or 0) if (not group or groups_bound is not None) else None
+    if bound is not None and bound <= BROADCAST_COUNTS:
+        counts = F.broadcast(counts)
     cond = [F.col(_PID) == F.col("__cpid")] + [F.col(g).eqNullSafe(F.col(k)) for g, k in zip(group, gkeys)]
     joined = staged.join(counts, cond, "inner")
     rank = (F.col(_OFF) + (F.col(_POS) - F.col(_FIRST)) + F.lit(start)).cast("long")
