@@ -138,3 +138,8 @@ def record_ids(df: DataFrame, year: str, doc_type: str, order: Sequence[str], ou
 def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     """First n rows under an explicit order (a top-k: per-task heaps, then merge)."""
     return df.orderBy(*order).limit(n)
+
+
+def shared_keys(a: DataFrame, b: DataFrame, key: str, missing: str = "keep") -> DataFrame:
+    """Distinct keys present in both tables (set intersection)."""
+    return a.filter(_has_key(key, missing)).select(key).intersect(b.filter(_has_key(key, missing)).select(key))

@@ -165,3 +165,7 @@ def cluster_profile(df: DataFrame, cluster: str, cols: Sequence[str]) -> DataFra
     """Per-cluster size and mean of each column."""
     return df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n_rows"),
                                    *[F.avg(c).alias(f"avg_{c}") for c in cols])
+
+
+def rows_of_cluster(df: DataFrame, cluster: str, k: int) -> DataFrame:
+    return df.filter(F.col(cluster) == k)

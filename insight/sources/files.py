@@ -69,3 +69,12 @@ def tag_file_id(df: DataFrame, out: str = "file_name", unit: str = "file",
     if dimension:
         return out_df, dim.withColumnRenamed("__path", "path")
     return out_df
+
+
+def keep_files_containing(df: DataFrame, substrings: Sequence[str]) -> DataFrame:
+    """Rows from source files whose path contains every substring (a filter on
+    the hidden ``_metadata.file_path``, evaluated per file at the scan)."""
+    cond = F.lit(True)
+    for sub in substrings:
+        cond = cond & F.col("_metadata.file_path").contains(sub)
+    return df.filter(cond)

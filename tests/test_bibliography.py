@@ -122,3 +122,9 @@ def test_hot_key_third_of_rows(spark):
     assert kept.filter("doi = 'HOT'").first()["rec"] == 0
     ov = {(r["db1"], r["db2"]): r["duplicates"] for r in B.overlap_matrix(df, "db", "doi").collect()}
     assert ov[("s0", "s0")] == df.filter("db = 's0'").select("doi").distinct().count()
+
+
+def test_shared_keys(spark):
+    r = records(spark)
+    got = sorted(x[0] for x in B.shared_keys(r.filter("db = 's1'"), r.filter("db = 's2'"), "doi").collect())
+    assert got == ["d1"]

@@ -96,3 +96,12 @@ def test_balanced_sample_exact_and_deterministic(spark):
 def test_sample_n(spark):
     df = spark.range(0, 1000).withColumnRenamed("id", "event_id")
     assert E.sample_n(df, "event_id", 10).count() == 10
+
+
+def test_keep_files_containing(spark, tmp_path):
+    from insight.sources.files import keep_files_containing, scan_json
+    from pyspark.sql import types as T
+    for name in ("ev-2024-01.json", "ev-2024-02.json", "other-2024-01.json"):
+        (tmp_path / name).write_text('{"a": 1}\n{"a": 2}\n')
+    df = scan_json(spark, str(tmp_path), T.StructType([T.StructField("a", T.LongType())]))
+    assert keep_files_containing(df, ["ev-", "2024-01"]).count() == 2
