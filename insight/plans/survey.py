@@ -88,21 +88,24 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_dimension(j, nat, j["c_nationkey"] == nat["n_nationkey"])
 
 
-def survey_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return papers(spark, sf_dir).selectExpr(*[f"{e} AS {b(n)}" for n, e in RAW_COLUMNS])
+def survey_raw(spark: SparkSession, sf_dir: str, p: DataFrame | None = None) -> DataFrame:
+    p = p if p is not None else papers(spark, sf_dir)
+    return p.selectExpr(*[f"{e} AS {b(n)}" for n, e in RAW_COLUMNS])
 
 
-def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.coded_matrix(survey_raw(spark, sf_dir), type_merge=TYPE_MERGE)
+def coded(spark: SparkSession, sf_dir: str, p: DataFrame | None = None) -> DataFrame:
+    """The coded matrix.  Build it once per query and derive everything from
+    it: its indicator detection is a (one-row) pass of its own."""
+    return C.coded_matrix(survey_raw(spark, sf_dir, p), type_merge=TYPE_MERGE)
 
 
 def with_families(df: DataFrame) -> DataFrame:
     return C.family_sums(df, FAMILIES)
 
 
-def molten(spark: SparkSession, sf_dir: str) -> DataFrame:
+def molten(spark: SparkSession, sf_dir: str, cd: DataFrame | None = None) -> DataFrame:
     """Long (paper, value) rows with the value's group and the metric family sums."""
-    wide = with_families(coded(spark, sf_dir))
+    wide = with_families(cd if cd is not None else coded(spark, sf_dir))
     long = C.unpivot(wide, ["Title", "Type Of Paper", "Platform", "Year", *FAMILIES], VALUES, "Value", "Mentions")
     return long.withColumn("Value Group", C.group_of("Value", GROUPS))
 
@@ -113,14 +116,15 @@ def group_sums(df: DataFrame) -> DataFrame:
     return df.withColumns({g: row_sum([F.col(b(c)) for c in cols]).cast("double") for g, cols in GROUPS.items()})
 
 
-def by_year_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.sum_by(molten(spark, sf_dir), ["Year", "Value Group"], "Mentions")
+def by_year_group(spark: SparkSession, sf_dir: str, cd: DataFrame | None = None) -> DataFrame:
+    return T.sum_by(molten(spark, sf_dir, cd), ["Year", "Value Group"], "Mentions")
 
 
-def prescreen(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prescreen(spark: SparkSession, sf_dir: str, p: DataFrame | None = None) -> DataFrame:
     """All papers before screening (title, year moved by a year)."""
     from insight.functions.columns import year_start_shift
-    return papers(spark, sf_dir).select(
+    p = p if p is not None else papers(spark, sf_dir)
+    return p.select(
         F.expr("'Paper ' || cast(o_custkey as string) || '/' || cast(y as string)").alias("Title"),
         year_start_shift("y").alias("Year"))
 
@@ -279,22 +283,25 @@ def q_papers_per_year(spark, sf_dir):
 SELECT yg."Year", yg."Value Group", round(yg."Mentions" / ppy."Papers", 6) AS "Mentions"
 FROM yg JOIN ppy ON yg."Year" = ppy."Year\"""")
 def q_mentions_per_paper(spark, sf_dir):
-    ppy = T.count_by(coded(spark, sf_dir), "Year", "Title", "Papers")
-    return T.per_unit(by_year_group(spark, sf_dir), ppy, "Year", "Mentions", "Papers") \
+    cd = coded(spark, sf_dir)
+    ppy = T.count_by(cd, "Year", "Title", "Papers")
+    return T.per_unit(by_year_group(spark, sf_dir, cd), ppy, "Year", "Mentions", "Papers") \
         .select("Year", "Value Group", _round("Mentions"))
 
 
 @register("year_floor", WITH_CODED + f""", {_PRE_SQL}
 SELECT "Title", "Year" FROM pre WHERE "Year" >= (SELECT min("Year") FROM coded)""")
 def q_year_floor(spark, sf_dir):
-    return T.at_least_min_of(prescreen(spark, sf_dir), "Year", coded(spark, sf_dir), "Year")
+    p = papers(spark, sf_dir)
+    return T.at_least_min_of(prescreen(spark, sf_dir, p), "Year", coded(spark, sf_dir, p), "Year")
 
 
 @register("period_split", WITH_YG + """, bound AS (SELECT CAST(max("Year") - INTERVAL 12 MONTH AS DATE) AS d FROM coded)
 SELECT yg.*, 'complete' AS period FROM yg WHERE "Year" <= (SELECT d FROM bound)
 UNION ALL SELECT yg.*, 'provisional' AS period FROM yg WHERE "Year" >= (SELECT d FROM bound)""")
 def q_period_split(spark, sf_dir):
-    return T.period_split(by_year_group(spark, sf_dir), "Year", coded(spark, sf_dir), "Year")
+    cd = coded(spark, sf_dir)
+    return T.period_split(by_year_group(spark, sf_dir, cd), "Year", cd, "Year")
 
 
 @register("metric_use_by_year", WITH_CODED + """, fy AS (SELECT "Year", sum("Status F") AS s,
@@ -467,9 +474,10 @@ def q_ewma_mean(spark, sf_dir):
 SELECT coalesce(ppy."Year", pf."Year") AS "Year", round(ppy."Papers" / pf.n * 100, 6) AS "Proportion"
 FROM ppy FULL OUTER JOIN pf ON ppy."Year" = pf."Year\"""")
 def q_year_proportion(spark, sf_dir):
-    cd = coded(spark, sf_dir)
+    p = papers(spark, sf_dir)
+    cd = coded(spark, sf_dir, p)
     post = T.count_by(cd, "Year", "Title", "Papers")
-    pre = T.count_by(T.at_least_min_of(prescreen(spark, sf_dir), "Year", cd, "Year"), "Year", "Title", "Pre")
+    pre = T.count_by(T.at_least_min_of(prescreen(spark, sf_dir, p), "Year", cd, "Year"), "Year", "Title", "Pre")
     return T.aligned_ratio(post, pre, "Year", "Papers", "Pre", "Proportion").select("Year", _round("Proportion"))
 
 

@@ -10,12 +10,32 @@ the operator is under test.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_SCHEMAS: dict[tuple, object] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table.  Its schema is inferred from the footers once per path
+    (and file version) and declared on later reads, which skips the footer
+    scan job every read would otherwise start."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    try:
+        version = os.stat(path).st_mtime_ns
+    except OSError:
+        version = None
+    key = (path, version)
+    schema = _SCHEMAS.get(key) if version is not None else None
+    if schema is None:
+        df = spark.read.parquet(path)
+        if version is not None:
+            _SCHEMAS[key] = df.schema
+        return df
+    return spark.read.schema(schema).parquet(path)
 
 
 def _bit(v: str, i: int) -> str:
