@@ -106,7 +106,9 @@ def overlap_matrix(df: DataFrame, source: str, key: str, missing: str = "keep")
     number of sources per key); the pairs are expanded per distinct set, not
     per key, so a hot key or a huge key space never materialises pairs."""
     has = df.filter(_has_key(key, missing))
-    sets = (has.select(source, F.coalesce(F.col(key), F.lit("")).alias("__k")).distinct()
+    # one shuffle on the key; the set is built map-side first (at most one
+    # entry per source), so a hot key ships one small set per task
+    sets = (has.select(source, F.coalesce(F.col(key), F.lit("")).alias("__k"))
             .groupBy("__k").agg(F.array_sort(F.collect_set(source)).alias("__set")))
     combos = sets.groupBy("__set").agg(F.count(F.lit(1)).alias("__n"))
     pairs = (combos.select(F.explode("__set").alias("db1"), "__set", "__n")

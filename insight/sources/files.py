@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from insight.operators.ranking import rank_within
 
 CORRUPT = "_corrupt_record"
+MAX_BROADCAST_FILES = 1_000_000
 # Microsecond text forms, so timestamps survive a JSON round trip unchanged.
 TS_FORMATS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
               "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
@@ -65,7 +66,9 @@ def tag_file_id(df: DataFrame, out: str = "file_name", unit: str = "file",
         path = F.regexp_replace(path, "/[^/]*$", "")
     tagged = df.withColumn("__path", path)
     dim = rank_within(tagged.select("__path").distinct(), [F.col("__path")], out=out, start=0)
-    out_df = tagged.join(dim, "__path", "inner").drop("__path")
+    # one row per file: the driver-side file list bounds its size up front
+    side = F.broadcast(dim) if len(df.inputFiles()) <= MAX_BROADCAST_FILES else dim
+    out_df = tagged.join(side, "__path", "inner").drop("__path")
     if dimension:
         return out_df, dim.withColumnRenamed("__path", "path")
     return out_df
