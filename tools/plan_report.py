@@ -42,8 +42,9 @@ def main(sf_dir: str) -> None:
     lines = ["# PLANS", "",
              f"Physical plans of the registered queries at `{sf_dir}` (static plans before AQE; AQE may still turn",
              "a shuffle join into a broadcast join or coalesce partitions at runtime). Generated by",
-             "`tools/plan_report.py`. A branch that appears twice (self-joins of one staged table) is counted twice even though
-Spark reuses the exchange at runtime. Queries that first write a landing table or fit a model show the plan of the",
+             "`tools/plan_report.py`. A branch that appears twice (self-joins of one staged table) is counted twice",
+             "although Spark reuses the exchange at runtime. Queries that first write a landing table or fit a model",
+             "show the plan of the",
              "final read / transform only.", "",
              "| key | shuffles | broadcasts | BHJ | SMJ | nested-loop | sort-agg | window | python |",
              "|---|---|---|---|---|---|---|---|---|"]
