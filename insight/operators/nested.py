@@ -103,11 +103,28 @@ def article_table(df: DataFrame, *, nested: str = "enriched_article", sep: str =
     )
 
 
-def score_tables(df: DataFrame, key_sets: Mapping[str, tuple[str, Sequence[str]]],
-                 nested: str = "enriched_article") -> DataFrame:
-    """Fixed-set score maps (e.g. userneeds, topics, sensitive topics) to
-    prefixed columns in one projection: ``{prefix: (map path, keys)}``."""
+MAX_MAP_KEYS = 10_000
+
+
+def map_keys_present(df: DataFrame, m: str | Column, max_keys: int = MAX_MAP_KEYS) -> list[str]:
+    """Sorted distinct keys found in a map column (an open key set becomes a
+    column list).  Keys are de-duplicated with a partial aggregation; at most
+    ``max_keys + 1`` reach the driver."""
+    col = F.col(m) if isinstance(m, str) else m
+    rows = df.select(F.explode(F.map_keys(col)).alias("k")).distinct().limit(max_keys + 1).collect()
+    if len(rows) > max_keys:
+        raise ValueError(f"more than {max_keys} distinct map keys; keep the map instead of columns")
+    return sorted(r["k"] for r in rows)
+
+
+def score_tables(df: DataFrame, key_sets: Mapping[str, tuple[str, Sequence[str] | None]],
+                 nested: str = "enriched_article", keep: Sequence[str] = ("article_id",)) -> DataFrame:
+    """Score maps (e.g. userneeds, topics, sensitive topics) to prefixed
+    columns in one projection: ``{prefix: (map path, keys)}``.  ``keys=None``
+    takes every key present in the data (declared keys first, the rest sorted)."""
     cols = []
     for prefix, (path, keys) in key_sets.items():
-        cols += map_columns(F.col(f"{nested}.{path}"), keys, prefix)
-    return df.select("article_id", *cols)
+        m = F.col(f"{nested}.{path}")
+        names = list(keys) if keys is not None else map_keys_present(df, m)
+        cols += map_columns(m, names, prefix)
+    return df.select(*keep, *cols)

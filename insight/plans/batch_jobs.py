@@ -88,8 +88,9 @@ def article_outputs(articles: DataFrame, score_sets: dict) -> dict[str, DataFram
             F.col("x.saliency").alias("saliency"), *parent),
     }
     for prefix, (path, keys) in score_sets.items():
-        tables[f"fixed_set_{prefix.rstrip('_')}"] = articles.select(
-            "article_id", *N.map_columns(F.col(f"enriched_article.{path}"), keys, prefix), "file_name")
+        # keys=None: an open key set, every key present becomes a column
+        tables[f"fixed_set_{prefix.rstrip('_')}"] = N.score_tables(
+            articles, {prefix: (path, keys)}, keep=["article_id", "file_name"])
     return tables
 
 

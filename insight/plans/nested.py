@@ -164,10 +164,13 @@ _USERNEED_SQL = """CAST(len(string_split(text, chr(10))) AS DOUBLE) / 10 AS user
 @register("map_to_columns", f"""SELECT CAST(doc_id AS VARCHAR) AS article_id, {_USERNEED_SQL},
   CAST(n_chars % 7 AS DOUBLE) / 7 AS topic_politics, CAST(n_chars % 11 AS DOUBLE) / 11 AS topic_sports,
   CAST(n_chars % 13 AS DOUBLE) / 13 AS topic_culture,
+  CASE WHEN lang = 'es' THEN CAST(1.0 AS DOUBLE) END AS topic_misc,
   CAST(n_chars % 3 AS DOUBLE) / 3 AS sensitive_topic_adult_content,
   CAST(n_chars % 5 AS DOUBLE) / 5 AS sensitive_topic_violence FROM documents""")
 def q_map_to_columns(spark, sf_dir):
-    return N.score_tables(articles(spark, sf_dir), SCORE_SETS)
+    # topics are an open key set: every key present becomes a column
+    sets = {**SCORE_SETS, "topic_": (SCORE_SETS["topic_"][0], None)}
+    return N.score_tables(articles(spark, sf_dir), sets)
 
 
 @register("contract_columns", f"""SELECT article_id, array_to_string(list_transform([userneed_update_me,

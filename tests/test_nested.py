@@ -46,3 +46,9 @@ def test_map_columns_fixed_keys(spark):
         "article_id", *N.map_columns("doc.scores", ["k1", "k2"], "u_")).collect()}
     assert rows["a1"]["u_k1"] == 0.5 and rows["a1"]["u_k2"] is None
     assert rows["a3"]["u_k1"] is None
+
+
+def test_open_key_set(spark):
+    df = frame(spark).select("article_id", F.col("doc").alias("enriched_article"))
+    out = N.score_tables(df, {"u_": ("scores", None)})
+    assert out.columns == ["article_id", "u_k1", "u_zz"]
