@@ -121,11 +121,9 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("feature_matrix")
 def q_feature_matrix(spark, sf_dir):
-    f = features(spark, sf_dir)
-    width = len(f.first()["features"]) if f.take(1) else 0
-    return f.select("event_id", F.lit(width).alias("n_features"),
-                    F.aggregate(M.vector_to_array(F.col("features")), F.lit(0.0), lambda a, x: a + x)
-                    .alias("feature_sum"))
+    arr = M.vector_to_array(F.col("features"))
+    return features(spark, sf_dir).select("event_id", F.size(arr).alias("n_features"),
+                                          F.aggregate(arr, F.lit(0.0), lambda a, x: a + x).alias("feature_sum"))
 
 
 def projected(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
