@@ -8,16 +8,14 @@ article is ever gathered from many rows.
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
 
 from insight.operators import nested as N
 from insight.plans.registry import register
-from insight.plans.views import table
+from insight.plans.views import landed, table
 from insight.session import scratch_path
 from insight.sources.files import scan_json
 from insight.sources.sinks import write_json
@@ -100,33 +98,12 @@ def build_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{_NESTED_SQL} AS enriched_article")
 
 
-_LANDED: dict[tuple, str] = {}
-
-
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The enriched articles as a landed Parquet table.
-
-    Nested documents are written once (per source file version and session)
-    below the shared checkpoint folder and read back, so each query reads only
-    the nested fields it uses (Parquet nested-column pruning) instead of
-    rebuilding every child list of every article."""
-    src = f"{sf_dir.rstrip('/')}/documents.parquet"
-    try:
-        version = os.stat(src).st_mtime_ns
-    except OSError:
-        version = None
-    key = (os.path.abspath(src), version)
-    path = _LANDED.get(key) if version is not None else None
-    if path is not None:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException:
-            path = None
-    path = scratch_path(spark, "articles-landed")
-    build_articles(spark, sf_dir).write.mode("overwrite").parquet(path)
-    if version is not None:
-        _LANDED[key] = path
-    return spark.read.parquet(path)
+    """The enriched articles as a landed Parquet table: nested documents are
+    written once (per source file version and session) and read back, so each
+    query reads only the nested fields it uses (Parquet nested-column
+    pruning) instead of rebuilding every child list of every article."""
+    return landed(spark, sf_dir, ["documents"], "articles", build_articles)
 
 
 def article_schema(spark: SparkSession, sf_dir: str) -> T.StructType:

@@ -17,7 +17,7 @@ from insight.operators import matrix as X
 from insight.operators import trends as T
 from insight.operators.joins import join_dimension
 from insight.plans.registry import register
-from insight.plans.views import table
+from insight.plans.views import landed, table
 
 # Fixed values of the stand-in survey.
 VALUES = ["Urgent", "High", "Medium", "Not Specified", "Low"]
@@ -93,10 +93,14 @@ def survey_raw(spark: SparkSession, sf_dir: str, p: DataFrame | None = None) ->
     return p.selectExpr(*[f"{e} AS {b(n)}" for n, e in RAW_COLUMNS])
 
 
+def build_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.coded_matrix(survey_raw(spark, sf_dir), type_merge=TYPE_MERGE)
+
+
 def coded(spark: SparkSession, sf_dir: str, p: DataFrame | None = None) -> DataFrame:
-    """The coded matrix.  Build it once per query and derive everything from
-    it: its indicator detection is a (one-row) pass of its own."""
-    return C.coded_matrix(survey_raw(spark, sf_dir, p), type_merge=TYPE_MERGE)
+    """The coded matrix, cleaned once per session (its indicator detection is a
+    pass of its own) and landed; every survey analysis is a function of it."""
+    return landed(spark, sf_dir, ["orders", "customer", "nation"], "survey-coded", build_coded)
 
 
 def with_families(df: DataFrame) -> DataFrame:

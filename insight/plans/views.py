@@ -132,3 +132,39 @@ def duck_scores() -> str:
 
 def duck_sections() -> str:
     return "SELECT " + ", ".join(f"{e} AS {n}" for n, e in SECTION_COLUMNS) + " FROM documents"
+
+
+_LANDED: dict[tuple, str] = {}
+
+
+def landed(spark: SparkSession, sf_dir: str, sources: list[str], name: str, build) -> DataFrame:
+    """A derived table written once per session (per version of its source
+    files) below the shared checkpoint folder and read back from there.
+
+    Used for intermediates that many queries share -- the coded survey
+    matrix, the nested articles -- so each query starts from the cleaned
+    table and, for Parquet, reads only the columns and nested fields it
+    needs.  A missing landing table is simply rebuilt."""
+    from pyspark.errors import AnalysisException
+
+    from insight.session import scratch_path
+
+    versions = []
+    for src in sources:
+        try:
+            versions.append(os.stat(f"{sf_dir.rstrip('/')}/{src}.parquet").st_mtime_ns)
+        except OSError:
+            versions = None
+            break
+    key = (name, os.path.abspath(sf_dir), tuple(versions)) if versions is not None else None
+    path = _LANDED.get(key) if key else None
+    if path is not None:
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException:
+            pass
+    path = scratch_path(spark, f"{name}-landed")
+    build(spark, sf_dir).write.mode("overwrite").parquet(path)
+    if key:
+        _LANDED[key] = path
+    return spark.read.parquet(path)
