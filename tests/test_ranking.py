@@ -23,3 +23,24 @@ def test_global_rank_from_zero(spark):
     df = spark.range(0, 5000).select((F.col("id") * 31 % 5000).alias("k"))
     out = rank_within(df, [F.col("k")], out="r", start=0, partitions=8)
     assert all(r["k"] == r["r"] for r in out.collect())
+
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 3)), st.integers(0, 20)), min_size=1, max_size=300),
+       st.integers(1, 9))
+def test_rank_within_property(spark, rows, parts):
+    df = spark.createDataFrame([(i, g, v) for i, (g, v) in enumerate(rows)], "id long, g int, v int")
+    ours = rank_within(df, [F.col("v"), F.col("id")], group=["g"], out="r", partitions=parts)
+    got = {r["id"]: r["r"] for r in ours.collect()}
+    expect = {}
+    by_group = {}
+    for i, (g, v) in enumerate(rows):
+        by_group.setdefault(g, []).append((v, i))
+    for members in by_group.values():
+        for pos, (_, i) in enumerate(sorted(members), start=1):
+            expect[i] = pos
+    assert got == expect
