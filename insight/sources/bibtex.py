@@ -26,7 +26,9 @@ def scan_entries(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     raw = spark.read.option("lineSep", "\n@").option("wholetext", "false").text(path)
     # first entry of each file keeps its "@" (and possibly a byte-order mark)
     entry = F.regexp_replace(F.col("value"), r"^[\x{FEFF}\s]*@?", "")
-    return raw.select(entry.alias("entry")).filter(F.col("entry").rlike(r"^\s*[A-Za-z]+\s*\{"))
+    # records only: @comment / @string / @preamble blocks are not entries
+    return (raw.select(entry.alias("entry")).filter(F.col("entry").rlike(r"^\s*[A-Za-z]+\s*\{"))
+            .filter(~F.col("entry").rlike(r"(?i)^\s*(comment|string|preamble)\s*\{")))
 
 
 def field(entry: Column, name: str) -> Column:

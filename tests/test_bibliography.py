@@ -128,3 +128,11 @@ def test_shared_keys(spark):
     r = records(spark)
     got = sorted(x[0] for x in B.shared_keys(r.filter("db = 's1'"), r.filter("db = 's2'"), "doi").collect())
     assert got == ["d1"]
+
+
+def test_scan_skips_non_records(spark, tmp_path):
+    p = tmp_path / "extra.bib"
+    p.write_text('@comment{exported by a tool}\n@string{jn = "Journal"}\n@article{k9,\n  title = {The {RNA} World},\n}\n',
+                 encoding="utf-8")
+    rows = scan_bib(spark, str(p)).collect()
+    assert [(r["key"], r["title"]) for r in rows] == [("k9", "The {RNA} World")]
