@@ -149,10 +149,13 @@ def pca_project(df: DataFrame, k: int, features: str = "features", out: str = "p
 
 
 def kmeans_assign(df: DataFrame, k: int = 8, seed: int = 42, features: str = "pca",
-                  out: str = "cluster", cut_lineage: bool = True) -> DataFrame:
-    """KMeans fit (k-means|| init, distributed) and assignment."""
+                  out: str = "cluster", cut_lineage: bool = True, max_iter: int = 300,
+                  tol: float = 1e-4) -> DataFrame:
+    """KMeans fit (k-means|| init, distributed) and assignment.  Runs to
+    convergence (``tol``) rather than stopping at Spark's default 20 passes."""
     data = materialise(df) if cut_lineage else df
-    model = KMeans(k=k, seed=seed, featuresCol=features, predictionCol=out).fit(data)
+    model = KMeans(k=k, seed=seed, featuresCol=features, predictionCol=out, maxIter=max_iter,
+                   tol=tol).fit(data)
     return model.transform(data)
 
 
