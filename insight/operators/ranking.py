@@ -42,6 +42,11 @@ def rank_within(df: DataFrame, order: Sequence[str | Column], group: Sequence[st
     its own group).  Equivalent to ``row_number() over (partition by group
     order by order) - 1 + start`` but balanced across tasks.
 
+    The number of key ranges is ``spark.sql.shuffle.partitions`` (size it for
+    the input, see ``insight.session.cluster_settings``); it is not derived
+    from ``df.rdd``, since asking an adaptive plan for its partitions runs its
+    upstream stages.
+
     The count table has at most ``partitions + groups`` rows.  With no group,
     or a caller-known ``groups_bound``, that bound is proven up front and the
     table is broadcast, so the rows are shuffled once (by range) and never
