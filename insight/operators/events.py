@@ -16,6 +16,7 @@ from insight.functions.columns import (
     seeded_hash,
     substring_flags,
 )
+from insight.operators.joins import join_dimension
 from insight.operators.ranking import order_code, rank_within
 
 # Event names that count as a view; the name used when absent.
@@ -108,9 +109,20 @@ def dict_encode(df: DataFrame, value: str, order: Sequence[str], out: str | None
 
 
 def latest_lookup(df: DataFrame, key: str, values: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Last write wins per key (a null attribute overwrites too)."""
-    pick = F.max_by(F.struct(*[F.col(v) for v in values]), F.struct(*[F.col(o) for o in order]))
-    return df.groupBy(key).agg(pick.alias("__v")).select(key, *[F.col(f"__v.{v}").alias(v) for v in values])
+    """Last write wins per key (a null attribute overwrites too).
+
+    The latest order position per key is a hash aggregate of the packed order
+    key; the winning rows are picked with a join on (key, position) that is
+    broadcast when the key table is proven small -- no sort of the fact
+    table.  Ties (an order that is not total) are settled by ``max_by`` over
+    the few matched rows."""
+    code = order_code(df, order)
+    coded = df.select(F.col(key), *[F.col(v) for v in values], code.alias("__c"))
+    last = coded.groupBy(F.col(key).alias("__k")).agg(F.max("__c").alias("__m"))
+    cond = [F.col(key).eqNullSafe(F.col("__k")), F.col("__c") == F.col("__m")]
+    won = join_dimension(coded, last, cond, "inner")
+    pick = F.max_by(F.struct(*[F.col(v) for v in values]), F.col("__c"))
+    return won.groupBy(key).agg(pick.alias("__v")).select(key, *[F.col(f"__v.{v}").alias(v) for v in values])
 
 
 def balanced_sample(df: DataFrame, stratum: str, id_col: str, seed: int = 42, margin: float = 8.0) -> DataFrame:
