@@ -513,3 +513,17 @@ FROM ex LEFT JOIN cnt ON ex."Diversity-Type" = cnt.c""")
 def q_rare_to_other(spark, sf_dir):
     return C.rare_to_other(exploded(spark, sf_dir), "Diversity-Type", RARE_FLOOR).select(
         "Title", "Year", "Diversity-Type")
+
+
+@register("type_counts", WITH_CODED + """SELECT "Type Of Paper", count(*) AS "count" FROM coded
+WHERE "Type Of Paper" IS NOT NULL GROUP BY 1""")
+def q_type_counts(spark, sf_dir):
+    from insight.operators.events import value_counts
+    return value_counts(coded(spark, sf_dir), "Type Of Paper")
+
+
+@register("platform_counts", WITH_CODED + """SELECT "Platform", count(*) AS "count" FROM coded
+WHERE "Platform" IS NOT NULL GROUP BY 1""")
+def q_platform_counts(spark, sf_dir):
+    from insight.operators.events import value_counts
+    return value_counts(coded(spark, sf_dir), "Platform")
