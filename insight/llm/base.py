@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,9 +21,26 @@ UPPER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package by name where they share the driver's folders (local runs).
+
+    On a cluster the package is installed or shipped with ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def register(name: str, oracle: str | None = None):
+    """Catalogue ``fn(spark, sf_dir) -> DataFrame`` under ``name``; ``oracle``: equivalent DuckDB SQL, if any."""
     def deco(fn):
-        QUERIES[name] = fn
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            importable(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = query
         if oracle is not None:
             ORACLES[name] = oracle
         return fn

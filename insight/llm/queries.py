@@ -1,6 +1,6 @@
 """The registered queries of this subpackage: importing the operators fills the catalogue."""
 
-from insight.llm import exact_dedup, mixing, quality  # noqa: F401
+from insight.llm import bpe, exact_dedup, mixing, ngram_join, pii, quality, toxicity, warc  # noqa: F401
 from insight.llm.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
