@@ -94,7 +94,9 @@ class Model:
             f = x.feature[near]
             at = np.minimum(np.searchsorted(self.feature, f), len(self.feature) - 1)
             hit = self.feature[at] == f
-            z += np.bincount(x.sentence[near[hit]], self.weight[at[hit]], len(z))
+            # a feature counts once in a sentence, however often it is repeated
+            found = np.unique(x.sentence[near[hit]] * len(self.feature) + at[hit])
+            z += np.bincount(found // len(self.feature), self.weight[found % len(self.feature)], len(z))
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -103,12 +105,14 @@ def noisy_or(row: np.ndarray, p: np.ndarray, rows: int) -> np.ndarray:
     return -np.expm1(np.bincount(row, np.log1p(-np.minimum(p, 1 - 1e-12)), rows))
 
 
-def fit(labels: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray]], epochs: int = 12, rate: float = 0.4,
-        bias: float = -7.0, decay: float = 1e-4, least: float = 0.05) -> Model:
-    """AdaGrad on the noisy-or likelihood; ``bags``: (features, sentence of each) of each document.
+def fit(labels: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray]], epochs: int = 20, rate: float = 1.0,
+        bias: float = -10.0, shrink: float = 0.02, least: float = 0.1) -> Model:
+    """AdaGrad on the noisy-or likelihood, weights drawn towards 0 by ``shrink``.
 
-    Weights below ``least`` are left out of the model.  The order of the
-    documents fixes the result.
+    ``bags``: (features, sentence of each, no repeats) of each document.  The bias
+    keeps a sentence without known features near 0, so that thousands of them do
+    not add up.  Weights below ``least`` are left out of the model.  The order of
+    the documents fixes the result.
     """
     labels = np.asarray(labels)
     if len(labels) == 0 or not labels.any() or labels.all():
@@ -118,23 +122,24 @@ def fit(labels: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray]], epochs: i
     # classes count alike, however many documents each has
     share = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
     order = np.random.default_rng(11)
+    sentences = np.array([int(s[-1]) + 1 if len(s) else 0 for _, s in bags])
     for _ in range(epochs):
         for part in np.array_split(order.permutation(len(bags)), max(1, len(bags) // 200)):
-            feats = [np.searchsorted(vocabulary, bags[i][0]) for i in part]
-            counts = [int(bags[i][1][-1]) + 1 if len(bags[i][1]) else 0 for i in part]
+            counts = sentences[part]
             base = np.concatenate([[0], np.cumsum(counts)])
             sent = np.concatenate([bags[i][1].astype(np.int64) + b for i, b in zip(part, base, strict=False)])
-            f = np.concatenate(feats)
+            f = np.searchsorted(vocabulary, np.concatenate([bags[i][0] for i in part]))
             bag = np.repeat(np.arange(len(part)), counts)
             z = bias + np.bincount(sent, weight[f], base[-1])
             p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             whole = np.clip(noisy_or(bag, p, len(part)), 1e-9, 1 - 1e-9)
-            y = labels[part]
-            blame = np.where(y == 1, (1 - whole) / whole, -1.0) * share[part]
-            g = blame[bag] * p
-            up = np.bincount(f, g[sent], len(weight)) - decay * len(part) * weight
+            # a toxic document's gradient goes to its sentences as far as each is the likely reason
+            blame = np.where(labels[part] == 1, (1 - whole) / whole, -1.0) * share[part]
+            up = np.bincount(f, (blame[bag] * p)[sent], len(weight))
             seen += up * up
-            weight += rate * up / np.sqrt(seen)
+            step = rate / np.sqrt(seen)
+            weight += step * up
+            weight = np.sign(weight) * np.maximum(np.abs(weight) - step * shrink, 0)
     keep = np.abs(weight) >= least
     return Model(vocabulary[keep], weight[keep], bias)
 
@@ -156,16 +161,14 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in text_slices(batch, "text"):
             x = instances(part.column("text"))
-            sent_row = x.row[x.sentence] if len(x.row) else x.row
-            first = np.searchsorted(x.row, np.arange(part.num_rows))
-            feats, sents = [], []
-            by = np.argsort(sent_row, kind="stable")
-            cut = np.searchsorted(sent_row[by], np.arange(part.num_rows + 1))
-            for r in range(part.num_rows):
-                own = by[cut[r]:cut[r + 1]]
-                own = own[np.argsort(x.sentence[own], kind="stable")]
-                feats.append(x.feature[own].tobytes())
-                sents.append((x.sentence[own] - first[r]).astype(np.uint32).tobytes())
+            pairs = np.unique((x.sentence.astype(np.uint64) << np.uint64(32)) | x.feature)
+            sentence = (pairs >> np.uint64(32)).astype(np.int64)
+            feature = (pairs & np.uint64(2**32 - 1)).astype(np.uint32)
+            first = np.searchsorted(x.row, np.arange(part.num_rows + 1))  # sentences of each row
+            cut = np.searchsorted(sentence, first)
+            feats = [feature[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            sents = [(sentence[a:b] - s).astype(np.uint32).tobytes()
+                     for a, b, s in zip(cut[:-1], cut[1:], first[:-1], strict=True)]
             yield pa.record_batch([part.column("doc_id"), part.column("toxic").cast(pa.int32()),
                                    pa.array(feats, pa.binary()), pa.array(sents, pa.binary())],
                                   names=["doc_id", "toxic", "feats", "sents"])
