@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from insight.llm import filters
 from insight.llm.base import documents, inner, landed, register
 from insight.llm.words import GRAM, fingerprints, grams, in_row, mix, split_words, text_slices
 
@@ -47,8 +48,6 @@ PIECES = 64
 MOST_MATCHES = 8
 #: elements of the sets compared in one task
 BLOCK = 1_000_000
-#: bits of the filter that tells which documents are needed again (16 MB at most)
-FILTER_BITS = 1 << 27
 
 
 def element_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,31 +187,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(e[keep]), pa.array(c[keep]), pa.array(a[keep])], names=["element", "cls", "asked"])
 
 
-def key_filter(keys: DataFrame, column: str) -> np.ndarray:
-    """Bits set at the hashes of a long column: built in Spark, ``FILTER_BITS`` at most, sized by the number of keys."""
-    n = keys.count()
-    bits = 1 << 15
-    while bits < min(16 * n, FILTER_BITS):
-        bits *= 2
-    at = F.pmod(F.xxhash64(column), F.lit(bits))
-    rows = keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32768).alias("part")) \
-        .agg(F.bitmap_construct_agg((F.col("at") % 32768).cast("long")).alias("bits")).collect()
-    out = np.zeros((bits // 32768, 4096), np.uint8)
-    for r in rows:
-        out[r.part] = np.frombuffer(bytes(r.bits), np.uint8)
-    return out.ravel()
-
-
-def in_filter(batch_hash: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    at = np.mod(batch_hash, len(bits) * 8)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-
 def _sets(n: int, wanted: np.ndarray):
     """(cls, set) of the rows whose doc_id may be wanted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = batch.filter(pa.array(in_filter(batch.column("hash").to_numpy(), wanted)))
+            some = batch.filter(pa.array(filters.let_through(batch.column("hash").to_numpy(), wanted)))
             for part in text_slices(some, "text"):
                 g, first = element_sets(part.column("text"), n)
                 cls = classes(g, first)
@@ -336,7 +315,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     # the sets of these classes, once more from the text of one row of each
     reps = landed(table.join(members.select("cls").distinct(), "cls", "left_semi")
                   .groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "ngram-reps")
-    wanted = key_filter(reps.select("doc_id"), "doc_id")
+    wanted = filters.build(reps, F.xxhash64("doc_id"))
     sets = rows.select(F.xxhash64("doc_id").alias("hash"), "text") \
         .mapInArrow(_sets(n, wanted), "cls long, n long, elements binary").dropDuplicates(["cls"])
     blocks = members.join(reps.select("cls", "n"), "cls")
