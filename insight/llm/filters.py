@@ -16,10 +16,10 @@ BITS = 1 << 27
 
 
 def build(keys: DataFrame, hashed: Column) -> np.ndarray:
-    """Bits set at ``hashed`` (long) of all rows of ``keys``, about 16 a key, at most ``BITS``."""
+    """Bits set at ``hashed`` (long) of all rows of ``keys``, about 64 a key, at most ``BITS``."""
     n = keys.count()
     bits = 1 << 15
-    while bits < min(16 * n, BITS):
+    while bits < min(64 * n, BITS):
         bits *= 2
     at = F.pmod(hashed, F.lit(bits))
     rows = keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32768).alias("part")) \

@@ -12,7 +12,7 @@ choice of ``m``, never the result.
 1. One pass: class (fingerprint of the whole set) of every row, and the sketch.
    Rows with equal sets are one class from here on.
 2. Prefix postings meet by element; elements of one class only are dropped.  The
-   smallest class of an element is its pivot, so that every candidate pair meets
+   first class of an element is its pivot, so that every candidate pair meets
    in the group of some pivot.  Classes with fewer shared elements than ``m`` asks
    for leave.
 3. The few classes left send their whole sets to their pivots' groups, in blocks
@@ -42,10 +42,10 @@ from insight.llm.base import documents, inner, landed, register
 from insight.llm.words import GRAM, fingerprints, grams, in_row, mix, split_words, text_slices
 
 #: counters of the sketch (4 bytes each, sent to every task) and its pieces
-SKETCH = 1 << 21
+SKETCH = 1 << 20
 PIECES = 64
-#: most shared elements a prefix may be lengthened to ask for
-MOST_MATCHES = 8
+#: classes that a rare element is guessed to meet besides its own
+CHANCE = 0.05
 #: elements of the sets compared in one task
 BLOCK = 1_000_000
 
@@ -60,16 +60,20 @@ def element_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     row = w.row[inside]
     count = np.diff(w.first)
     short = np.flatnonzero((count > 0) & (count < n))
-    if len(short):
+    if len(short) == 0:
+        g = g[inside]
+    else:
         # told apart from full-length elements by their number of words
         salt = mix(count[short].astype(np.uint64))
         whole = [grams(h[w.first[r]:w.first[r + 1]], int(count[r])) for r in short]
         g = np.concatenate([g[inside], mix(np.concatenate(whole) ^ salt)])
         row = np.concatenate([row, short.astype(row.dtype)])
-    else:
-        g = g[inside]
-    by = np.lexsort((g, row))
-    g, row = g[by], row[by]
+        by = np.argsort(row, kind="stable")
+        g, row = g[by], row[by]
+    edge = np.searchsorted(row, np.arange(rows + 1))
+    g = np.ascontiguousarray(g)
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        g[a:b].sort()
     new = np.ones(len(g), bool)
     new[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
     g, row = g[new], row[new]
@@ -105,12 +109,12 @@ def _survey(n: int):
 def sketch(surveyed: DataFrame) -> np.ndarray:
     """Sum of the tasks' sketches: added up inside each reading task, then by piece; ``SKETCH`` counters in all."""
     pieces = surveyed.filter("piece IS NOT NULL").select("piece", "counts").rdd \
-        .map(lambda r: (r.piece, np.frombuffer(r.counts, np.uint32).astype(np.int64))) \
+        .map(lambda r: (r.piece, np.frombuffer(r.counts, np.uint32))) \
         .reduceByKey(lambda a, b: a + b).collect()
-    out = np.zeros((PIECES, SKETCH // PIECES), np.int64)
+    out = np.zeros((PIECES, SKETCH // PIECES), np.uint32)
     for piece, counts in pieces:
         out[piece] = counts
-    return np.minimum(out.ravel(), 2**32 - 1).astype(np.uint32)
+    return out.ravel()
 
 
 def prefixes(g: np.ndarray, first: np.ndarray, estimate: np.ndarray, noise: float, t: float
@@ -119,18 +123,23 @@ def prefixes(g: np.ndarray, first: np.ndarray, estimate: np.ndarray, noise: floa
     size = np.diff(first)
     row = np.repeat(np.arange(len(size)), size)
     often = np.maximum(estimate[(g % np.uint64(SKETCH)).astype(np.int64)].astype(np.float64) - noise, 0.0)
-    by = np.lexsort((mix(g), often, row))
-    often = often[by]
+    # the global order: rare elements first, equally rare ones by hash
+    key = (np.minimum(often, 65535).astype(np.uint64) << np.uint64(48)) | (mix(g) >> np.uint64(16))
+    by = np.empty(len(g), np.int64)
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        by[a:b] = a + np.argsort(key[a:b], kind="stable")
     need = np.ceil(t * size - 1e-9).astype(np.int64)
     base = size - need  # a prefix asking for m matches has base + m elements
-    until = np.concatenate([[0.0], np.cumsum(often + 0.05)])
+    until = np.concatenate([[0.0], np.cumsum(often[by] + CHANCE)])
     best, asked = np.full(len(size), np.inf), np.ones(len(size), np.int64)
-    for m in range(1, MOST_MATCHES + 1):
+    m = 1
+    while m <= need.max(initial=1):
         end = np.minimum(first[:-1] + base + m, first[1:])
         met = until[end] - until[first[:-1]]  # classes met along the prefix; at most met / m share m elements
         cost = (base + m) + met / m * size
-        better = (m <= need) & (cost < best)
+        better = ((m <= need) | (m == 1)) & (cost < best)
         best[better], asked[better] = cost[better], m
+        m *= 2
     length = np.where(size > 0, np.minimum(base + asked, size), 0)
     position = np.arange(len(g)) - np.repeat(first[:-1], size)
     take = position < np.repeat(length, size)
@@ -157,34 +166,67 @@ def _postings(n: int, t: float, estimate: np.ndarray):
                 at, row = at[new[row]], row[new[row]]
                 if len(seen) > 1_000_000:
                     seen.clear()
-                yield pa.record_batch([pa.array(g[at].view(np.int64)), pa.array(cls[row]), pa.array(asked[row].astype(np.int8))],
-                                      names=["element", "cls", "asked"])
+                yield pa.record_batch([pa.array(g[at].view(np.int64)), pa.array(cls[row]), pa.array(np.diff(first)[row].astype(np.int32)),
+                                       pa.array(asked[row].astype(np.int32))], names=["element", "cls", "n", "asked"])
+    return run
+
+
+def _shared(t: float):
+    """Of rows sorted by (element, n, cls): how many elements each class shares with each pivot.
+
+    The rows of an element fall into runs, cut where the next size is too large
+    for the one before, so that classes of different runs cannot link.  A run's
+    first class is its pivot; runs of one class are dropped.  A stream: it holds
+    two rows.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = last = None  # the first and the last row of the run at hand
+        sent = False
+        for batch in batches:
+            rows = [batch.column(k).to_numpy() for k in ("element", "cls", "n", "asked")]
+            carried = 0
+            if head is not None:
+                carried = 1 if head == last else 2
+                rows = [np.concatenate([[h, v][:carried], r]) for h, v, r in zip(head, last, rows, strict=True)]
+            e, c, n, asked = rows
+            if len(e) == carried:
+                continue
+            distinct = np.ones(len(e), bool)
+            distinct[1:] = (e[1:] != e[:-1]) | (c[1:] != c[:-1])
+            e, c, n, asked = (r[distinct] for r in (e, c, n, asked))
+            first = np.ones(len(e), bool)
+            first[1:] = (e[1:] != e[:-1]) | (t * n[1:] > n[:-1])
+            if carried == 2:
+                first[1] = False  # head and last row are of one run, however far their sizes are apart
+            at = np.maximum.accumulate(np.where(first, np.arange(len(e)), 0))
+            emit = ~first | np.append(~first[1:], False)
+            if carried:
+                emit[0] &= not sent
+            if carried == 2:
+                emit[1] = False
+            goes_on = bool(carried) and at[-1] == 0
+            sent = bool(at[-1] < len(e) - 1) or (goes_on and sent)
+            head, last = ([r[i].item() for r in (e, c, n, asked)] for i in (at[-1], -1))
+            pairs = pd.DataFrame({"pivot": c[at][emit], "cls": c[emit], "asked": asked[emit]})
+            counted = pairs.groupby(["pivot", "cls", "asked"], sort=False).size().reset_index(name="shared")
+            yield pa.RecordBatch.from_pandas(counted.astype({"asked": "int32"}), preserve_index=False)
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (element, cls): distinct ones whose element has two classes at least; a stream."""
-    held: tuple[int, int, int] | None = None  # the last row, and whether it has been sent
-    sent = False
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        e, c, a = (batch.column(k).to_numpy() for k in ("element", "cls", "asked"))
-        if held is not None:
-            e, c, a = np.append(held[0], e), np.append(held[1], c), np.append(np.int8(held[2]), a)
-        distinct = np.ones(len(e), bool)
-        distinct[1:] = (e[1:] != e[:-1]) | (c[1:] != c[:-1])
-        already = sent and held is not None
-        e, c, a = e[distinct], c[distinct], a[distinct]
-        same = e[1:] == e[:-1]
-        keep = np.zeros(len(e), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        last_kept = bool(keep[-1]) or (already and len(e) == 1)
-        if already:
-            keep[0] = False
-        held, sent = (int(e[-1]), int(c[-1]), int(a[-1])), last_kept
-        yield pa.record_batch([pa.array(e[keep]), pa.array(c[keep]), pa.array(a[keep])], names=["element", "cls", "asked"])
+def core(met: DataFrame) -> DataFrame:
+    """The (pivot, cls) of ``met`` that can hold a link: a class must share as many elements as it, or some
+    class of its groups, asks for.  What leaves lowers the counts of others; repeated until little leaves."""
+    met, before = landed(met, "ngram-met"), None
+    while True:
+        n = met.count()
+        if before is not None and n > 0.95 * before:
+            return met.select("pivot", "cls")
+        before = n
+        groups = met.groupBy("pivot").agg(F.min("asked").alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+        open_ = met.join(groups, "pivot")
+        enough = open_.groupBy("cls").agg(F.sum("shared").alias("total"), F.min("least").alias("enough")) \
+            .filter("total >= enough").select("cls")
+        met = landed(open_.drop("least", "size").join(enough, "cls").select("pivot", "cls", "asked", "shared"), "ngram-met")
 
 
 def _sets(n: int, wanted: np.ndarray):
@@ -302,15 +344,10 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     table = surveyed.filter("piece IS NULL").select("doc_id", "n", "cls")
     t = percent / 100
 
-    postings = rows.mapInArrow(_postings(n, t, estimate), "element long, cls long, asked byte")
-    shared = landed(postings.repartition("element").sortWithinPartitions("element", "cls")
-                    .mapInArrow(_shared, "element long, cls long, asked byte"), "ngram-shared")
-    heads = landed(shared.groupBy("element").agg(F.min("cls").alias("pivot"), F.min("asked").alias("least")), "ngram-heads")
-    met = shared.join(heads, "element")
-    # a class needs as many shared elements as it or some class it meets asks for
-    enough = met.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("least")) \
-        .filter("n >= least").select("cls")
-    members = landed(met.select("pivot", "cls").distinct().join(enough, "cls"), "ngram-members")
+    postings = rows.mapInArrow(_postings(n, t, estimate), "element long, cls long, n int, asked int")
+    members = core(postings.repartition("element").sortWithinPartitions("element", "n", "cls")
+                   .mapInArrow(_shared(t), "pivot long, cls long, asked int, shared long")
+                   .groupBy("pivot", "cls", "asked").agg(F.sum("shared").alias("shared")))
 
     # the sets of these classes, once more from the text of one row of each
     reps = landed(table.join(members.select("cls").distinct(), "cls", "left_semi")
