@@ -15,6 +15,6 @@ Layout
 ``streaming``  the stateless event reducers run under Structured Streaming
 """
 
-from insight.session import build_session, checkpoint_root, scratch_path
+from insight.session import build_session, checkpoint_root, land, remove_scratch, scratch_path
 
-__all__ = ["build_session", "checkpoint_root", "scratch_path"]
+__all__ = ["build_session", "checkpoint_root", "land", "remove_scratch", "scratch_path"]

@@ -12,15 +12,6 @@ DEFAULT_BROADCAST_ROWS = 1_000_000
 DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
 
 
-def has_at_most(df: DataFrame, rows: int) -> bool:
-    """True when ``df`` has no more than ``rows`` rows.
-
-    A plain distributed count (partial counts per task, one number per task
-    shuffled).  ``limit(rows + 1).count()`` would instead move up to
-    ``partitions x rows`` rows into a single task when the table is large."""
-    return df.count() <= rows
-
-
 def measured_size(df: DataFrame) -> tuple[int, int]:
     """(rows, bytes) of a table in one aggregation: 8 bytes per fixed-width
     value plus the UTF-8 length of every string / binary value."""

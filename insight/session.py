@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cores: int | str = "*", app: str = "insight", shuffle_partitions: int | None = None,
@@ -42,15 +42,15 @@ def cluster_settings(input_bytes: int, target_partition_bytes: int = 256 * 1024
     """Spark confs for a large cluster run (pass to ``spark-submit --conf``).
 
     * the initial shuffle partition count follows the input size (about
-      ``target_partition_bytes`` per task), and AQE coalesces small ones and
-      splits skewed ones at runtime; ``rank_within`` also uses it as its number
-      of key ranges;
+      ``target_partition_bytes`` per task, 200 at least, which is Spark's own
+      default), and AQE coalesces small ones and splits skewed ones at runtime;
+      ``rank_within`` also uses it as its number of key ranges.  Raise
+      ``target_partition_bytes`` where map tasks x reducers blocks get too many;
     * file splits of the same size keep scan tasks within executor memory;
     * broadcasts stay behind explicit, measured bounds in the code; the
       planner's own threshold is kept moderate.
     """
-    # capped: map tasks x reducers shuffle blocks grow quadratically
-    parts = min(50_000, max(2000, int(input_bytes // target_partition_bytes)))
+    parts = max(200, -(-int(input_bytes) // target_partition_bytes))
     size = str(target_partition_bytes)
     return {
         "spark.sql.adaptive.enabled": "true",
@@ -72,9 +72,9 @@ def cluster_settings(input_bytes: int, target_partition_bytes: int = 256 * 1024
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when the session names none (local tests) is a
-    folder of our own set.  Scratch tables and checkpoints all live below it,
-    never in an executor-local temporary folder.
+    Read from the session.  Only a local session that names none (tests) gets a
+    temporary folder; elsewhere that would put scratch tables on single
+    machines' own disks, so it is an error.
     """
     sc = spark.sparkContext
     root = sc.getCheckpointDir()
@@ -82,11 +82,35 @@ def checkpoint_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="insight-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir().rstrip("/")
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """This application's scratch folder; :func:`remove_scratch` deletes it."""
+    return f"{checkpoint_root(spark)}/insight-scratch/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint root for a landing table."""
-    return f"{checkpoint_root(spark)}/insight-scratch/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def land(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once below the shared folder and read it back with its declared schema.
+
+    Several branches can then use the same physical rows, and a lost executor
+    reads them again instead of deriving them again.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete this application's scratch tables: once its results are written, before it stops."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

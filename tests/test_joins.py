@@ -31,6 +31,6 @@ def test_join_dimension_broadcasts_only_within_bound(spark):
 def test_cluster_settings_scale_with_input():
     small = cluster_settings(10 * 1024 ** 3)
     large = cluster_settings(100 * 1024 ** 4)
-    assert int(small["spark.sql.shuffle.partitions"]) == 2000
-    assert int(large["spark.sql.shuffle.partitions"]) == 50_000
+    assert int(small["spark.sql.shuffle.partitions"]) == 200
+    assert int(large["spark.sql.shuffle.partitions"]) == 409_600
     assert large["spark.sql.adaptive.skewJoin.enabled"] == "true"

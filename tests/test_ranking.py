@@ -25,6 +25,41 @@ def test_global_rank_from_zero(spark):
     assert all(r["k"] == r["r"] for r in out.collect())
 
 
+def test_wide_rows_beyond_the_range_sample(spark):
+    """A million rows with a column outside the key: every position once, and the same again."""
+    n = 1_000_000
+    df = spark.range(n).select(((F.col("id") * 7919) % n).alias("k"), F.sha1(F.col("id").cast("string")).alias("payload"))
+    for _ in range(2):
+        out = rank_within(df, ["k"], out="r", start=0, partitions=16)
+        row = out.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("r") != F.col("k")).cast("int")).alias("bad")).first()
+        assert (row["n"], row["bad"]) == (n, 0)
+
+
+def test_wide_rows_in_groups(spark):
+    n = 300_000
+    df = spark.range(n).select(
+        "id", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 50_000).cast("string")).alias("g"),
+        F.sha1(F.col("id").cast("string")).alias("payload"))
+    out = rank_within(df, ["id"], group=["g"], out="r", partitions=11)
+    want = df.withColumn("w", F.row_number().over(Window.partitionBy("g").orderBy("id")))
+    assert out.count() == n
+    assert out.join(want.select("id", "w"), "id").filter("r != w").isEmpty()
+
+
+def test_order_code_keeps_the_order_of_any_id(spark):
+    from insight.operators.ranking import order_code
+
+    big = 2**63 - 1
+    rows = [(a, b) for a in (-2**31, -1, 0, 1, 2, 2**31 - 1) for b in (-big - 1, -1, 0, 10**18, big)]
+    df = spark.createDataFrame(rows[::-1], "a int, b long")
+    got = [(r.a, r.b) for r in df.orderBy(order_code(df, ["a", "b"])).collect()]
+    assert got == sorted(rows)
+    times = df.select(F.timestamp_seconds(F.col("a")).alias("t"), "b")
+    assert [r.b for r in times.orderBy(order_code(times, ["t", "b"])).collect()] == [b for _, b in sorted(rows)]
+    wide = df.select(F.col("a").cast("long").alias("a"), "b")
+    assert [tuple(r) for r in wide.orderBy(order_code(wide, ["a", "b"])).collect()] == sorted(rows)
+
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
