@@ -57,20 +57,36 @@ def aligned_ratio(num: DataFrame, den: DataFrame, key: str, num_col: str, den_co
     return j.select(key, (F.try_divide(F.col(f"`{num_col}`"), F.col(f"`{den_col}`")) * scale).alias(out))
 
 
+# half-lives in one stretch of the moving average: weights inside reach 2^400, far
+# from overflow, and what lies a whole stretch back weighs under 2^-400
+_STRETCH = 400
+
+
 def ewma(df: DataFrame, group: Sequence[str], time: str, value: str, halflife_days: float,
          out: str = "rolling") -> DataFrame:
     """Time-aware exponentially weighted mean (bias-adjusted) per group.
 
-    With weight ``2^((t - t0)/h)`` for each observation, the mean at ``t`` is
-    ``sum(x w) / sum(w)`` over the rows up to ``t`` -- the same as weighting
-    past rows by ``0.5^((t - t_i)/h)``.  A plain running window; ``t0`` is the
-    group's first time so weights stay in range for spans under ~1000 h."""
-    t = F.unix_date(F.col(f"`{time}`").cast("date")).cast("double")
-    part = Window.partitionBy(*group)
-    t0 = F.min(t).over(part)
-    w = F.pow(F.lit(2.0), (t - t0) / F.lit(float(halflife_days)))
-    run = part.orderBy(F.col(f"`{time}`")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = F.col(f"`{value}`")
-    return (df.withColumn("__w", w)
-            .withColumn(out, F.sum(x * F.col("__w")).over(run) / F.sum(F.col("__w")).over(run))
-            .drop("__w"))
+    Past values weigh ``0.5^((t - t_i)/h)``.  A missing value (null or NaN) takes
+    no part and repeats the mean before it (null before the first value).
+
+    Time is cut into stretches of 400 half-lives.  Inside a stretch ``sum(x w) /
+    sum(w)`` runs with ``w = 2^((t - start)/h)``; the whole stretch before it
+    enters with its sums times 2^-400, and earlier ones are below double
+    precision.  So spans of any length stay finite and a long group is split
+    into several windows."""
+    t = F.unix_date(F.col(f"`{time}`").cast("date")).cast("double") / F.lit(float(halflife_days))
+    x = F.col(f"`{value}`").cast("double")
+    keys = [F.col(f"`{g}`") for g in group]
+    there = x.isNotNull() & ~F.isnan(x)
+    rows = df.withColumn("__s", F.floor(t / _STRETCH)).withColumn("__w", F.when(there, F.pow(F.lit(2.0), t - F.col("__s") * _STRETCH)))
+    sums = rows.filter(there).groupBy(*[k.alias(f"__g{i}") for i, k in enumerate(keys)], (F.col("__s") + 1).alias("__next")) \
+        .agg((F.sum(x * F.col("__w")) * 2.0 ** -_STRETCH).alias("__xs"), (F.sum("__w") * 2.0 ** -_STRETCH).alias("__ws"))
+    same = [F.col(f"__g{i}").eqNullSafe(k) for i, k in enumerate(keys)] + [F.col("__next") == F.col("__s")]
+    run = Window.partitionBy(*keys, "__s").orderBy(F.col(f"`{time}`")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = rows.join(sums, same, "left")
+    top = F.sum(F.when(there, x * F.col("__w"))).over(run) + F.coalesce("__xs", F.lit(0.0))
+    bottom = F.sum("__w").over(run) + F.coalesce("__ws", F.lit(0.0))
+    mean = joined.withColumn("__m", F.when(there, top / bottom))
+    fill = Window.partitionBy(*keys).orderBy(F.col(f"`{time}`")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return mean.withColumn(out, F.last("__m", ignorenulls=True).over(fill)) \
+        .select(*[F.col(f"`{c}`") for c in df.columns if c != out], out)

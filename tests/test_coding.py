@@ -86,20 +86,20 @@ def test_period_split_boundary_in_both(spark):
 
 
 def test_wide_corr_paths_agree(spark):
-    """Native (no nulls), chunked (with nulls) and small paths give the same matrix."""
+    """Grouped or not, wide or narrow, with nulls or without: the same matrix."""
     k = 12
     base = spark.range(0, 3000).select(*[(F.xxhash64("id", F.lit(i)) % (i + 2) == 0).cast("double").alias(f"c{i}")
                                          for i in range(k)])
     cols = [f"c{i}" for i in range(k)]
-    native = {(r["a"], r["b"]): r["corr"] for r in X.corr_long(base, cols).collect()}
-    chunked = {(r["a"], r["b"]): r["corr"] for r in X.corr_long(base.withColumn("g", F.lit(1)), cols,
+    whole = {(r["a"], r["b"]): r["corr"] for r in X.corr_long(base, cols).collect()}
+    grouped = {(r["a"], r["b"]): r["corr"] for r in X.corr_long(base.withColumn("g", F.lit(1)), cols,
                                                                  group=["g"]).collect()}
-    assert len(native) == k * k and set(native) == set(chunked)
-    for key, v in native.items():
-        assert (v is None and chunked[key] is None) or abs(v - chunked[key]) < 1e-9
+    assert len(whole) == k * k and set(whole) == set(grouped)
+    for key, v in whole.items():
+        assert (v is None and grouped[key] is None) or abs(v - grouped[key]) < 1e-9
     small = {(r["a"], r["b"]): r["corr"] for r in X.corr_long(base, cols[:4]).collect()}
     for key, v in small.items():
-        assert abs(v - native[key]) < 1e-9
+        assert abs(v - whole[key]) < 1e-9
     with_nulls = base.withColumn("c0", F.when(F.col("c1") == 1, None).otherwise(F.col("c0")))
     nn = {(r["a"], r["b"]): r["corr"] for r in X.corr_long(with_nulls, cols).collect()}
     assert len(nn) == k * k
