@@ -18,6 +18,7 @@ from insight.functions.columns import (
 )
 from insight.operators.joins import join_dimension
 from insight.operators.ranking import order_code, rank_within
+from insight.session import land
 
 # Event names that count as a view; the name used when absent.
 VIEW_EVENTS = ("screen_view", "page_view")
@@ -97,14 +98,15 @@ def dict_encode(df: DataFrame, value: str, order: Sequence[str], out: str | None
     member.  Returns (encoded rows, dimension ``value, id, first_seen``).
 
     The distinct set is found with a partial aggregation; ids come from the
-    balanced ``rank_within``; the dimension is joined back with a null-safe
-    equi-join (AQE broadcasts it when small)."""
+    balanced ``rank_within``.  The dimension is landed and joined back through
+    its measured size, so a hot city (or the null one) does not gather the fact
+    table in one task."""
     out = out or f"{value}_id"
     first = F.min(order_code(df, order)).alias("first_seen")
     dim = df.groupBy(value).agg(first)
-    dim = rank_within(dim, [F.col("first_seen"), F.col(value).asc_nulls_first()], out=out)
+    dim = land(rank_within(dim, [F.col("first_seen"), F.col(value).asc_nulls_first()], out=out), "dimension")
     d = dim.select(F.col(value).alias("__v"), out)
-    encoded = df.join(d, df[value].eqNullSafe(d["__v"]), "inner").drop("__v")
+    encoded = join_dimension(df, d, df[value].eqNullSafe(d["__v"]), "inner").drop("__v")
     return encoded, dim
 
 
@@ -118,7 +120,7 @@ def latest_lookup(df: DataFrame, key: str, values: Sequence[str], order: Sequenc
     the few matched rows."""
     code = order_code(df, order)
     coded = df.select(F.col(key), *[F.col(v) for v in values], code.alias("__c"))
-    last = coded.groupBy(F.col(key).alias("__k")).agg(F.max("__c").alias("__m"))
+    last = land(coded.groupBy(F.col(key).alias("__k")).agg(F.max("__c").alias("__m")), "latest")
     cond = [F.col(key).eqNullSafe(F.col("__k")), F.col("__c") == F.col("__m")]
     won = join_dimension(coded, last, cond, "inner")
     pick = F.max_by(F.struct(*[F.col(v) for v in values]), F.col("__c"))
@@ -127,33 +129,34 @@ def latest_lookup(df: DataFrame, key: str, values: Sequence[str], order: Sequenc
 
 def balanced_sample(df: DataFrame, stratum: str, id_col: str, seed: int = 42, margin: float = 8.0) -> DataFrame:
     """Exactly ``n`` rows per stratum without replacement, ``n`` = size of the
-    smallest stratum; rows chosen by the smallest ``md5(id-seed)``.
+    smallest stratum; rows chosen by the smallest ``md5(id-seed)``.  Rows
+    without a stratum (null) are left out and do not count as one.
 
     A hash-threshold filter first cuts each stratum to slightly above ``n``
     (a prefix of its hash order, so the choice is unchanged); strata still
-    short of ``n`` after the cut are re-cut with a wider threshold.  The final
-    positions come from ``rank_within``, which splits a hot stratum across
-    tasks.  Only per-stratum counts reach the driver."""
+    short of ``n`` after the cut are re-cut with a wider threshold.  The strata's
+    sizes are landed and joined through their measured size, the cut rows are
+    landed once, and the final positions come from ``rank_within``, which splits
+    a hot stratum across tasks."""
     h = seeded_hash(id_col, seed)
-    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("__size"))
-    n, n_strata = sizes.agg(F.min("__size"), F.count(F.lit(1))).first()
+    known = df.filter(F.col(stratum).isNotNull())
+    sizes = land(known.groupBy(F.col(stratum).alias("__s")).agg(F.count(F.lit(1)).alias("__size")), "strata")
+    n = sizes.agg(F.min("__size")).first()[0]
     if not n:
         return df.limit(0)
-    keyed = df.withColumn("__h", h).withColumn("__u", hash_fraction(F.col("__h")))
+    keyed = known.withColumn("__h", h).withColumn("__u", hash_fraction(F.col("__h")))
     widen = margin
     while True:
         slack = widen * (n ** 0.5) + 64
         frac = F.least(F.lit(1.0), (F.lit(float(n)) + F.lit(slack)) / F.col("__size"))
-        thresholds = sizes.select(F.col(stratum).alias("__s"), frac.alias("__p"), "__size")
-        cut = keyed.join(thresholds, keyed[stratum].eqNullSafe(thresholds["__s"]), "inner") \
-            .filter((F.col("__p") >= 1.0) | (F.col("__u") < F.col("__p"))).drop("__s")
-        short = cut.groupBy(stratum).count().filter(F.col("count") < n).limit(1).count()
-        if short == 0:
+        thresholds = sizes.select("__s", frac.alias("__p"))
+        cut = land(join_dimension(keyed, thresholds, keyed[stratum] == thresholds["__s"], "inner")
+                   .filter((F.col("__p") >= 1.0) | (F.col("__u") < F.col("__p"))).drop("__s", "__p", "__u"), "stratum-cut")
+        if cut.groupBy(stratum).count().filter(F.col("count") < n).isEmpty():
             break
         widen *= 4
-    ranked = rank_within(cut.drop("__p", "__size"), [F.col("__h"), F.col(id_col)], group=[stratum], out="__r",
-                         groups_bound=n_strata)
-    return ranked.filter(F.col("__r") <= n).drop("__h", "__u", "__r")
+    ranked = rank_within(cut, [F.col("__h"), F.col(id_col)], group=[stratum], out="__r")
+    return ranked.filter(F.col("__r") <= n).drop("__h", "__r")
 
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:

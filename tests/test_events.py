@@ -105,3 +105,24 @@ def test_keep_files_containing(spark, tmp_path):
         (tmp_path / name).write_text('{"a": 1}\n{"a": 2}\n')
     df = scan_json(spark, str(tmp_path), T.StructType([T.StructField("a", T.LongType())]))
     assert keep_files_containing(df, ["ev-", "2024-01"]).count() == 2
+
+
+def test_balanced_sample_on_whole_rows(spark):
+    """Full-width rows: exactly n of each stratum; rows without one are left out."""
+    from insight.plans.views import ev
+
+    rows = E.replace_value(ev(spark, "/root/testdata/sf0.01"), "site.web.advertorial", "site.web")
+    rows = rows.withColumn("APP_ID", F.when(F.col("event_id") % 97 == 0, F.lit(None)).otherwise(F.col("APP_ID")))
+    sizes = {r[0]: r[1] for r in rows.filter("APP_ID IS NOT NULL").groupBy("APP_ID").count().collect()}
+    out = E.balanced_sample(rows, "APP_ID", "event_id")
+    got = {r[0]: r[1] for r in out.groupBy("APP_ID").count().collect()}
+    assert got == dict.fromkeys(sizes, min(sizes.values()))
+    assert out.columns == rows.columns
+    ids = lambda df: {r[0] for r in df.select("event_id").collect()}
+    assert ids(out) == ids(E.balanced_sample(rows, "APP_ID", "event_id"))
+
+
+def test_dict_encode_large_ids(spark):
+    df = spark.createDataFrame([(2, -9 * 10**18, "late"), (1, 9 * 10**18, "early"), (3, 0, None)], "t int, id long, v string")
+    _, dim = E.dict_encode(df, "v", ["t", "id"])
+    assert {r.v: r.v_id for r in dim.collect()} == {"early": 1, "late": 2, None: 3}
