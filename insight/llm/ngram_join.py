@@ -11,13 +11,15 @@ choice of ``m``, never the result.
 
 1. One pass: class (fingerprint of the whole set) of every row, and the sketch.
    Rows with equal sets are one class from here on.
-2. Prefix postings meet by element; elements of one class only are dropped.  The
-   first class of an element is its pivot, so that every candidate pair meets
-   in the group of some pivot.  Classes with fewer shared elements than ``m`` asks
-   for leave.
-3. The few classes left send their whole sets to their pivots' groups, in blocks
-   of bounded size.  Overlaps inside a group are counted exactly through an
-   inverted list; a group returns a forest of its links, not its pairs.
+2. Prefix postings meet by element; elements without two classes of near size
+   are dropped.  An element's first class is its pivot; classes joined over
+   pivots form clusters.  Classes with fewer shared elements than ``m`` asks for
+   leave, and inside a cluster only classes that share at least ``m`` (the smaller
+   of their two numbers) stay together.
+3. The few classes left send their whole sets to their groups, in blocks of
+   bounded size.  Overlaps inside a group are counted exactly through an inverted
+   list; a group returns a forest of its links, not its pairs.  A cluster beyond
+   one task is compared pivot by pivot instead.
 4. Components by label propagation with pointer jumping.
 
 Defined results: null, empty and wordless texts have an empty set and link with
@@ -29,7 +31,7 @@ lengths; an element is compared by a 64-bit fingerprint.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,13 +41,15 @@ from pyspark.sql import functions as F
 
 from insight.llm import filters
 from insight.llm.base import documents, inner, landed, register
-from insight.llm.words import GRAM, fingerprints, grams, in_row, mix, split_words, text_slices
+from insight.llm.words import GRAM, fingerprints, grams, in_row, mix, ragged, split_words, text_slices
 
 #: counters of the sketch (4 bytes each, sent to every task) and its pieces
 SKETCH = 1 << 20
 PIECES = 64
 #: classes that a rare element is guessed to meet besides its own
 CHANCE = 0.05
+#: postings of a cluster counted in one task
+POSTINGS = 2_000_000
 #: elements of the sets compared in one task
 BLOCK = 1_000_000
 
@@ -172,22 +176,24 @@ def _postings(n: int, t: float, estimate: np.ndarray):
 
 
 def _shared(t: float):
-    """Of rows sorted by (element, n, cls): how many elements each class shares with each pivot.
+    """Of rows sorted by (element, n, cls): those whose element has other classes of near size, with its pivot.
 
     The rows of an element fall into runs, cut where the next size is too large
     for the one before, so that classes of different runs cannot link.  A run's
     first class is its pivot; runs of one class are dropped.  A stream: it holds
     two rows.
     """
+    names = ["pivot", "element", "cls", "n", "asked"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = last = None  # the first and the last row of the run at hand
         sent = False
         for batch in batches:
-            rows = [batch.column(k).to_numpy() for k in ("element", "cls", "n", "asked")]
+            rows = [batch.column(k).to_numpy() for k in names[1:]]
             carried = 0
             if head is not None:
                 carried = 1 if head == last else 2
-                rows = [np.concatenate([[h, v][:carried], r]) for h, v, r in zip(head, last, rows, strict=True)]
+                rows = [np.concatenate([np.array([h, v][:carried], r.dtype), r]) for h, v, r in zip(head, last, rows, strict=True)]
             e, c, n, asked = rows
             if len(e) == carried:
                 continue
@@ -195,7 +201,7 @@ def _shared(t: float):
             distinct[1:] = (e[1:] != e[:-1]) | (c[1:] != c[:-1])
             e, c, n, asked = (r[distinct] for r in (e, c, n, asked))
             first = np.ones(len(e), bool)
-            first[1:] = (e[1:] != e[:-1]) | (t * n[1:] > n[:-1])
+            first[1:] = (e[1:] != e[:-1]) | (t * n[1:] > n[:-1] + 1e-6)
             if carried == 2:
                 first[1] = False  # head and last row are of one run, however far their sizes are apart
             at = np.maximum.accumulate(np.where(first, np.arange(len(e)), 0))
@@ -207,9 +213,7 @@ def _shared(t: float):
             goes_on = bool(carried) and at[-1] == 0
             sent = bool(at[-1] < len(e) - 1) or (goes_on and sent)
             head, last = ([r[i].item() for r in (e, c, n, asked)] for i in (at[-1], -1))
-            pairs = pd.DataFrame({"pivot": c[at][emit], "cls": c[emit], "asked": asked[emit]})
-            counted = pairs.groupby(["pivot", "cls", "asked"], sort=False).size().reset_index(name="shared")
-            yield pa.RecordBatch.from_pandas(counted.astype({"asked": "int32"}), preserve_index=False)
+            yield pa.record_batch([pa.array(r[emit]) for r in (c[at], e, c, n, asked)], names=names)
     return run
 
 
@@ -261,18 +265,18 @@ class Forest:
         return a != b
 
 
-def linked(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def linked(sets: list[np.ndarray], side: np.ndarray, enough: Callable[[np.ndarray, int], np.ndarray]) -> list[tuple[int, int]]:
     """A forest of the links among ``sets``: enough of them to join all that links join.
 
-    ``side``: sets are compared across sides only (all sides equal: all with all).
-    Overlaps with one set are counted for all others at once, along an inverted
-    list.  Pairs already joined need no count, so after one set has been compared,
-    only those outside the largest component are.
+    ``enough(common, x)`` tells which sets have enough elements in common with set
+    ``x``.  ``side``: sets are compared across sides only (all sides equal: all with
+    all).  The overlaps of one set are counted for all others at once, along an
+    inverted list.  Pairs already joined need no count, so after one set has been
+    compared, only those outside the largest component are.
     """
     n = len(sets)
-    size = np.array([len(s) for s in sets])
     everything = np.concatenate(sets)
-    owner = np.repeat(np.arange(n), size)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
     by = np.argsort(everything, kind="stable")
     sorted_elements, owners = everything[by], owner[by]
     one_side = bool((side == side[0]).all())
@@ -280,12 +284,9 @@ def linked(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple
 
     def compare(x: int) -> None:
         lo = np.searchsorted(sorted_elements, sets[x], "left")
-        hi = np.searchsorted(sorted_elements, sets[x], "right")
-        length = hi - lo
-        at = np.concatenate([[0], np.cumsum(length)[:-1]])
-        hit = owners[np.arange(int(length.sum())) + np.repeat(lo - at, length)]
-        common = np.bincount(hit, minlength=n)
-        ok = (100 * common >= percent * (size + size[x] - common)) & (size > 0)
+        length = np.searchsorted(sorted_elements, sets[x], "right") - lo
+        common = np.bincount(owners[ragged(lo, length)], minlength=n)
+        ok = enough(common, x)
         ok[x] = False
         if not one_side:
             ok &= side != side[x]
@@ -305,15 +306,40 @@ def linked(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple
             compare(x)
 
 
+def _refine(t: float):
+    """Of one cluster's postings: the groups of classes that share as many prefix elements as they ask for."""
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("cls", kind="stable")
+        cls, first = np.unique(group["cls"].to_numpy(), return_index=True)
+        element = group["element"].to_numpy()
+        sets = np.split(element, first[1:])
+        n, asked = group["n"].to_numpy()[first], group["asked"].to_numpy()[first]
+
+        def enough(common, x):
+            return (common >= np.minimum(asked, asked[x])) & (np.minimum(n, n[x]) >= t * np.maximum(n, n[x]) - 1e-9)
+
+        forest = Forest(len(cls))
+        for x, y in linked(sets, np.zeros(len(cls), int), enough):
+            forest.join(x, y)
+        root = np.array([forest.root(x) for x in range(len(cls))])
+        keep = np.bincount(root, minlength=len(cls))[root] > 1
+        return pd.DataFrame({"grp": cls[root[keep]], "cls": cls[keep]}, dtype="int64")
+    return run
+
+
 def _verify(percent: int):
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("cls").sort_values("cls")
         cls = group["cls"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in group["elements"]]
-        one, other = key[1], key[2]
+        size = np.array([len(s) for s in sets])
         # blocks of one number meet inside, two different ones across
-        side = np.zeros(len(cls), np.int64) if one == other else group["block"].to_numpy()
-        pairs = linked(sets, side, percent) if len(sets) > 1 else []
+        side = np.zeros(len(cls), np.int64) if key[1] == key[2] else group["block"].to_numpy()
+
+        def enough(common, x):
+            return 100 * common >= percent * (size + size[x] - common)
+
+        pairs = linked(sets, side, enough) if len(sets) > 1 else []
         return pd.DataFrame({"a": [cls[x] for x, _ in pairs], "b": [cls[y] for _, y in pairs]}, dtype="int64")
     return run
 
@@ -345,23 +371,33 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     t = percent / 100
 
     postings = rows.mapInArrow(_postings(n, t, estimate), "element long, cls long, n int, asked int")
-    members = core(postings.repartition("element").sortWithinPartitions("element", "n", "cls")
-                   .mapInArrow(_shared(t), "pivot long, cls long, asked int, shared long")
-                   .groupBy("pivot", "cls", "asked").agg(F.sum("shared").alias("shared")))
+    shared = landed(postings.repartition("element").sortWithinPartitions("element", "n", "cls")
+                    .mapInArrow(_shared(t), "pivot long, element long, cls long, n int, asked int"), "ngram-shared")
+    members = core(shared.groupBy("pivot", "cls", "asked").agg(F.count(F.lit(1)).alias("shared")))
+    # what postings join, directly or over others, is a cluster; inside it pairs are counted
+    cluster = components(members.select(F.col("pivot").alias("a"), F.col("cls").alias("b")))
+    found = landed(shared.join(cluster.withColumnRenamed("node", "cls"), "cls"), "ngram-clusters")
+    small = landed(found.groupBy("root").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") <= POSTINGS).select("root"),
+                   "ngram-small")
+    refined = found.join(small, "root", "left_semi").select("root", "element", "cls", "n", "asked") \
+        .groupBy("root").applyInPandas(_refine(t), "grp long, cls long")
+    # a cluster beyond one task: whatever meets at a pivot is compared in that pivot's group
+    wide = found.join(small, "root", "left_anti").select(F.col("pivot").alias("grp"), "cls").distinct()
+    groups = landed(refined.unionByName(wide), "ngram-groups")
 
     # the sets of these classes, once more from the text of one row of each
-    reps = landed(table.join(members.select("cls").distinct(), "cls", "left_semi")
+    reps = landed(table.join(groups.select("cls").distinct(), "cls", "left_semi")
                   .groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "ngram-reps")
     wanted = filters.build(reps, F.xxhash64("doc_id"))
     sets = rows.select(F.xxhash64("doc_id").alias("hash"), "text") \
         .mapInArrow(_sets(n, wanted), "cls long, n long, elements binary").dropDuplicates(["cls"])
-    blocks = members.join(reps.select("cls", "n"), "cls")
-    weights = blocks.groupBy("pivot").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("size"))
-    placed = blocks.join(weights.filter("size > 1"), "pivot") \
+    blocks = groups.join(reps.select("cls", "n"), "cls")
+    weights = blocks.groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("size"))
+    placed = blocks.join(weights.filter("size > 1"), "grp") \
         .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .select("pivot", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "cls", "block")
-    links = placed.join(sets.select("cls", "elements"), "cls").groupBy("pivot", "one", "two") \
+        .select("grp", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "cls", "block")
+    links = placed.join(sets.select("cls", "elements"), "cls").groupBy("grp", "one", "two") \
         .applyInPandas(_verify(percent), "a long, b long")
     labels = components(links)
 
