@@ -28,7 +28,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from insight.llm.base import GAP, WORD, documents, inner, landed, register
+from insight.llm.base import WORD, documents, inner, landed, register
+from insight.operators.joins import join_dimension
 
 #: weights of the sources in code-point order, repeating; share of all sizes; most passes over a document
 WEIGHTS = (5, 2, 1)
@@ -166,7 +167,7 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
 def mix(docs: DataFrame, shards: int, seed: int = 0, **options) -> DataFrame:
     """The mixed rows of ``docs``, each as often as the mix takes it, in one partition for each shard and
     shuffled inside it; columns as in ``docs``."""
-    id_, copies, shard, key = inner(docs, "mix_id", "mix_copies", "mix_shard", "mix_key")
+    id_, source_, size_, places_ = inner(docs, "mix_id", "mix_source", "mix_size", "mix_places")
     plan = landed(plan_mix(docs, seed, **options).filter("copies > 0"), "mix-plan")
     # one draw for each pass over a block; the draws of a source in the order of pass and block hash
     draws = plan.select("sid", "block", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("pass")).distinct()
@@ -176,17 +177,18 @@ def mix(docs: DataFrame, shards: int, seed: int = 0, **options) -> DataFrame:
     stretches = tree.withColumn("draw", F.explode(F.expr("sequence(first, first + draws - 1)"))).select("shard", "sid", "draw")
     placed = draws.withColumn("draw", F.col("draw").cast("long")).join(stretches, ["sid", "draw"]) \
         .select("sid", "block", "pass", "shard")
-    per_doc = plan.select("doc_id", "size", "sid", "block", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("pass")) \
-        .join(placed, ["sid", "block", "pass"]).select("doc_id", "sid", "size", "pass", "shard").distinct()
-    names = plan.select("sid", "source").distinct()
-    per_doc = per_doc.join(names, "sid").select(
-        F.col("doc_id").alias(id_), F.col("shard").alias(shard), F.col("pass").alias(copies),
-        F.col("size").alias("mix_size_"), F.col("source").alias("mix_source_"))
-    rows = docs.join(per_doc, docs["doc_id"].cast("long").eqNullSafe(F.col(id_))
-                     & docs["source"].eqNullSafe(F.col("mix_source_"))
-                     & (n_words(docs["text"]) == F.col("mix_size_")))
-    rows = rows.withColumn(key, digest(F.lit(seed), F.lit("place"), F.col(id_), F.col(copies)))
-    return rows.repartition(shards, shard).sortWithinPartitions(shard, key, id_, copies) \
+    places = plan.select("doc_id", "source", "size", "sid", "block", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("pass")) \
+        .join(placed, ["sid", "block", "pass"]) \
+        .groupBy("doc_id", "source", "size").agg(F.collect_set(F.struct("pass", "shard")).alias("places"))
+    places = landed(places.select(F.col("doc_id").alias(id_), F.col("source").alias(source_), F.col("size").alias(size_),
+                                  F.col("places").alias(places_)), "mix-places")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(id_)) & docs["source"].eqNullSafe(F.col(source_)) \
+        & (n_words(docs["text"]) == F.col(size_))
+    # sent to every task while it is small, else the documents are shuffled once more
+    rows = join_dimension(docs, places, same, max_bytes=64 << 20).withColumn(places_, F.explode(places_))
+    rows = rows.withColumn(size_, F.col(places_)["shard"])
+    key = digest(F.lit(seed), F.lit("place"), F.col(id_), F.col(places_)["pass"])
+    return rows.repartition(shards, size_).sortWithinPartitions(F.col(size_), key, F.col(id_), F.col(places_)["pass"]) \
         .select(*[docs[c] for c in docs.columns])
 
 
