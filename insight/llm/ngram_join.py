@@ -11,16 +11,16 @@ choice of ``m``, never the result.
 
 1. One pass: class (fingerprint of the whole set) of every row, and the sketch.
    Rows with equal sets are one class from here on.
-2. Prefix postings meet by element; elements without two classes of near size
-   are dropped.  An element's first class is its pivot; classes joined over
-   pivots form clusters.  Classes with fewer shared elements than ``m`` asks for
-   leave, and inside a cluster only classes that share at least ``m`` (the smaller
-   of their two numbers) stay together.
+2. Prefix postings meet by element and band of sizes; lone ones are dropped.  The
+   first class of such a run is its pivot; classes joined over pivots form
+   clusters.  Classes with fewer shared elements than ``m`` asks for leave, and
+   inside a cluster only classes that share at least ``m`` (the smaller of their
+   two numbers) stay together.
 3. The few classes left send their whole sets to their groups, in blocks of
    bounded size.  Overlaps inside a group are counted exactly through an inverted
    list; a group returns a forest of its links, not its pairs.  A cluster beyond
    one task is compared pivot by pivot instead.
-4. Components by label propagation with pointer jumping.
+4. Components by contraction: rounds that shrink the links.
 
 Defined results: null, empty and wordless texts have an empty set and link with
 nothing; a text with fewer words than ``n`` has its whole word sequence as its one
@@ -49,7 +49,7 @@ PIECES = 64
 #: classes that a rare element is guessed to meet besides its own
 CHANCE = 0.05
 #: postings of a cluster counted in one task
-POSTINGS = 2_000_000
+POSTINGS = 4_000_000
 #: elements of the sets compared in one task
 BLOCK = 1_000_000
 
@@ -175,62 +175,87 @@ def _postings(n: int, t: float, estimate: np.ndarray):
     return run
 
 
+def size_bands(t: float, most: int) -> np.ndarray:
+    """Lower ends of bands of sizes such that sets that can link are in one band or in neighbouring ones."""
+    ends = [1]
+    while ends[-1] <= most:
+        ends.append(int(np.ceil((ends[-1] + (ends[-1] == 1)) / t - 1e-9)))
+    return np.array(ends)
+
+
 def _shared(t: float):
-    """Of rows sorted by (element, n, cls): those whose element has other classes of near size, with its pivot.
+    """Of rows sorted by (element, n, cls): those whose element has other classes of near size.
 
-    The rows of an element fall into runs, cut where the next size is too large
-    for the one before, so that classes of different runs cannot link.  A run's
-    first class is its pivot; runs of one class are dropped.  A stream: it holds
-    two rows.
+    A run is one element in one band of sizes; its first class is its pivot.  The
+    classes of a run meet at its pivot (``member`` is the class), and so do those
+    of the next band (``member`` is the complement of the class, a negative
+    number), so any two that can link meet at the pivot of the lower one's run.
+    Lone classes are dropped.  A stream: it holds three rows.
     """
-    names = ["pivot", "element", "cls", "n", "asked"]
+    names = ["element", "cls", "n", "asked"]
+    bands = size_bands(t, 2**40)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = last = None  # the first and the last row of the run at hand
-        sent = False
+        held: list[list] = []  # pivot of the run below, pivot and last row of the run at hand
+        sent = False  # whether the pivot at hand has been sent
         for batch in batches:
-            rows = [batch.column(k).to_numpy() for k in names[1:]]
-            carried = 0
-            if head is not None:
-                carried = 1 if head == last else 2
-                rows = [np.concatenate([np.array([h, v][:carried], r.dtype), r]) for h, v, r in zip(head, last, rows, strict=True)]
-            e, c, n, asked = rows
-            if len(e) == carried:
+            if batch.num_rows == 0:
                 continue
-            distinct = np.ones(len(e), bool)
-            distinct[1:] = (e[1:] != e[:-1]) | (c[1:] != c[:-1])
-            e, c, n, asked = (r[distinct] for r in (e, c, n, asked))
-            first = np.ones(len(e), bool)
-            first[1:] = (e[1:] != e[:-1]) | (t * n[1:] > n[:-1] + 1e-6)
-            if carried == 2:
-                first[1] = False  # head and last row are of one run, however far their sizes are apart
-            at = np.maximum.accumulate(np.where(first, np.arange(len(e)), 0))
-            emit = ~first | np.append(~first[1:], False)
-            if carried:
-                emit[0] &= not sent
-            if carried == 2:
-                emit[1] = False
-            goes_on = bool(carried) and at[-1] == 0
-            sent = bool(at[-1] < len(e) - 1) or (goes_on and sent)
-            head, last = ([r[i].item() for r in (e, c, n, asked)] for i in (at[-1], -1))
-            yield pa.record_batch([pa.array(r[emit]) for r in (c[at], e, c, n, asked)], names=names)
+            rows = [batch.column(k).to_numpy() for k in names]
+            old = len(held)
+            if old:
+                rows = [np.concatenate([np.array([h[k] for h in held], r.dtype), r]) for k, r in enumerate(rows)]
+            distinct = np.ones(len(rows[0]), bool)
+            distinct[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+            distinct[:old] = True
+            element, cls, n, asked = (r[distinct] for r in rows)
+            band = np.searchsorted(bands, n, "right")
+            start = np.ones(len(element), bool)
+            start[1:] = (element[1:] != element[:-1]) | (band[1:] != band[:-1])
+            head = np.flatnonzero(start)
+            of = np.cumsum(start) - 1
+            joins = (element[head[1:]] == element[head[:-1]]) & (band[head[1:]] == band[head[:-1]] + 1)
+            below = np.append(-1, np.where(joins, head[:-1], -1))[of]
+            has_more = np.diff(np.append(head, len(element))) > 1
+            has_more[:-1] |= joins
+            own = ~start
+            own[head] = has_more
+            upper = below >= 0
+            if old:
+                pivot_at = head[of[old - 1]]  # the pivot at hand is among the held rows
+                own_pivot = own[pivot_at] and not sent
+                own[:old] = False
+                own[pivot_at] = own_pivot
+                upper[:old] = False
+                sent_before = sent
+            last_head = head[-1]
+            sent = bool(has_more[-1]) or bool(old and last_head == pivot_at and sent_before)
+            below_last = below[last_head]
+            keep = [*([below_last] if below_last >= 0 else []), last_head, *([len(element) - 1] if len(element) - 1 > last_head else [])]
+            held = [[r[i].item() for r in (element, cls, n, asked)] for i in keep]
+            pivot = cls[head[of]]
+            yield pa.record_batch(
+                [pa.array(np.concatenate([pivot[own], cls[below[upper]]])), pa.array(np.concatenate([element[own], element[upper]])),
+                 pa.array(np.concatenate([cls[own], ~cls[upper]])), pa.array(np.concatenate([n[own], n[upper]])),
+                 pa.array(np.concatenate([asked[own], asked[upper]]))], names=["pivot", "element", "member", "n", "asked"])
     return run
 
 
 def core(met: DataFrame) -> DataFrame:
-    """The (pivot, cls) of ``met`` that can hold a link: a class must share as many elements as it, or some
-    class of its groups, asks for.  What leaves lowers the counts of others; repeated until little leaves."""
+    """The (pivot, member) of ``met`` that can hold a link: a member must share as many elements as it, or some
+    other of its groups, asks for.  What leaves lowers the counts of others; repeated until little leaves."""
     met, before = landed(met, "ngram-met"), None
     while True:
         n = met.count()
         if before is not None and n > 0.95 * before:
-            return met.select("pivot", "cls")
+            return met.select("pivot", "member")
         before = n
-        groups = met.groupBy("pivot").agg(F.min("asked").alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+        groups = met.groupBy("pivot").agg(F.min("asked").alias("least"), F.count(F.lit(1)).alias("size"),
+                                          F.max("member").alias("own")).filter("size > 1 AND own >= 0")
         open_ = met.join(groups, "pivot")
-        enough = open_.groupBy("cls").agg(F.sum("shared").alias("total"), F.min("least").alias("enough")) \
-            .filter("total >= enough").select("cls")
-        met = landed(open_.drop("least", "size").join(enough, "cls").select("pivot", "cls", "asked", "shared"), "ngram-met")
+        enough = open_.groupBy("member").agg(F.sum("shared").alias("total"), F.min("least").alias("enough")) \
+            .filter("total >= enough").select("member")
+        met = landed(open_.drop("least", "size", "own").join(enough, "member").select("pivot", "member", "asked", "shared"), "ngram-met")
 
 
 def _sets(n: int, wanted: np.ndarray):
@@ -307,23 +332,22 @@ def linked(sets: list[np.ndarray], side: np.ndarray, enough: Callable[[np.ndarra
 
 
 def _refine(t: float):
-    """Of one cluster's postings: the groups of classes that share as many prefix elements as they ask for."""
+    """Of one cluster's postings: the groups of members that share as many prefix elements as they ask for."""
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("cls", kind="stable")
-        cls, first = np.unique(group["cls"].to_numpy(), return_index=True)
-        element = group["element"].to_numpy()
-        sets = np.split(element, first[1:])
+        group = group.sort_values("member", kind="stable")
+        member, first = np.unique(group["member"].to_numpy(), return_index=True)
+        sets = np.split(group["element"].to_numpy(), first[1:])
         n, asked = group["n"].to_numpy()[first], group["asked"].to_numpy()[first]
 
         def enough(common, x):
             return (common >= np.minimum(asked, asked[x])) & (np.minimum(n, n[x]) >= t * np.maximum(n, n[x]) - 1e-9)
 
-        forest = Forest(len(cls))
-        for x, y in linked(sets, np.zeros(len(cls), int), enough):
+        forest = Forest(len(member))
+        for x, y in linked(sets, np.zeros(len(member), int), enough):
             forest.join(x, y)
-        root = np.array([forest.root(x) for x in range(len(cls))])
-        keep = np.bincount(root, minlength=len(cls))[root] > 1
-        return pd.DataFrame({"grp": cls[root[keep]], "cls": cls[keep]}, dtype="int64")
+        root = np.array([forest.root(x) for x in range(len(member))])
+        keep = np.bincount(root, minlength=len(member))[root] > 1
+        return pd.DataFrame({"grp": member[root[keep]], "cls": np.where(member < 0, ~member, member)[keep]}, dtype="int64")
     return run
 
 
@@ -345,21 +369,35 @@ def _verify(percent: int):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each node's component, for nodes with links (a, b).
+    """(node, root): a node of its component that stands for each node with links (a, b); the same for all of them.
 
-    Every round a node takes the smallest label around it, then its label's
-    label; written once a round, so an executor lost costs one round.
+    Every round each node moves to the smallest node around it and on to that
+    one's choice, and the links are drawn between the places moved to.  At least
+    half of the places go in a round, so the links shrink fast; the rounds' moves
+    are put together at the end.  Each round is written once.
     """
-    edges = landed(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = landed(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "labels")
-    while True:
-        near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        lower = labels.join(near, labels["node"] == near["a"]).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = labels.select(F.col("node").alias("at"), F.col("root").alias("next"))
-        lower = landed(lower.join(jump, lower["root"] == jump["at"]).select("node", "old", F.least("root", "next").alias("root")), "labels")
-        labels = lower.select("node", "root")
-        if lower.filter("root < old").isEmpty():
-            return labels
+    edges = landed(links.select("a", "b").union(links.select("b", "a")).filter("a != b").distinct(), "links")
+    nodes = landed(links.select(F.col("a").alias("node")).union(links.select("b")).distinct(), "nodes")
+    moves = []
+    while not edges.isEmpty():
+        choice = landed(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")), "choices")
+        onward = choice.select(F.col("a").alias("to"), F.col("to").alias("next"))
+        move = landed(choice.join(onward, "to").select(F.col("a").alias("at"), F.col("next").alias("root")), "moves")
+        moves.append(move)
+        left = edges.join(move, edges["a"] == move["at"]).select(F.col("root").alias("a"), "b")
+        both = left.join(move, left["b"] == move["at"]).select("a", F.col("root").alias("b"))
+        edges = landed(both.filter("a != b").distinct(), "links")
+    whole = None
+    for move in reversed(moves):
+        if whole is None:
+            whole = move
+        else:
+            rest = whole.select(F.col("at").alias("root"), F.col("root").alias("end"))
+            whole = move.join(rest, "root", "left").select("at", F.coalesce("end", "root").alias("root"))
+    if whole is None:
+        return nodes.select("node", F.col("node").alias("root"))
+    return landed(nodes.join(whole, nodes["node"] == whole["at"], "left").select("node", F.coalesce("root", "node").alias("root")),
+                  "components")
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
@@ -372,17 +410,19 @@ def join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
 
     postings = rows.mapInArrow(_postings(n, t, estimate), "element long, cls long, n int, asked int")
     shared = landed(postings.repartition("element").sortWithinPartitions("element", "n", "cls")
-                    .mapInArrow(_shared(t), "pivot long, element long, cls long, n int, asked int"), "ngram-shared")
-    members = core(shared.groupBy("pivot", "cls", "asked").agg(F.count(F.lit(1)).alias("shared")))
+                    .mapInArrow(_shared(t), "pivot long, element long, member long, n int, asked int"), "ngram-shared")
+    members = core(shared.groupBy("pivot", "member", "asked").agg(F.count(F.lit(1)).alias("shared")))
     # what postings join, directly or over others, is a cluster; inside it pairs are counted
-    cluster = components(members.select(F.col("pivot").alias("a"), F.col("cls").alias("b")))
-    found = landed(shared.join(cluster.withColumnRenamed("node", "cls"), "cls"), "ngram-clusters")
+    cluster = components(members.select(F.col("pivot").alias("a"), F.col("member").alias("b")))
+    found = landed(shared.join(cluster.withColumnRenamed("node", "member"), "member"), "ngram-clusters")
     small = landed(found.groupBy("root").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") <= POSTINGS).select("root"),
                    "ngram-small")
-    refined = found.join(small, "root", "left_semi").select("root", "element", "cls", "n", "asked") \
+    refined = found.join(small, "root", "left_semi").select("root", "element", "member", "n", "asked") \
         .groupBy("root").applyInPandas(_refine(t), "grp long, cls long")
     # a cluster beyond one task: whatever meets at a pivot is compared in that pivot's group
-    wide = found.join(small, "root", "left_anti").select(F.col("pivot").alias("grp"), "cls").distinct()
+    own = F.when(F.col("member") < 0, F.bitwise_not("member")).otherwise(F.col("member"))
+    wide = members.join(cluster.withColumnRenamed("node", "member"), "member").join(small, "root", "left_anti") \
+        .select(F.col("pivot").alias("grp"), own.alias("cls")).distinct()
     groups = landed(refined.unionByName(wide), "ngram-groups")
 
     # the sets of these classes, once more from the text of one row of each
