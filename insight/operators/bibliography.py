@@ -8,13 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from insight.functions.columns import join_names, strip_braces
-from insight.operators.joins import has_at_most
-from insight.operators.ranking import rank_within
+from insight.operators.ranking import order_code, rank_within
+from insight.session import land
 
 DEFAULT_YEAR = 1900
 # Publisher content type -> bibliography entry type.
 DOC_TYPES = {"Chapter": "incollection", "Book": "book", "Article": "article"}
-MAX_SOURCES = 10_000
 
 
 def bib_normalize(df: DataFrame, keep: Sequence[str] = (), title: str = "title", journal: str = "journal",
@@ -53,42 +52,75 @@ def _has_key(key: str, missing: str) -> Column:
     return F.coalesce(F.col(key), F.lit("")) != ""
 
 
+def _key(key: str, missing: str) -> Column:
+    """A key column as compared: with ``collapse`` null and '' are one blank key."""
+    return F.coalesce(F.col(key), F.lit("")) if missing == "collapse" else F.col(key)
+
+
+def _first_codes(df: DataFrame, key: Sequence[str], key_col: str, order: Sequence[str], missing: str
+                 ) -> tuple[DataFrame, DataFrame, list]:
+    """(landed rows with their order code, first code of each key, join condition).
+
+    The rows are landed once for both uses; ``min`` of the packed order code is
+    a hash aggregate that reduces a hot key on the map side."""
+    keys = {f"__k{i}": _key(k, missing) if k == key_col else F.col(k) for i, k in enumerate(key)}
+    rows = land(df.withColumns({**keys, "__c": order_code(df, order)}), "records")
+    first = rows.filter(_has_key(key_col, missing)).groupBy(*[F.col(k).alias(f"{k}f") for k in keys]) \
+        .agg(F.min("__c").alias("__first"))
+    return rows, first, [F.col(k).eqNullSafe(F.col(f"{k}f")) for k in keys]
+
+
 def dedupe_first(df: DataFrame, key: Sequence[str], order: Sequence[str], missing: str = "keep",
                  key_col: str | None = None) -> DataFrame:
-    """First row per key under ``order``.  ``missing="keep"``: rows whose
-    ``key_col`` (default: last key) is blank are never duplicates;
-    ``"collapse"``: blank is a key like any other.
-
-    ``min_by`` per key aggregates partially on the map side, so a hot key is
-    reduced before the shuffle and never lands whole in one task."""
+    """First row per key under ``order`` (a total order; rows that tie for first
+    all stay).  ``missing="keep"``: rows whose ``key_col`` (default: last key) is
+    blank (null or '') are never duplicates; ``"collapse"``: blank is one key
+    like any other."""
     key = list(key)
     kc = key_col or key[-1]
-    cols = df.columns
-    pick = F.min_by(F.struct(*[F.col(c) for c in cols]), F.struct(*[F.col(o) for o in order]))
-    keyed = df.filter(_has_key(kc, missing))
-    firsts = keyed.groupBy(*key).agg(pick.alias("__r")).select("__r.*")
-    if missing == "collapse":
-        return firsts
-    return firsts.unionByName(df.filter(~_has_key(kc, missing)))
+    rows, first, same = _first_codes(df, key, kc, order, missing)
+    has = _has_key(kc, missing)
+    kept = rows.filter(has).join(first, [*same, F.col("__c") == F.col("__first")], "left_semi")
+    out = kept if missing == "collapse" else kept.unionByName(rows.filter(~has))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def mark_later_duplicates(df: DataFrame, key: Sequence[str], order: Sequence[str], missing: str = "keep",
                           out: str = "is_duplicate", key_col: str | None = None) -> DataFrame:
     """Flag rows that are not the first of their key (1) vs first / keyless (0).
-    Positions come from ``rank_within``: a key held by a third of the rows is
-    range-split across tasks instead of landing in one."""
+
+    A row is later exactly when its order code is above its key's smallest one,
+    so no positions are needed: one hash aggregate and one join, both of which
+    Spark splits for a hot key."""
     key = list(key)
     kc = key_col or key[-1]
+    rows, first, same = _first_codes(df, key, kc, order, missing)
     has = _has_key(kc, missing)
-    ranked = rank_within(df.filter(has), [F.col(o) for o in order], group=key, out="__pos")
-    flagged = ranked.withColumn(out, F.when(F.col("__pos") > 1, 1).otherwise(0)).drop("__pos")
-    return flagged.unionByName(df.filter(~has).withColumn(out, F.lit(0)))
+    names = [F.col(f"`{c}`") for c in df.columns if c != out]
+    flagged = rows.filter(has).join(first, same, "inner") \
+        .select(*names, F.when(F.col("__c") > F.col("__first"), 1).otherwise(0).alias(out))
+    if missing == "collapse":
+        return flagged
+    return flagged.unionByName(rows.filter(~has).select(*names, F.lit(0).alias(out)))
 
 
 def duplicate_count(df: DataFrame, key: str, missing: str = "keep", group: Sequence[str] = ()) -> DataFrame:
     """Rows after the first per key: count(*) - count(distinct key)."""
     d = df.filter(_has_key(key, missing)).withColumn("__k", F.coalesce(F.col(key), F.lit("")))
-    return d.groupBy(*group).agg((F.count(F.lit(1)) - F.countDistinct("__k")).alias("duplicates"))
+    per_key = d.groupBy(*group, "__k").agg(F.count(F.lit(1)).alias("__n"))
+    return per_key.groupBy(*group).agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicates"))
+
+
+def duplicate_summary(df: DataFrame, source: str, key: str, missing: str = "keep") -> DataFrame:
+    """(scope, duplicates): inside each source; ``raw`` over all rows; ``combined`` over what is left when each
+    source has dropped its own.  All from one (source, key) count."""
+    counts = df.filter(_has_key(key, missing)).groupBy(source, F.coalesce(F.col(key), F.lit("")).alias("__k")) \
+        .agg(F.count(F.lit(1)).alias("__n"))
+    within = counts.groupBy(F.col(source).alias("scope")).agg(F.sum(F.col("__n") - 1).alias("duplicates"))
+    keys = counts.groupBy("__k").agg(F.sum("__n").alias("__rows"), F.count(F.lit(1)).alias("__sources"))
+    over = keys.agg(F.coalesce(F.sum(F.col("__sources") - 1), F.lit(0)).alias("combined"),
+                    F.coalesce(F.sum(F.col("__rows") - 1), F.lit(0)).alias("raw"))
+    return within.unionByName(over.unpivot([], ["combined", "raw"], "scope", "duplicates"))
 
 
 def duplicate_keys(df: DataFrame, key: str, missing: str = "keep") -> DataFrame:
@@ -114,15 +146,12 @@ def overlap_matrix(df: DataFrame, source: str, key: str, missing: str = "keep")
     pairs = (combos.select(F.explode("__set").alias("db1"), "__set", "__n")
              .select("db1", F.explode("__set").alias("db2"), "__n")
              .groupBy("db1", "db2").agg(F.sum("__n").alias("duplicates")))
-    sizes = (combos.select(F.explode("__set").alias("db1"), "__n")
-             .groupBy("db1").agg(F.sum("__n").alias("__size")))
-    names = df.select(F.col(source).alias("__db")).filter(F.col("__db").isNotNull()).distinct()
-    if not has_at_most(names, MAX_SOURCES):
-        raise ValueError(f"more than {MAX_SOURCES} sources; the pair grid would not fit")
-    # the grid of source names is the (small, checked) output shape itself
-    grid = (names.agg(F.array_sort(F.collect_set("__db")).alias("__all"))
-            .select(F.explode("__all").alias("db1"), "__all")
-            .select("db1", F.explode("__all").alias("db2")))
+    pairs = land(pairs, "overlaps")
+    # a source's overlap with itself is its number of distinct keys
+    sizes = pairs.filter(F.col("db1") == F.col("db2")).select("db1", F.col("duplicates").alias("__size"))
+    names = land(df.select(F.col(source).alias("db1")).filter(F.col("db1").isNotNull()).distinct(), "sources")
+    # the grid is the output's own shape; each name makes its row of it in its own task
+    grid = names.select("db1", F.explode(names.agg(F.array_sort(F.collect_set("db1"))).scalar()).alias("db2"))
     out = grid.join(pairs, ["db1", "db2"], "left").join(sizes, "db1", "left")
     dup = F.coalesce(F.col("duplicates"), F.lit(0)).cast("long")
     return out.select("db1", "db2", dup.alias("duplicates"),

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from insight.functions.columns import camel_split
 from insight.operators import bibliography as B
@@ -86,19 +87,46 @@ def q_map_values(spark, sf_dir):
 
 
 # Publisher export headers -> record fields.
-EXPORT_HEADERS = {"Item Title": "title", "Publication Title": "journal", "Item DOI": "doi", "Authors": "author",
-                  "Publication Year": "year", "Content Type": "document_type", "Journal Volume": "volume"}
+EXPORT_HEADERS = {"Item Title": "title", "Publication Title": "journal", "Journal Volume": "volume",
+                  "Journal Issue": "number", "Item DOI": "doi", "Authors": "author", "Publication Year": "year",
+                  "URL": "url", "Content Type": "document_type"}
+_EXPORT_SQL = """SELECT title, journal, CAST(volume AS VARCHAR) AS volume, CAST(CAST(volume AS BIGINT) % 12 AS VARCHAR) AS number,
+  doi, author, year, 'https://doi.example/' || CAST(rec AS VARCHAR) AS url, document_type FROM bib"""
+
+
+def publisher_export(spark: SparkSession, sf_dir: str) -> str:
+    """A publisher's CSV export of the records, with a column nobody reads; its path."""
+    raw = bib_raw(spark, sf_dir).withColumns({
+        "number": (F.col("volume").cast("bigint") % 12).cast("string"),
+        "url": F.concat(F.lit("https://doi.example/"), F.col("rec").cast("string"))})
+    path = scratch_path(spark, "publisher-export")
+    write_csv(raw.select(*[F.col(dst).cast("string").alias(src) for src, dst in EXPORT_HEADERS.items()],
+                         F.lit("x").alias("Publisher")), path)
+    return path
 
 
-@register("rename_select", BIB_CTE + """SELECT title, journal, doi, author, year, document_type,
-  CAST(volume AS VARCHAR) AS volume FROM bib""")
+@register("rename_select", BIB_CTE + _EXPORT_SQL)
 def q_rename_select(spark, sf_dir):
-    raw = bib_raw(spark, sf_dir)
-    export = raw.select(*[F.col(dst).cast("string").alias(src) for src, dst in EXPORT_HEADERS.items()],
-                        F.lit("x").alias("URL"))
-    path = scratch_path(spark, "publisher-export")
-    write_csv(export, path)
-    return scan_csv(spark, path, rename=EXPORT_HEADERS)
+    return scan_csv(spark, publisher_export(spark, sf_dir), rename=EXPORT_HEADERS)
+
+
+@register("scan_typed_csv", BIB_CTE + """SELECT rec, title, CAST(TRY_CAST(year AS INTEGER) AS INTEGER) AS year, volume,
+  volume > 20 AS late FROM bib""")
+def q_scan_typed_csv(spark, sf_dir):
+    """A CSV read with a declared schema: no inference pass, typed columns."""
+    path = scratch_path(spark, "typed-csv")
+    raw = bib_raw(spark, sf_dir).select("rec", "title", "year", "volume", (F.col("volume") > 20).alias("late"))
+    write_csv(raw, path, gzip=True)
+    return scan_csv(spark, path, schema=T.StructType([
+        T.StructField("rec", T.LongType()), T.StructField("title", T.StringType()), T.StructField("year", T.IntegerType()),
+        T.StructField("volume", T.DoubleType()), T.StructField("late", T.BooleanType())]))
+
+
+@register("shared_keys", BIB_CTE + """SELECT doi FROM rec WHERE db = 'src0' AND doi <> ''
+INTERSECT SELECT doi FROM rec WHERE db <> 'src0' AND doi <> ''""")
+def q_shared_keys(spark, sf_dir):
+    r = records(spark, sf_dir)
+    return B.shared_keys(r.filter(F.col("db") == "src0"), r.filter(F.col("db") != "src0"), "doi")
 
 
 def part_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,12 +161,7 @@ SELECT db AS scope, count(*) - count(DISTINCT doi) AS duplicates FROM rec WHERE
 UNION ALL SELECT 'combined', count(*) - count(DISTINCT doi) FROM firsts WHERE doi <> ''
 UNION ALL SELECT 'raw', count(*) - count(DISTINCT doi) FROM rec WHERE doi <> ''""")
 def q_duplicate_counts(spark, sf_dir):
-    r = records(spark, sf_dir)
-    per_db = B.duplicate_count(r, "doi", group=["db"]).select(F.col("db").alias("scope"), "duplicates")
-    combined = B.duplicate_count(B.dedupe_first(r, ["db", "doi"], ["rec"]), "doi") \
-        .select(F.lit("combined").alias("scope"), "duplicates")
-    raw = B.duplicate_count(r, "doi").select(F.lit("raw").alias("scope"), "duplicates")
-    return per_db.unionByName(combined).unionByName(raw)
+    return B.duplicate_summary(records(spark, sf_dir), "db", "doi")
 
 
 @register("duplicate_rows", BIB_CTE + """SELECT db, rec, doi FROM (SELECT db, rec, doi,
@@ -204,6 +227,14 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upper.unionByName(lower)
 
 
+def squeezed(df: DataFrame) -> DataFrame:
+    """Every third entry on one line, every fifth one with a quoted journal and a note of nested braces."""
+    line = F.regexp_replace("value", r"\s*\n\s*", " ")
+    quoted = F.regexp_replace("value", r"journal = \{([^{}]*)\}", 'note = {a {b {c}}, year = {0}}, journal = "$1"')
+    return df.withColumn("value", F.when(F.col("p_size") % 3 == 0, line).when(F.col("p_size") % 5 == 0, quoted)
+                         .otherwise(F.col("value")))
+
+
 def _render_sql(doi_field: str) -> str:
     title = ("CASE WHEN p_size > 25 THEN '{' || title || '}' WHEN p_size < 5 THEN replace(title, ' ', chr(10) || '    ') "
              "ELSE title END")
@@ -226,13 +257,14 @@ def q_bib_render(spark, sf_dir):
 @register("bib_scan", "WITH " + PART_CTE + "SELECT entry_type, key, title, journal, year, doi, author FROM parts")
 def q_bib_scan(spark, sf_dir):
     path = scratch_path(spark, "bibtext")
-    write_text(rendered(spark, sf_dir), path)
+    write_text(squeezed(rendered(spark, sf_dir)), path)
     return scan_bib(spark, path)
 
 
-@register("camel_split", """SELECT p_partkey, p_name AS name_parts FROM part""")
+@register("camel_split", """SELECT p_partkey, 'NL ' || array_to_string(list_transform(string_split(p_name, ' '),
+  lambda w: upper(w[1]) || lower(w[2:])), ' ') AS name_parts FROM part""")
 def q_camel_split(spark, sf_dir):
+    """Run-together names, a run of capitals in front: ``NLGoldenPlum`` -> ``NL Golden Plum``."""
     p = table(spark, sf_dir, "part")
-    run_together = F.array_join(F.transform(F.split("p_name", " "), lambda w: F.initcap(w)), "")
-    return p.select("p_partkey", F.lower(F.array_join(camel_split(run_together), " ")).alias("name_parts"))
-
+    run_together = F.concat(F.lit("NL"), F.array_join(F.transform(F.split("p_name", " "), lambda w: F.initcap(w)), ""))
+    return p.select("p_partkey", F.array_join(camel_split(run_together), " ").alias("name_parts"))

@@ -4,7 +4,8 @@ Not a grammar: entries are split on the ``\\n@`` that starts each record
 (``spark.read.text`` with a custom line separator, so files split across
 tasks), then each wanted field is pulled out with one ``regexp_extract``.
 Field names are matched case-insensitively (``DOI`` / ``doi``), values may be
-brace- or quote-delimited, double-braced and span several lines.
+brace- or quote-delimited, double-braced, on one line or spanning several;
+entries may stand in braces or parentheses.
 """
 
 from __future__ import annotations
@@ -17,8 +18,14 @@ from pyspark.sql import functions as F
 # Fields pulled out of each entry by default.
 DEFAULT_FIELDS = ("title", "journal", "year", "doi", "author")
 
-# A field value runs until the next "name =" line or the closing brace of the entry.
-_END = r"\s*,?\s*(?=\n\s*[A-Za-z][\w-]*\s*=|\s*\}\s*$)"
+# A braced value ends at the brace that balances its first one (two levels of braces
+# inside); a quoted one at the next quote outside braces.  After it comes a comma or
+# the end of the entry.  Possessive runs keep the patterns linear.
+_L2 = r"\{[^{}]*+\}"
+_L1 = rf"\{{(?:[^{{}}]|{_L2})*+\}}"
+_BRACED = rf"\{{((?:[^{{}}]|{_L1})*+)\}}"
+_QUOTED = rf"\"((?:[^\"{{}}]|{_L1})*+)\""
+_END = r"\s*(?:,|[})]\s*$)"
 
 
 def scan_entries(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -27,18 +34,19 @@ def scan_entries(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     # first entry of each file keeps its "@" (and possibly a byte-order mark)
     entry = F.regexp_replace(F.col("value"), r"^[\x{FEFF}\s]*@?", "")
     # records only: @comment / @string / @preamble blocks are not entries
-    return (raw.select(entry.alias("entry")).filter(F.col("entry").rlike(r"^\s*[A-Za-z]+\s*\{"))
-            .filter(~F.col("entry").rlike(r"(?i)^\s*(comment|string|preamble)\s*\{")))
+    return (raw.select(entry.alias("entry")).filter(F.col("entry").rlike(r"^\s*[A-Za-z]+\s*[{(]"))
+            .filter(~F.col("entry").rlike(r"(?i)^\s*(comment|string|preamble)\s*[{(]")))
 
 
 def field(entry: Column, name: str) -> Column:
     """Value of field ``name`` (null when absent), outer brace pair removed,
     inner whitespace runs collapsed to one blank."""
-    braced = F.regexp_extract(entry, rf"(?is)(?:^|[,\s]){name}\s*=\s*\{{(.*?)\}}{_END}", 1)
-    quoted = F.regexp_extract(entry, rf"(?is)(?:^|[,\s]){name}\s*=\s*\"(.*?)\"{_END}", 1)
-    bare = F.regexp_extract(entry, rf"(?is)(?:^|[,\s]){name}\s*=\s*([0-9]+){_END}", 1)
+    start = rf"(?is)(?:^|[,\s]){name}\s*=\s*"
+    braced = F.regexp_extract(entry, start + _BRACED + _END, 1)
+    quoted = F.regexp_extract(entry, start + _QUOTED + _END, 1)
+    bare = F.regexp_extract(entry, start + r"([0-9]+)" + _END, 1)
     v = F.coalesce(F.nullif(braced, F.lit("")), F.nullif(quoted, F.lit("")), F.nullif(bare, F.lit("")))
-    v = F.regexp_replace(v, r"(?s)^\{(.*)\}$", "$1")
+    v = F.regexp_replace(v, rf"(?s)^{_BRACED}$", "$1")  # only where the first brace's partner is the last one
     return F.nullif(F.trim(F.regexp_replace(v, r"\s+", " ")), F.lit(""))
 
 
@@ -46,8 +54,8 @@ def parse_entries(entries: DataFrame, fields: Sequence[str] = DEFAULT_FIELDS) ->
     """(entry_type, key, field...) per entry."""
     e = F.col("entry")
     return entries.select(
-        F.lower(F.regexp_extract(e, r"^\s*([A-Za-z]+)\s*\{", 1)).alias("entry_type"),
-        F.regexp_extract(e, r"^\s*[A-Za-z]+\s*\{\s*([^,\s]+)\s*,", 1).alias("key"),
+        F.lower(F.regexp_extract(e, r"^\s*([A-Za-z]+)\s*[{(]", 1)).alias("entry_type"),
+        F.regexp_extract(e, r"^\s*[A-Za-z]+\s*[{(]\s*([^,\s]+)\s*,", 1).alias("key"),
         *[field(e, f).alias(f) for f in fields])
 
 

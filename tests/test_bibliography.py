@@ -136,3 +136,50 @@ def test_scan_skips_non_records(spark, tmp_path):
                  encoding="utf-8")
     rows = scan_bib(spark, str(p)).collect()
     assert [(r["key"], r["title"]) for r in rows] == [("k9", "The {RNA} World")]
+
+
+def test_whole_records_keep_every_row(spark):
+    """Full-width records: as many rows out as in, flags as row_number gives them, the same again."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from insight.operators import bibliography as B
+    from insight.plans.bibliography import records
+
+    rec = records(spark, "/root/testdata/sf0.01")
+    n = rec.count()
+    want = rec.filter("doi <> ''").withColumn("r", F.row_number().over(Window.partitionBy("doi").orderBy("db", "rec"))) \
+        .filter("r > 1").count()
+    for _ in range(2):
+        out = B.mark_later_duplicates(rec, ["doi"], ["db", "rec"])
+        assert out.count() == n and out.filter("is_duplicate = 1").count() == want
+    ids = B.record_ids(rec.withColumn("document_type", F.lit("book")), "year", "document_type", ["db", "rec"])
+    assert ids.select(F.substring_index("id", "_", -1)).distinct().count() == n
+
+
+def test_blank_keys_collapse_alike(spark):
+    from insight.operators import bibliography as B
+
+    df = spark.createDataFrame([(1, "a"), (2, ""), (3, None), (4, "a"), (5, "b")], "rec long, doi string")
+    kept = B.dedupe_first(df, ["doi"], ["rec"], missing="collapse")
+    assert sorted(r.rec for r in kept.collect()) == [1, 2, 5]
+    assert df.count() - kept.count() == B.duplicate_count(df, "doi", missing="collapse").first().duplicates
+    flags = {r.rec: r.is_duplicate for r in B.mark_later_duplicates(df, ["doi"], ["rec"], missing="collapse").collect()}
+    assert flags == {1: 0, 2: 0, 3: 1, 4: 1, 5: 0}
+
+
+def test_entries_in_one_line_and_in_parentheses(spark, tmp_path):
+    from insight.sources.bibtex import scan_bib
+
+    (tmp_path / "a.bib").write_text(
+        "@article{k1, title={A B}, year={2020}, doi={10.1/x}, author={X and Y}}\n"
+        "@misc(k2, title = \"Q {R} S\", year = 1999)\n"
+        "@book{k3,\n  title = {{Double} and {two {three}}},\n  note = {year = {1}},\n  year = 2001,\n  DOI = {10.2/y}\n}\n"
+        "@comment{ignored, title={x}}\n"
+        "@article{k4, title = {}, journal = {J, with comma}, }\n")
+    rows = {r.key: r for r in scan_bib(spark, str(tmp_path / "a.bib")).collect()}
+    assert set(rows) == {"k1", "k2", "k3", "k4"}
+    assert (rows["k1"].title, rows["k1"].year, rows["k1"].doi, rows["k1"].author) == ("A B", "2020", "10.1/x", "X and Y")
+    assert (rows["k2"].entry_type, rows["k2"].title, rows["k2"].year) == ("misc", "Q {R} S", "1999")
+    assert (rows["k3"].title, rows["k3"].doi) == ("{Double} and {two {three}}", "10.2/y")
+    assert (rows["k4"].title, rows["k4"].journal) == (None, "J, with comma")
