@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,13 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from insight.functions.columns import row_sum, title_case, year_start_shift
+from insight.operators.joins import join_dimension
+from insight.session import land
 
 INDICATOR_MARKS = ("X", "x")
 
 
-def normalize_name(name: str, drop: str = "3") -> str:
-    """``nDCG3`` -> ``Ndcg``; ``F1_3`` -> ``F1``; `` Urgent3`` -> ``Urgent``."""
-    return name.replace(drop, "").strip().strip("_").title()
+def normalize_name(name: str, drop: str = "3", edge: str = " _") -> str:
+    """A column name without the characters of ``drop``, without those of ``edge``
+    at its ends, each run of letters starting with a capital: ``nDCG3`` ->
+    ``Ndcg``; ``F1_3`` -> ``F1``; `` Urgent3`` -> ``Urgent``."""
+    kept = "".join(c for c in name if c not in drop)
+    inner = re.sub(rf"^[{re.escape(edge)}\s]+|[{re.escape(edge)}\s]+$", "", kept)
+    return re.sub(r"[^\W\d_]+", lambda run: run[0].capitalize(), inner)
 
 
 def drop_marked_columns(df: DataFrame, marker: str) -> DataFrame:
@@ -135,11 +142,12 @@ def frequent_categories(df: DataFrame, col: str, floor: int, strict: bool = True
 
 def rare_to_other(df: DataFrame, col: str, floor: int, other: str = "Other") -> DataFrame:
     """Replace categories seen fewer than ``floor`` times by ``other`` (only
-    that column changes).  The category counts are a grouped aggregate joined
-    back on the category (AQE broadcasts it when small)."""
-    counts = (df.filter(F.col(f"`{col}`").isNotNull()).groupBy(col)
-              .agg(F.count(F.lit(1)).alias("__n")).withColumnRenamed(col, "__c"))
-    joined = df.join(counts, F.col(f"`{col}`") == F.col("__c"), "left")
+    that column changes).  The category counts are a grouped aggregate, landed
+    and joined back through their measured size, so that the rows of a hot
+    category are not gathered."""
+    counts = land(df.filter(F.col(f"`{col}`").isNotNull()).groupBy(F.col(f"`{col}`").alias("__c"))
+                  .agg(F.count(F.lit(1)).alias("__n")), "category-counts")
+    joined = join_dimension(df, counts, F.col(f"`{col}`") == F.col("__c"), "left")
     return joined.withColumn(col, F.when(F.col("__n") < floor, F.lit(other)).otherwise(F.col(f"`{col}`"))) \
         .drop("__c", "__n")
 
@@ -148,9 +156,6 @@ def swap_pivot(long: DataFrame, row: str, col: str, value: str, levels: Sequence
                agg: str = "sum") -> DataFrame:
     """Pivot ``long`` with ``row`` as rows and ``col`` levels as columns.
     Pivoting the same long table the other way round is the transpose."""
-    if levels is None:
-        levels = sorted(r[0] for r in long.select(col).filter(F.col(f"`{col}`").isNotNull()).distinct()
-                        .limit(10_001).collect())
-        if len(levels) > 10_000:
-            raise ValueError(f"{col} has too many levels to become columns")
+    if levels is None:  # they become columns, so they reach the driver
+        levels = sorted(r[0] for r in long.select(col).filter(F.col(f"`{col}`").isNotNull()).distinct().toLocalIterator())
     return long.groupBy(row).pivot(col, list(levels)).agg(getattr(F, agg)(F.col(f"`{value}`")))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from insight.functions.columns import year_start_shift
 from insight.operators import coding as C
 from insight.operators import matrix as X
 from insight.operators import trends as T
@@ -126,7 +127,6 @@ def by_year_group(spark: SparkSession, sf_dir: str, cd: DataFrame | None = None)
 
 def prescreen(spark: SparkSession, sf_dir: str, p: DataFrame | None = None) -> DataFrame:
     """All papers before screening (title, year moved by a year)."""
-    from insight.functions.columns import year_start_shift
     p = p if p is not None else papers(spark, sf_dir)
     return p.select(
         F.expr("'Paper ' || cast(o_custkey as string) || '/' || cast(y as string)").alias("Title"),
@@ -191,20 +191,15 @@ WITH_GS = f"WITH {_P_SQL},\n{_CODED_SQL},\n{_GS_SQL}\n"
 
 
 def _corr_sql(cols: list[str], src: str, group: str = "") -> str:
-    """Pairwise-complete Pearson correlation, same arithmetic as the Spark side."""
+    """Pairwise-complete Pearson correlation by the engine's own ``corr``; null where it is no number."""
     sel = []
     for x in cols:
         for y in cols:
-            xm = f'CASE WHEN "{y}" IS NOT NULL THEN CAST("{x}" AS DOUBLE) END'
-            ym = f'CASE WHEN "{x}" IS NOT NULL THEN CAST("{y}" AS DOUBLE) END'
-            n = f"CAST(count({xm}) AS DOUBLE)"
-            sx, sy = f"sum({xm})", f"sum({ym})"
-            num = f"({n} * sum(({xm}) * ({ym})) - {sx} * {sy})"
-            den = f"sqrt(({n} * sum(({xm}) * ({xm})) - {sx} * {sx}) * ({n} * sum(({ym}) * ({ym})) - {sy} * {sy}))"
+            c = f'corr(CAST("{x}" AS DOUBLE), CAST("{y}" AS DOUBLE))'
             g = f"{group}, " if group else ""
             gb = f" GROUP BY {group}" if group else ""
-            sel.append(f"SELECT {g}'{x}' AS a, '{y}' AS b, round(CASE WHEN {den} > 0 THEN {num} / {den} END, 6) "
-                       f"AS corr FROM {src}{gb}")
+            sel.append(f"SELECT {g}'{x}' AS a, '{y}' AS b, CASE WHEN isfinite({c}) THEN round({c}, 6) END AS corr "
+                       f"FROM {src}{gb}")
     return "\n  UNION ALL ".join(sel)
 
 
@@ -239,14 +234,25 @@ def q_coded_matrix(spark, sf_dir):
     return coded(spark, sf_dir)
 
 
-@register("title_case_merge", WITH_CODED + 'SELECT "Id", "Type Of Paper" FROM coded')
+_RAW_ID = "'P' || CAST(o_custkey AS VARCHAR) || '-' || CAST(y AS VARCHAR)"
+
+
+def raw_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The survey export before coding, trimmed and with clean names."""
+    return C.normalize_columns(C.trim_strings(survey_raw(spark, sf_dir)))
+
+
+@register("title_case_merge", f"""WITH {_P_SQL}
+SELECT {_RAW_ID} AS "Id", CASE WHEN ({_TYPE_SQL}) IN ('Building/Analysis', 'Building/Review') THEN 'Building'
+  ELSE {_TYPE_SQL} END AS "Type Of Paper" FROM p""")
 def q_title_case_merge(spark, sf_dir):
-    return coded(spark, sf_dir).select("Id", "Type Of Paper")
+    return raw_cells(spark, sf_dir).select("Id", C.title_case_merge("Type Of Paper", TYPE_MERGE).alias("Type Of Paper"))
 
 
-@register("year_shift", WITH_CODED + 'SELECT "Id", "Year" FROM coded')
+@register("year_shift", f"""WITH {_P_SQL}
+SELECT {_RAW_ID} AS "Id", make_date(CAST(y AS INTEGER) + 1, 1, 1) AS "Year" FROM p""")
 def q_year_shift(spark, sf_dir):
-    return coded(spark, sf_dir).select("Id", "Year")
+    return raw_cells(spark, sf_dir).select("Id", year_start_shift("Year").alias("Year"))
 
 
 @register("unpivot_values", WITH_MOLTEN + "SELECT * FROM molten")
@@ -270,6 +276,17 @@ def q_sum_by_value(spark, sf_dir):
     return T.sum_by(molten(spark, sf_dir), ["Value", "Value Group"], "Mentions")
 
 
+@register("sum_by_year", WITH_MOLTEN + 'SELECT "Year", sum("Mentions") AS "Mentions" FROM molten GROUP BY 1')
+def q_sum_by_year(spark, sf_dir):
+    return T.sum_by(molten(spark, sf_dir), ["Year"], "Mentions")
+
+
+@register("sum_by_year_title_group", WITH_MOLTEN + """SELECT "Year", "Title", "Value Group", sum("Mentions") AS "Mentions"
+FROM molten GROUP BY 1, 2, 3""")
+def q_sum_by_year_title_group(spark, sf_dir):
+    return T.sum_by(molten(spark, sf_dir), ["Year", "Title", "Value Group"], "Mentions")
+
+
 @register("sum_by_year_group", WITH_YG + "SELECT * FROM yg")
 def q_sum_by_year_group(spark, sf_dir):
     return by_year_group(spark, sf_dir)
@@ -333,10 +350,15 @@ def q_pivot_type_group(spark, sf_dir):
     return C.swap_pivot(type_group(spark, sf_dir), "Type Of Paper", "Value Group", "Mentions", GROUP_NAMES)
 
 
-@register("transpose_counts", WITH_MOLTEN + f", {_TG_SQL}\n"
-          + 'PIVOT tg ON "Type Of Paper" USING sum(m) GROUP BY "Value Group"')
+# The paper types of the stand-in after merging.
+PAPER_TYPES = sorted(t for seg in ("Automobile", "Building", "Furniture", "Household", "Machinery")
+                     for t in ([seg] if seg == "Building" else [seg, f"{seg}/Analysis", f"{seg}/Review"]))
+
+
+@register("transpose_counts", WITH_MOLTEN + f", {_TG_SQL}\nSELECT \"Value Group\", " + ", ".join(
+    f"sum(CASE WHEN \"Type Of Paper\" = '{t}' THEN m END) AS \"{t}\"" for t in PAPER_TYPES) + " FROM tg GROUP BY 1")
 def q_transpose_counts(spark, sf_dir):
-    return C.swap_pivot(type_group(spark, sf_dir), "Value Group", "Type Of Paper", "Mentions")
+    return C.swap_pivot(type_group(spark, sf_dir), "Value Group", "Type Of Paper", "Mentions", PAPER_TYPES)
 
 
 @register("share_by_type", WITH_MOLTEN + f", {_TG_SQL},\ntypes AS (SELECT DISTINCT \"Type Of Paper\" FROM tg),\n"
@@ -364,6 +386,21 @@ def q_corr_matrix(spark, sf_dir):
     return X.corr_long(coded(spark, sf_dir), VALUES).select("a", "b", _round("corr"))
 
 
+# a wide matrix: values, metrics and their groups and families, some with missing cells and one constant
+_WIDE_SQL = ("wide AS (SELECT *, CASE WHEN \"High\" = 1 THEN \"Urgent\" END AS \"Urgent If High\", 0.1 AS \"Constant\", "
+             + '"Urgent" + "High" AS "Urgency", "Not Specified" + "Low" AS "Deferred", '
+             + _FAM_SQL + " FROM coded)")
+_WIDE_COLS = [*VALUES, *METRICS, "Hit-Rate", "Urgent If High", "Constant", "Urgency", "Deferred", *FAMILIES]
+
+
+@register("corr_wide", WITH_CODED + ", " + _WIDE_SQL + "\n" + _corr_sql(_WIDE_COLS, "wide"))
+def q_corr_wide(spark, sf_dir):
+    wide = with_families(coded(spark, sf_dir)).withColumns({
+        "Urgent If High": F.when(F.col("High") == 1, F.col("Urgent")), "Constant": F.lit(0.1),
+        "Urgency": F.col("Urgent") + F.col("High"), "Deferred": F.col("`Not Specified`") + F.col("Low")})
+    return X.corr_long(wide, _WIDE_COLS).select("a", "b", _round("corr"))
+
+
 @register("corr_matrix_threshold", WITH_CODED + ", tot AS (" + " UNION ALL ".join(
     f"SELECT '{v}' AS c, sum(\"{v}\") AS total FROM coded" for v in VALUES) + "),\nth AS ("
     + " UNION ALL ".join(f"SELECT CAST({float(t)} AS DOUBLE) AS threshold" for t in THRESHOLDS) + "),\ncm AS ("
@@ -448,25 +485,29 @@ def q_cooccurrence_norm_metric(spark, sf_dir):
     return n.select("Value", "Metric", _round("Normed"))
 
 
-_EWMA_SQL = f"""ew AS (SELECT "Year", "Value Group", "Mentions",
-  sum("Mentions" * w) OVER win / sum(w) OVER win AS "Rolling"
-  FROM (SELECT *, pow(2.0, (CAST(date_diff('day', DATE '1970-01-01', "Year") AS DOUBLE)
-      - min(CAST(date_diff('day', DATE '1970-01-01', "Year") AS DOUBLE)) OVER (PARTITION BY "Value Group"))
-      / {HALFLIFE_DAYS!r}) AS w FROM yg)
-  WINDOW win AS (PARTITION BY "Value Group" ORDER BY "Year" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+# the moving average by its recurrence: both sums fade by 0.5^(gap/h) from row to row
+_EWMA_SQL = f"""steps AS (SELECT "Year", "Value Group", "Mentions",
+    row_number() OVER (PARTITION BY "Value Group" ORDER BY "Year") AS k,
+    date_diff('day', lag("Year") OVER (PARTITION BY "Value Group" ORDER BY "Year"), "Year") AS gap FROM yg),
+walk AS (SELECT "Year", "Value Group", "Mentions", k, CAST("Mentions" AS DOUBLE) AS top, CAST(1 AS DOUBLE) AS bottom
+    FROM steps WHERE k = 1
+  UNION ALL SELECT s."Year", s."Value Group", s."Mentions", s.k,
+    w.top * pow(0.5, s.gap / {HALFLIFE_DAYS!r}) + s."Mentions", w.bottom * pow(0.5, s.gap / {HALFLIFE_DAYS!r}) + 1
+    FROM walk w JOIN steps s ON s."Value Group" = w."Value Group" AND s.k = w.k + 1),
+ew AS (SELECT "Year", "Value Group", "Mentions", top / bottom AS "Rolling" FROM walk)"""
 
 
 def rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.ewma(by_year_group(spark, sf_dir), ["Value Group"], "Year", "Mentions", HALFLIFE_DAYS, out="Rolling")
 
 
-@register("ewma", WITH_YG + ", " + _EWMA_SQL
+@register("ewma", WITH_YG.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _EWMA_SQL
           + '\nSELECT "Year", "Value Group", "Mentions", round("Rolling", 6) AS "Rolling" FROM ew')
 def q_ewma(spark, sf_dir):
     return rolling(spark, sf_dir).select("Year", "Value Group", "Mentions", _round("Rolling"))
 
 
-@register("ewma_mean", WITH_YG + ", " + _EWMA_SQL
+@register("ewma_mean", WITH_YG.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _EWMA_SQL
           + '\nSELECT "Year", round(avg("Rolling"), 6) AS "Rolling" FROM ew GROUP BY 1')
 def q_ewma_mean(spark, sf_dir):
     return rolling(spark, sf_dir).groupBy("Year").agg(F.round(F.avg("Rolling"), 6).alias("Rolling"))
