@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from insight.operators.joins import join_dimension
-
-MAX_LEVELS = 10_000
+from insight.session import land
 
 
 def join_views_scores(views: DataFrame, scores: DataFrame, view_key: str = "ARTICLE_ID",
@@ -34,59 +33,47 @@ def join_star(views: DataFrame, scores: DataFrame, sections: DataFrame, view_key
 
 
 def argmax_column(cols: Sequence[str]) -> Column:
-    """Name of the column holding the row maximum; nulls skipped; ties go to
-    the first column; null when every column is null."""
+    """Name of the column holding the row maximum; nulls and NaN skipped; ties
+    go to the first column; null when no column has a number."""
     cands = F.array(*[F.struct(F.col(c).alias("v"), F.lit(-i).alias("p"), F.lit(c).alias("name"))
                       for i, c in enumerate(cols)])
-    best = F.array_max(F.filter(cands, lambda s: s["v"].isNotNull()))
+    best = F.array_max(F.filter(cands, lambda s: s["v"].isNotNull() & ~F.isnan(s["v"].cast("double"))))
     return best["name"]
 
 
-def category_levels(df: DataFrame, column: str, max_levels: int = MAX_LEVELS) -> list:
-    """Sorted distinct non-null values of a categorical column (bounded)."""
-    rows = (df.select(column).filter(F.col(column).isNotNull()).distinct()
-            .limit(max_levels + 1).collect())
-    if len(rows) > max_levels:
-        raise ValueError(f"{column} has more than {max_levels} levels; not a categorical")
-    return sorted(r[0] for r in rows)
-
-
-def all_levels(df: DataFrame, cols: Sequence[str], max_levels: int = MAX_LEVELS) -> dict[str, list]:
+def all_levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list]:
     """Sorted distinct non-null values of several categoricals in one job:
-    (column, value) pairs are de-duplicated with a partial aggregation and at
-    most ``len(cols) * max_levels + 1`` of them reach the driver."""
+    (column, value) pairs are de-duplicated with a partial aggregation.  The
+    levels become columns, so they reach the driver; a column too rich for that
+    belongs into :func:`feature_matrix`, whose vectors are sparse."""
     if not cols:
         return {}
     types = {f.name: f.dataType for f in df.schema.fields}
     pairs = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for c in cols])).alias("p"))
-    rows = pairs.select("p.c", "p.v").filter(F.col("v").isNotNull()).distinct() \
-        .limit(len(cols) * max_levels + 1).collect()
     levels: dict[str, list] = {c: [] for c in cols}
-    for r in rows:
+    for r in pairs.select("p.c", "p.v").filter(F.col("v").isNotNull()).distinct().toLocalIterator():
         levels[r["c"]].append(r["v"])
     for c, vals in levels.items():
-        if len(vals) > max_levels or len(rows) > len(cols) * max_levels:
-            raise ValueError(f"{c} has more than {max_levels} levels; not a categorical")
-        numeric = isinstance(types[c], (T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.DoubleType,
-                                        T.FloatType, T.DecimalType))
-        vals.sort(key=(lambda v: float(v)) if numeric else None)
+        vals.sort(key=(lambda v: float(v)) if isinstance(types[c], T.NumericType) else None)
     return levels
 
 
 def dummy_columns(df: DataFrame, cols: Sequence[str], drop_first: bool = True,
-                  max_levels: int = MAX_LEVELS) -> list[Column]:
+                  levels: Mapping[str, Sequence] | None = None) -> list[Column]:
     """0/1 indicator per level (levels in natural order, first dropped);
-    null -> all 0."""
+    null -> all 0.  With ``levels`` given by the caller no pass over the data is
+    made for them."""
     out = []
-    for c, levels in all_levels(df, cols, max_levels).items():
-        for v in levels[1:] if drop_first else levels:
-            out.append(F.when(F.col(f"`{c}`").cast("string") == F.lit(v), 1).otherwise(0).alias(f"{c}_{v}"))
+    for c, values in (levels if levels is not None else all_levels(df, cols)).items():
+        for v in values[1:] if drop_first else values:
+            out.append(F.when(F.col(f"`{c}`").cast("string") == F.lit(str(v)), 1).otherwise(0).alias(f"{c}_{v}"))
     return out
 
 
-def dummy_encode(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), drop_first: bool = True) -> DataFrame:
-    return df.select(*keep, *dummy_columns(df, cols, drop_first))
+def dummy_encode(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), drop_first: bool = True,
+                 levels: Mapping[str, Sequence] | None = None) -> DataFrame:
+    return df.select(*keep, *dummy_columns(df, cols, drop_first, levels))
 
 
 def standard_columns(df: DataFrame, cols: Sequence[str]) -> list[Column]:
@@ -106,57 +93,70 @@ def standardize(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) ->
     return df.select(*keep, *standard_columns(df, cols))
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared ``spark.checkpoint.dir``: the
-    multi-pass fits below read the written rows instead of recomputing the
-    joins behind them, and a lost executor re-reads instead of re-deriving."""
-    from insight.session import checkpoint_root
-
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def feature_matrix(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str],
                    passthrough: Sequence[str], keep: Sequence[str] = (), out: str = "features",
                    skip_invalid: bool = True) -> DataFrame:
-    """Column transformer: dummy-coded categoricals, standardised numerics,
-    passed-through columns, everything else dropped; assembled into one vector.
-    Rows with a null feature are skipped (``skip_invalid``) like a dropna.
-    The input is read three times (levels, statistics, assembly), so it is
-    checkpointed first."""
-    df = materialise(df.select(*dict.fromkeys([*keep, *categorical, *numeric, *passthrough])))
-    dummies = dummy_columns(df, categorical)
-    scaled = standard_columns(df, numeric)
-    parts = [*dummies, *scaled, *[F.col(c).cast("double") for c in passthrough]]
-    # positional names: level values may contain dots, which the assembler rejects
-    inputs = [f"__f{i}" for i in range(len(parts))]
-    wide = df.select(*keep, *[p.alias(n) for p, n in zip(parts, inputs)])
-    assembler = VectorAssembler(inputCols=inputs, outputCol=out,
-                                handleInvalid="skip" if skip_invalid else "keep")
-    return assembler.transform(wide).select(*keep, out)
-
-
-def pca_project(df: DataFrame, k: int, features: str = "features", out: str = "pca",
-                cut_lineage: bool = True) -> DataFrame:
+    """Column transformer: dummy-coded categoricals (first level dropped, null ->
+    all 0), standardised numerics, passed-through columns, everything else
+    dropped; assembled into one sparse vector, so categoricals may have any
+    number of levels.  Rows with a null number are skipped (``skip_invalid``)
+    like a dropna.
+
+    The input is landed once for the passes over it (levels, statistics,
+    assembly) and the features are landed once for the fits behind them."""
+    df = land(df.select(*dict.fromkeys([*keep, *categorical, *numeric, *passthrough])), "feature-input")
+    stages, parts = [], []
+    if categorical:
+        codes, hot = [f"__i{i}" for i in range(len(categorical))], [f"__h{i}" for i in range(len(categorical))]
+        # descending order puts the first level last; "keep" adds a category for null behind it, which the
+        # encoder drops, and the slice drops the first level
+        index = StringIndexer(inputCols=list(categorical), outputCols=codes, handleInvalid="keep",
+                              stringOrderType="alphabetDesc").fit(df)
+        stages += [index, OneHotEncoder(inputCols=codes, outputCols=hot, dropLast=True)]
+        for i, labels in enumerate(index.labelsArray):
+            if len(labels) > 1:
+                stages.append(VectorSlicer(inputCol=hot[i], outputCol=f"__s{i}", indices=list(range(len(labels) - 1))))
+                parts.append(f"__s{i}")
+    scaled = [c.alias(f"__n{i}") for i, c in enumerate(standard_columns(df, numeric))]
+    passed = [F.col(f"`{c}`").cast("double").alias(f"__p{i}") for i, c in enumerate(passthrough)]
+    parts += [f"__n{i}" for i in range(len(scaled))] + [f"__p{i}" for i in range(len(passed))]
+    wide = df.select("*", *scaled, *passed)
+    if skip_invalid and (scaled or passed):
+        wide = wide.na.drop(subset=[f"__n{i}" for i in range(len(scaled))] + [f"__p{i}" for i in range(len(passed))])
+    stages.append(VectorAssembler(inputCols=parts, outputCol=out, handleInvalid="keep"))
+    return land(Pipeline(stages=stages).fit(wide).transform(wide).select(*keep, out), "features")
+
+
+def pca_project(df: DataFrame, k: int, features: str = "features", out: str = "pca") -> DataFrame:
     """Centre, then project on the top-k principal components (Spark's PCA
     transform does not centre by itself).  The covariance is a d x d
-    aggregation; rows never leave the executors."""
-    data = materialise(df) if cut_lineage else df
+    aggregation; rows never leave the executors.  Pass landed rows (as
+    ``feature_matrix`` returns them): the fit reads them more than once."""
     centre = StandardScaler(inputCol=features, outputCol="__centred", withMean=True, withStd=False)
     pca = PCA(k=k, inputCol="__centred", outputCol=out)
-    model = Pipeline(stages=[centre, pca]).fit(data)
-    return model.transform(data).drop("__centred")
+    model = Pipeline(stages=[centre, pca]).fit(df)
+    return model.transform(df).drop("__centred")
+
+
+def kmeans_fit(df: DataFrame, k: int = 8, seed: int = 42, features: str = "pca", out: str = "cluster",
+               max_iter: int = 300, tol: float = 1e-4) -> KMeansModel:
+    """KMeans fit (k-means|| init, distributed).  Runs to convergence (``tol``)
+    rather than stopping at Spark's default 20 passes."""
+    return KMeans(k=k, seed=seed, featuresCol=features, predictionCol=out, maxIter=max_iter, tol=tol).fit(df)
 
 
 def kmeans_assign(df: DataFrame, k: int = 8, seed: int = 42, features: str = "pca",
-                  out: str = "cluster", cut_lineage: bool = True, max_iter: int = 300,
-                  tol: float = 1e-4) -> DataFrame:
-    """KMeans fit (k-means|| init, distributed) and assignment.  Runs to
-    convergence (``tol``) rather than stopping at Spark's default 20 passes."""
-    data = materialise(df) if cut_lineage else df
-    model = KMeans(k=k, seed=seed, featuresCol=features, predictionCol=out, maxIter=max_iter,
-                   tol=tol).fit(data)
-    return model.transform(data)
+                  out: str = "cluster", max_iter: int = 300, tol: float = 1e-4) -> DataFrame:
+    """Fit and assignment; Spark keeps the vectors of the many passes cached."""
+    return kmeans_fit(df, k, seed, features, out, max_iter, tol).transform(df)
+
+
+def distances(model: KMeansModel, features: str = "pca") -> Column:
+    """Array of squared distances from a row's vector to each centre."""
+    x = vector_to_array(F.col(features))
+    return F.array(*[
+        F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in centre]), lambda a, b: (a - b) * (a - b)),
+                    F.lit(0.0), lambda a, b: a + b) for centre in model.clusterCenters()])
 
 
 def vector_columns(vec: str, k: int, prefix: str) -> list[Column]:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from insight.functions.columns import time_parts
+from insight.functions.columns import PRIVACY_TOKENS, time_parts
+from insight.functions.selection import columns_with_prefix
 from insight.operators import events as E
 from insight.operators import features as M
 from insight.plans.registry import register
@@ -14,9 +15,6 @@ from insight.plans.views import article_scores, article_sections, duck_scores, d
 
 USERNEEDS = ["userneed_length", "userneed_quality", "userneed_safety"]
 TIME_COLS = ["hour", "weekday", "dayofmonth", "month"]
-PRIVACY_COLS = ["privacy_functional", "privacy_analytics", "privacy_target_advertising", "privacy_personalisation",
-                "privacy_non-personalised_ads", "privacy_marketing", "privacy_social_media", "privacy_geo_location",
-                "privacy_advertising"]
 # The levels of the stand-in categoricals (from the view definition).
 LEVELS = {
     "APP_ID": ["site.app.android", "site.app.ios", "site.web"],
@@ -111,23 +109,51 @@ def q_standardize(spark, sf_dir):
     return s.select("event_id", *[F.round(c, 6).alias(c) for c in USERNEEDS + TIME_COLS])
 
 
+# The categorical columns of a reader profile.
 CATEGORICAL = ["GEO_REGION", "APP_ID", "main_section", "sub_section", "IS_LOGGED_IN"]
+PROFILE = USERNEEDS + TIME_COLS + ["IS_LOGGED_IN"]
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.feature_matrix(star(spark, sf_dir), CATEGORICAL, USERNEEDS + TIME_COLS, PRIVACY_COLS,
-                            keep=["event_id"])
+def features(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    rows = star(spark, sf_dir)
+    return M.feature_matrix(rows, CATEGORICAL, USERNEEDS + TIME_COLS, columns_with_prefix(rows, "privacy_"), keep=keep)
 
 
-@register("feature_matrix")
+_PRIVACY = list(PRIVACY_TOKENS)
+
+
+def _dummy_count(c: str) -> str:
+    return f"(SELECT greatest(count(DISTINCT {c}) - 1, 0) FROM star)"
+
+
+def _not_first(c: str) -> str:
+    """1 for every level but the first, 0 for it and for null."""
+    v = f"CAST({c} AS VARCHAR)"
+    return f"CASE WHEN {v} > (SELECT min(CAST({c} AS VARCHAR)) FROM star) THEN 1 ELSE 0 END"
+
+
+_PRIVACY_SUM = " + ".join(f'"{c}"' for c in _PRIVACY)
+_SCALED_SUM = " + ".join(
+    f"({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1 ELSE stddev_pop({c}) OVER () END"
+    for c in USERNEEDS + TIME_COLS)
+# rows with a null number are left out of the matrix, but count in the statistics of the others
+_COMPLETE = " AND ".join(f'"{c}" IS NOT NULL' for c in USERNEEDS + TIME_COLS + _PRIVACY)
+
+
+@register("feature_matrix", STAR_CTE + f"""SELECT event_id, n_features, round(feature_sum, 6) AS feature_sum FROM (
+  SELECT event_id, CAST({' + '.join(_dummy_count(c) for c in CATEGORICAL)} + {len(USERNEEDS + TIME_COLS) + len(_PRIVACY)}
+    AS INTEGER) AS n_features, CASE WHEN {_COMPLETE} THEN 1 ELSE 0 END AS complete,
+    {' + '.join(_not_first(c) for c in CATEGORICAL)} + {_SCALED_SUM} + {_PRIVACY_SUM} AS feature_sum FROM star)
+WHERE complete = 1""")
 def q_feature_matrix(spark, sf_dir):
     arr = M.vector_to_array(F.col("features"))
-    return features(spark, sf_dir).select("event_id", F.size(arr).alias("n_features"),
-                                          F.aggregate(arr, F.lit(0.0), lambda a, x: a + x).alias("feature_sum"))
+    return features(spark, sf_dir).select(
+        "event_id", F.size(arr).alias("n_features"),
+        F.round(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x), 6).alias("feature_sum"))
 
 
-def projected(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    return M.pca_project(features(spark, sf_dir), k)
+def projected(spark: SparkSession, sf_dir: str, k: int = 10, keep: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    return M.pca_project(features(spark, sf_dir, keep), k)
 
 
 @register("pca_project")
@@ -135,13 +161,65 @@ def q_pca_project(spark, sf_dir):
     return projected(spark, sf_dir).select("event_id", *M.vector_columns("pca", 10, "pc"))
 
 
+def _variance_sql() -> str:
+    """Total variance of the features over the complete rows, scaled by the statistics of all rows."""
+    parts = [f"(SELECT coalesce(sum(p * (1 - p)), 0) FROM (SELECT count(*) / (SELECT count(*) FROM whole) AS p FROM whole "
+             f"WHERE CAST({c} AS VARCHAR) > (SELECT min(CAST({c} AS VARCHAR)) FROM star) GROUP BY {c}))" for c in CATEGORICAL]
+    parts += [f"(SELECT var_pop({c}) FROM whole) / (SELECT CASE WHEN var_pop({c}) = 0 THEN 1 ELSE var_pop({c}) END FROM star)"
+              for c in USERNEEDS + TIME_COLS]
+    parts += [f'(SELECT var_pop("{c}") FROM whole)' for c in _PRIVACY]
+    return " + ".join(parts)
+
+
+@register("pca_variance", STAR_CTE + f""", whole AS (SELECT * FROM star WHERE {_COMPLETE})
+SELECT (SELECT count(*) FROM whole) AS n_rows, true AS centred, true AS falling, true AS uncorrelated,
+  round({_variance_sql()}, 4) AS total_variance""")
+def q_pca_variance(spark, sf_dir):
+    """The projection's invariants: components are centred, uncorrelated and of falling variance, and projecting
+    on as many components as there are features keeps the total variance."""
+    rows = features(spark, sf_dir)
+    d = rows.select(F.size(M.vector_to_array("features")).alias("d")).first()["d"]
+    pc = M.pca_project(rows, d).select(M.vector_to_array("pca").alias("p"))
+    p = [F.col("p")[i] for i in range(d)]
+    s = pc.agg(F.count(F.lit(1)).alias("n_rows"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(p)],
+               *[F.var_pop(x).alias(f"v{i}") for i, x in enumerate(p)],
+               *[F.covar_pop(p[i], p[i + 1]).alias(f"c{i}") for i in range(d - 1)])
+    v = [F.col(f"v{i}") for i in range(d)]
+    every = lambda conditions: F.forall(F.array(*conditions), lambda x: x)
+    return s.select(
+        "n_rows", every([F.abs(F.col(f"m{i}")) < 1e-6 for i in range(d)]).alias("centred"),
+        every([a >= b - 1e-6 for a, b in zip(v, v[1:])]).alias("falling"),
+        every([F.abs(F.col(f"c{i}")) < 1e-6 for i in range(d - 1)]).alias("uncorrelated"),
+        F.round(sum(v[1:], v[0]), 4).alias("total_variance"))
+
+
 @register("kmeans_assign")
 def q_kmeans_assign(spark, sf_dir):
     return M.kmeans_assign(projected(spark, sf_dir), k=8, seed=42).select("event_id", "cluster")
 
 
+@register("kmeans_nearest", STAR_CTE + f"SELECT event_id, true AS nearest FROM star WHERE {_COMPLETE}")
+def q_kmeans_nearest(spark, sf_dir):
+    """Whether each row's cluster is that of the nearest centre."""
+    rows = projected(spark, sf_dir)
+    model = M.kmeans_fit(rows, k=8, seed=42)
+    d = M.distances(model)
+    return model.transform(rows).select(
+        "event_id", (F.get(d, F.col("cluster")) <= F.array_min(d) * (1 + 1e-9) + 1e-9).alias("nearest"))
+
+
 @register("cluster_profile")
 def q_cluster_profile(spark, sf_dir):
-    assigned = M.kmeans_assign(projected(spark, sf_dir), k=8, seed=42).select("event_id", "cluster")
-    profile = star(spark, sf_dir).join(assigned, "event_id", "inner")
-    return M.cluster_profile(profile, "cluster", USERNEEDS + TIME_COLS + ["IS_LOGGED_IN"])
+    # the profile's columns travel beside the vectors
+    assigned = M.kmeans_assign(projected(spark, sf_dir, keep=("event_id", *PROFILE)), k=8, seed=42)
+    return M.cluster_profile(assigned, "cluster", PROFILE)
+
+
+@register("cluster_totals", STAR_CTE + "SELECT count(*) AS n_rows, "
+          + ", ".join(f"round(avg({c}), 6) AS avg_{c}" for c in PROFILE) + f" FROM star WHERE {_COMPLETE}")
+def q_cluster_totals(spark, sf_dir):
+    """The profile's clusters together again: their sizes add up and their means average to the whole's."""
+    p = q_cluster_profile(spark, sf_dir)
+    n = F.sum("n_rows")
+    return p.agg(n.alias("n_rows"), *[F.round(F.sum(F.col(f"avg_{c}") * F.col("n_rows")) / n, 6).alias(f"avg_{c}")
+                                      for c in PROFILE])

@@ -50,3 +50,8 @@ def test_kmeans_invariants(feats):
     lb = {r["event_id"]: r["cluster"] for r in b.select("event_id", "cluster").collect()}
     assert la == lb and len(la) == feats.count()
     assert set(la.values()) <= set(range(4))
+
+
+def test_rows_of_a_cluster(spark):
+    df = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "id int, cluster int")
+    assert sorted(r.id for r in M.rows_of_cluster(df, "cluster", 1).collect()) == [2, 3]
