@@ -79,8 +79,13 @@ def article_table(df: DataFrame, *, nested: str = "enriched_article", sep: str =
                   new_only: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """The flat article row: typed defaults by dotted path, list fields joined
     with ``sep``, publication time parsed, brand-safety struct flattened.
-    Absent mandatory fields give null rather than an error."""
+    Missing optional fields take their defaults ('' for url and sub-section, 0
+    for counts); absent mandatory ones give null rather than an error."""
     a = f"{nested}."
+
+    def default(path: str, value) -> Column:
+        return F.coalesce(F.col(a + path), F.lit(value))
+
     rows = df.filter(F.col("new_article") == "True") if new_only else df
     return rows.select(
         "article_id", "cds_content_id",
@@ -88,12 +93,12 @@ def article_table(df: DataFrame, *, nested: str = "enriched_article", sep: str =
         F.col(a + "title").alias("title"),
         F.col(a + "text_cleaned").alias("text"),
         F.array_join(F.coalesce(F.col(a + "authors"), F.array()), sep).alias("authors"),
-        F.col(a + "url").alias("url"),
+        default("url", "").alias("url"),
         F.col(a + "section.main_section").alias("main_section"),
-        F.col(a + "section.sub_section").alias("sub_section"),
-        F.col(a + "enrichments.num_words").alias("num_words"),
-        F.col(a + "enrichments.num_sentences").alias("num_sentences"),
-        F.col(a + "enrichments.raw_character_count").alias("num_chars"),
+        default("section.sub_section", "").alias("sub_section"),
+        default("enrichments.num_words", 0).alias("num_words"),
+        default("enrichments.num_sentences", 0).alias("num_sentences"),
+        default("enrichments.raw_character_count", 0).alias("num_chars"),
         F.to_timestamp_ntz(F.col(a + "first_publication_ts"), F.lit(ts_format)).alias("first_publication_timestamp"),
         F.array_join(F.coalesce(F.col(a + "categories"), F.array()), sep).alias("categories_generated"),
         F.array_join(F.coalesce(F.col(a + "source_keywords"), F.array()), sep).alias("keywords_curated"),
@@ -103,18 +108,13 @@ def article_table(df: DataFrame, *, nested: str = "enriched_article", sep: str =
     )
 
 
-MAX_MAP_KEYS = 10_000
-
-
-def map_keys_present(df: DataFrame, m: str | Column, max_keys: int = MAX_MAP_KEYS) -> list[str]:
+def map_keys_present(df: DataFrame, m: str | Column) -> list[str]:
     """Sorted distinct keys found in a map column (an open key set becomes a
-    column list).  Keys are de-duplicated with a partial aggregation; at most
-    ``max_keys + 1`` reach the driver."""
+    column list).  Keys are de-duplicated with a partial aggregation; they become
+    columns, so they reach the driver.  Keep the map, or its exploded (key,
+    value) rows, where there are too many for that."""
     col = F.col(m) if isinstance(m, str) else m
-    rows = df.select(F.explode(F.map_keys(col)).alias("k")).distinct().limit(max_keys + 1).collect()
-    if len(rows) > max_keys:
-        raise ValueError(f"more than {max_keys} distinct map keys; keep the map instead of columns")
-    return sorted(r["k"] for r in rows)
+    return sorted(r["k"] for r in df.select(F.explode(F.map_keys(col)).alias("k")).distinct().toLocalIterator())
 
 
 def score_tables(df: DataFrame, key_sets: Mapping[str, tuple[str, Sequence[str] | None]],

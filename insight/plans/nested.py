@@ -134,8 +134,8 @@ def q_scan_nested_articles(spark, sf_dir):
 @register("article_flatten", """SELECT CAST(doc_id AS VARCHAR) AS article_id, 'cds-' || CAST(doc_id AS VARCHAR)
   AS cds_content_id, source AS brands, 'Article ' || CAST(doc_id AS VARCHAR) AS title, text,
   source || '|' || upper(lang) AS authors,
-  CASE WHEN lang = 'es' THEN NULL ELSE 'https://news.example/' || CAST(doc_id AS VARCHAR) END AS url,
-  source AS main_section, CASE WHEN lang = 'en' THEN NULL ELSE lang END AS sub_section,
+  CASE WHEN lang = 'es' THEN '' ELSE 'https://news.example/' || CAST(doc_id AS VARCHAR) END AS url,
+  source AS main_section, CASE WHEN lang = 'en' THEN '' ELSE lang END AS sub_section,
   CAST(len(string_split(text, ' ')) AS INTEGER) AS num_words,
   CAST(len(string_split(text, '. ')) AS INTEGER) AS num_sentences, n_chars AS num_chars,
   make_timestamp(2024, 1, CAST(doc_id % 28 + 1 AS BIGINT), 8, CAST(doc_id % 60 AS BIGINT), 0)
@@ -274,3 +274,66 @@ def q_parallel_arrays(spark, sf_dir):
     # presented as text, as the reference writes the review table to a flat file
     return kept.select("article_id", F.col(f"{e}.title").alias("title"), F.col(f"{e}.url").alias("url"),
                        *[F.array_join(c, "|").alias(f"imgperson_{f}") for c, f in zip(arrays, PERSON_FIELDS)])
+
+
+def _lists_sql(parts: dict[str, str]) -> str:
+    """Lists of one value a paragraph, as text."""
+    lists = ",\n  ".join(f"array_to_string(list({e} ORDER BY i), '|') AS {n}" for n, e in parts.items())
+    return "WITH " + _PARA + f"SELECT CAST(doc_id AS VARCHAR) AS article_id,\n  {lists}\nFROM para GROUP BY doc_id"
+
+
+def _lists(spark, sf_dir, array, fields, prefix):
+    columns = N.parallel_arrays(array, fields, prefix)
+    text = [F.array_join(F.transform(c, lambda v: F.coalesce(v.cast("string"), F.lit("NA"))), "|").alias(f"{prefix}{f}")
+            for c, f in zip(columns, fields)]
+    return articles(spark, sf_dir).select("article_id", *text)
+
+
+_E = "enriched_article.enrichments"
+_S = f"{_E}.semantics"
+
+
+@register("parallel_topics", _lists_sql({
+    "topic_label": "lang || '-' || CAST(i AS VARCHAR)", "topic_id": "CAST(i AS VARCHAR)",
+    "topic_score": "CAST(length(l) AS VARCHAR) || '.0'", "topic_wikiLink": "'https://wiki.example/' || CAST(i AS VARCHAR)",
+    "topic_wikidataId": "'Q' || CAST(i + 1 AS VARCHAR)"}))
+def q_parallel_topics(spark, sf_dir):
+    return _lists(spark, sf_dir, F.col(f"{_E}.topics"), ["label", "id", "score", "wikiLink", "wikidataId"], "topic_")
+
+
+@register("parallel_categories", _lists_sql({
+    "category_label": "source", "category_score": "printf('%.6f', CAST(length(l) AS DOUBLE) / 100)",
+    "category_categoryId": "'c' || CAST(i AS VARCHAR)", "category_classifierId": "'clf-' || lang"}))
+def q_parallel_categories(spark, sf_dir):
+    rows = F.transform(F.col(f"{_E}.categories"), lambda c: F.struct(
+        c["label"].alias("label"), F.format_string("%.6f", c["score"]).alias("score"), c["categoryId"].alias("categoryId"),
+        c["classifierId"].alias("classifierId")))
+    return _lists(spark, sf_dir, rows, ["label", "score", "categoryId", "classifierId"], "category_")
+
+
+@register("parallel_media_topics", _lists_sql({
+    "media_id": "'mt' || CAST(i AS VARCHAR)", "media_name": "lang || '/' || source",
+    "media_score": "CAST(length(l) AS VARCHAR) || '.0'", "media_enabled": "CAST(length(l) > 0 AS VARCHAR)"}))
+def q_parallel_media_topics(spark, sf_dir):
+    rows = F.transform(F.col(f"{_S}.media_topic_inquiry_results"), lambda t: F.struct(
+        t["media_topic"]["id"].alias("id"), t["media_topic"]["name"].alias("name"), t["score"].alias("score"),
+        t["enabled"].alias("enabled")))
+    return _lists(spark, sf_dir, rows, ["id", "name", "score", "enabled"], "media_")
+
+
+@register("parallel_entities", _lists_sql({
+    "entity_name": "CASE WHEN length(l) = 0 THEN 'NA' ELSE source END",
+    "entity_type": "CASE WHEN length(l) = 0 THEN 'NA' ELSE lang END", "entity_score": "CAST(i AS VARCHAR) || '.0'",
+    "entity_saliency": "printf('%.6f', CAST(length(l) AS DOUBLE) / 1000)",
+    "entity_mentions": "'0-' || CAST(length(l) AS VARCHAR) || ',' || CAST(i AS VARCHAR) || '-' || CAST(i + 1 AS VARCHAR)"}))
+def q_parallel_entities(spark, sf_dir):
+    rows = F.transform(F.col(f"{_S}.named_entity_inquiry_results"), lambda e: F.struct(
+        e["named_entity"]["name"].alias("name"), e["named_entity"]["type"].alias("type"), e["score"].alias("score"),
+        F.format_string("%.6f", e["saliency"]).alias("saliency"), N.offsets_text(e["mentions"]).alias("mentions")))
+    return _lists(spark, sf_dir, rows, ["name", "type", "score", "saliency", "mentions"], "entity_")
+
+
+@register("new_articles", """SELECT CAST(doc_id AS VARCHAR) AS article_id, 'Article ' || CAST(doc_id AS VARCHAR) AS title
+FROM documents WHERE n_chars > 1000""")
+def q_new_articles(spark, sf_dir):
+    return N.article_table(articles(spark, sf_dir), new_only=True).select("article_id", "title")
