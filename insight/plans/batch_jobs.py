@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from insight.operators import events as E
 from insight.operators import nested as N
+from insight.session import land
 from insight.sources.files import scan_json, tag_file_id
 from insight.sources.sinks import write_csv, write_json, write_many
 
@@ -41,25 +42,29 @@ def reduce_tracking_files(spark: SparkSession, paths: str | Sequence[str], out:
                           path_glob: str | None = "*.json.gz", gzip_out: bool = True) -> dict[str, DataFrame]:
     """Raw events -> ``views``, ``interactions`` (CSV) and lookups (JSON).
 
-    gz files are one split each, so the parsed rows are spread over the
-    shuffle partitions before the work fans out.  ``order`` (plus the file id)
+    The raw files are parsed twice: for the table of file ids, and for the
+    reduced rows, which are landed for all outputs.  Remove the scratch tables
+    with ``insight.remove_scratch`` when the outputs are written.  ``order`` (plus the file id)
     defines "first appearance" for the dictionaries; Spark has no file order.
     """
     raw = scan_json(spark, paths, schema, path_glob=path_glob)
-    raw = raw.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     tagged, files = tag_file_id(raw, "file_name", dimension=True)
     order_cols = [*order, "file_name"]
     # equal (time, file) with different attributes: broken by a digest of the
     # attributes, so a recomputed task picks the same winner
     tie = F.xxhash64("GEO_REGION_NAME", "GEO_TIMEZONE").alias("__tie")
-    region = E.latest_lookup(tagged.withColumn("__tie", tie), "GEO_REGION", ["GEO_REGION_NAME", "GEO_TIMEZONE"],
+    lookup = ["GEO_REGION_NAME", "GEO_TIMEZONE"]
+    # reduced first, then spread (a gz file is one split) and landed: every output reads this one parse
+    reduced = E.event_reduce(tagged.select("*", tie, *[F.col(c).alias(f"__{c}") for c in lookup]))
+    reduced = land(reduced.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), "tracking-reduced")
+    region = E.latest_lookup(reduced.withColumnsRenamed({f"__{c}": c for c in lookup}), "GEO_REGION", lookup,
                              [*order_cols, "__tie"])
-    reduced = E.event_reduce(tagged)
+    reduced = reduced.drop("__tie", *[f"__{c}" for c in lookup])
     # dictionary ids: first (time, file) per value; ties between values go by the value
     city_rows, city = E.dict_encode(reduced, "GEO_CITY", order_cols)
     enc, refr = E.dict_encode(city_rows, "REFR_URLHOST", order_cols)
-    enc = enc.withColumn("GEO_CITY", F.col("GEO_CITY_id")).withColumn("REFR_URLHOST", F.col("REFR_URLHOST_id")) \
-        .drop("GEO_CITY_id", "REFR_URLHOST_id")
+    enc = land(enc.withColumn("GEO_CITY", F.col("GEO_CITY_id")).withColumn("REFR_URLHOST", F.col("REFR_URLHOST_id"))
+               .drop("GEO_CITY_id", "REFR_URLHOST_id"), "tracking-encoded")
     views, interactions = E.split_views(enc), E.split_interactions(enc)
     write_csv(views, f"{out}/reduced_views", gzip=gzip_out)
     write_csv(interactions, f"{out}/reduced_interactions", gzip=gzip_out)
@@ -97,8 +102,8 @@ def article_outputs(articles: DataFrame, score_sets: dict) -> dict[str, DataFram
 def reduce_article_files(spark: SparkSession, paths: str | Sequence[str], out: str, schema: T.StructType,
                          score_sets: dict, fmt: str = "csv") -> dict[str, DataFrame]:
     """Enriched articles -> article + child tables, from one parse of the input
-    (persisted while the outputs are written)."""
-    parsed = tag_file_id(scan_json(spark, paths, schema), "file_name")
+    (landed, so that each output reads only its own nested fields)."""
+    parsed = land(tag_file_id(scan_json(spark, paths, schema), "file_name"), "articles-parsed")
     tables = article_outputs(parsed, score_sets)
-    write_many(parsed, {k: (v, f"{out}/reduced_articles_{k}") for k, v in tables.items()}, fmt=fmt)
+    write_many({k: (v, f"{out}/reduced_articles_{k}") for k, v in tables.items()}, fmt=fmt)
     return tables

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from insight.functions import selection as S
 from insight.functions.columns import PRIVACY_TOKENS, time_parts as time_part_cols
 from insight.operators import events as E
 from insight.plans.registry import register
@@ -172,3 +173,24 @@ def q_file_id_tag(spark, sf_dir):
      .write.mode("overwrite").options(**TS_FORMATS).partitionBy("day").json(path))
     schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType())])
     return tag_file_id(scan_json(spark, path, schema), unit="dir").select("event_id", "file_name")
+
+
+@register("file_id_per_file", """SELECT event_id, CAST(dense_rank() OVER (ORDER BY CAST(ts AS DATE)) - 1 AS BIGINT)
+  AS file_name FROM events""")
+def q_file_id_per_file(spark, sf_dir):
+    """One file for each day, numbered by path."""
+    path = scratch_path(spark, "events-file-a-day")
+    day = F.to_date("ts").alias("day")
+    (table(spark, sf_dir, "events").select("event_id", "ts", day).repartition("day")
+     .write.mode("overwrite").options(**TS_FORMATS).partitionBy("day").json(path))
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType())])
+    return tag_file_id(scan_json(spark, path, schema), unit="file").select("event_id", "file_name")
+
+
+@register("select_by_name", REDUCED_CTE + "SELECT event_id, " + ", ".join(f'"{n}"' for n in PRIVACY_TOKENS)
+          + ", GEO_CITY, GEO_COUNTRY, GEO_REGION, GEO_ZIPCODE FROM reduced")
+def q_select_by_name(spark, sf_dir):
+    """Columns by prefix, by pattern and by type, and those with a marker dropped."""
+    r = S.drop_containing(reduced(spark, sf_dir), "REFR")
+    geo = [c for c in S.columns_matching(r, "^GEO_[A-Z]+$") if c in S.columns_of_type(r, T.StringType, containing="GEO")]
+    return S.select_prefix(r, "privacy_", keep=["event_id", *geo])

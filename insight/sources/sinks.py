@@ -28,16 +28,8 @@ def write_text(df: DataFrame, path: str, column: str = "value", mode: str = "ove
     df.select(column).write.mode(mode).text(path)
 
 
-def write_many(source: DataFrame, outputs: Mapping[str, tuple[DataFrame, str]], fmt: str = "parquet") -> None:
-    """Several tables derived from one parsed input.
-
-    ``source`` is persisted once (memory and disk) so each output's
-    projection does not re-read and re-parse the raw files; it is released
-    after the last write.  A lost executor only recomputes its partitions.
-    """
-    source.persist()
-    try:
-        for _, (frame, path) in outputs.items():
-            frame.write.mode("overwrite").format(fmt).option("header", True).save(path)
-    finally:
-        source.unpersist()
+def write_many(outputs: Mapping[str, tuple[DataFrame, str]], fmt: str = "parquet") -> None:
+    """Several tables derived from one landed input (``insight.land``), each
+    written by its own job that reads only the columns it needs."""
+    for frame, path in outputs.values():
+        frame.write.mode("overwrite").format(fmt).option("header", True).save(path)

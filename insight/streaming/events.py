@@ -11,6 +11,7 @@ decides which batch ids are re-run, the sink is idempotent per id.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -31,13 +32,9 @@ def read_event_stream(spark: SparkSession, path: str, schema: T.StructType, fmt:
 
 def _write_batch(out: str, fmt: str):
     def write(batch: DataFrame, batch_id: int) -> None:
-        reduced = event_reduce(batch).persist()
-        try:
-            for name, part in (("views", split_views(reduced)), ("interactions", split_interactions(reduced))):
-                part.write.mode("overwrite").format(fmt).option("header", True) \
-                    .save(f"{out}/{name}/batch={batch_id}")
-        finally:
-            reduced.unpersist()
+        reduced = event_reduce(batch)  # a narrow projection: cheaper to redo than to keep
+        for name, part in (("views", split_views(reduced)), ("interactions", split_interactions(reduced))):
+            part.write.mode("overwrite").format(fmt).option("header", True).save(f"{out}/{name}/batch={batch_id}")
     return write
 
 
@@ -51,12 +48,23 @@ def start_reduction(stream: DataFrame, out: str, checkpoint: str, fmt: str = "pa
     return writer.start()
 
 
-def start_event_counter(stream: DataFrame, checkpoint: str, table: str,
+def start_event_counter(stream: DataFrame, checkpoint: str, out: str,
                         available_now: bool = True) -> StreamingQuery:
     """Running count per event name (absent name -> ``no-event``), kept as
-    streaming state and emitted in full to an in-memory table."""
-    counts = event_counts(stream)
-    writer = (counts.writeStream.outputMode("complete").format("memory").queryName(table)
-              .option("checkpointLocation", checkpoint))
+    streaming state.  Every micro-batch writes all counts to the folder of its
+    batch id below ``out`` (overwritten on replay); :func:`read_counts` takes the
+    last one."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    writer = event_counts(stream).writeStream.outputMode("complete").foreachBatch(write) \
+        .option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
+
+
+def read_counts(spark: SparkSession, out: str) -> DataFrame:
+    """The counts after the last micro-batch."""
+    counts = spark.read.parquet(out)
+    last = counts.agg(F.max("batch")).first()[0]
+    return counts.filter(F.col("batch") == F.lit(last)).drop("batch")

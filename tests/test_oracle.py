@@ -1,4 +1,7 @@
-"""Every registered query against its DuckDB oracle (rows-only where none)."""
+"""Every registered query against its DuckDB oracle (rows where there is none).
+
+``INSIGHT_ORACLE_DIR`` names other tables: larger ones show faults that small ones hide (range sampling).
+"""
 
 import os
 import sys
@@ -15,16 +18,19 @@ QUERIES = entry.queries()
 ORACLES = entry.oracle_sql()
 
 
+DIR = os.environ.get("INSIGHT_ORACLE_DIR", "/root/testdata/sf0.001")
+
+
 @pytest.fixture(scope="module")
-def con(sf_dir):
-    return duck(sf_dir)
+def con():
+    return duck(DIR)
 
 
 @pytest.mark.parametrize("key", sorted(QUERIES))
-def test_query_matches_oracle(spark, con, sf_dir, key):
-    res = compare(spark, con, sf_dir, key, QUERIES, ORACLES)
+def test_query_matches_oracle(spark, con, key):
+    res = compare(spark, con, DIR, key, QUERIES, ORACLES)
     assert res["status"] in ("ok", "rows-only"), res
-    assert res["spark_rows"] >= 0
+    assert res["spark_rows"] > 0
 
 
 def test_entry_smoke(spark):

@@ -6,7 +6,7 @@ from insight.operators.events import event_reduce, split_views
 from insight.plans.views import ev
 from insight.session import checkpoint_root
 from insight.sources.sinks import write_json
-from insight.streaming.events import read_event_stream, start_event_counter, start_reduction
+from insight.streaming.events import read_counts, read_event_stream, start_event_counter, start_reduction
 
 
 def test_stream_matches_batch(spark, sf_dir):
@@ -32,7 +32,7 @@ def test_stream_counter(spark, sf_dir):
     raw = ev(spark, sf_dir)
     write_json(raw.repartition(3), f"{root}/in")
     q = start_event_counter(read_event_stream(spark, f"{root}/in", raw.schema, max_files_per_trigger=1),
-                            f"{root}/ckpt", "insight_counts_test")
+                            f"{root}/ckpt", f"{root}/counts")
     q.awaitTermination(300)
-    got = {r["event_name"]: r["n_events"] for r in spark.sql("SELECT * FROM insight_counts_test").collect()}
+    got = {r["event_name"]: r["n_events"] for r in read_counts(spark, f"{root}/counts").collect()}
     assert sum(got.values()) == raw.count()
