@@ -376,7 +376,8 @@ def components(links: DataFrame) -> DataFrame:
     half of the places go in a round, so the links shrink fast; the rounds' moves
     are put together at the end.  Each round is written once.
     """
-    edges = landed(links.select("a", "b").union(links.select("b", "a")).filter("a != b").distinct(), "links")
+    links = landed(links.select("a", "b"), "links")  # used twice, and costly behind the set comparison
+    edges = landed(links.union(links.select("b", "a")).filter("a != b").distinct(), "links")
     nodes = landed(links.select(F.col("a").alias("node")).union(links.select("b")).distinct(), "nodes")
     moves = []
     while not edges.isEmpty():
