@@ -247,7 +247,7 @@ def core(met: DataFrame) -> DataFrame:
     met, before = landed(met, "ngram-met"), None
     while True:
         n = met.count()
-        if before is not None and n > 0.95 * before:
+        if n == 0 or (before is not None and n > 0.95 * before):
             return met.select("pivot", "member")
         before = n
         groups = met.groupBy("pivot").agg(F.min("asked").alias("least"), F.count(F.lit(1)).alias("size"),
