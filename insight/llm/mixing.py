@@ -75,10 +75,11 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
 
 def plan_mix(docs: DataFrame, seed: int = 0, block_docs: int = 16, max_blocks: int = 1024,
              weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text, source): doc_id, source, size, sid, source_size,
-    target, block, copies (times the mix takes it)."""
+    """One row for each row of ``docs`` (doc_id, text, source): row (its own number), doc_id, source, size, sid,
+    source_size, target, block, copies (times the mix takes it)."""
     sized = landed(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size")), "mix-sizes")
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source",
+        n_words(F.col("text")).alias("size")), "mix-sizes")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     targets = landed(source_targets(sizes, weights, share, most), "mix-targets")
     n_blocks = F.least(F.lit(max_blocks), F.ceil(F.col("n_docs") / block_docs)).cast("long")
@@ -103,7 +104,7 @@ def plan_mix(docs: DataFrame, seed: int = 0, block_docs: int = 16, max_blocks: i
     # only the one block of a source where its target falls is ordered document by document
     inside = Window.partitionBy("sid", "block").orderBy(
         digest(F.lit(seed), F.lit("doc"), F.col("doc_id")), "doc_id", "size")
-    keep = ["doc_id", "source", "size", "sid", "source_size", "target", "block", "copies"]
+    keep = ["row", "doc_id", "source", "size", "sid", "source_size", "target", "block", "copies"]
     plain = rows.filter(~F.coalesce(cut, F.lit(False))).withColumn("copies", F.when(
         F.col("size") > 0, F.col("passes") + whole.cast("int")).otherwise(F.lit(0))).select(keep)
     edge = rows.filter(cut).withColumn("until", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))) \
@@ -164,21 +165,33 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
         .filter("draws > 0")
 
 
-def mix(docs: DataFrame, shards: int, seed: int = 0, **options) -> DataFrame:
-    """The mixed rows of ``docs``, each as often as the mix takes it, in one partition for each shard and
-    shuffled inside it; columns as in ``docs``."""
-    id_, source_, size_, places_ = inner(docs, "mix_id", "mix_source", "mix_size", "mix_places")
-    plan = landed(plan_mix(docs, seed, **options).filter("copies > 0"), "mix-plan")
+def placements(plan: DataFrame, shards: int, seed: int = 0) -> DataFrame:
+    """(row, doc_id, source, size, pass, shard): each pass over each row of the (landed) plan, where the tree deals it."""
+    taken = plan.filter("copies > 0")
     # one draw for each pass over a block; the draws of a source in the order of pass and block hash
-    draws = plan.select("sid", "block", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("pass")).distinct()
+    draws = taken.select("sid", "block", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("pass")).distinct()
     turn = Window.partitionBy("sid").orderBy("pass", digest(F.lit(seed), F.lit("order"), F.col("sid"), F.col("block")), "block")
     draws = landed(draws.withColumn("draw", F.row_number().over(turn) - 1), "mix-draws")
     tree = landed(splitting_tree(draws.groupBy("sid").agg(F.count(F.lit(1)).alias("draws")), shards, seed), "mix-tree")
     stretches = tree.withColumn("draw", F.explode(F.expr("sequence(first, first + draws - 1)"))).select("shard", "sid", "draw")
     placed = draws.withColumn("draw", F.col("draw").cast("long")).join(stretches, ["sid", "draw"]) \
         .select("sid", "block", "pass", "shard")
-    places = plan.select("doc_id", "source", "size", "sid", "block", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("pass")) \
-        .join(placed, ["sid", "block", "pass"]) \
+    return taken.select("row", "doc_id", "source", "size", "sid", "block", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("pass")) \
+        .join(placed, ["sid", "block", "pass"]).select("row", "doc_id", "source", "size", "pass", "shard")
+
+
+def in_shards(rows: DataFrame, shards: int, shard: Column, doc_id: Column, turn: Column, seed: int) -> DataFrame:
+    """``rows`` by shard, shuffled inside each."""
+    key = digest(F.lit(seed), F.lit("place"), doc_id, turn)
+    return rows.repartition(shards, shard).sortWithinPartitions(shard, key, doc_id, turn)
+
+
+def mix(docs: DataFrame, shards: int, seed: int = 0, **options) -> DataFrame:
+    """The mixed rows of ``docs``, each as often as the mix takes it, in one partition for each shard and
+    shuffled inside it; columns as in ``docs``."""
+    id_, source_, size_, places_ = inner(docs, "mix_id", "mix_source", "mix_size", "mix_places")
+    plan = landed(plan_mix(docs, seed, **options).filter("copies > 0"), "mix-plan")
+    places = placements(plan, shards, seed) \
         .groupBy("doc_id", "source", "size").agg(F.collect_set(F.struct("pass", "shard")).alias("places"))
     places = landed(places.select(F.col("doc_id").alias(id_), F.col("source").alias(source_), F.col("size").alias(size_),
                                   F.col("places").alias(places_)), "mix-places")
@@ -187,11 +200,19 @@ def mix(docs: DataFrame, shards: int, seed: int = 0, **options) -> DataFrame:
     # sent to every task while it is small, else the documents are shuffled once more
     rows = join_dimension(docs, places, same, max_bytes=64 << 20).withColumn(places_, F.explode(places_))
     rows = rows.withColumn(size_, F.col(places_)["shard"])
-    key = digest(F.lit(seed), F.lit("place"), F.col(id_), F.col(places_)["pass"])
-    return rows.repartition(shards, size_).sortWithinPartitions(F.col(size_), key, F.col(id_), F.col(places_)["pass"]) \
+    return in_shards(rows, shards, F.col(size_), F.col(id_), F.col(places_)["pass"], seed) \
         .select(*[docs[c] for c in docs.columns])
 
 
+def taken_words(docs: DataFrame, shards: int, seed: int = 0, **options) -> DataFrame:
+    """Every row of the plan with ``taken``: its words in the shuffled shards, 0 where the tree dealt it to none."""
+    plan = landed(plan_mix(docs, seed, **options), "mix-plan")
+    dealt = landed(in_shards(placements(plan, shards, seed), shards, F.col("shard"), F.col("doc_id"), F.col("pass"), seed)
+                   .select("row", "size", "shard"), "mix-dealt")
+    taken = dealt.groupBy("row").agg(F.sum("size").alias("taken"))
+    return plan.join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+
+
 def op3_sql(seed: int = 0, block_docs: int = 16, max_blocks: int = 1024) -> str:
     def h(*parts: str) -> str:
         return f"('0x' || substr(md5(concat_ws('/', {', '.join(parts)})), 1, 15))::BIGINT"
@@ -244,5 +265,6 @@ FROM docs
 
 @register("op3_source_mixing", op3_sql())
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan_mix(documents(spark, sf_dir)).select(
-        "doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return taken_words(documents(spark, sf_dir), shards).select(
+        "doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")

@@ -89,3 +89,15 @@ def test_odd_tables(make):
     assert out == {1: (0, 0, 0.0, 0), 2: (0, 0, 0.0, 0)}
     twice = M.mix(make([(1, "a b", "x"), (1, "a b", "x"), (None, "c", "y")]), 2).collect()
     assert all(r.text in ("a b", "c") for r in twice)
+
+
+def test_taken_comes_from_the_dealt_draws(make, session, sf_dir, monkeypatch):
+    """What the tree does not deal is not taken, by the registered query either."""
+    docs = make(ROWS + ROWS[7:8] * 3)
+    plan = sorted((r.doc_id, r.size, r.copies * r.size) for r in M.plan_mix(docs, block_docs=4).collect())
+    assert sorted((r.doc_id, r.size, r.taken) for r in M.taken_words(docs, 5, block_docs=4).collect()) == plan
+    whole = {r.doc_id: r.taken for r in M.op3_source_mixing(session, sf_dir).collect()}
+    tree = M.splitting_tree
+    monkeypatch.setattr(M, "splitting_tree", lambda *a: tree(*a).filter("shard > 0"))
+    out = {r.doc_id: r.taken for r in M.op3_source_mixing(session, sf_dir).collect()}
+    assert out.keys() == whole.keys() and 0 < sum(out.values()) < sum(whole.values())
