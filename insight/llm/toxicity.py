@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: sentences are instances, documents are labelled.
 
 A sentence's score is a logistic function of the fingerprints of its words and
-word beginnings; a document's is the noisy-or of its sentences,
+word beginnings, and 0 without a known one; a document's is the noisy-or of its sentences,
 ``1 - prod(1 - p)``.  Only document labels are known, so the gradient of the
 document likelihood is shared out among its sentences: each takes part as far as
 it is thought to be the reason.  The weights then locate the offending
@@ -14,7 +14,7 @@ scored whole, in one pass without a shuffle.
 Defined results: null, empty and wordless texts have no sentence and score 0.
 Several labels of one doc_id count as toxic if one says so; null labels and
 labels without document are not learned from.  Without any toxic (or any clean)
-label the model has no weights and scores near 0.  Rows repeating a doc_id are
+label the model has no weights and scores 0.  Rows repeating a doc_id are
 scored one by one; other columns pass through unread.
 """
 
@@ -88,6 +88,7 @@ class Model:
         self.known[self.feature & np.uint32((1 << 20) - 1)] = True
 
     def sentence_scores(self, x: Instances) -> np.ndarray:
+        """p of each sentence: above what the bias alone gives, so that neutral sentences add up to 0 in any number."""
         z = np.full(len(x.row), self.bias)
         if len(self.feature):
             near = np.flatnonzero(self.known[x.feature & np.uint32((1 << 20) - 1)])
@@ -97,7 +98,8 @@ class Model:
             # a feature counts once in a sentence, however often it is repeated
             found = np.unique(x.sentence[near[hit]] * len(self.feature) + at[hit])
             z += np.bincount(found // len(self.feature), self.weight[found % len(self.feature)], len(z))
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        p, floor = (1 / (1 + np.exp(-np.clip(v, -40, 40))) for v in (z, self.bias))
+        return np.where(z > self.bias, (p - floor) / (1 - floor), 0.0)
 
 
 def noisy_or(row: np.ndarray, p: np.ndarray, rows: int) -> np.ndarray:

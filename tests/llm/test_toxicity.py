@@ -74,3 +74,13 @@ def test_features_count_once_in_a_sentence():
     model = T.Model(np.sort(np.unique(T.instances(pa.array(["idiot"])).feature)), np.full(len(np.unique(T.instances(pa.array(["idiot"])).feature)), 2.0), -5.0)
     one, many = (model.sentence_scores(T.instances(pa.array([t])))[0] for t in ("idiot", "idiot idiot idiot"))
     assert one == pytest.approx(many)
+
+
+def test_length_alone_is_not_toxic(make, fitted, session):
+    """50,000 neutral sentences or lines: without known features, and by a model without weights."""
+    _, _, model = fitted
+    docs = make([(1, "qqq zzz. " * 50_000), (2, "qqq zzz\n" * 50_000), (3, "qqq zzz. " * 50_000 + "idiot you")])
+    assert [(r.score, r.predicted) for r in T.scored(docs, model, ["doc_id"]).orderBy("doc_id").collect()][:2] == [(0.0, 0)] * 2
+    assert [r.predicted for r in T.scored(docs, model, ["doc_id"]).orderBy("doc_id").collect()] == [0, 0, 1]
+    without = T.train(docs, session.createDataFrame([], "doc_id long, toxic int"))
+    assert T.clean(docs, without).count() == 3
