@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 # Fields pulled out of each entry by default.
 DEFAULT_FIELDS = ("title", "journal", "year", "doi", "author")
 
-# A braced value ends at the brace that balances its first one (two levels of braces
-# inside); a quoted one at the next quote outside braces.  After it comes a comma or
-# the end of the entry.  Possessive runs keep the patterns linear.
+# A braced value ends at the brace that balances its first one; a quoted one at the next
+# quote outside braces.  After it comes a comma or the end of the entry.  The patterns take
+# two levels of braces inside, deeper ones are counted (_balanced).  Possessive runs keep
+# the patterns linear.
 _L2 = r"\{[^{}]*+\}"
 _L1 = rf"\{{(?:[^{{}}]|{_L2})*+\}}"
 _BRACED = rf"\{{((?:[^{{}}]|{_L1})*+)\}}"
@@ -38,6 +39,29 @@ def scan_entries(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
             .filter(~F.col("entry").rlike(r"(?i)^\s*(comment|string|preamble)\s*[{(]")))
 
 
+def _balanced(rest: Column, close: str) -> Column:
+    """``rest`` up to the first ``close`` outside braces, at any depth of braces (null if there is none)."""
+    def step(a, piece):
+        mark = F.right(piece, F.lit(1))
+        ends = (mark == close) & (a["depth"] == 0)
+        depth = a["depth"] + F.when(mark == "{", 1).when(mark == "}", -1).otherwise(0)
+        return F.when(a["done"], a).otherwise(F.struct(
+            depth.alias("depth"), (a["size"] + F.length(piece)).alias("size"), ends.alias("done")))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("done"))
+    size = F.aggregate(F.regexp_extract_all(rest, F.lit(r"[^{}\"]*+[{}\"]"), F.lit(0)), start, step,
+                       lambda a: F.when(a["done"], a["size"] - 1))
+    return F.substring(rest, F.lit(1), size)
+
+
+def _deep(entry: Column, start: str) -> Column:
+    """Value with braces deeper than the patterns go, one outer pair removed."""
+    v = F.coalesce(*[F.nullif(_balanced(F.regexp_extract(entry, start + opening + "(.*)$", 1), close), F.lit(""))
+                     for opening, close in ((r"\{", "}"), ('"', '"'))])
+    inside = _balanced(F.regexp_extract(v, r"(?s)^\{(.*)$", 1), "}")
+    return F.when(F.length(inside) == F.length(v) - 2, inside).otherwise(v)
+
+
 def field(entry: Column, name: str) -> Column:
     """Value of field ``name`` (null when absent), outer brace pair removed,
     inner whitespace runs collapsed to one blank."""
@@ -45,7 +69,8 @@ def field(entry: Column, name: str) -> Column:
     braced = F.regexp_extract(entry, start + _BRACED + _END, 1)
     quoted = F.regexp_extract(entry, start + _QUOTED + _END, 1)
     bare = F.regexp_extract(entry, start + r"([0-9]+)" + _END, 1)
-    v = F.coalesce(F.nullif(braced, F.lit("")), F.nullif(quoted, F.lit("")), F.nullif(bare, F.lit("")))
+    v = F.coalesce(F.nullif(braced, F.lit("")), F.nullif(quoted, F.lit("")), F.nullif(bare, F.lit("")),
+                   _deep(entry, start))
     v = F.regexp_replace(v, rf"(?s)^{_BRACED}$", "$1")  # only where the first brace's partner is the last one
     return F.nullif(F.trim(F.regexp_replace(v, r"\s+", " ")), F.lit(""))
 

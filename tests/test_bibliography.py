@@ -183,3 +183,16 @@ def test_entries_in_one_line_and_in_parentheses(spark, tmp_path):
     assert (rows["k2"].entry_type, rows["k2"].title, rows["k2"].year) == ("misc", "Q {R} S", "1999")
     assert (rows["k3"].title, rows["k3"].doi) == ("{Double} and {two {three}}", "10.2/y")
     assert (rows["k4"].title, rows["k4"].journal) == (None, "J, with comma")
+
+
+def test_scan_bib_values_of_any_depth(spark, tmp_path):
+    from insight.sources.bibtex import scan_bib
+
+    (tmp_path / "deep.bib").write_text(
+        '@article{a,\n  title = {{The {\\"{U}}ber}},\n  year = {2020},\n  journal = "A {{B {{C}} "x"}} D"\n}\n'
+        '@article{b, title = {{The {\\"{U}}ber}}, journal = {}, year = {2021}}\n'
+        '@article{c,\n  title = {a {b {c {d {e}}}}},\n  doi = {10.1/x}\n}\n')
+    rows = {r.key: r for r in scan_bib(spark, str(tmp_path / "deep.bib")).collect()}
+    assert (rows["a"].title, rows["a"].year, rows["a"].journal) == ('The {\\"{U}}ber', "2020", 'A {{B {{C}} "x"}} D')
+    assert (rows["b"].title, rows["b"].year, rows["b"].journal) == ('The {\\"{U}}ber', "2021", None)
+    assert (rows["c"].title, rows["c"].doi, rows["c"].author) == ("a {b {c {d {e}}}}", "10.1/x", None)
