@@ -90,10 +90,10 @@ def compare(spark, con, sf_dir: str, key: str, queries, oracles) -> dict:
 
 def main(argv: list[str]) -> int:
     from insight import build_session
-    from insight.plans.registry import ORACLES, QUERIES, load_all
+    import __spark_entry__ as entry
 
+    QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
-    load_all()
     keys = argv[1:] or list(QUERIES)
     spark = build_session()
     con = duck(sf_dir)
