@@ -401,6 +401,23 @@ def q_corr_wide(spark, sf_dir):
     return X.corr_long(wide, _WIDE_COLS).select("a", "b", _round("corr"))
 
 
+# 36 numbers of each document with missing cells and NaN, one of them constant
+_GAPS = [f"g{i:02d}" for i in range(36)]
+
+
+def _gap_cells(nan: str) -> list[str]:
+    return [f"CASE WHEN (doc_id * 31 + {i * 7}) % 9 = 0 THEN NULL WHEN (doc_id * 17 + {i * 5}) % 23 = 0 THEN {nan} "
+            + ("ELSE 0.1 END" if i == 20 else f"ELSE cast(n_chars * {i % 4} + (doc_id * {2 * i + 3}) % {50 + i} AS double) END")
+            + f" AS {c}" for i, c in enumerate(_GAPS)]
+
+
+@register("corr_missing", "WITH gaps AS MATERIALIZED (SELECT " + ", ".join(_gap_cells("NULL")) + " FROM documents)\n"
+          + _corr_sql(_GAPS, "gaps"))
+def q_corr_missing(spark, sf_dir):
+    cells = table(spark, sf_dir, "documents").selectExpr(*_gap_cells("double('NaN')"))
+    return X.corr_long(cells, _GAPS).select("a", "b", _round("corr"))
+
+
 @register("corr_matrix_threshold", WITH_CODED + ", tot AS (" + " UNION ALL ".join(
     f"SELECT '{v}' AS c, sum(\"{v}\") AS total FROM coded" for v in VALUES) + "),\nth AS ("
     + " UNION ALL ".join(f"SELECT CAST({float(t)} AS DOUBLE) AS threshold" for t in THRESHOLDS) + "),\ncm AS ("
@@ -513,6 +530,22 @@ def q_ewma_mean(spark, sf_dir):
     return rolling(spark, sf_dir).groupBy("Year").agg(F.round(F.avg("Rolling"), 6).alias("Rolling"))
 
 
+# a series of documents: sources of very different size, several documents a day, missing values
+_SERIES_HALFLIFE = 365
+_SERIES = ["doc_id", "source", "{day} AS day", "CASE WHEN doc_id % 7 <> 3 THEN cast(n_chars AS double) END AS x"]
+
+
+@register("ewma_documents", "WITH s AS (SELECT " + ", ".join(_SERIES).format(day="DATE '2015-01-01' + CAST(doc_id * 37 % 3000 AS INTEGER)")
+          + f""" FROM documents), w AS (SELECT *, pow(2.0, date_diff('day', DATE '2015-01-01', day) / {_SERIES_HALFLIFE}.0) AS w FROM s)
+SELECT doc_id, source, round(sum(x * w) OVER f / sum(CASE WHEN x IS NOT NULL THEN w END) OVER f, 4) AS rolling FROM w
+WINDOW f AS (PARTITION BY source ORDER BY day, doc_id ROWS UNBOUNDED PRECEDING)""")
+def q_ewma_documents(spark, sf_dir):
+    series = table(spark, sf_dir, "documents").selectExpr(
+        *[e.format(day="date_add(DATE'2015-01-01', cast(doc_id * 37 % 3000 AS int))") for e in _SERIES])
+    out = T.ewma(series, ["source"], "day", "x", _SERIES_HALFLIFE, order=["doc_id"])
+    return out.select("doc_id", "source", _round("rolling", 4))
+
+
 @register("year_proportion", WITH_CODED + f", {_PRE_SQL}, {_PPY_SQL},\n"
           + """pf AS (SELECT "Year", count("Title") AS n FROM pre WHERE "Year" >= (SELECT min("Year") FROM coded)
   GROUP BY 1)

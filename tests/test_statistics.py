@@ -54,6 +54,50 @@ def test_width_changes_nothing(spark):
     assert all(wide[k] == pytest.approx(v, abs=1e-12) for k, v in narrow.items())
 
 
+@pytest.mark.parametrize("width", [36, 200])
+def test_missing_cells_of_wide_matrices(spark, width):
+    """Null, NaN and infinite cells, far offsets, constants inside pairs: as pandas has them, in one scan."""
+    rng = np.random.default_rng(width)
+    n = 400
+    data = rng.normal(size=(n, width)) + rng.choice([0, 1e6], width)
+    data[:, 3] = 0.1
+    data[:, 4] = np.where(data[:, 5] > 0, 0.3, data[:, 4])
+    data[rng.random((n, width)) < 0.2] = np.nan
+    data[:, 6] = np.where(data[:, 4] == 0.3, data[:, 6], np.nan)  # column 4 is constant where column 6 is there
+    data[0, 8] = np.inf
+    cols = [f"c{i}" for i in range(width)]
+    rows = [tuple(None if np.isnan(v) and (i + j) % 2 else float(v) for j, v in enumerate(r)) for i, r in enumerate(data)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)).repartition(5)
+    out = X.corr_long(df, cols)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1
+    got = long_form(out)
+    want = pd.DataFrame(np.where(np.isinf(data), np.nan, data), columns=cols).corr().to_numpy()
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            both = ~np.isnan(data[:, i]) & ~np.isnan(data[:, j])
+            null = 8 in (i, j) and both[0] or 3 in (i, j) or len(set(data[both, i])) < 2 or len(set(data[both, j])) < 2
+            if null:
+                assert got[a, b] is None, (a, b)
+            else:
+                assert got[a, b] == pytest.approx(want[i, j], abs=1e-8), (a, b)
+
+
+def test_groups_of_a_correlation(spark, monkeypatch):
+    """Many groups, null and NaN among them, sent on when a task holds too many."""
+    monkeypatch.setattr(X, "_HELD", 500)
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(3000, 3))
+    keys = [None if k == 7 else float("nan") if k == 8 else float(k) for k in rng.integers(0, 90, 3000)]
+    df = spark.createDataFrame([(k, "z", *map(float, r)) for k, r in zip(keys, data)], "g double, `h h` string, a double, b double, c double")
+    rows = X.corr_long(df.repartition(4), ["a", "b", "c"], group=["g", "h h"]).collect()
+    assert len(rows) == 90 * 9
+    got = {(repr(r.g), r.a, r.b): r.corr for r in rows}
+    for key in ("7.0", "None", "nan", "3.0"):
+        own = data[[repr(k) == key for k in keys]]
+        if len(own):
+            assert got[key, "a", "c"] == pytest.approx(np.corrcoef(own[:, 0], own[:, 2])[0, 1], abs=1e-12)
+
+
 def averaged(spark, days, values, halflife):
     day0 = dt.date(2000, 1, 1)
     rows = [("g", day0 + dt.timedelta(days=int(d)), v) for d, v in zip(days, values)]
@@ -82,6 +126,53 @@ def test_moving_average_equals_pandas(spark, days, values, halflife):
             assert g == pytest.approx(w, rel=1e-9)
 
 
+def test_one_long_group_spans_ranges(spark):
+    """A million rows of one group: no window over it, and each row as the recurrence has it."""
+    n = 1_000_000
+    df = spark.range(n).selectExpr("'g' AS g", "date_add(DATE'1990-01-01', cast(id DIV 80 AS int)) AS t", "id",
+                                   "CASE WHEN id % 7 = 3 THEN NULL WHEN id % 11 = 5 THEN double('NaN') ELSE double((id * 7919) % 1000) END AS x")
+    out = T.ewma(df, ["g"], "t", "x", 30.0, order=["id"])
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    got = dict(out.filter("id % 1009 = 0").select("id", "rolling").collect())
+    ids = np.arange(n)
+    x = np.where((ids % 7 == 3) | (ids % 11 == 5), np.nan, (ids * 7919) % 1000)
+    top = bottom = 0.0
+    mean = math.nan
+    for i in range(n):
+        if i and i % 80 == 0:
+            top, bottom = top * 0.5 ** (1 / 30), bottom * 0.5 ** (1 / 30)
+        if not math.isnan(x[i]):
+            top, bottom = top + x[i], bottom + 1
+            mean = top / bottom
+        if i in got:
+            assert got[i] == pytest.approx(mean, rel=1e-9)
+    assert len(got) == len(range(0, n, 1009))
+
+
+def test_moving_average_of_many_groups(spark):
+    """Groups of every size, one holding a third of the rows, null among them, ties in time and null times."""
+    rng = np.random.default_rng(9)
+    keys = ["hot" if rng.random() < 0.33 else None if k == 0 else f"k{k}" for k in rng.integers(0, 200, 6000)]
+    days = rng.integers(0, 3000, 6000)
+    x = [None if rng.random() < 0.2 else float(v) for v in rng.normal(size=6000)]
+    day0 = dt.date(2000, 1, 1)
+    rows = [(k, None if i % 500 == 7 else day0 + dt.timedelta(days=int(d)), v, i) for i, (k, d, v) in enumerate(zip(keys, days, x))]
+    out = T.ewma(spark.createDataFrame(rows, "g string, t date, x double, i long"), ["g"], "t", "x", 20, order=["i"])
+    got = {r.i: r.rolling for r in out.collect()}
+    assert len(got) == len(rows)
+    for key in ("hot", None, "k5", "k77"):
+        own = sorted((r for r in rows if r[0] == key and r[1] is not None), key=lambda r: (r[1], r[3]))
+        want = in_pandas([(r[1] - day0).days for r in own], [r[2] for r in own], 20)
+        for r, w in zip(own, want):
+            assert (got[r[3]] is None) == math.isnan(w) and (got[r[3]] is None or got[r[3]] == pytest.approx(w, rel=1e-8))
+
+
+def test_moving_average_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "g string, t date, x double")
+    assert T.ewma(df, ["g"], "t", "x", 20).collect() == []
+    assert T.ewma(df, [], "t", "x", 20).columns == ["g", "t", "x", "rolling"]
+
+
 def test_argmax_skips_nan(spark):
     df = spark.createDataFrame([(math.nan, 1.0), (2.0, math.nan), (math.nan, None)], "a double, b double")
     assert [r[0] for r in df.select(M.argmax_column(["a", "b"])).collect()] == ["b", "a", None]
