@@ -42,3 +42,15 @@ def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
     (AQE may still convert it once the shuffled size is known)."""
     side = F.broadcast(dim) if fits_broadcast(dim, max_rows, max_bytes) else dim
     return fact.join(side, on, how)
+
+
+def join_sorted(left, right, how: str = "inner") -> DataFrame:
+    """Join two :class:`~insight.sources.bucketed.BucketedTable` on their keys
+    without any exchange: both are bucketed alike, and a bucket's files are merged
+    in key order.  Tables with other keys or bucket counts are refused (compact
+    one of them to the other's count).  A key that fills most of a bucket keeps
+    it one task, which streams it; where that is too long, :func:`join_dimension`
+    lets the skew join split it."""
+    if (left.keys, left.buckets) != (right.keys, right.buckets):
+        raise ValueError(f"{left.keys} in {left.buckets} buckets and {right.keys} in {right.buckets}: both must agree")
+    return left.read().hint("merge").join(right.read(), left.keys, how)

@@ -9,9 +9,12 @@ from insight.functions.columns import PRIVACY_TOKENS, time_parts
 from insight.functions.selection import columns_with_prefix
 from insight.operators import events as E
 from insight.operators import features as M
+from insight.operators.joins import join_sorted
 from insight.plans.registry import register
 from insight.plans.tracking import APP_SQL, REDUCED_CTE
 from insight.plans.views import article_scores, article_sections, duck_scores, duck_sections, ev
+from insight.session import scratch_path
+from insight.sources.bucketed import BucketedTable
 
 USERNEEDS = ["userneed_length", "userneed_quality", "userneed_safety"]
 TIME_COLS = ["hour", "weekday", "dayofmonth", "month"]
@@ -72,6 +75,20 @@ def q_join_star(spark, sf_dir):
                                       "GEO_REGION", *USERNEEDS, "main_section", "sub_section")
 
 
+@register("join_sorted_index", STAR_CTE + """SELECT v.event_id, v.ARTICLE_ID AS article_id, s.userneed_length, s.userneed_quality,
+  s.userneed_safety FROM views v JOIN scores s ON v.ARTICLE_ID = s.article_id""")
+def q_join_sorted_index(spark, sf_dir):
+    """Views and scores indexed by article (bucketed, sorted), joined without an exchange."""
+    scores = article_scores(spark, sf_dir)
+    reads = views(spark, sf_dir).select("event_id", F.col("ARTICLE_ID").alias("article_id"))
+    tables = []
+    for name, rows in (("views", reads), ("scores", scores)):
+        columns = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+        tables.append(BucketedTable(spark, scratch_path(spark, f"{name}-by-article"), columns, ["article_id"]))
+        tables[-1].append(rows)
+    return join_sorted(*tables).select("event_id", "article_id", *USERNEEDS)
+
+
 def _argmax_sql(cols: list[str]) -> str:
     g = f"greatest({', '.join(cols)})"
     return "CASE " + " ".join(f"WHEN {c} = {g} THEN '{c}'" for c in cols) + " END"

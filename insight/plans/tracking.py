@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from insight.functions import selection as S
 from insight.functions.columns import PRIVACY_TOKENS, time_parts as time_part_cols
 from insight.operators import events as E
+from insight.operators.dictionary import KeptDictionary
 from insight.plans.registry import register
 from insight.plans.views import DUCK_K, ev, ev_select, table
 from insight.session import scratch_path
@@ -112,6 +113,23 @@ def q_dict_encode(spark, sf_dir):
     return encoded.select("event_id", "GEO_CITY", "GEO_CITY_id")
 
 
+@register("dict_encode_batches", EV_CTE + """, firsts AS (
+  SELECT GEO_CITY, min(DERIVED_TSTAMP) AS t FROM ev GROUP BY 1),
+first_row AS (SELECT f.GEO_CITY, min(e.event_id) AS e, any_value(f.t) AS t FROM firsts f JOIN ev e
+  ON e.GEO_CITY IS NOT DISTINCT FROM f.GEO_CITY AND e.DERIVED_TSTAMP = f.t GROUP BY 1),
+dim AS (SELECT GEO_CITY, row_number() OVER (ORDER BY t, e, GEO_CITY NULLS FIRST) AS GEO_CITY_id FROM first_row)
+SELECT e.event_id, e.GEO_CITY, d.GEO_CITY_id FROM ev e JOIN dim d ON e.GEO_CITY IS NOT DISTINCT FROM d.GEO_CITY""")
+def q_dict_encode_batches(spark, sf_dir):
+    """Two batches, the earlier half of the time and the later one, through one kept dictionary."""
+    raw = ev(spark, sf_dir).select("event_id", "DERIVED_TSTAMP", "GEO_CITY")
+    middle = F.lit(raw.agg((F.unix_micros(F.min("DERIVED_TSTAMP").cast("timestamp"))
+                            + F.unix_micros(F.max("DERIVED_TSTAMP").cast("timestamp"))) / 2).first()[0])
+    early = F.unix_micros(F.col("DERIVED_TSTAMP").cast("timestamp")) < middle
+    kept = KeptDictionary(spark, scratch_path(spark, "dictionary"))
+    parts = [kept.encode(raw.filter(when), "GEO_CITY", ["DERIVED_TSTAMP", "event_id"]) for when in (early, ~early)]
+    return parts[0].unionByName(parts[1]).select("event_id", "GEO_CITY", "GEO_CITY_id")
+
+
 @register("latest_lookup", EV_CTE + """SELECT GEO_REGION, GEO_REGION_NAME, GEO_TIMEZONE FROM (
   SELECT GEO_REGION, GEO_REGION_NAME, GEO_TIMEZONE,
     row_number() OVER (PARTITION BY GEO_REGION ORDER BY DERIVED_TSTAMP DESC, event_id DESC) AS rn FROM ev)

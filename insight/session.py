@@ -111,6 +111,14 @@ def land(df: DataFrame, name: str) -> DataFrame:
 
 
 def remove_scratch(spark: SparkSession) -> None:
-    """Delete this application's scratch tables: once its results are written, before it stops."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    """Delete this application's scratch tables, and the catalogue entries of tables in that folder: once its results
+    are written, before it stops."""
+    root = scratch_root(spark)
+    for t in spark.catalog.listTables():
+        if t.isTemporary:
+            continue
+        described = spark.sql(f"DESCRIBE TABLE EXTENDED `{t.name}`").filter("col_name = 'Location'").first()
+        if described and f"/insight-scratch/{spark.sparkContext.applicationId}/" in described["data_type"]:
+            spark.sql(f"DROP TABLE IF EXISTS `{t.name}`")
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
