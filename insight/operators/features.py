@@ -79,6 +79,8 @@ def dummy_encode(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), d
 def standard_columns(df: DataFrame, cols: Sequence[str]) -> list[Column]:
     """(x - mean) / population std (std 0 -> divide by 1).  One aggregation
     pass; the 2k scalars come back as literals."""
+    if not cols:
+        return []
     stats = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
                    *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     out = []
@@ -108,9 +110,11 @@ def feature_matrix(df: DataFrame, categorical: Sequence[str], numeric: Sequence[
     stages, parts = [], []
     if categorical:
         codes, hot = [f"__i{i}" for i in range(len(categorical))], [f"__h{i}" for i in range(len(categorical))]
+        # a mark before each level: the encoder refuses an empty one
+        df = df.withColumns({f"__c{i}": F.concat(F.lit("="), F.col(f"`{c}`").cast("string")) for i, c in enumerate(categorical)})
         # descending order puts the first level last; "keep" adds a category for null behind it, which the
         # encoder drops, and the slice drops the first level
-        index = StringIndexer(inputCols=list(categorical), outputCols=codes, handleInvalid="keep",
+        index = StringIndexer(inputCols=[f"__c{i}" for i in range(len(categorical))], outputCols=codes, handleInvalid="keep",
                               stringOrderType="alphabetDesc").fit(df)
         stages += [index, OneHotEncoder(inputCols=codes, outputCols=hot, dropLast=True)]
         for i, labels in enumerate(index.labelsArray):

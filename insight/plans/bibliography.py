@@ -18,7 +18,7 @@ from insight.plans.registry import register
 from insight.plans.views import table
 from insight.session import scratch_path
 from insight.sources.bibtex import render_entries, scan_bib
-from insight.sources.files import scan_csv
+from insight.sources.files import scan_csv, scan_inferred_csv
 from insight.sources.sinks import write_csv, write_text
 
 BIB_COLUMNS: list[tuple[str, str]] = [
@@ -122,6 +122,23 @@ def q_scan_typed_csv(spark, sf_dir):
         T.StructField("volume", T.DoubleType()), T.StructField("late", T.BooleanType())]))
 
 
+# cells of every type; `mixed` is a number but for a few rows, so a sample would take it for one
+_CELLS = ["doc_id AS id", "n_chars / 2.0 AS half", "n_chars > 1000 AS long_text", "cast('2024-01-01' AS date) AS day",
+          "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id * 3 END AS gaps", "CASE WHEN doc_id % 97 = 96 THEN 'n/a' ELSE cast(doc_id AS string) END AS mixed",
+          "cast(NULL AS string) AS nothing", "'' || source AS name"]
+
+
+@register("scan_inferred_csv", """SELECT doc_id AS id, CAST(n_chars AS DOUBLE) / 2 AS half, n_chars > 1000 AS long_text,
+  CAST('2024-01-01' AS TIMESTAMP) AS day, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id * 3 END AS gaps,
+  CASE WHEN doc_id % 97 = 96 THEN 'n/a' ELSE CAST(doc_id AS VARCHAR) END AS mixed, CAST(NULL AS VARCHAR) AS nothing, source AS name
+FROM documents""")
+def q_scan_inferred_csv(spark, sf_dir):
+    """A CSV whose column types come from all of its rows."""
+    path = scratch_path(spark, "inferred-csv")
+    write_csv(table(spark, sf_dir, "documents").selectExpr(*_CELLS), path)
+    return scan_inferred_csv(spark, path)
+
+
 @register("shared_keys", BIB_CTE + """SELECT doi FROM rec WHERE db = 'src0' AND doi <> ''
 INTERSECT SELECT doi FROM rec WHERE db <> 'src0' AND doi <> ''""")
 def q_shared_keys(spark, sf_dir):

@@ -9,11 +9,12 @@ from insight.functions.columns import PRIVACY_TOKENS, time_parts
 from insight.functions.selection import columns_with_prefix
 from insight.operators import events as E
 from insight.operators import features as M
+from insight.operators import projection as P
 from insight.operators.joins import join_sorted
 from insight.plans.registry import register
 from insight.plans.tracking import APP_SQL, REDUCED_CTE
 from insight.plans.views import article_scores, article_sections, duck_scores, duck_sections, ev
-from insight.session import scratch_path
+from insight.session import land, scratch_path
 from insight.sources.bucketed import BucketedTable
 
 USERNEEDS = ["userneed_length", "userneed_quality", "userneed_safety"]
@@ -210,6 +211,41 @@ def q_pca_variance(spark, sf_dir):
         F.round(sum(v[1:], v[0]), 4).alias("total_variance"))
 
 
+def _axes_checked(rows: DataFrame, axes, k: int) -> DataFrame:
+    """Whether the coordinates along the axes are centred, uncorrelated, of falling variance and of that the axes tell."""
+    pc = land(P.project(rows, axes, []), "coordinates")
+    p = [F.col("pca")[i] for i in range(k)]
+    s = pc.agg(F.count(F.lit(1)).alias("n_rows"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(p)],
+               *[F.var_pop(x).alias(f"v{i}") for i, x in enumerate(p)],
+               *[F.covar_pop(p[i], p[i + 1]).alias(f"c{i}") for i in range(k - 1)])
+    v = [F.col(f"v{i}") for i in range(k)]
+    every = lambda conditions: F.forall(F.array(*conditions), lambda x: x)
+    return s.select(
+        "n_rows", every([F.abs(F.col(f"m{i}")) < 1e-6 for i in range(k)]).alias("centred"),
+        every([a >= b - 1e-6 for a, b in zip(v, v[1:])]).alias("falling"),
+        every([F.abs(F.col(f"c{i}")) < 1e-6 for i in range(k - 1)]).alias("uncorrelated"),
+        every([F.abs(a - float(x)) < 1e-6 for a, x in zip(v, axes.variance)]).alias("as_told"),
+        F.round(sum(v[1:], v[0]), 4).alias("total_variance"))
+
+
+@register("pca_subspace_variance", STAR_CTE + f""", whole AS (SELECT * FROM star WHERE {_COMPLETE})
+SELECT (SELECT count(*) FROM whole) AS n_rows, true AS centred, true AS falling, true AS uncorrelated, true AS as_told,
+  round({_variance_sql()}, 4) AS total_variance""")
+def q_pca_subspace_variance(spark, sf_dir):
+    """The block iteration on all axes of the star's features: it keeps their whole variance."""
+    rows = features(spark, sf_dir)
+    d = rows.select(F.size(M.vector_to_array("features")).alias("d")).first()["d"]
+    return _axes_checked(rows, P.principal_axes(rows, d), d)
+
+
+@register("pca_one_hot", STAR_CTE + """SELECT count(*) AS n_rows, true AS centred, true AS falling, true AS uncorrelated,
+  true AS as_told FROM star""")
+def q_pca_one_hot(spark, sf_dir):
+    """Three axes of readers and articles as one-hot levels, as many as there are: sparse to the end."""
+    rows = M.feature_matrix(star(spark, sf_dir), ["QUASI_USER_ID", "ARTICLE_ID"], [], [], keep=["event_id"])
+    return _axes_checked(rows, P.principal_axes(rows, 3, tol=1e-9), 3).drop("total_variance")
+
+
 @register("kmeans_assign")
 def q_kmeans_assign(spark, sf_dir):
     return M.kmeans_assign(projected(spark, sf_dir), k=8, seed=42).select("event_id", "cluster")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from insight.operators import nested as N
+from insight.operators import variants as V
 from insight.plans.registry import register
 from insight.plans.views import landed, table
 from insight.session import scratch_path
@@ -337,3 +338,29 @@ def q_parallel_entities(spark, sf_dir):
 FROM documents WHERE n_chars > 1000""")
 def q_new_articles(spark, sf_dir):
     return N.article_table(articles(spark, sf_dir), new_only=True).select("article_id", "title")
+
+
+# JSON lines with keys that depend on the row: no schema could name them all
+_OPEN_JSON = ("'{\"id\": ' || cast(doc_id as string) || ', \"k' || cast(doc_id % 40 as string) || '\": {\"n\": ' || cast(n_chars as string) "
+              "|| ', \"lang_' || coalesce(lang, 'none') || '\": [' || cast(doc_id % 3 as string) || ', {\"deep' || cast(doc_id % 7 as string) "
+              "|| '\": true}]}, \"empty\": {}, ' || CASE WHEN doc_id % 10 = 0 THEN '\"nothing\": null, ' ELSE '' END "
+              "|| '\"source\": \"' || coalesce(source, '') || '\"}'")
+
+
+@register("open_keys", f"""WITH j AS (SELECT doc_id, {_OPEN_JSON} AS j FROM documents)
+SELECT j.doc_id AS id, t.fullkey AS path, json_extract_string(j.j, t.fullkey) AS value
+FROM j, json_tree(j.j) t WHERE t.type NOT IN ('OBJECT', 'ARRAY')""")
+def q_open_keys(spark, sf_dir):
+    """Every leaf of documents whose keys are declared nowhere."""
+    path = scratch_path(spark, "open-json")
+    table(spark, sf_dir, "documents").selectExpr(f"{_OPEN_JSON} AS value").write.text(path)
+    docs = V.scan_documents(spark, path).select("document", F.expr("variant_get(document, '$.id', 'bigint')").alias("id"))
+    return V.leaves(docs, "document", ["id"]).select("id", "path", "value")
+
+
+@register("open_key_counts", f"""WITH j AS (SELECT {_OPEN_JSON} AS j FROM documents)
+SELECT t.key AS key, count(*) AS n FROM j, json_each(j.j) t GROUP BY 1""")
+def q_open_key_counts(spark, sf_dir):
+    """How often each top-level key occurs, whatever keys there are."""
+    docs = table(spark, sf_dir, "documents").selectExpr(f"parse_json({_OPEN_JSON}) AS document")
+    return V.explode_object(docs, "document", []).groupBy("key").agg(F.count(F.lit(1)).alias("n"))

@@ -51,6 +51,43 @@ def scan_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructTyp
     return df
 
 
+# What a cell of each type looks like, from the narrowest type up (a cell is trimmed; blank cells fit every type).
+_LOOKS = {
+    "boolean": r"(?i)^(true|false)$",
+    "bigint": r"^[+-]?[0-9]{1,19}$",
+    "double": r"(?i)^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$|^[+-]?(nan|inf|infinity)$",
+    "timestamp_ntz": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?)?$",
+}
+
+
+def _cell(column: str):
+    return F.nullif(F.trim(F.col(f"`{column}`")), F.lit(""))
+
+
+def infer_types(df: DataFrame) -> dict[str, str]:
+    """The narrowest type that every cell of each string column fits: boolean, bigint, double, timestamp_ntz, else
+    string; also string where there is no cell.
+
+    One aggregation over all rows with a flag for each (column, type); flags merge
+    by *and*, so no row is sampled and one odd cell anywhere counts."""
+    flags = []
+    for i, c in enumerate(df.columns):
+        cell = _cell(c)
+        fits = [cell.rlike(look) & F.expr(f"try_cast(trim(`{c}`) AS {t})").isNotNull() for t, look in _LOOKS.items()]
+        flags += [F.bool_and(F.when(cell.isNotNull(), ok)).alias(f"f{i}_{k}") for k, ok in enumerate(fits)]
+    row = df.agg(*flags).first() if flags else {}
+    return {c: next((t for k, t in enumerate(_LOOKS) if row[f"f{i}_{k}"]), "string") for i, c in enumerate(df.columns)}
+
+
+def scan_inferred_csv(spark: SparkSession, path: str | Sequence[str], rename: Mapping[str, str] | None = None) -> DataFrame:
+    """CSV with a header whose column types are inferred over all rows (:func:`infer_types`): one pass for the types,
+    then the scan casts each cell.  Blank cells are null; text keeps its blanks."""
+    raw = scan_csv(spark, path, rename=rename)
+    types = infer_types(raw)
+    return raw.select(*[F.when(_cell(c).isNotNull(), F.col(f"`{c}`")).alias(c) if t == "string"
+                        else F.expr(f"try_cast(trim(`{c}`) AS {t})").alias(c) for c, t in types.items()])
+
+
 def tag_file_id(df: DataFrame, out: str = "file_name", unit: str = "file",
                 dimension: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
     """Tag each row with the integer id (0, 1, ...) of its source file in

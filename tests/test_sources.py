@@ -29,3 +29,36 @@ def test_file_ids_in_path_order(spark, tmp_path):
     assert got == {"a.json": 0, "b.json": 1, "c.json": 2}
     counts = {r["file_name"]: r["count"] for r in tagged.groupBy("file_name").count().collect()}
     assert counts == {0: 1, 1: 2, 2: 3}
+
+
+def test_types_come_from_every_row(spark, tmp_path):
+    from insight.sources.files import infer_types, scan_inferred_csv
+
+    lines = ["flag,whole,real,when,text,blank,late,big,code,spaced"]
+    for i in range(5000):
+        lines.append(f"{'TRUE' if i % 2 else 'false'},{i - 7},{i / 4}e1,2024-03-0{i % 9 + 1}T10:00:00,a{i},,{i},{i},00{i}, {i} ")
+    lines[4000] = "true,5,NaN,2024-03-01,7,,x,99999999999999999999,1d,"
+    (tmp_path / "a.csv").write_text("\n".join(lines))
+    df = scan_inferred_csv(spark, str(tmp_path / "a.csv"))
+    assert dict(df.dtypes) == {"flag": "boolean", "whole": "bigint", "real": "double", "when": "timestamp_ntz", "text": "string",
+                               "blank": "string", "late": "string", "big": "double", "code": "string", "spaced": "bigint"}
+    rows = df.collect()
+    assert len(rows) == 5000 and sum(r.late == "x" for r in rows) == 1 and sum(r.spaced is None for r in rows) == 1
+    assert {r.blank for r in rows} == {None} and rows[0].when.isoformat() == "2024-03-01T10:00:00"
+    assert infer_types(df.limit(0).selectExpr("cast(flag AS string) AS flag")) == {"flag": "string"}
+
+
+def test_keys_that_no_schema_names(spark, tmp_path):
+    from insight.operators import variants as V
+
+    (tmp_path / "a.json").write_text('{"i": 1, "a": {"b": [1, {"c": true, "x y": null}], "e": {}}, "z": "q", "d": 1.50}\n\nno json\n'
+                                     '{"i": 2, "other": [[1], []]}\n[1, 2]\nnull\n"s"\n')
+    df = V.scan_documents(spark, str(tmp_path / "a.json")).selectExpr("*", "try_variant_get(document, '$.i', 'int') AS i", "1 AS path")
+    assert [r.corrupt for r in df.filter("corrupt IS NOT NULL").collect()] == ["no json"]
+    got = sorted([(r.i or 0, r.at, r.value, r.type) for r in V.leaves(df, "document", ["i"], path="at").collect()], key=str)
+    assert [(i, p) for i, p, _, _ in got] == [(0, "$"), (0, "$"), (0, "$[0]"), (0, "$[1]"), (1, "$.a.b[0]"), (1, "$.a.b[1].c"),
+                                              (1, "$.a.b[1].x y"), (1, "$.d"), (1, "$.i"), (1, "$.z"), (2, "$.i"), (2, "$.other[0][0]")]
+    assert dict((p, v) for i, p, v, _ in got if i == 1)["$.a.b[1].x y"] is None
+    schema = V.open_schema(df.filter("i IS NOT NULL"), "document")
+    assert all(k in schema for k in ("other", "z"))
+    assert V.leaves(df.filter("false"), "document", ["i"]).collect() == []
