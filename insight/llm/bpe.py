@@ -7,16 +7,21 @@ binary search over the sorted pair keys, merges in every piece its pairs of
 lowest rank (leftmost first), and drops pieces that are done.  Decoding joins
 the tokens' bytes.
 
+Which code points are letters, numbers or blanks is taken from the library's own
+splitting when a vocabulary is opened, so it follows the library's Unicode
+version, not Python's.
+
 Defined results: null and empty texts have no tokens.  The special token's
 string inside a text is that token.  Texts of any length are encoded whole; memory
-follows the batch or its longest text.  Repeated rows are encoded alike.
+follows the batch or its longest text.  Pairs of equal rank merge from the left.
+Repeated rows are encoded alike.  An empty table gives no rows.  A column named
+like the one that is made is replaced by it; other columns pass through unread.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,17 +47,40 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
-def code_point_classes() -> np.ndarray:
-    white = {*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
-    kinds = {"L": LETTER, "N": NUMBER}
-    return np.array([SPACE if c in white else kinds.get(unicodedata.category(chr(c))[0], OTHER)
-                     for c in range(0x110000)], np.uint8)
+def code_point_classes(path: str) -> np.ndarray:
+    """Class of each code point, as the library itself splits: what makes one piece with letters is a letter, and so on.
+
+    Runs of code points are tried whole, and those of mixed classes in shorter runs."""
+    from tokenizers import Tokenizer
+
+    splitter = Tokenizer.from_file(path).pre_tokenizer
+    classes = np.full(0x110000, OTHER, np.uint8)  # surrogates occur in no text
+    todo = [(a, min(a + 256, 0x110000)) for a in range(0, 0x110000, 256) if not 0xD800 <= a < 0xE000]
+    while todo:
+        kind = np.full(len(todo), SPACE, np.uint8)
+        for probe, of in (("a", LETTER), ("1", NUMBER), ("!", OTHER)):
+            texts = [f" {probe}{''.join(map(chr, range(a, b)))}{probe}" for a, b in todo]
+            ends = np.cumsum([len(t) for t in texts])
+            begun = {s for _, (s, _) in splitter.pre_tokenize_str("".join(texts))}
+            starts = np.array(sorted(begun))
+            whole = np.searchsorted(starts, ends) - np.searchsorted(starts, ends - [len(t) for t in texts]) == 1
+            kind[whole] = of
+        rest = []
+        for (a, b), k in zip(todo, kind, strict=True):
+            if k == SPACE and b - a > 1:
+                step = (b - a) // 16
+                rest += [(s, min(s + step, b)) for s in range(a, b, step)]
+            else:
+                classes[a:b] = k
+        todo = rest
+    return classes
 
 
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
     def __init__(self, path: str):
+        self._classes = None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -70,11 +98,20 @@ class Codec:
         self.token = token
         self.decimal = np.array([b"%d" % i for i in range(self.size)], object)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+        # where the class of code points changes, and to what: short enough to travel with each task
+        classes = code_point_classes(path)
+        self.class_from = np.concatenate([[0], np.flatnonzero(np.diff(classes)) + 1])
+        self.class_kind = classes[self.class_from]
         key = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
         by = np.argsort(key, kind="stable")
         self.key, self.rank = key[by], by.astype(np.int32)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int32)[by]
 
+    def classes(self) -> np.ndarray:
+        if self._classes is None:
+            self._classes = np.repeat(self.class_kind, np.diff(np.append(self.class_from, 0x110000)))
+        return self._classes
+
     # --- pieces
 
     def pieces(self, buf: np.ndarray, offsets: np.ndarray) -> Words:
@@ -83,7 +120,7 @@ class Codec:
             return Words(buf, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64))
         lead = np.flatnonzero((buf & 0xC0) != 0x80)  # first byte of each character
         cp = np.frombuffer(buf.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-        kind = CLASSES()[cp]
+        kind = self.classes()[cp]
         n = len(kind)
         row_start = np.zeros(n + 1, bool)
         row_start[np.searchsorted(lead, offsets)] = True
@@ -173,15 +210,6 @@ class Codec:
         return b"".join(self.token[ids]).decode("utf-8", errors="replace")
 
 
-_CLASSES: list[np.ndarray] = []
-
-
-def CLASSES() -> np.ndarray:  # noqa: N802  built once for each worker process
-    if not _CLASSES:
-        _CLASSES.append(code_point_classes())
-    return _CLASSES[0]
-
-
 class Encoder:
     """Encodes columns; remembers the tokens of the pieces it has met, up to a bound."""
 
@@ -258,7 +286,8 @@ def column_bytes(column: pa.Array) -> bytes:
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with its text column replaced by token ids (array of int)."""
     codec = Codec(path)
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c.lower() not in (text.lower(), ids.lower())]
+    docs = docs.select(*[f"`{c}`" for c in [*rest, text]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = codec.encoder()
@@ -268,22 +297,23 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(flat_ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], lists], names=[*rest, ids])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*[f"`{c}`" for c in rest]).dtypes)
-    return docs.mapInArrow(run, f"{schema}, `{ids}` array<int>")
+    schema = "".join(f"`{c}` {t}, " for c, t in docs.select(*[f"`{c}`" for c in rest]).dtypes)
+    return docs.mapInArrow(run, f"{schema}`{ids}` array<int>")
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """``docs`` with its ids column replaced by the decoded text (null ids: null)."""
     codec = Codec(path)
-    rest = [c for c in docs.columns if c != ids]
+    rest = [c for c in docs.columns if c.lower() not in (ids.lower(), text.lower())]
+    docs = docs.select(*[f"`{c}`" for c in [*rest, ids]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [None if v is None else codec.decode(np.asarray(v, np.int64)) for v in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(texts, pa.string())], names=[*rest, text])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*[f"`{c}`" for c in rest]).dtypes)
-    return docs.mapInArrow(run, f"{schema}, `{text}` string")
+    schema = "".join(f"`{c}` {t}, " for c, t in docs.select(*[f"`{c}`" for c in rest]).dtypes)
+    return docs.mapInArrow(run, f"{schema}`{text}` string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Toxicity by multiple-instance learning: sentences are instances, documents are labelled.
 
 A sentence's score is a logistic function of the fingerprints of its words and
-word beginnings, and 0 without a known one; a document's is the noisy-or of its sentences,
-``1 - prod(1 - p)``.  Only document labels are known, so the gradient of the
+word beginnings; a document's is the noisy-or of its sentences, ``1 - prod(1 - p)``.
+Where texts are scored, what a sentence has above ``LEAST`` counts: sentences
+below it, with or without known features, add nothing in any number, so no text
+is toxic by its length.  Only document labels are known, so the gradient of the
 document likelihood is shared out among its sentences: each takes part as far as
 it is thought to be the reason.  The weights then locate the offending
 sentences.
@@ -12,6 +14,8 @@ of each class, drawn by a hash of doc_id) in numpy on the driver; every text is
 scored whole, in one pass without a shuffle.
 
 Defined results: null, empty and wordless texts have no sentence and score 0.
+An empty table gives no rows.  Texts of any length are scored whole; a longer
+one than ``words.CHUNK`` is handled alone.  A score of exactly 0.5 is toxic.
 Several labels of one doc_id count as toxic if one says so; null labels and
 labels without document are not learned from.  Without any toxic (or any clean)
 label the model has no weights and scores 0.  Rows repeating a doc_id are
@@ -33,6 +37,8 @@ from insight.llm.words import LOWER, Words, fingerprints, flat, mix, spans, text
 
 #: most labelled documents learned from, of each class
 SAMPLE = 2000
+#: probability up to which a sentence adds nothing to its text's
+LEAST = 0.05
 #: a word gives its own fingerprint and those of its first bytes
 BEGINNINGS = (None, 4, 5, 6)
 _SALTS = np.random.default_rng(7).integers(1, 2**63, 8, dtype=np.uint64)
@@ -88,7 +94,7 @@ class Model:
         self.known[self.feature & np.uint32((1 << 20) - 1)] = True
 
     def sentence_scores(self, x: Instances) -> np.ndarray:
-        """p of each sentence: above what the bias alone gives, so that neutral sentences add up to 0 in any number."""
+        """p of each sentence, as far as it is above ``LEAST`` (and above what the bias alone gives)."""
         z = np.full(len(x.row), self.bias)
         if len(self.feature):
             near = np.flatnonzero(self.known[x.feature & np.uint32((1 << 20) - 1)])
@@ -98,8 +104,9 @@ class Model:
             # a feature counts once in a sentence, however often it is repeated
             found = np.unique(x.sentence[near[hit]] * len(self.feature) + at[hit])
             z += np.bincount(found // len(self.feature), self.weight[found % len(self.feature)], len(z))
-        p, floor = (1 / (1 + np.exp(-np.clip(v, -40, 40))) for v in (z, self.bias))
-        return np.where(z > self.bias, (p - floor) / (1 - floor), 0.0)
+        p, alone = (1 / (1 + np.exp(-np.clip(v, -40, 40))) for v in (z, self.bias))
+        floor = max(alone, LEAST)
+        return np.maximum(p - floor, 0.0) / (1 - floor)
 
 
 def noisy_or(row: np.ndarray, p: np.ndarray, rows: int) -> np.ndarray:

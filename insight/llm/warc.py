@@ -25,6 +25,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,11 +49,11 @@ PAGE_ID = "X-Page-Id"
 def arc_of_pages(pages: DataFrame) -> DataFrame:
     """(path, content): the pages as ARC archives of about 2 MB, of version 1 and 2 in turn."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
+        n, task = 0, TaskContext.get().partitionId()
         for batch in batches:
             for part in text_slices(batch, "html"):
                 version = 1 + n % 2
-                name = f"pages-{n}.arc"
+                name = f"pages-{task}-{n}.arc"  # record ids are made of it: no two tasks share one
                 blob = [arc_header(name, version)]
                 for page_id, url, html in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
                     blob.append(arc_record(page_id, url, (html or "").encode(), name, version))
@@ -162,11 +163,13 @@ def convert(archives: DataFrame, blocks: bool = True) -> DataFrame:
 
 
 def gunzip(data: bytes) -> bytes:
-    """All members of a gzip file."""
+    """All members of a gzip file; one that is cut off is an error."""
     out = []
     while data:
         d = zlib.decompressobj(31)
         out.append(d.decompress(data))
+        if not d.eof:
+            raise ValueError("a member of the gzip file is cut off")
         data = d.unused_data
     return b"".join(out)
 

@@ -39,6 +39,28 @@ def test_ids_equal_the_library(codec, library):
         assert codec.decode(own) == library.decode(want, skip_special_tokens=False)
 
 
+def test_every_code_point(codec, library):
+    """Each code point among letters, numbers, marks and blanks: the ids are the library's."""
+    import pyarrow as pa
+
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    step = 512
+    made = ["".join(f"x{chr(c)}x1{chr(c)}1 !{chr(c)} {chr(c)}" for c in points[a:a + step]) for a in range(0, len(points), step)]
+    for a in range(0, len(made), 100):
+        part = made[a:a + 100]
+        ids, first = codec.encoder().column(pa.array(part))
+        for k, want in enumerate(library.encode_batch(part, add_special_tokens=False)):
+            assert ids[first[k]:first[k + 1]].tolist() == want.ids, hex(points[(a + k) * step])
+
+
+def test_a_column_of_the_made_name_is_replaced(session):
+    docs = session.createDataFrame([(1, "Hello wörld", "x")], "doc_id long, text string, IDS string")
+    (r,) = bpe.decode(bpe.encode(docs, bpe.vocabulary()).selectExpr("*", "1 AS Text"), bpe.vocabulary()).collect()
+    assert r.asDict() == {"doc_id": 1, "text": "Hello wörld"}
+    only = bpe.encode(docs.select("text"), bpe.vocabulary())
+    assert only.columns == ["ids"] and only.limit(0).collect() == []
+
+
 def test_memory_is_bounded_without_changing_results(codec, library, monkeypatch):
     import pyarrow as pa
 

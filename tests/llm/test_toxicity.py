@@ -65,6 +65,33 @@ def test_without_labels_nothing_is_rejected(make, session):
     assert len(T.train(docs, one_class).feature) == 0
 
 
+def test_clean_documents_joined_stay_clean(make, fitted):
+    """A million words of documents that are each clean, of words that the model knows."""
+    docs, labels, model = fitted
+    clean = [t for i, t in docs if not labels[i]]
+    scores = T.scored(make([(k, t) for k, t in enumerate(clean)]), model, ["doc_id"]).collect()
+    fine = [clean[r.doc_id] for r in scores if r.score < 0.05]
+    assert len(fine) > 0.9 * len(clean)
+    text = "\n".join(fine)
+    text = text * (1_000_000 // len(text.split()) + 1)
+    (r,) = T.scored(make([(1, text)]), model, ["doc_id"]).collect()
+    assert r.score < 0.5 and r.predicted == 0 and r.offending == []
+
+
+def test_scores_are_the_noisy_or_of_the_sentences(make, fitted):
+    """Each text against its sentences scored one by one, plainly."""
+    docs, _, model = fitted
+    texts = [t for _, t in docs[:40]] + ["word1 idiot you. word2 morons! word3", "nothing known here"]
+    for r in T.scored(make(list(enumerate(texts))), model, ["doc_id"]).collect():
+        left = 1.0
+        for s in texts[r.doc_id].replace("!", ".").split("."):
+            x = T.instances(pa.array([s]))
+            known = [float(w) for f, w in zip(model.feature, model.weight) if f in set(x.feature.tolist())]
+            p = 1 / (1 + np.exp(-(model.bias + sum(known)))) if len(x.feature) else 0.0
+            left *= 1 - max(0.0, (p - T.LEAST) / (1 - T.LEAST))
+        assert r.score == pytest.approx(1 - left, abs=1e-9)
+
+
 def test_noisy_or():
     row, p = np.array([0, 0, 2]), np.array([0.5, 0.5, 0.1])
     assert T.noisy_or(row, p, 3) == pytest.approx([0.75, 0, 0.1])

@@ -69,3 +69,18 @@ def test_gzip_members_and_archive_rows(session):
     df = session.createDataFrame([("f.arc.gz", bytearray(blob))], "path string, content binary")
     (r,) = A.convert(df).collect()
     assert (r.page_id, r.payload_bytes, r.payload_digest) == (5, 7, hashlib.sha1(b"payload").hexdigest())
+
+
+def test_equal_rows_of_several_tasks_have_ids_of_their_own(session):
+    pages = session.createDataFrame([(1, "http://a/", "same")] * 10, "page_id long, url string, html string").repartition(5)
+    rows = A.convert(A.arc_of_pages(pages)).collect()
+    assert len({r.record_id for r in rows}) == 10
+
+
+def test_a_cut_off_gzip_member_is_an_error():
+    import gzip
+
+    blob = gzip.compress(b"one" * 100) + gzip.compress(b"two" * 100)
+    assert A.gunzip(blob) == b"one" * 100 + b"two" * 100
+    with pytest.raises(ValueError, match="cut off"):
+        A.gunzip(blob[:-6])
