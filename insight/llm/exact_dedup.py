@@ -13,54 +13,56 @@ doc_id holds only where every copy has a null one.  A text whose digest an
 earlier batch has appended keeps that batch's holder.  Rows repeating both
 doc_id and text share one decision in :func:`decide`; :func:`deduplicate` keeps
 one of them.  Appending a batch again gives the same decisions, so a job that
-died after its append can be rerun.  Other columns pass through unread.
+died after its append can be rerun.  An empty table gives no rows; texts of any
+length are digested whole.  Other columns pass through unread, whatever their
+names (those of the documents table excepted).
 """
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from insight.llm.base import documents, inner, landed, lower_az, register
 from insight.session import scratch_path
+from insight.sources.bucketed import BucketedTable
 
 
-class DigestIndex:
+class DigestIndex(BucketedTable):
     """Bucketed digest table at ``path`` (shared storage), kept between runs.
 
-    ``buckets`` is fixed when the index is first made: choose it so that a
-    bucket of the grown index fits a task (about 40 bytes a digest).
+    The number of buckets is stored with it when it is first made: choose it so
+    that a bucket of the grown index fits a task (about 40 bytes a digest).  Later
+    openings read it; another number is refused.  Every append adds a file to a
+    bucket; ``compact`` makes one sorted file of them again.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int):
-        self.spark, self.path, self.buckets = spark, path, buckets
-        self.table = "digest_index_" + hashlib.md5(path.encode()).hexdigest()[:16]
-        spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, holder BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")
-
-    def read(self) -> DataFrame:
-        return self.spark.table(self.table)
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        super().__init__(spark, path, "digest binary, holder bigint", ["digest"], buckets)
 
     def append(self, groups: DataFrame) -> None:
         """Add the digests of ``groups`` (digest, holder; one row a digest) that the index lacks."""
-        new = groups.select("digest", "holder").join(self.read().hint("merge"), "digest", "left_anti")
-        # one task for each bucket: one file a bucket and append
-        new.repartition(self.buckets, "digest").write.insertInto(self.table)
-        self.spark.catalog.refreshTable(self.table)
+        super().append(groups.select("digest", "holder").join(self.read().hint("merge"), "digest", "left_anti"))
 
 
-def decide(docs: DataFrame, index: DigestIndex) -> DataFrame:
+def decide(docs: DataFrame, index: DigestIndex, cut: int | None = None) -> DataFrame:
     """Append the batch ``docs`` (doc_id, text) to the index; one row for each input row:
-    doc_id, digest, keep_id, group_size, kept."""
+    doc_id, digest, keep_id, group_size, kept.
+
+    With ``cut`` it is appended in two: rows from that doc_id on, then the rows
+    below it, of whose digests the anti-join drops those that the first have
+    brought.  The decisions are the same."""
     digests = landed(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.unhex(F.sha2(lower_az(F.col("text")).cast("binary"), 256)).alias("digest")), "digests")
-    groups = digests.groupBy("digest").agg(F.max("doc_id").alias("holder"), F.count(F.lit(1)).alias("group_size"))
+    groups = digests.groupBy("digest").agg(F.max("doc_id").alias("holder"), F.count(F.lit(1)).alias("group_size"),
+                                           *([F.max(F.when(F.col("doc_id") < cut, F.col("doc_id"))).alias("below")] if cut is not None else []))
     groups = landed(groups, "digest-groups")
-    index.append(groups)
+    if cut is None:
+        index.append(groups)
+    else:
+        index.append(groups.filter(F.col("holder") >= cut))
+        index.append(groups.filter(F.col("below").isNotNull() | F.col("holder").isNull()).select("digest", F.col("below").alias("holder")))
     held = groups.select("digest", "group_size").join(index.read().hint("merge"), "digest")
     held = landed(held, "digest-holders")
     # both sides are plain scans: a digest with very many copies is split by the skew join
@@ -85,7 +87,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
 def new_index(spark: SparkSession) -> DigestIndex:
     """An empty index below the shared checkpoint folder, sized by the session's partition count."""
-    return DigestIndex(spark, scratch_path(spark, "digest-index"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return DigestIndex(spark, scratch_path(spark, "digest-index"))
 
 
 OP1_SQL = r"""
@@ -100,5 +102,7 @@ FROM t
 
 @register("op1_exact_dedup", OP1_SQL)
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = decide(documents(spark, sf_dir), new_index(spark))
+    docs = documents(spark, sf_dir)
+    middle = docs.agg(((F.min("doc_id") + F.max("doc_id")) / 2).cast("long")).first()[0]
+    rows = decide(docs, new_index(spark), middle)
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))

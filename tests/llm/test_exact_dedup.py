@@ -1,4 +1,5 @@
 import brute
+import pytest
 
 from insight.llm import exact_dedup as E
 
@@ -30,11 +31,38 @@ def test_index_outlives_batches(session, make):
     assert first == again == {1: True, 2: True}
     assert second == {9: (1, False), 3: (3, True)}
     assert index.read().count() == 3
-    # another session would find the same files
+    # another session finds the same files
     reopened = E.DigestIndex(session, index.path, index.buckets)
     assert reopened.read().count() == 3
 
 
+def test_reopened_index_keeps_its_buckets(session, make):
+    """Opened by a session with another partition count, after the catalogue has forgotten it."""
+    from insight.session import scratch_path
+
+    path, rows = scratch_path(session, "index"), [(i, f"text {i}") for i in range(200)]
+    first = E.DigestIndex(session, path, 4)
+    E.decide(make(rows), first).count()
+    first.drop()
+    with pytest.raises(ValueError):
+        E.DigestIndex(session, path, 7)
+    again = E.DigestIndex(session, path)
+    assert again.buckets == 4
+    E.decide(make([(i + 1000, t) for i, t in rows]), again).count()
+    assert again.read().count() == 200
+    again.compact(7)
+    E.decide(make(rows + [(900, "new")]), again).count()
+    assert again.read().count() == 201 and again.buckets == 7
+
+
+@pytest.mark.parametrize("cut", [-5, 5, 8, 99])
+def test_two_appends_decide_alike(session, make, cut):
+    whole = sorted(map(str, E.decide(make(ROWS), E.new_index(session)).collect()))
+    index = E.new_index(session)
+    assert sorted(map(str, E.decide(make(ROWS), index, cut).collect())) == whole
+    assert index.read().count() == index.read().distinct().count() == 7
+
+
 def test_empty_table(session, make):
     assert E.decide(make([]), E.new_index(session)).count() == 0
     assert E.deduplicate(make([]), E.new_index(session)).count() == 0
