@@ -196,3 +196,34 @@ def test_scan_bib_values_of_any_depth(spark, tmp_path):
     assert (rows["a"].title, rows["a"].year, rows["a"].journal) == ('The {\\"{U}}ber', "2020", 'A {{B {{C}} "x"}} D')
     assert (rows["b"].title, rows["b"].year, rows["b"].journal) == ('The {\\"{U}}ber', "2021", None)
     assert (rows["c"].title, rows["c"].doi, rows["c"].author) == ("a {b {c {d {e}}}}", "10.1/x", None)
+
+
+def test_scan_bib_follows_braces(spark, tmp_path):
+    """Names inside values, indented and unbroken entries, lines that begin with @, joined and unclosed values."""
+    (tmp_path / "a.bib").write_text(
+        "\ufeff% exported by user@host.example {2020}\n"
+        "@article{a,\n abstract = {see also doi = {10.9/fake}, year = {1} @misc{inner} },\n doi = {10.1/real},\n year = 2020\n}\n"
+        "  @article{b, title = {Indented}, year = {2021}}\n"
+        "@article{c,\n title = {A value\n@home with a line\n@ like this},\n doi = {10.3/c},\n}\n"
+        '@article{d, title = "A" # " B" # jan, journal = "Q {"x"} S", note = {}, year = 1999 }@book{e,title={Same line}}\n'
+        "@article{f, title = {lost brace, doi = {10.6/f},\n}\n"
+        "@article{g, DOI = {10.7/g}, doi = {second}, title = {T}}\n"
+        "@string{x = {y}}\n@preamble{ {z} }\n@Misc{ h , TITLE = {{{Deep}}}}\n@article{, title = {no key}}\n@misc{alone}\n", encoding="utf-8")
+    rows = {r.key: r for r in scan_bib(spark, str(tmp_path / "a.bib")).collect()}
+    assert set(rows) == {"a", "b", "c", "d", "e", "f", "g", "h", None, "alone"}
+    assert (rows["a"].doi, rows["a"].year, rows["a"].title) == ("10.1/real", "2020", None)
+    assert (rows["b"].title, rows["b"].year) == ("Indented", "2021")
+    assert (rows["c"].title, rows["c"].doi) == ("A value @home with a line @ like this", "10.3/c")
+    assert (rows["d"].title, rows["d"].journal, rows["d"].year) == ("A Bjan", 'Q {"x"} S', "1999")
+    assert rows["e"].title == "Same line" and rows["e"].entry_type == "book"
+    assert rows["f"].doi is None and rows["g"].doi == "10.7/g" and rows["g"].title == "T"
+    assert (rows["h"].title, rows["h"].entry_type, rows[None].title, rows["alone"].title) == ("{Deep}", "misc", "no key", None)
+
+
+def test_scan_bib_of_many_files(spark, tmp_path):
+    """An unclosed entry at the end of one file takes nothing from the next; empty files have none."""
+    for i in range(30):
+        (tmp_path / f"{i:02d}.bib").write_text(f"@article{{k{i}, title = {{T {i}}}, note = {{open\n@ x\n" if i % 2 else
+                                               f"@article{{k{i},\n title = {{T\n{i}}}\n}}\n" if i % 3 else "")
+    rows = scan_bib(spark, str(tmp_path)).collect()
+    assert sorted(r.title for r in rows) == sorted(f"T {i}" for i in range(30) if i % 2 or i % 3)
