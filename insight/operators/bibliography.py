@@ -158,6 +158,31 @@ def overlap_matrix(df: DataFrame, source: str, key: str, missing: str = "keep")
                       F.try_divide(dup.cast("double"), F.col("__size").cast("double")).alias("intersections"))
 
 
+def source_sketches(df: DataFrame, source: str, key: str, missing: str = "keep", lg: int = 16) -> DataFrame:
+    """(source, sketch): a theta sketch of the keys of each source, of ``2^lg`` hashes at most.
+
+    Sketches are built map-side and merged, so what is shuffled is one sketch a
+    task and source, never a key.  They can be stored and merged with those of
+    later batches (``theta_union``)."""
+    return df.filter(_has_key(key, missing) & F.col(source).isNotNull()).groupBy(source) \
+        .agg(F.theta_sketch_agg(F.coalesce(F.col(key), F.lit("")), F.lit(lg)).alias("sketch"))
+
+
+def approximate_overlap(df: DataFrame, source: str, key: str, missing: str = "keep", lg: int = 16) -> DataFrame:
+    """:func:`overlap_matrix` estimated from sketches: exact while two sources together have fewer than ``2^lg`` keys;
+    beyond that the standard error of an overlap of ``n`` in a union of ``u`` keys is about ``sqrt(n * u / 2^lg)``."""
+    sketches = land(source_sketches(df, source, key, missing, lg).withColumnRenamed(source, "db1"), "sketches")
+    names = land(df.select(F.col(source).alias("db1")).filter(F.col("db1").isNotNull()).distinct(), "sources")
+    # the grid is the output's own shape: a pair of names each, to which the sketches are joined
+    grid = names.select("db1", F.explode(names.agg(F.array_sort(F.collect_set("db1"))).scalar()).alias("db2"))
+    one, two = sketches.withColumnRenamed("sketch", "__one"), sketches.withColumnsRenamed({"db1": "db2", "sketch": "__two"})
+    pairs = grid.join(one, "db1", "left").join(two, "db2", "left")
+    shared = F.theta_sketch_estimate(F.theta_intersection("__one", "__two"))
+    n = F.coalesce(F.when(F.col("__one").isNotNull() & F.col("__two").isNotNull(), shared), F.lit(0)).cast("long")
+    return pairs.select("db1", "db2", n.alias("duplicates"),
+                        F.try_divide(n.cast("double"), F.theta_sketch_estimate("__one").cast("double")).alias("intersections"))
+
+
 def record_ids(df: DataFrame, year: str, doc_type: str, order: Sequence[str], out: str = "id") -> DataFrame:
     """``YYYY_type_0007``: year, type and a zero-padded position that is unique
     across the whole (unioned) table, assigned by the balanced ranking."""

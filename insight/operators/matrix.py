@@ -14,6 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from insight.operators.ranking import rank_within
+from insight.session import land
+
 
 def _c(name: str) -> Column:
     return F.col(f"`{name}`")
@@ -218,6 +221,66 @@ def cross_products(df: DataFrame, left: Sequence[str], right: Sequence[str], gro
     return agg.select(*[_c(g) for g in group], F.inline(F.array(*cells)))
 
 
+# rows in one bitmap (Spark's size)
+_BITMAP = 32768
+
+
+def _shared_bits():
+    """Task side: (part, groups, bitmaps) of all frequent groups in one stretch of rows -> (a, b, rows in both)."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                groups = batch.column("groups").slice(r, 1).flatten()
+                raw = batch.column("bits").slice(r, 1).flatten().to_pylist()
+                bits = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1), axis=1)
+                counts = np.zeros((len(raw), len(raw)))
+                for c in range(0, bits.shape[1], 4096):
+                    part = bits[:, c:c + 4096].astype(np.float32)
+                    counts += part @ part.T
+                a, b = np.nonzero(counts)
+                yield pa.record_batch([groups.take(pa.array(a)), groups.take(pa.array(b)), pa.array(counts[a, b].astype(np.int64))],
+                                      names=["a", "b", "n"])
+
+    return run
+
+
+def shared_rows(df: DataFrame, row: str, group: str, a: str = "a", b: str = "b", out: str = "n", frequent: int = 256) -> DataFrame:
+    """How many rows hold both groups, for an open set of groups: long rows ``(a, b, n)`` of every ordered pair that
+    shares a row, ``a = b`` included (its ``n`` is the rows of the group).
+
+    ``df`` has one line for each (row, group); repeated lines count once, and lines
+    without row or group not at all.  The ``frequent`` largest groups (those alone
+    can be hot) are held as bitmaps of rows, which are multiplied stretch by stretch:
+    no task meets the rows of a group, and no pair of lines is made.  The others are
+    paired by a join on the row, which the skew join splits where one row holds very
+    many groups; its size is that of the pairs that rare groups really share."""
+    kind = df.schema[group].dataType.simpleString()
+    lines = land(df.select(F.col(f"`{row}`").alias("row"), F.col(f"`{group}`").alias("g")).na.drop().distinct(), "lines")
+    sizes = land(lines.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
+    top = land(sizes.orderBy(F.desc("n"), "g").limit(frequent).select(F.col("g").alias("top")), "frequent-groups")
+    marked = lines.join(F.broadcast(top), F.col("g") == F.col("top"), "left")  # ``frequent`` rows at most
+    hot, rare = marked.filter("top IS NOT NULL").select("row", "g"), marked.filter("top IS NULL").select("row", "g")
+    # rows get positions once; a stretch of them is a bitmap of each frequent group
+    places = rank_within(hot.select("row").distinct(), [F.col("row")], out="at", start=0)
+    bitmaps = hot.join(places, "row").groupBy((F.col("at") / _BITMAP).cast("long").alias("part"), "g") \
+        .agg(F.bitmap_construct_agg(F.col("at") % _BITMAP).alias("bits"))
+    stretches = bitmaps.groupBy("part").agg(F.collect_list(F.struct("g", "bits")).alias("x")) \
+        .select(F.col("x.g").alias("groups"), F.col("x.bits").alias("bits"))
+    hot_pairs = stretches.mapInArrow(_shared_bits(), f"a {kind}, b {kind}, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    other = lines.select("row", F.col("g").alias("b"))
+    met = rare.withColumnRenamed("g", "a").join(other, "row").filter(F.col("a") != F.col("b")) \
+        .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    met = land(met, "rare-pairs")
+    # a rare group meets a frequent one from its own side only: the other direction is the same number
+    turned = met.join(F.broadcast(top), F.col("b") == F.col("top")).select(F.col("b").alias("a"), F.col("a").alias("b"), "n")
+    own = sizes.join(F.broadcast(top), F.col("g") == F.col("top"), "left_anti").select(F.col("g").alias("a"), F.col("g").alias("b"), "n")
+    return hot_pairs.unionByName(met).unionByName(turned).unionByName(own).select(
+        F.col("a").alias(a), F.col("b").alias(b), F.col("n").alias(out))
+
+
 def normalise_by(long: DataFrame, value: str, total: str, out: str) -> DataFrame:
     """value / total (a zero total gives null, not infinity)."""
     return long.withColumn(out, F.try_divide(F.col(value), F.col(total)))

@@ -194,18 +194,28 @@ def q_duplicate_keys(spark, sf_dir):
     return B.duplicate_keys(records(spark, sf_dir), "doi")
 
 
-@register("overlap_matrix", BIB_CTE + """, k AS (SELECT DISTINCT db, doi FROM rec WHERE doi <> ''),
+_OVERLAP_SQL = BIB_CTE + """, k AS (SELECT DISTINCT db, doi FROM rec WHERE doi <> ''),
 sz AS (SELECT db, count(*) AS n FROM k GROUP BY db),
 sh AS (SELECT a.db AS db1, b.db AS db2, count(*) AS c FROM k a JOIN k b ON a.doi = b.doi GROUP BY 1, 2),
 dbs AS (SELECT DISTINCT db FROM rec WHERE db IS NOT NULL)
 SELECT x.db AS db1, y.db AS db2, coalesce(sh.c, 0) AS duplicates,
   round(CAST(coalesce(sh.c, 0) AS DOUBLE) / sz.n, 6) AS intersections
-FROM dbs x CROSS JOIN dbs y LEFT JOIN sh ON sh.db1 = x.db AND sh.db2 = y.db LEFT JOIN sz ON sz.db = x.db""")
+FROM dbs x CROSS JOIN dbs y LEFT JOIN sh ON sh.db1 = x.db AND sh.db2 = y.db LEFT JOIN sz ON sz.db = x.db"""
+
+
+@register("overlap_matrix", _OVERLAP_SQL)
 def q_overlap_matrix(spark, sf_dir):
     o = B.overlap_matrix(records(spark, sf_dir), "db", "doi")
     return o.select("db1", "db2", "duplicates", F.round("intersections", 6).alias("intersections"))
 
 
+@register("overlap_sketch", _OVERLAP_SQL)
+def q_overlap_sketch(spark, sf_dir):
+    """The overlaps from one sketch a source; exact up to 65,536 keys in two sources, estimated beyond."""
+    o = B.approximate_overlap(records(spark, sf_dir), "db", "doi")
+    return o.select("db1", "db2", "duplicates", F.round("intersections", 6).alias("intersections"))
+
+
 @register("record_id", BIB_CTE + """SELECT b.rec, CAST(r.year AS VARCHAR) || '_' || CASE b.document_type
   WHEN 'Chapter' THEN 'incollection' WHEN 'Book' THEN 'book' WHEN 'Article' THEN 'article' ELSE b.document_type END
   || '_' || lpad(CAST(row_number() OVER (ORDER BY b.db, b.rec) - 1 AS VARCHAR), 4, '0') AS id

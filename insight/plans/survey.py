@@ -475,6 +475,23 @@ def q_pairwise_long(spark, sf_dir):
     return c.withColumn("Combination", X.pair_label("Value Group", "Complement"))
 
 
+# open groups: a customer's orders name their day and clerk-like codes; hundreds of groups, some held by a third of all
+_OPEN_GROUPS = ("SELECT o_custkey AS r, 'day' || cast(o_orderkey % 300 AS string) AS g FROM orders UNION ALL "
+                "SELECT o_custkey AS r, 'pri' || substr(o_orderpriority, 1, 1) AS g FROM orders UNION ALL "
+                "SELECT o_custkey AS r, 'price' || cast(cast(floor(o_totalprice / 1000) AS int) AS string) AS g FROM orders")
+
+
+@register("shared_rows_open", f"""WITH l AS (SELECT DISTINCT r, g FROM ({_OPEN_GROUPS}) WHERE r IS NOT NULL AND g IS NOT NULL)
+SELECT x.g AS a, y.g AS b, count(*) AS n FROM l x JOIN l y ON x.r = y.r GROUP BY 1, 2""")
+def q_shared_rows_open(spark, sf_dir):
+    """Co-occurrence of groups that are listed nowhere, over customers."""
+    o = table(spark, sf_dir, "orders")
+    parts = [o.selectExpr("o_custkey AS r", "'day' || cast(o_orderkey % 300 AS string) AS g"),
+             o.selectExpr("o_custkey AS r", "'pri' || substr(o_orderpriority, 1, 1) AS g"),
+             o.selectExpr("o_custkey AS r", "'price' || cast(cast(floor(o_totalprice / 1000) AS int) AS string) AS g")]
+    return X.shared_rows(parts[0].unionByName(parts[1]).unionByName(parts[2]), "r", "g", frequent=64)
+
+
 _CROSS_SQL = ("vm AS (" + _cross_sql(VALUES, METRICS, "coded", a='"Value"', bb='"Metric"', out='"Cooc"',
                                       extra=', sum("{x}") AS vt, sum("{y}") AS mt') + ")")
 

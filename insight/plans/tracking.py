@@ -15,6 +15,7 @@ from insight.plans.views import DUCK_K, ev, ev_select, table
 from insight.session import scratch_path
 from insight.sources.files import TS_FORMATS, scan_json, scan_json_permissive, tag_file_id
 from insight.sources.sinks import write_json
+from insight.streaming.events import read_event_stream, read_lookup, start_lookup
 
 EV_CTE = f"WITH ev AS (SELECT\n  {ev_select(DUCK_K)}\nFROM events)\n"
 
@@ -139,6 +140,23 @@ def q_latest_lookup(spark, sf_dir):
                            ["DERIVED_TSTAMP", "event_id"])
 
 
+@register("stream_lookup", EV_CTE + """SELECT GEO_REGION, GEO_REGION_NAME, GEO_TIMEZONE, first_event FROM (
+  SELECT GEO_REGION, GEO_REGION_NAME, GEO_TIMEZONE,
+    first_value(event_id) OVER (PARTITION BY GEO_REGION ORDER BY DERIVED_TSTAMP, event_id) AS first_event,
+    row_number() OVER (PARTITION BY GEO_REGION ORDER BY DERIVED_TSTAMP DESC, event_id DESC) AS rn FROM ev)
+WHERE rn = 1""")
+def q_stream_lookup(spark, sf_dir):
+    """The lookup from a stream of files whose events come out of order and, a quarter of them, twice."""
+    raw = ev(spark, sf_dir).select("event_id", "DERIVED_TSTAMP", "GEO_REGION", "GEO_REGION_NAME", "GEO_TIMEZONE")
+    root = scratch_path(spark, "event-stream")
+    raw.unionByName(raw.filter("event_id % 4 = 1")).repartition(4, (F.col("event_id") * 7919) % 64).write.parquet(f"{root}/in")
+    stream = read_event_stream(spark, f"{root}/in", raw.schema, fmt="parquet", max_files_per_trigger=1)
+    start_lookup(stream, "GEO_REGION", ["GEO_REGION_NAME", "GEO_TIMEZONE"], ["DERIVED_TSTAMP", "event_id"],
+                 f"{root}/checkpoint", f"{root}/lookup").awaitTermination()
+    return read_lookup(spark, f"{root}/lookup", "GEO_REGION").select(
+        "GEO_REGION", "GEO_REGION_NAME", "GEO_TIMEZONE", F.col("first_seen.event_id").alias("first_event"))
+
+
 @register("balanced_sample", EV_CTE + f""", r AS (SELECT event_id, {APP_SQL} AS APP_ID FROM ev),
 ranked AS (SELECT event_id, APP_ID, row_number() OVER (PARTITION BY APP_ID
   ORDER BY md5(CAST(event_id AS VARCHAR) || '-42'), event_id) AS rn FROM r)

@@ -10,6 +10,8 @@ decides which batch ids are re-run, the sink is idempotent per id.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,3 +70,34 @@ def read_counts(spark: SparkSession, out: str) -> DataFrame:
     counts = spark.read.parquet(out)
     last = counts.agg(F.max("batch")).first()[0]
     return counts.filter(F.col("batch") == F.lit(last)).drop("batch")
+
+
+def start_lookup(stream: DataFrame, key: str, values: Sequence[str], order: Sequence[str], checkpoint: str, out: str,
+                 available_now: bool = True) -> StreamingQuery:
+    """Last write and first appearance of each key, kept as streaming state.
+
+    The state of a key is the values at its largest ``order`` and its smallest
+    ``order``.  Both are decided by the order, not by arrival, so late, reordered
+    and repeated events end in the lookup of the batch job.  Every micro-batch
+    writes the keys that it changed to the folder of its batch id below ``out``
+    (overwritten on replay); :func:`read_lookup` merges them.  State holds every
+    key ever seen: for many keys set the RocksDB state store
+    (``spark.sql.streaming.stateStore.providerClass``).  Let ``order`` be total."""
+    at = F.struct(*[F.col(o) for o in order])
+    state = stream.groupBy(F.col(key)).agg(
+        F.max(F.struct(at.alias("at"), F.struct(*[F.col(v) for v in values]).alias("v"))).alias("last"), F.min(at).alias("first_seen"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    writer = state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
+    return writer.start()
+
+
+def read_lookup(spark: SparkSession, out: str, key: str) -> DataFrame:
+    """(key, values..., first_seen) after the last micro-batch: of the rows written for a key the one with the latest
+    state, which a hash aggregate of one row a key and batch finds."""
+    rows = spark.read.parquet(out)
+    merged = rows.groupBy(key).agg(F.max("last").alias("last"), F.min("first_seen").alias("first_seen"))
+    return merged.select(key, "last.v.*", "first_seen")

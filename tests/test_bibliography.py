@@ -227,3 +227,17 @@ def test_scan_bib_of_many_files(spark, tmp_path):
                                                f"@article{{k{i},\n title = {{T\n{i}}}\n}}\n" if i % 3 else "")
     rows = scan_bib(spark, str(tmp_path)).collect()
     assert sorted(r.title for r in rows) == sorted(f"T {i}" for i in range(30) if i % 2 or i % 3)
+
+
+def test_approximate_overlap(spark):
+    """Exact below the sketch's size; within its error beyond."""
+    small = records(spark).unionByName(spark.createDataFrame([("empty", 9, None)], "db string, rec long, doi string"))
+    exact = {(r.db1, r.db2): (r.duplicates, r.intersections) for r in B.overlap_matrix(small, "db", "doi").collect()}
+    got = {(r.db1, r.db2): (r.duplicates, r.intersections) for r in B.approximate_overlap(small, "db", "doi").collect()}
+    assert got == exact and len(got) == 16
+    # 100,000 and 150,000 keys, 50,000 of them shared; a third of the rows repeat one key
+    df = spark.range(375_000).selectExpr("IF(id % 5 < 2, 'a', 'b') AS db", "cast(IF(id % 3 = 0, 0, IF(id % 5 < 2, id, id + 100000)) AS string) AS doi")
+    want = {(r.db1, r.db2): r.duplicates for r in B.overlap_matrix(df, "db", "doi").collect()}
+    for r in B.approximate_overlap(df, "db", "doi", lg=12).collect():
+        union = want["a", "a"] + want["b", "b"] - want["a", "b"] if r.db1 != r.db2 else want[r.db1, r.db2]
+        assert abs(r.duplicates - want[r.db1, r.db2]) < 4 * (max(want[r.db1, r.db2], 1) * union / 2 ** 12) ** 0.5

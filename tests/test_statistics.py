@@ -6,6 +6,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from insight.operators import features as M
 from insight.operators import matrix as X
@@ -186,3 +187,36 @@ def test_many_levels_stay_sparse(spark):
     rows = {r.id: r.features for r in out.filter("id IN (0, 1, 5, 11999)").collect()}
     assert {v.size for v in rows.values()} == {11_998 + 1}
     assert [len(rows[i].indices) for i in (0, 5, 1, 11_999)] == [1, 1, 2, 2]
+
+
+@pytest.mark.parametrize("frequent", [1, 5, 256])
+def test_shared_rows_equal_the_self_join(spark, monkeypatch, frequent):
+    """Open groups with one on a third of the rows, a row of very many groups, repeated and null lines."""
+    rng = np.random.default_rng(frequent)
+    lines = [(int(r), f"g{int(g)}") for r, g in zip(rng.integers(0, 40_000, 6000), rng.zipf(1.5, 6000) % 500)]
+    lines += [(r, "hot") for r in range(0, 40_000, 3)] + [(7, f"w{i}") for i in range(200)] + lines[:50] + [(None, "g1"), (5, None)]
+    df = spark.createDataFrame(lines, "r long, g string").repartition(4)
+    rows = X.shared_rows(df, "r", "g", frequent=frequent).collect()
+    got = {(r.a, r.b): r.n for r in rows}
+    assert len(got) == len(rows)
+    held = {}
+    for r, g in lines:
+        if r is not None and g is not None:
+            held.setdefault(r, set()).add(g)
+    want = {}
+    for groups in held.values():
+        for x in groups:
+            for y in groups:
+                want[x, y] = want.get((x, y), 0) + 1
+    assert got == want
+    assert X.shared_rows(df.limit(0), "r", "g").collect() == []
+
+
+def test_fifty_thousand_groups(spark):
+    df = spark.range(300_000).selectExpr("id DIV 3 AS r", "IF(id % 3 = 0, 'hot', 'g' || cast((id * 7919) % 50021 AS string)) AS g")
+    got = X.shared_rows(df, "r", "g")
+    pairs = got.filter("a < b").agg(F.count("*").alias("n"), F.sum("n").alias("s")).first()
+    lines = df.distinct()
+    other = lines.selectExpr("r", "g AS h")
+    want = lines.join(other, "r").filter("g < h").groupBy("g", "h").count().agg(F.count("*").alias("n"), F.sum("count").alias("s")).first()
+    assert tuple(pairs) == tuple(want)
