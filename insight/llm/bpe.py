@@ -47,24 +47,26 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
-def code_point_classes(path: str) -> np.ndarray:
+def code_point_classes(add_prefix_space: bool = False) -> np.ndarray:
     """Class of each code point, as the library itself splits: what makes one piece with letters is a letter, and so on.
 
-    Runs of code points are tried whole, and those of mixed classes in shorter runs."""
-    from tokenizers import Tokenizer
+    Runs of code points are tried whole, and those of mixed classes in shorter runs, some at a time, so that little is
+    held."""
+    from tokenizers.pre_tokenizers import ByteLevel
 
-    splitter = Tokenizer.from_file(path).pre_tokenizer
+    splitter = ByteLevel(add_prefix_space=add_prefix_space, use_regex=True)
     classes = np.full(0x110000, OTHER, np.uint8)  # surrogates occur in no text
     todo = [(a, min(a + 256, 0x110000)) for a in range(0, 0x110000, 256) if not 0xD800 <= a < 0xE000]
     while todo:
+        todo, later = todo[:64], todo[64:]
         kind = np.full(len(todo), SPACE, np.uint8)
-        for probe, of in (("a", LETTER), ("1", NUMBER), ("!", OTHER)):
-            texts = [f" {probe}{''.join(map(chr, range(a, b)))}{probe}" for a, b in todo]
-            ends = np.cumsum([len(t) for t in texts])
-            begun = {s for _, (s, _) in splitter.pre_tokenize_str("".join(texts))}
-            starts = np.array(sorted(begun))
+        for probe, of in (("!", OTHER), ("a", LETTER), ("1", NUMBER)):
+            open_ = np.flatnonzero(kind == SPACE)
+            texts = [f" {probe}{''.join(map(chr, range(*todo[i])))}{probe}" for i in open_]
+            ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+            starts = np.unique([s for _, (s, _) in splitter.pre_tokenize_str("".join(texts))])
             whole = np.searchsorted(starts, ends) - np.searchsorted(starts, ends - [len(t) for t in texts]) == 1
-            kind[whole] = of
+            kind[open_[whole]] = of
         rest = []
         for (a, b), k in zip(todo, kind, strict=True):
             if k == SPACE and b - a > 1:
@@ -72,7 +74,7 @@ def code_point_classes(path: str) -> np.ndarray:
                 rest += [(s, min(s + step, b)) for s in range(a, b, step)]
             else:
                 classes[a:b] = k
-        todo = rest
+        todo = rest + later
     return classes
 
 
@@ -99,7 +101,7 @@ class Codec:
         self.decimal = np.array([b"%d" % i for i in range(self.size)], object)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         # where the class of code points changes, and to what: short enough to travel with each task
-        classes = code_point_classes(path)
+        classes = code_point_classes()
         self.class_from = np.concatenate([[0], np.flatnonzero(np.diff(classes)) + 1])
         self.class_kind = classes[self.class_from]
         key = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
