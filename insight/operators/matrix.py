@@ -127,6 +127,8 @@ def _merged_pairs(width: int, groups: int):
             n, mean_i, mean_j, vi, vj, c, bad = cells.T
             with np.errstate(all="ignore"):
                 r = np.where((vi > 0) & (vj > 0) & (bad == 0), c / (np.sqrt(vi) * np.sqrt(vj)), np.nan)
+            r[0] = np.where(np.isnan(r[0]), r[0], 1.0)  # the column with itself
+            r = np.clip(r, -1.0, 1.0)
             j = np.arange(place[-1], width, dtype=np.int32)
             return pa.record_batch([*[pa.array([k] * len(j), t) for k, t in zip(place[:-1], types, strict=True)],
                                     pa.array(np.full(len(j), place[-1], np.int32)), pa.array(j),

@@ -347,10 +347,10 @@ _OPEN_JSON = ("'{\"id\": ' || cast(doc_id as string) || ', \"k' || cast(doc_id %
               "|| '\"source\": \"' || coalesce(source, '') || '\"}'")
 
 
-@register("open_keys", f"""WITH j AS (SELECT doc_id, {_OPEN_JSON} AS j FROM documents)
+@register("undeclared_keys", f"""WITH j AS (SELECT doc_id, {_OPEN_JSON} AS j FROM documents)
 SELECT j.doc_id AS id, t.fullkey AS path, json_extract_string(j.j, t.fullkey) AS value
 FROM j, json_tree(j.j) t WHERE t.type NOT IN ('OBJECT', 'ARRAY')""")
-def q_open_keys(spark, sf_dir):
+def q_undeclared_keys(spark, sf_dir):
     """Every leaf of documents whose keys are declared nowhere."""
     path = scratch_path(spark, "open-json")
     table(spark, sf_dir, "documents").selectExpr(f"{_OPEN_JSON} AS value").write.text(path)
@@ -358,9 +358,9 @@ def q_open_keys(spark, sf_dir):
     return V.leaves(docs, "document", ["id"]).select("id", "path", "value")
 
 
-@register("open_key_counts", f"""WITH j AS (SELECT {_OPEN_JSON} AS j FROM documents)
+@register("undeclared_key_counts", f"""WITH j AS (SELECT {_OPEN_JSON} AS j FROM documents)
 SELECT t.key AS key, count(*) AS n FROM j, json_each(j.j) t GROUP BY 1""")
-def q_open_key_counts(spark, sf_dir):
+def q_undeclared_key_counts(spark, sf_dir):
     """How often each top-level key occurs, whatever keys there are."""
     docs = table(spark, sf_dir, "documents").selectExpr(f"parse_json({_OPEN_JSON}) AS document")
     return V.explode_object(docs, "document", []).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
