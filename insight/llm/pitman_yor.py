@@ -1,25 +1,31 @@
 """Hierarchical Pitman-Yor language model, trained and applied as Spark jobs.
 
-A restaurant for each context (the class of the word before, one of
-``CONTEXTS``) serves words; its tables are the customers of one parent
-restaurant that all contexts share, whose base is uniform over the known words
-and one unknown.  Seating is sampled by Gibbs: in every sweep the customers of
-each dish leave and are seated anew by the Chinese-restaurant rule, given all
-others; the sweeps of all restaurants run at once, on the totals of the sweep
-before.  The predictive probabilities of the last ``KEPT`` sweeps are averaged
-and their log10 summed over each text, which gives perplexities.
-
-All that concerns one word (its counts in every context, its events in the texts
-to be scored) lies in one cell of a bucketed table, chosen by the word's hash, so
-that training, sampling and scoring need no further shuffle but that of the
-texts' partial sums.  Words so frequent that one cell would be too large (``HOT_SHARE``
-of all tokens, so fewer than 300) have their events spread over all cells; their
-counts, at most as many times ``CONTEXTS`` numbers, travel to every task.  Only totals of the
-contexts pass through the driver: vectors of ``CONTEXTS`` numbers.
+A restaurant for each context (the word before, known by its whole fingerprint)
+serves words; its tables are the customers of one parent restaurant that all
+contexts share, whose base is uniform over the known words and one unknown.
+Seating is sampled by Gibbs: in every sweep the customers of each dish leave and
+are seated anew by the Chinese-restaurant rule, given all others; the sweeps of
+all restaurants run at once, on the totals of the sweep before.  The predictive
+probabilities of the last ``KEPT`` sweeps are averaged and their log10 summed
+over each text, which gives perplexities.
+
+Texts are read in packs of about ``PACK`` tokens.  A pack sends each distinct
+(word, context) pair once, with its training count, to a cell: that of the
+word's hash, or, for words of at least ``HOT_SHARE`` of all tokens (fewer than
+300), one of other cells by the context's hash.  So neither a frequent word nor a
+frequent pair fills a cell.  Cells count, sample and score their pairs.  A
+context's totals concern many cells: these send their parts to the totals' own
+groups, by ranges of the context's fingerprint, and get the sums back in the
+same order, in every sweep.  Cells answer each pack with a number a pair; the
+pack adds them up by text.  The driver holds sums over all cells, and those of
+each word that is spread.
 
 Defined results: null and empty texts have the end token only.  A null doc_id
 belongs to the training rows.  Rows repeating a doc_id count and are scored each.
-Texts are taken whole, whatever their length.  An empty table gives no rows.  Words are compared by 64-bit fingerprints.
+Texts are taken whole, whatever their length.  An empty table gives no rows.
+Columns beside doc_id and text are not read, so clashing names do no harm.
+Equal counts are no ties that decide anything: seats are drawn from seeds by cell and sweep.
+Words are compared by 64-bit fingerprints; a pair's log10 probability is sent as a 32-bit number.
 """
 
 from __future__ import annotations
@@ -35,12 +41,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from insight.llm.base import documents, landed, register
+from insight.llm.base import delete_path, documents, landed, register
 from insight.llm.words import CHUNK, fingerprints, mix, split_words, text_slices
 from insight.session import scratch_path
 
-#: context classes; a word is spread over all cells if it makes up this part of all tokens
-CONTEXTS = 1 << 14
+#: a word is spread over cells by its contexts if it makes up this part of all tokens
 HOT_SHARE = 1 / 256
 #: words that a reading task counts at once; what it drops is at most 1/COUNTED of its tokens for each word
 COUNTED = 1 << 16
@@ -61,7 +66,7 @@ END = mix(np.array([0x656E64], np.uint64))[0]
 # --- events
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token, context class, offsets): the words of each row and its end; the first one's context is the end's class."""
+    """(token, context, offsets): the words of each row and its end; the first one's context is the end."""
     w = split_words(column, lower=True)
     h = fingerprints(w)
     rows = len(w.first) - 1
@@ -72,7 +77,7 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     before = np.empty(len(out), np.uint64)
     before[1:] = out[:-1]
     before[first[:-1]] = END
-    return out, (mix(before) & np.uint64(CONTEXTS - 1)).astype(np.uint16), first
+    return out, before, first
 
 
 @contextlib.contextmanager
@@ -126,55 +131,66 @@ def _heavy(share: float):
     return run
 
 
-EVENTS = ("cell int, pack long, words binary, counts binary, contexts binary, rows binary, trained int, "
-          "ids array<bigint>, sizes array<int>, held binary")
+EVENTS = ("cell int, pack long, part int, spread boolean, words binary, counts binary, met binary, contexts binary, trained binary, "
+          "events binary, ids array<bigint>, sizes array<int>, held binary")
 
 
-def pack_rows(word, context, row, trained: int, cells: int, pack: int, hot: np.ndarray) -> list[tuple]:
-    """One tuple for each cell: its distinct words with their event counts, and contexts and rows in that order."""
-    by = np.argsort(word)
-    word, context, row = word[by], context[by], row[by]
-    head = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
-    distinct, count = word[head], np.diff(np.append(head, len(word)))
-    cell = (distinct >> np.uint64(20)) % np.uint64(cells)
-    cell = cell.astype(np.int64)
-    cell[np.isin(distinct, hot)] = cells + pack % cells
+def bucket_labels(spark: SparkSession, n: int) -> np.ndarray:
+    """``n`` numbers that a table of ``n`` buckets keeps in a bucket each (cells dealt by their own number would share some)."""
+    tried = spark.range(64 * n).select(F.col("id").cast("int").alias("id"))
+    rows = tried.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("bucket")).agg(F.min("id").alias("id")).collect()
+    found = {r.bucket: r.id for r in rows}
+    # a bucket that none of them hit shares another's
+    return np.array([found.get(k, k) for k in range(n)], np.int64)
+
+
+def distinct_pairs(word: np.ndarray, context: np.ndarray, learned: np.ndarray, hot: np.ndarray, cells: int):
+    """(cell, word, context, training count) of each distinct pair, by cell, word and context; and each event's pair."""
+    names = np.unique(np.concatenate([word, context]))
+    code = np.searchsorted(names, word) * len(names) + np.searchsorted(names, context)
+    code, inverse = np.unique(code, return_inverse=True)
+    w, c = names[code // len(names)], names[code % len(names)]
+    cell = ((w >> np.uint64(20)) % np.uint64(cells)).astype(np.int64)
+    spread = np.isin(w, hot)
+    cell[spread] = cells + ((mix(c[spread]) >> np.uint64(20)) % np.uint64(cells)).astype(np.int64)
     order = np.argsort(cell, kind="stable")
-    out = []
-    cuts = np.flatnonzero(np.concatenate([[True], np.diff(cell[order]) != 0])) if len(order) else np.zeros(0, np.int64)
-    for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
-        own = order[a:b]
-        n = count[own]
-        at = np.arange(int(n.sum())) + np.repeat(head[own] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-        out.append((int(cell[own[0]]), pack, distinct[own].tobytes(), n.astype(np.uint32).tobytes(),
-                    context[at].tobytes(), row[at].tobytes(), trained))
-    return out
-
-
-def _events(cells: int, hot: np.ndarray, holds):
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    trained = np.bincount(inverse, learned, len(code))
+    return cell[order], w[order], c[order], trained[order].astype(np.uint32), place[inverse]
+
+
+def messages(cell, word, context, trained) -> Iterator[tuple]:
+    """(cell, words, contexts of each word, distinct contexts, context numbers, training counts) of each cell."""
+    cuts = np.flatnonzero(np.concatenate([[True], np.diff(cell) != 0]))
+    for a, b in zip(cuts, np.append(cuts[1:], len(cell)), strict=True):
+        head = np.flatnonzero(np.concatenate([[True], word[a + 1:b] != word[a:b - 1]]))
+        met, number = np.unique(context[a:b], return_inverse=True)
+        yield (int(cell[a]), word[a:b][head].tobytes(), np.diff(np.append(head, b - a)).astype(np.uint32).tobytes(),
+               met.tobytes(), number.astype(np.uint32).tobytes(), trained[a:b].tobytes())
+
+
+def _events(cells: int, labels: np.ndarray, hot: np.ndarray, holds):
     names = [x.split(" ")[0] for x in EVENTS.split(", ")]
-    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.bool_(), *[pa.binary()] * 6, pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = TaskContext.get().partitionId() << 24
-        held_parts: list[tuple] = []
+        texts: list[tuple] = []
 
         def flush():
-            nonlocal pack, held_parts
-            ids = [i for part in held_parts for i in part[0]]
-            sizes = np.concatenate([p[1] for p in held_parts])
+            nonlocal pack, texts
+            ids = [i for part in texts for i in part[0]]
+            sizes = np.concatenate([p[1] for p in texts])
             held = np.array([holds(i) for i in ids], bool)
-            # training rows come first, so that one number tells them from the others
-            place = np.empty(len(ids), np.int64)
-            place[np.argsort(held, kind="stable")] = np.arange(len(ids))
-            word, context = (np.concatenate([p[k] for p in held_parts]) for k in (2, 3))
-            row = np.repeat(place, sizes).astype(np.uint16)
-            trained = int((~held).sum())
-            rows = [r + (None, None, None) for r in pack_rows(word, context, row, trained, cells, pack, hot)]
-            by = np.argsort(place)
-            rows.append((-1 - pack % cells, pack, None, None, None, None, trained, [ids[i] for i in by], sizes[by].astype(np.int32).tolist(),
-                         held[by].tobytes()))
-            pack, held_parts = pack + 1, []
+            word, context = (np.concatenate([p[k] for p in texts]) for k in (2, 3))
+            *pairs, events = distinct_pairs(word, context, np.repeat(~held, sizes), hot, cells)
+            none = (None,) * 4
+            rows = [(int(labels[cell]), pack, part, cell >= cells, *arrays, *none)
+                    for part, (cell, *arrays) in enumerate(messages(*pairs))]
+            rows.append((int(labels[pack % len(labels)]), pack, None, None, *none, None, events.astype(np.uint32).tobytes(),
+                         ids, sizes.astype(np.int32).tolist(), held.tobytes()))
+            pack, texts = pack + 1, []
             for i in range(0, len(rows), 16):
                 yield pa.record_batch([pa.array([r[k] for r in rows[i:i + 16]], t) for k, t in enumerate(kinds)], names=names)
 
@@ -182,46 +198,48 @@ def _events(cells: int, hot: np.ndarray, holds):
         for batch in batches:
             for part in text_slices(batch, "text"):
                 word, context, first = tokens(part.column("text"))
-                if held_parts and (n + len(word) > PACK or rows + part.num_rows > PACK_ROWS):
+                if texts and (n + len(word) > PACK or rows + part.num_rows > PACK_ROWS):
                     yield from flush()
                     n = rows = 0
-                held_parts.append((part.column("doc_id").to_pylist(), np.diff(first), word, context))
+                texts.append((part.column("doc_id").to_pylist(), np.diff(first), word, context))
                 n, rows = n + len(word), rows + part.num_rows
-        if held_parts:
+        if texts:
             yield from flush()
     return run
 
 
 # --- one cell
 
+WIDTH = 32
+
+
 class Cell:
     """A cell's words with their training counts in every context."""
 
-    def __init__(self, word: np.ndarray, key: np.ndarray, count: np.ndarray):
-        self.word = word          # sorted fingerprints
-        self.key = key            # index of the word * CONTEXTS + context, sorted
+    def __init__(self, word: np.ndarray, context: np.ndarray, key: np.ndarray, count: np.ndarray, spread: bool = False):
+        self.word = word          # sorted fingerprints of words learned
+        self.context = context    # sorted fingerprints of all contexts met, learned from or not
+        self.key = key            # (number of the word, number of the context), sorted
         self.count = count        # customers
-        self.of, self.context = (key // CONTEXTS).astype(np.int32), (key % CONTEXTS).astype(np.uint16)
-        self.total = np.bincount(self.of, count, len(word))
-
-    def few(self) -> tuple[int, int, int, int]:
-        """How many counts are 1 and 2, and how many words have one context and two: what discounts are estimated from."""
-        contexts = np.bincount(self.of, minlength=len(self.word))
-        return tuple(int((x == k).sum()) for x in (self.count, contexts) for k in (1, 2))
+        self.spread = spread      # its words have pairs in other cells too
+        self.of, self.at = key >> WIDTH, key & ((1 << WIDTH) - 1)
+        self.total = np.bincount(self.of, count, len(word)).astype(np.int64)
+        self.dishes = np.bincount(self.of, minlength=len(word))
 
     @classmethod
-    def of_events(cls, words, counts, contexts, rows, trained) -> Cell:
-        """From packs; only events of training rows count."""
-        word = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
-        keys = []
-        for w, n, c, r, t in zip(words, counts, contexts, rows, trained, strict=True):
-            at = np.repeat(np.searchsorted(word, w), n)
-            keys.append((at * CONTEXTS + c)[r < t])
-        key, count = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.int64),) * 2
-        used = np.unique(key // CONTEXTS)
-        place = np.zeros(len(word), np.int64)
-        place[used] = np.arange(len(used))
-        return cls(word[used], place[key // CONTEXTS] * CONTEXTS + key % CONTEXTS, count.astype(np.int64))
+    def of_messages(cls, parts: list[tuple], spread: bool = False) -> Cell:
+        """From (words, contexts of each word, distinct contexts, context numbers, training counts) of several packs."""
+        none = np.zeros(0, np.uint64)
+        word = np.unique(np.concatenate([none, *(p[0] for p in parts)]))
+        context = np.unique(np.concatenate([none, *(p[2] for p in parts)]))
+        keys = [np.zeros(0, np.int64)]
+        for w, n, met, number, trained in parts:
+            key = np.repeat(np.searchsorted(word, w) << WIDTH, n) | np.searchsorted(context, met)[number]
+            keys.append(key[trained > 0])
+        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.bincount(inverse, np.concatenate([np.zeros(0), *(p[4][p[4] > 0] for p in parts)]), len(key)).astype(np.int64)
+        used, of = np.unique(key >> WIDTH, return_inverse=True)
+        return cls(word[used], context, of.astype(np.int64) << WIDTH | key & ((1 << WIDTH) - 1), count, spread)
 
 
 def seat(customers: np.ndarray, ratio: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -250,146 +268,234 @@ def seat(customers: np.ndarray, ratio: np.ndarray, discount: float, rng: np.rand
     return tables
 
 
-class Totals:
-    """What all cells share after a sweep: tables of each context, customers and tables of the parent."""
+class Parent:
+    """The parent restaurant after a sweep: customers and tables in all, and those of each word that is spread."""
 
-    def __init__(self, tables: np.ndarray, parent_customers: float, parent_tables: float):
-        self.tables, self.parent_customers, self.parent_tables = tables, parent_customers, parent_tables
+    def __init__(self, customers: float, tables: float, hot_customers: np.ndarray, hot_tables: np.ndarray):
+        self.customers, self.tables, self.hot_customers, self.hot_tables = customers, tables, hot_customers, hot_tables
 
 
 class Shared:
-    """Fixed numbers: customers of each context, known words, training tokens, discounts."""
+    """Fixed numbers: known words, training tokens, discounts; the words that are spread and their training counts."""
 
-    def __init__(self, customers: np.ndarray, known: int, trained: int, discount: float, parent_discount: float):
-        self.customers, self.known, self.trained = customers, known, trained
-        self.discount, self.parent_discount = discount, parent_discount
+    def __init__(self, known: int, trained: int, discount: float, parent_discount: float, hot: np.ndarray, hot_counts: np.ndarray):
+        self.known, self.trained, self.discount, self.parent_discount = known, trained, discount, parent_discount
+        self.hot, self.hot_counts = hot, hot_counts
 
-    def new_table(self, totals: Totals) -> float:
+    def opened(self, parent: Parent) -> float:
+        """Weight of a new table of the parent's over its base."""
+        return (PARENT_STRENGTH + self.parent_discount * parent.tables) / (self.known + 1)
+
+    def new_table(self, parent: Parent) -> float:
         """Parent's chance of a word by a new table, for each known word and for the unknown one."""
-        return (PARENT_STRENGTH + self.parent_discount * totals.parent_tables) / (PARENT_STRENGTH + totals.parent_customers) / (self.known + 1)
+        return self.opened(parent) / (PARENT_STRENGTH + parent.customers)
+
+    def base(self, parent: Parent, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """Parent's chance of words with so many customers and tables there."""
+        return (customers - self.parent_discount * tables) / (PARENT_STRENGTH + parent.customers) + self.new_table(parent)
 
 
-def sweeps(cell: Cell, shared: Shared, history: list[Totals], seed: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """After each sweep: tables of every (word, context), parent customers and parent tables of each word.
+def words_at_parent(cell: Cell, shared: Shared, parent: Parent, state) -> tuple[np.ndarray, np.ndarray]:
+    """Customers and tables of the cell's words at the parent: its own, or those of all cells for words that are spread."""
+    if not cell.spread:
+        return state[1], state[2]
+    at = np.searchsorted(shared.hot, cell.word)
+    return parent.hot_customers[at], parent.hot_tables[at]
+
+
+def sweeps(cell: Cell, shared: Shared, parents: list[Parent], totals: list[np.ndarray], seed: int) -> Iterator[tuple]:
+    """After each sweep: tables of every (word, context), customers and tables of each word at the parent.
 
     Starts with one table for each dish of a restaurant; sweep ``s`` seats against
-    the totals ``history[s]``.
+    ``parents[s]`` and the tables of each context, ``totals[s]``.
     """
     tables = np.ones(len(cell.key), np.int64)
-    parent_customers = np.bincount(cell.of, tables, len(cell.word))
-    parent_tables = np.minimum(parent_customers, 1)
-    for s, totals in enumerate(history):
+    state = tables, cell.dishes, np.minimum(cell.dishes, 1)
+    for s, (parent, all_tables) in enumerate(zip(parents, totals, strict=True)):
         rng = np.random.default_rng([seed, s])
-        base = (parent_customers - shared.parent_discount * parent_tables) / (PARENT_STRENGTH + totals.parent_customers) \
-            + shared.new_table(totals)
-        others = totals.tables[cell.context] - tables  # tables of the other dishes
+        base = shared.base(parent, *words_at_parent(cell, shared, parent, state))
+        others = all_tables[cell.at] - state[0]  # tables of the other dishes
         ratio = (STRENGTH + shared.discount * np.maximum(others, 0)) * base[cell.of]
         tables = seat(cell.count, ratio, shared.discount, rng)
-        parent_customers = np.bincount(cell.of, tables, len(cell.word))
-        opened = np.full(len(cell.word), (PARENT_STRENGTH + shared.parent_discount * totals.parent_tables) / (shared.known + 1))
-        parent_tables = seat(parent_customers.astype(np.int64), opened, shared.parent_discount, rng)
-        yield tables, parent_customers, parent_tables
-
-
-def totals_of(cell: Cell, state) -> tuple[np.ndarray, float, float]:
-    tables, parent_customers, parent_tables = state
-    return np.bincount(cell.context, tables, CONTEXTS), float(parent_customers.sum()), float(parent_tables.sum())
+        customers = np.bincount(cell.of, tables, len(cell.word)).astype(np.int64)
+        # a spread word's tables are drawn once, from the customers of all cells
+        opened = customers if cell.spread else seat(
+            customers, np.full(len(customers), shared.opened(parent)), shared.parent_discount, rng)
+        state = tables, customers, opened
+        yield state
 
 
 class Predictor:
-    """Averaged predictive probabilities of one cell's words."""
-
-    def __init__(self, cell: Cell, shared: Shared, history: list[Totals], seed: int):
-        self.cell, self.shared = cell, shared
-        states = list(sweeps(cell, shared, history[:-1], seed))
-        self.samples = list(zip(states[-KEPT:], history[-KEPT:], strict=True))
-
-    def log10(self, word: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 probability, training count of the word) of events."""
-        cell, shared = self.cell, self.shared
-        context = context.astype(np.int64)
-        at = np.minimum(np.searchsorted(cell.word, word), max(len(cell.word) - 1, 0))
-        known = cell.word[at] == word if len(cell.word) else np.zeros(len(word), bool)
-        key = at * CONTEXTS + context
-        pair = np.minimum(np.searchsorted(cell.key, key), max(len(cell.key) - 1, 0))
-        met = known & (cell.key[pair] == key) if len(cell.key) else known
-        total = np.zeros(len(word))
-        for (tables, parent_customers, parent_tables), totals in self.samples:
-            own = np.zeros(len(word))
-            if len(cell.word):
-                own[known] = (parent_customers - shared.parent_discount * parent_tables)[at[known]]
-            base = own / (PARENT_STRENGTH + totals.parent_customers) + shared.new_table(totals)
-            here = np.zeros(len(word))
-            if len(cell.key):
-                here[met] = (cell.count - shared.discount * tables)[pair[met]]
-            room = STRENGTH + shared.customers[context]
-            total += here / room + (STRENGTH + shared.discount * totals.tables[context]) / room * base
-        count = np.zeros(len(word))
-        if len(cell.word):
-            count[known] = cell.total[at[known]]
-        return np.log10(total / len(self.samples)), count
+    """Averaged predictive probabilities of one cell's words: of a pair what it has itself, and for each sample the
+    contexts' share of the parent and the parent's chance of the words."""
+
+    def __init__(self, cell: Cell, shared: Shared, parents: list[Parent], totals: list[np.ndarray], customers: np.ndarray, seed: int):
+        states = list(sweeps(cell, shared, parents[:-1], totals[:-1], seed))
+        room = STRENGTH + customers
+        self.word, self.context, self.key = cell.word, cell.context, cell.key
+        self.total = shared.hot_counts[np.searchsorted(shared.hot, cell.word)] if cell.spread else cell.total
+        self.here, self.share, self.base = np.zeros(len(cell.key)), [], []
+        for state, parent, all_tables in zip(states[-KEPT:], parents[-KEPT:], totals[-KEPT:], strict=True):
+            self.here += (cell.count - shared.discount * state[0]) / room[cell.at] / KEPT
+            self.share.append((STRENGTH + shared.discount * all_tables) / room / KEPT)
+            # the last one is the unknown word
+            self.base.append(np.append(shared.base(parent, *words_at_parent(cell, shared, parent, state)), shared.new_table(parent)))
+
+    def packed(self) -> list[bytes]:
+        return [x.tobytes() for x in (self.word, self.context, self.key, self.total.astype(np.int64), self.here,
+                                      np.concatenate(self.share), np.concatenate(self.base))]
+
+    @classmethod
+    def unpacked(cls, values: list[bytes]) -> Predictor:
+        self = cls.__new__(cls)
+        kinds = (np.uint64, np.uint64, np.int64, np.int64, np.float64, np.float64, np.float64)
+        self.word, self.context, self.key, self.total, self.here, share, base = (
+            np.frombuffer(v, k) for v, k in zip(values, kinds, strict=True))
+        self.share, self.base = share.reshape(KEPT, -1), base.reshape(KEPT, -1)
+        return self
+
+    def counts(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each word, the unknown one's for those not learned; training count)."""
+        at = np.searchsorted(self.word, word)
+        known = self.word[np.minimum(at, len(self.word) - 1)] == word if len(self.word) else np.zeros(len(word), bool)
+        return np.where(known, at, len(self.word)), np.append(self.total, 0)[np.where(known, at, len(self.word))]
+
+    def log10(self, at: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """log10 probability of words by place, after contexts (numbers in the cell)."""
+        key = at << WIDTH | context
+        pair = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
+        total = np.where(self.key[pair] == key, self.here[pair], 0.0) if len(self.key) else np.zeros(len(key))
+        for share, base in zip(self.share, self.base, strict=True):
+            total = total + share[context] * base[at]
+        return np.log10(total)
 
 
 # --- jobs
 
-def unpacked(table: pa.Table) -> tuple[list, list, list, list, list]:
-    def arrays(name, kind):
-        return [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+COUNTS = ("cell int, spread boolean, word binary, context binary, key binary, count binary, once long, twice long, single long, "
+          "double long, known long, trained long, hot_counts array<bigint>, hot_dishes array<bigint>")
+FINAL = "cell int, word binary, context binary, key binary, total binary, here binary, share binary, base binary"
+
+
+def arrays_of(row: dict, **kinds) -> tuple:
+    return tuple(np.frombuffer(row[name], kind) for name, kind in kinds.items())
+
+
+def cell_of(row: dict) -> Cell:
+    return Cell(*arrays_of(row, word=np.uint64, context=np.uint64, key=np.int64, count=np.int64), spread=row["spread"])
 
-    return (arrays("words", np.uint64), arrays("counts", np.uint32), arrays("contexts", np.uint16),
-            arrays("rows", np.uint16), table.column("trained").to_pylist())
 
+def for_hot(cell: Cell, hot: np.ndarray, values: np.ndarray) -> list[int] | None:
+    """The cell's part of a number that each spread word has."""
+    if not cell.spread:
+        return None
+    out = np.zeros(len(hot), np.int64)
+    out[np.searchsorted(hot, cell.word)] = values
+    return out.tolist()
 
-def _count(cells: int):
+
+def message_arrays(row: dict) -> tuple:
+    return arrays_of(row, words=np.uint64, counts=np.uint32, met=np.uint64, contexts=np.uint32, trained=np.uint32)
+
+
+def table_of(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(),
+             "array<bigint>": pa.list_(pa.int64())}
+    fields = [x.split(" ") for x in schema.split(", ")]
+    return pa.table({name: pa.array([r[k] for r in rows], kinds[kind]) for k, (name, kind) in enumerate(fields)})
+
+
+def _count(hot: np.ndarray):
     """Each cell's counts, and its part of the sums that all cells share."""
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        c = Cell.of_events(*unpacked(table))
-        once, twice, single, double = c.few()
-        return pa.table({
-            "cell": pa.array([key[0].as_py()], pa.int32()), "word": pa.array([c.word.tobytes()], pa.binary()),
-            "key": pa.array([c.key.tobytes()], pa.binary()), "count": pa.array([c.count.astype(np.uint32).tobytes()], pa.binary()),
-            "once": pa.array([once], pa.int64()), "twice": pa.array([twice], pa.int64()),
-            "single": pa.array([single], pa.int64()), "double": pa.array([double], pa.int64()),
-        })
+        rows = table.to_pylist()
+        c = Cell.of_messages([message_arrays(r) for r in rows], rows[0]["spread"])
+        few = [0, 0, 0] if c.spread else [int((c.dishes == 1).sum()), int((c.dishes == 2).sum()), len(c.word)]
+        return table_of([(key[0].as_py(), c.spread, c.word.tobytes(), c.context.tobytes(), c.key.tobytes(), c.count.tobytes(),
+                          int((c.count == 1).sum()), int((c.count == 2).sum()), *few, int(c.count.sum()),
+                          for_hot(c, hot, c.total), for_hot(c, hot, c.dishes))], COUNTS)
     return run
 
 
-COUNTS = "cell int, word binary, key binary, count binary, once long, twice long, single long, double long"
+def context_ranges(context: np.ndarray, ranges: int) -> Iterator[tuple[int, slice]]:
+    """Stretches of sorted fingerprints by range; stretch by stretch they are the whole again."""
+    number = ((context >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    cuts = np.flatnonzero(np.concatenate([[True], np.diff(number.astype(np.int64)) != 0])) if len(context) else np.zeros(0, np.int64)
+    for a, b in zip(cuts, np.append(cuts[1:], len(context)), strict=True):
+        yield int(number[a]), slice(a, b)
 
 
-def cell_of(row) -> Cell:
-    return Cell(np.frombuffer(bytes(row["word"]), np.uint64), np.frombuffer(bytes(row["key"]), np.int64),
-                np.frombuffer(bytes(row["count"]), np.uint32))
+ASKED = "bucket int, cell int, context binary, customers binary, tables binary"
+TOTALS = "bucket int, cell int, slots binary, customers binary, tables binary"
+SWEPT = "bucket int, cell int, tables binary, customers long, opened long, hot array<bigint>"
+REPLIES = "bucket int, cell int, tables binary"
 
 
-def merged(cells: list[Cell]) -> Cell:
-    """One cell of several ones' counts."""
-    word = np.unique(np.concatenate([c.word for c in cells])) if cells else np.zeros(0, np.uint64)
-    keys = [np.searchsorted(word, c.word)[c.of] * CONTEXTS + c.context for c in cells]
-    if not keys:
-        return Cell(word, np.zeros(0, np.int64), np.zeros(0, np.int64))
-    key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    return Cell(word, key, np.bincount(inverse, np.concatenate([c.count for c in cells]), len(key)).astype(np.int64))
+def _ask(ranges: int):
+    """Each cell's contexts with their customers and dishes in it, by range."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                (row,) = batch.slice(at, 1).to_pylist()
+                c = cell_of(row)
+                customers = np.bincount(c.at, c.count, len(c.context)).astype(np.int64)
+                dishes = np.bincount(c.at, minlength=len(c.context))
+                rows = [(k, row["cell"], c.context[s].tobytes(), customers[s].tobytes(), dishes[s].tobytes())
+                        for k, s in context_ranges(c.context, ranges)]
+                yield from table_of(rows, ASKED).to_batches()
+    return run
 
 
-def vectors(cells: DataFrame, measure) -> tuple[np.ndarray, np.ndarray]:
-    """Sum over all cells of ``measure(cell, number)`` -> (vector of CONTEXTS, scalars).
+def _first_totals(key: tuple, table: pa.Table) -> pa.Table:
+    """A range's contexts over all cells: to each cell the place of its contexts, their customers and dishes."""
+    rows = table.to_pylist()
+    parts = [arrays_of(r, context=np.uint64, customers=np.int64, tables=np.int64) for r in rows]
+    names = np.unique(np.concatenate([p[0] for p in parts]))
+    slots = [np.searchsorted(names, p[0]) for p in parts]
+    every = np.concatenate(slots)
+    customers, tables = (np.bincount(every, np.concatenate([p[k] for p in parts])).astype(np.int64) for k in (1, 2))
+    return table_of([(key[0].as_py(), r["cell"], s.astype(np.uint32).tobytes(), customers[s].tobytes(), tables[s].tobytes())
+                     for r, s in zip(rows, slots, strict=True)], TOTALS)
+
+
+def _next_totals(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    """The same after a sweep: the tables of each context."""
+    slots = {r["cell"]: np.frombuffer(r["slots"], np.uint32) for r in right.to_pylist()}
+    parts = [(r["cell"], np.frombuffer(r["tables"], np.int64)) for r in left.to_pylist()]
+    every = np.concatenate([slots[cell] for cell, _ in parts])
+    tables = np.bincount(every, np.concatenate([t for _, t in parts])).astype(np.int64)
+    return table_of([(key[0].as_py(), cell, tables[slots[cell]].tobytes()) for cell, _ in parts], REPLIES)
+
+
+def told(replies: pa.Table, rounds: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """What a cell was told: tables of its contexts after each round, and their customers."""
+    rows = sorted(replies.to_pylist(), key=lambda r: r["bucket"])
+    none = np.zeros(0, np.int64)
+    tables = [np.concatenate([none, *(np.frombuffer(r["tables"], np.int64) for r in rows if r["round"] == k)]) for k in range(rounds)]
+    return tables, np.concatenate([none, *(np.frombuffer(r["customers"], np.int64) for r in rows if r["round"] == 0)])
 
-    Added up inside each task and then in a tree, so the driver gets a few vectors.
-    """
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CONTEXTS + 4)
-        for batch in batches:
-            for row in range(batch.num_rows):
-                one = batch.slice(row, 1).to_pylist()[0]
-                v, x = measure(cell_of(one), one["cell"])
-                total[:CONTEXTS] += v
-                total[CONTEXTS:CONTEXTS + len(x)] += x
-        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["total"])
 
-    parts = cells.select("cell", "word", "key", "count").mapInArrow(part, "total binary").rdd
-    total = parts.treeAggregate(np.zeros(CONTEXTS + 4), lambda a, r: a + np.frombuffer(r.total), lambda a, b: a + b, 2)
-    return total[:CONTEXTS], total[CONTEXTS:]
+def _sweep(shared: Shared, parents: list[Parent], ranges: int):
+    """A cell's tables by context after the sweep behind ``parents``, and its part of the parent's sums."""
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        (row,) = left.to_pylist()
+        cell = cell_of(row)
+        totals, _ = told(right, len(parents))
+        *_, (tables, customers, opened) = sweeps(cell, shared, parents, totals, row["cell"])
+        here = np.bincount(cell.at, tables, len(cell.context)).astype(np.int64)
+        rows = [(k, row["cell"], here[s].tobytes(), None, None, None) for k, s in context_ranges(cell.context, ranges)]
+        rows.append((None, row["cell"], None, int(customers.sum()), 0 if cell.spread else int(opened.sum()),
+                     for_hot(cell, shared.hot, customers)))
+        return table_of(rows, SWEPT)
+    return run
+
+
+def _finish(shared: Shared, parents: list[Parent]):
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        (row,) = left.to_pylist()
+        totals, customers = told(right, len(parents))
+        return table_of([(row["cell"], *Predictor(cell_of(row), shared, parents, totals, customers, row["cell"]).packed())], FINAL)
+    return run
 
 
 def discount_of(once: int, twice: int) -> float:
@@ -397,108 +503,140 @@ def discount_of(once: int, twice: int) -> float:
     return float(np.clip(once / (once + 2 * twice), 0.1, 0.95)) if once else 0.5
 
 
-def _score(shared: Shared, history: list[Totals], hot: Predictor, cells: int):
-    """Partial sums of the texts of one cell's events: by pack, for each row that has events here."""
+ANSWERS = "home int, pack long, part int, score binary, counts binary, total binary"
+
+
+def _score(labels: np.ndarray):
+    """A cell's answers to each pack: log10 probabilities of its pairs, training counts of its words."""
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        number = key[0].as_py()
-        words, counts, contexts, rows, _ = unpacked(left)
-        if number >= cells:
-            predictor = hot
-        else:
-            found = right.to_pylist()
-            cell = cell_of(found[0]) if found else merged([])
-            predictor = Predictor(cell, shared, history, number)
-        out: list[list] = [[], [], []]
-        packs = left.column("pack").to_pylist()
-        for w, n, c, r in zip(words, counts, contexts, rows, strict=True):
-            score, count = predictor.log10(np.repeat(w, n), c)
-            size = int(r.max()) + 1
-            here = np.flatnonzero(np.bincount(r, minlength=size))
-            sums = np.stack([np.bincount(r, x, size)[here] for x in (score, np.log10(count + 1), count > 0)])
-            out[0].append(here.astype(np.uint16).tobytes())
-            out[1].append(sums[:2].tobytes())
-            out[2].append(sums[2].astype(np.uint32).tobytes())
-        return pa.table({"pack": pa.array(packs, pa.int64()), "rows": pa.array(out[0], pa.binary()),
-                         "sums": pa.array(out[1], pa.binary()), "known": pa.array(out[2], pa.binary())})
+        (row,) = right.to_pylist()
+        model = Predictor.unpacked([row[n] for n in ("word", "context", "key", "total", "here", "share", "base")])
+        out = []
+        for r in left.to_pylist():
+            w, n, met, number, _ = message_arrays(r)
+            at, total = model.counts(w)
+            score = model.log10(np.repeat(at, n), np.searchsorted(model.context, met)[number])
+            out.append((int(labels[r["pack"] % len(labels)]), r["pack"], r["part"], score.astype(np.float32).tobytes(),
+                        r["counts"], total.tobytes()))
+        return table_of(out, ANSWERS)
     return run
 
 
 def _gather(shared: Shared):
-    """The texts of one pack from the partial sums of all cells."""
+    """The texts of some packs from the answers of all cells."""
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        info = left.to_pylist()[0]
-        n = len(info["sizes"])
-        score, base, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
-        for rows, sums, k in zip(*(right.column(c) for c in ("rows", "sums", "known")), strict=True):
-            at = np.frombuffer(rows.as_py(), np.uint16)
-            s = np.frombuffer(sums.as_py(), np.float64).reshape(2, -1)
-            score[at] += s[0]
-            base[at] += s[1]
-            known[at] += np.frombuffer(k.as_py(), np.uint32)
-        size = np.array(info["sizes"], np.int64)
-        base -= size * np.log10(shared.trained + shared.known + 1)
-        return pa.table({"doc_id": pa.array(info["ids"], pa.int64()), "held_out": pa.array(np.frombuffer(info["held"], bool)),
-                         "n_tokens": pa.array(size), "n_known": pa.array(known), "train_tokens": pa.array(np.full(n, shared.trained)),
-                         "base_score": pa.array(base), "score": pa.array(score)})
+        answers: dict[int, list[dict]] = {}
+        for r in sorted(right.to_pylist(), key=lambda r: r["part"]):
+            answers.setdefault(r["pack"], []).append(r)
+        out: list[pa.Table] = []
+        for info in left.to_pylist():
+            parts = [arrays_of(r, score=np.float32, counts=np.uint32, total=np.int64) for r in answers.pop(info["pack"])]
+            score = np.concatenate([p[0] for p in parts]).astype(np.float64)
+            total = np.concatenate([np.repeat(p[2], p[1]) for p in parts])
+            event = np.frombuffer(info["events"], np.uint32)
+            size = np.array(info["sizes"], np.int64)
+            first = np.cumsum(size) - size  # each text has its end token at least
+            base = np.add.reduceat(np.log10(total + 1)[event], first) - size * np.log10(shared.trained + shared.known + 1)
+            out.append(pa.table({
+                "doc_id": pa.array(info["ids"], pa.int64()), "held_out": pa.array(np.frombuffer(info["held"], bool)),
+                "n_tokens": pa.array(size), "n_known": pa.array(np.add.reduceat((total > 0).astype(np.int64)[event], first)),
+                "train_tokens": pa.array(np.full(len(size), shared.trained)), "base_score": pa.array(base),
+                "score": pa.array(np.add.reduceat(score[event], first))}))
+        return pa.concat_tables(out)
     return run
 
 
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+class Bucketed:
+    """Tables bucketed by a number, as long as one run of the model needs them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made = spark, []
+
+    def write(self, df: DataFrame, buckets: int, by: str, name: str) -> DataFrame:
+        table, path = f"pitman_yor_{name}_{uuid.uuid4().hex}", scratch_path(self.spark, name)
+        df.write.bucketBy(buckets, by).option("path", path).saveAsTable(table)
+        self.made.append((table, path))
+        return self.spark.table(table)
+
+    def drop(self) -> None:
+        for table, path in self.made:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            delete_path(self.spark, path)
+
+
 def train_and_score(docs: DataFrame, holds, seed: int = 17) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``.
 
     ``holds(doc_id)`` (a plain function) names the rows that are not learned from.
     """
+    spark = docs.sparkSession
+    tables = Bucketed(spark)
+    with lean(spark):
+        try:
+            return _train_and_score(docs, holds, seed, tables)
+        finally:
+            tables.drop()
+
+
+def _train_and_score(docs: DataFrame, holds, seed: int, tables: Bucketed) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cells = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"pitman_yor_{uuid.uuid4().hex}"
-    with lean(spark):
-        hot = frequent(rows)
-        events = rows.mapInArrow(_events(cells, hot, holds), EVENTS)
-        # a cell's events lie in one bucket: what follows reads them without a shuffle
-        events.repartition(2 * cells, "cell").write.bucketBy(2 * cells, "cell").option("path", scratch_path(spark, "events")).saveAsTable(name)
-        packed = spark.table(name).filter("cell >= 0")
-        counts = landed(packed.groupBy("cell").applyInArrow(_count(cells), COUNTS), "cell-counts")
-
-    hot_cell = merged([cell_of(r) for r in counts.filter(F.col("cell") >= cells).toLocalIterator()])
-    own = counts.filter(F.col("cell") < cells)
-
-    def first(cell: Cell, _):
-        return np.bincount(cell.context, cell.count, CONTEXTS), (cell.count.sum(), len(cell.word))
-
-    def opened(cell: Cell, _):
-        return np.bincount(cell.context, minlength=CONTEXTS), (len(cell.key), len(cell.word))
-
-    def both(measure):
-        v, s = vectors(own, measure)
-        w, x = measure(hot_cell, cells)
-        s[:len(x)] += x
-        return v + w, s
-
-    customers, (trained, known, *_) = both(first)
-    stats = own.agg(*[F.sum(c).alias(c) for c in ("once", "twice", "single", "double")]).first()
-    # spread words count as any other does, once their cells are merged
-    once, twice, single, double = ((x or 0) + y for x, y in zip(stats, hot_cell.few(), strict=True))
-    shared = Shared(customers, int(known), int(trained), discount_of(once, twice), discount_of(single, double))
-    tables, (dishes, words, *_) = both(opened)
-    history = [Totals(tables, dishes, words)]
-    for _ in range(SWEEPS):
-        past = list(history)
-
-        def swept(cell: Cell, number: int, past=past):
-            *_, last = sweeps(cell, shared, past, number)
-            v, a, b = totals_of(cell, last)
-            return v, (a, b)
-
-        tables, (parent_customers, parent_tables, *_) = both(swept)
-        history.append(Totals(tables, parent_customers, parent_tables))
-
-    hot_predictor = Predictor(hot_cell, shared, history, cells)
-    parts = packed.groupBy("cell").cogroup(own.groupBy("cell")).applyInArrow(
-        _score(shared, history, hot_predictor, cells), "pack long, rows binary, sums binary, known binary")
-    info = spark.table(name).filter("cell < 0").select("pack", "ids", "sizes", "held")
-    return info.groupBy("pack").cogroup(parts.groupBy("pack")).applyInArrow(
-        _gather(shared), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    # as many buckets as cells, with those of the spread words
+    buckets = 2 * cells
+    labels = bucket_labels(spark, buckets)
+    hot = frequent(rows)
+    # what concerns a cell lies in one bucket, here and in the tables of counts: what follows reads them without a shuffle
+    events = tables.write(rows.mapInArrow(_events(cells, labels, hot, holds), EVENTS).repartition(buckets, "cell"), buckets, "cell", "events")
+    packed, info = events.filter("words is not null"), events.filter("ids is not null")
+    counts = tables.write(packed.groupBy("cell").applyInArrow(_count(hot), COUNTS), buckets, "cell", "counts")
+
+    def hot_sum(df: DataFrame, column: str) -> np.ndarray:
+        out = np.zeros(len(hot), np.int64)
+        for r in df.select(F.posexplode(column).alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():
+            out[r["at"]] = r["n"]
+        return out
+
+    names = ("once", "twice", "single", "double", "known", "trained")
+    once, twice, single, double, known, trained = (
+        x or 0 for x in counts.agg(*[F.sum(c).alias(c) for c in names]).first())
+    # spread words count as any other does, over all their cells
+    hot_counts, dishes = hot_sum(counts, "hot_counts"), hot_sum(counts, "hot_dishes")
+    single, double, known = single + int((dishes == 1).sum()), double + int((dishes == 2).sum()), known + int((dishes > 0).sum())
+    shared = Shared(known, trained, discount_of(once, twice), discount_of(single, double), hot, hot_counts)
+
+    # at first a table for each dish
+    asked = tables.write(counts.mapInArrow(_ask(cells), ASKED).groupBy("bucket").applyInArrow(_first_totals, TOTALS),
+                         cells, "bucket", "contexts")
+    totals = asked.agg(F.count(F.lit(1)).alias("n")).first().n
+    if not totals:
+        return landed(spark.createDataFrame([], SCORES), "scores")
+    replies = asked.select("bucket", "cell", "tables", "customers", F.lit(0).alias("round"))
+    pairs = counts.agg(F.sum(F.octet_length("key") / 8).cast("long").alias("n")).first().n or 0
+    parents = [Parent(pairs, known, dishes, np.minimum(dishes, 1))]
+    for sweep in range(SWEEPS):
+        swept = landed(counts.groupBy("cell").cogroup(replies.groupBy("cell")).applyInArrow(
+            _sweep(shared, parents, cells), SWEPT), "swept")
+        sums = swept.agg(F.sum("customers").alias("customers"), F.sum("opened").alias("opened")).first()
+        customers = hot_sum(swept, "hot")
+        opened = seat(customers, np.full(len(hot), shared.opened(parents[-1])), shared.parent_discount,
+                      np.random.default_rng([seed, sweep]))
+        parents.append(Parent(sums.customers, sums.opened + int(opened.sum()), customers, opened))
+        answer = landed(swept.filter("bucket is not null").select("bucket", "cell", "tables").groupBy("bucket")
+                        .cogroup(asked.select("bucket", "cell", "slots").groupBy("bucket")).applyInArrow(_next_totals, REPLIES), "totals")
+        replies = replies.unionByName(answer.select(
+            "bucket", "cell", "tables", F.lit(None).cast("binary").alias("customers"), F.lit(sweep + 1).alias("round")))
+
+    final = tables.write(counts.groupBy("cell").cogroup(replies.groupBy("cell")).applyInArrow(_finish(shared, parents), FINAL),
+                         buckets, "cell", "final")
+    answers = packed.select("cell", "pack", "part", "words", "counts", "met", "contexts", "trained").groupBy("cell") \
+        .cogroup(final.groupBy("cell")).applyInArrow(_score(labels), ANSWERS)
+    scores = info.select("cell", "pack", "events", "ids", "sizes", "held").groupBy("cell") \
+        .cogroup(answers.groupBy("home")).applyInArrow(_gather(shared), SCORES)
+    return landed(scores, "scores")
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

@@ -60,30 +60,67 @@ def test_null_repeated_and_empty(make):
 
 
 def cell_and_model(texts):
-    token, context, first = P.tokens(pa.array(texts))
-    word, n = np.unique(token, return_counts=True)
-    by = np.argsort(token, kind="stable")
-    cell = P.Cell.of_events([word], [n], [context[by]], [np.zeros(len(token), np.uint16)], [1])
-    customers = np.bincount(cell.context, cell.count, P.CONTEXTS)
-    shared = P.Shared(customers, len(cell.word), len(token), 0.7, 0.6)
-    v = np.bincount(cell.context, minlength=P.CONTEXTS)
-    history = [P.Totals(v, len(cell.key), len(cell.word))]
+    """One cell of all pairs, swept as the jobs do."""
+    token, context, _ = P.tokens(pa.array(texts))
+    cell, word, ctx, trained, event = P.distinct_pairs(token, context, np.ones(len(token)), np.zeros(0, np.uint64), 1)
+    assert (word[event] == token).all() and (ctx[event] == context).all() and trained.sum() == len(token)
+    kinds = (np.uint64, np.uint32, np.uint64, np.uint32, np.uint32)
+    (number, *arrays), = P.messages(cell, word, ctx, trained)
+    cell = P.Cell.of_messages([[np.frombuffer(x, k) for x, k in zip(arrays, kinds, strict=True)]])
+    customers = np.bincount(cell.at, cell.count, len(cell.context)).astype(np.int64)
+    none = np.zeros(0, np.int64)
+    shared = P.Shared(len(cell.word), len(token), 0.7, 0.6, np.zeros(0, np.uint64), none)
+    totals = [np.bincount(cell.at, minlength=len(cell.context))]
+    parents = [P.Parent(len(cell.key), len(cell.word), none, none)]
     for _ in range(P.SWEEPS):
-        *_, last = P.sweeps(cell, shared, list(history), 1)
-        history.append(P.Totals(*P.totals_of(cell, last)))
-    return cell, shared, history
+        *_, (tables, guests, opened) = P.sweeps(cell, shared, list(parents), list(totals), 1)
+        totals.append(np.bincount(cell.at, tables, len(cell.context)).astype(np.int64))
+        parents.append(P.Parent(guests.sum(), opened.sum(), none, none))
+    return cell, shared, parents, totals, customers
 
 
 def test_probabilities_sum_to_one():
-    """Over all known words and the unknown one, in contexts met and never met."""
-    cell, shared, history = cell_and_model(["a b a c a b", "b c d the the the a", "x y a b"] * 5)
-    p = P.Predictor(cell, shared, history, 1)
-    unknown = np.array([12345], np.uint64)
-    for context in {*cell.context.tolist(), 7}:
-        w = np.concatenate([cell.word, unknown])
-        log, count = p.log10(w, np.full(len(w), context, np.uint16))
-        assert (10 ** log).sum() == pytest.approx(1)
-        assert count[-1] == 0 and count.sum() == shared.trained
+    """Over all known words and the unknown one, in all contexts."""
+    cell, shared, parents, totals, customers = cell_and_model(["a b a c a b", "b c d the the the a", "x y a b"] * 5)
+    p = P.Predictor.unpacked(P.Predictor(cell, shared, parents, totals, customers, 1).packed())
+    at, count = p.counts(np.concatenate([cell.word, np.array([12345], np.uint64)]))
+    assert count[-1] == 0 and count.sum() == shared.trained
+    for context in range(len(cell.context)):
+        assert (10 ** p.log10(at, np.full(len(at), context))).sum() == pytest.approx(1)
+
+
+def test_seats_agree_with_a_plain_sampler():
+    """Mean tables of each context over many seeds, against customers seated one after another in plain Python."""
+    cell, shared, parents, totals, _ = cell_and_model(["a b a c a b", "b c a b a b", "c a b"] * 2)
+    got = np.mean([next(P.sweeps(cell, shared, parents[:1], totals[:1], s))[0] for s in range(3000)], axis=0)
+    base = (cell.dishes - shared.parent_discount) / (P.PARENT_STRENGTH + parents[0].customers) + shared.new_table(parents[0])
+    rng = np.random.default_rng(5)
+    for k in range(len(cell.key)):
+        a = (P.STRENGTH + shared.discount * (totals[0][cell.at[k]] - 1)) * base[cell.of[k]]
+        seen = []
+        for _ in range(3000):
+            t = 1
+            for j in range(1, cell.count[k]):
+                t += rng.random() < a / (a + j - shared.discount * t)
+            seen.append(t)
+        assert got[k] == pytest.approx(np.mean(seen), abs=0.06)
+
+
+def test_contexts_are_kept_apart_whatever_their_number(session, make):
+    """Each word follows one context: with every context a restaurant of its own the next word is nearly sure."""
+    docs = [(i, " ".join(f"c{k} w{k}" for k in range(200 * (i % 200), 200 * (i % 200) + 200))) for i in range(1600)]
+    out = P.train_and_score(make(docs), P.seventh)
+    (held,) = [r for r in P.perplexity(out).collect() if r.held_out]
+    assert held.perplexity < 20 < 10_000 < held.base_perplexity
+
+
+def test_spread_words_are_scored_as_others(make, rows, monkeypatch):
+    """Only the draws differ when words are dealt to cells by their contexts."""
+    score = {}
+    for share in (2, 1 / 100):
+        monkeypatch.setattr(P, "HOT_SHARE", share)
+        score[share] = {r.doc_id: r.score for r in P.train_and_score(make(rows[:100]), P.seventh).collect()}
+    assert all(score[2][i] == pytest.approx(score[1 / 100][i], rel=0.02) for i in score[2])
 
 
 def test_seating_follows_the_chinese_restaurant():
