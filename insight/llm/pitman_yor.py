@@ -16,7 +16,7 @@ word's hash, or, for words of at least ``HOT_SHARE`` of all tokens (fewer than
 frequent pair fills a cell.  Cells count, sample and score their pairs.  A
 context's totals concern many cells: these send their parts to the totals' own
 groups, by ranges of the context's fingerprint, and get the sums back in the
-same order, in every sweep.  Cells answer each pack with a number a pair; the
+same order, in every sweep; contexts that only one cell knows are settled there.  Cells answer each pack with a number a pair; the
 pack adds them up by text.  The driver holds sums over all cells, and those of
 each word that is spread.
 
@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,6 +132,31 @@ def _heavy(share: float):
     return run
 
 
+#: arrays in rising order, kept as differences
+RISING = {"words", "met", "word", "context", "key", "slots"}
+
+
+def squeezed(name: str, x: np.ndarray) -> bytes:
+    """Numbers by byte planes, compressed (Spark's own codec for shuffles finds little in whole numbers)."""
+    if len(x) == 0:
+        return b""
+    if name in RISING:
+        x = np.diff(x, prepend=x.dtype.type(0))
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes())
+
+
+def unsqueezed(name: str, data: bytes, kind) -> np.ndarray:
+    if not data:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    x = np.ascontiguousarray(planes.T).view(kind).ravel()
+    return np.cumsum(x, dtype=kind) if name in RISING else x
+
+
+def arrays_of(row: dict, **kinds) -> tuple:
+    return tuple(unsqueezed(name, row[name], kind) for name, kind in kinds.items())
+
+
 EVENTS = ("cell int, pack long, part int, spread boolean, words binary, counts binary, met binary, contexts binary, trained binary, "
           "events binary, ids array<bigint>, sizes array<int>, held binary")
 
@@ -166,8 +192,8 @@ def messages(cell, word, context, trained) -> Iterator[tuple]:
     for a, b in zip(cuts, np.append(cuts[1:], len(cell)), strict=True):
         head = np.flatnonzero(np.concatenate([[True], word[a + 1:b] != word[a:b - 1]]))
         met, number = np.unique(context[a:b], return_inverse=True)
-        yield (int(cell[a]), word[a:b][head].tobytes(), np.diff(np.append(head, b - a)).astype(np.uint32).tobytes(),
-               met.tobytes(), number.astype(np.uint32).tobytes(), trained[a:b].tobytes())
+        yield (int(cell[a]), squeezed("words", word[a:b][head]), squeezed("counts", np.diff(np.append(head, b - a)).astype(np.uint32)),
+               squeezed("met", met), squeezed("contexts", number.astype(np.uint32)), squeezed("trained", trained[a:b]))
 
 
 def _events(cells: int, labels: np.ndarray, hot: np.ndarray, holds):
@@ -188,7 +214,7 @@ def _events(cells: int, labels: np.ndarray, hot: np.ndarray, holds):
             none = (None,) * 4
             rows = [(int(labels[cell]), pack, part, cell >= cells, *arrays, *none)
                     for part, (cell, *arrays) in enumerate(messages(*pairs))]
-            rows.append((int(labels[pack % len(labels)]), pack, None, None, *none, None, events.astype(np.uint32).tobytes(),
+            rows.append((int(labels[pack % len(labels)]), pack, None, None, *none, None, squeezed("events", events.astype(np.uint32)),
                          ids, sizes.astype(np.int32).tolist(), held.tobytes()))
             pack, texts = pack + 1, []
             for i in range(0, len(rows), 16):
@@ -303,18 +329,32 @@ def words_at_parent(cell: Cell, shared: Shared, parent: Parent, state) -> tuple[
     return parent.hot_customers[at], parent.hot_tables[at]
 
 
-def sweeps(cell: Cell, shared: Shared, parents: list[Parent], totals: list[np.ndarray], seed: int) -> Iterator[tuple]:
+class Told:
+    """What a cell is told of its contexts: their customers, which of them other cells know too, and the tables of
+    those after each round."""
+
+    def __init__(self, customers: np.ndarray, shared: np.ndarray, tables: list[np.ndarray]):
+        self.customers, self.shared, self.tables = customers, shared, tables
+
+    def all_tables(self, cell: Cell, tables: np.ndarray, after: int) -> np.ndarray:
+        """Tables of each context, the cell's own being ``tables``."""
+        out = np.bincount(cell.at, tables, len(cell.context)).astype(np.int64)
+        out[self.shared] = self.tables[after]
+        return out
+
+
+def sweeps(cell: Cell, shared: Shared, parents: list[Parent], told: Told, seed: int) -> Iterator[tuple]:
     """After each sweep: tables of every (word, context), customers and tables of each word at the parent.
 
     Starts with one table for each dish of a restaurant; sweep ``s`` seats against
-    ``parents[s]`` and the tables of each context, ``totals[s]``.
+    ``parents[s]`` and what was told after round ``s``.
     """
     tables = np.ones(len(cell.key), np.int64)
     state = tables, cell.dishes, np.minimum(cell.dishes, 1)
-    for s, (parent, all_tables) in enumerate(zip(parents, totals, strict=True)):
+    for s, parent in enumerate(parents):
         rng = np.random.default_rng([seed, s])
         base = shared.base(parent, *words_at_parent(cell, shared, parent, state))
-        others = all_tables[cell.at] - state[0]  # tables of the other dishes
+        others = told.all_tables(cell, state[0], s)[cell.at] - state[0]  # tables of the other dishes
         ratio = (STRENGTH + shared.discount * np.maximum(others, 0)) * base[cell.of]
         tables = seat(cell.count, ratio, shared.discount, rng)
         customers = np.bincount(cell.of, tables, len(cell.word)).astype(np.int64)
@@ -329,29 +369,31 @@ class Predictor:
     """Averaged predictive probabilities of one cell's words: of a pair what it has itself, and for each sample the
     contexts' share of the parent and the parent's chance of the words."""
 
-    def __init__(self, cell: Cell, shared: Shared, parents: list[Parent], totals: list[np.ndarray], customers: np.ndarray, seed: int):
-        states = list(sweeps(cell, shared, parents[:-1], totals[:-1], seed))
-        room = STRENGTH + customers
+    def __init__(self, cell: Cell, shared: Shared, parents: list[Parent], told: Told, seed: int):
+        states = list(sweeps(cell, shared, parents[:-1], told, seed))
+        room = STRENGTH + told.customers
         self.word, self.context, self.key = cell.word, cell.context, cell.key
         self.total = shared.hot_counts[np.searchsorted(shared.hot, cell.word)] if cell.spread else cell.total
         self.here, self.share, self.base = np.zeros(len(cell.key)), [], []
-        for state, parent, all_tables in zip(states[-KEPT:], parents[-KEPT:], totals[-KEPT:], strict=True):
+        for after in range(len(parents) - KEPT, len(parents)):
+            state, parent = states[after - 1], parents[after]
             self.here += (cell.count - shared.discount * state[0]) / room[cell.at] / KEPT
-            self.share.append((STRENGTH + shared.discount * all_tables) / room / KEPT)
+            self.share.append((STRENGTH + shared.discount * told.all_tables(cell, state[0], after)) / room / KEPT)
             # the last one is the unknown word
             self.base.append(np.append(shared.base(parent, *words_at_parent(cell, shared, parent, state)), shared.new_table(parent)))
 
-    def packed(self) -> list[bytes]:
-        return [x.tobytes() for x in (self.word, self.context, self.key, self.total.astype(np.int64), self.here,
-                                      np.concatenate(self.share), np.concatenate(self.base))]
+    KINDS = {"word": np.uint64, "context": np.uint64, "key": np.int64, "total": np.int64, "here": np.float64,
+             "share": np.float64, "base": np.float64}
+
+    def packed(self) -> dict[str, bytes]:
+        return {name: squeezed(name, np.asarray(getattr(self, name), kind).ravel()) for name, kind in self.KINDS.items()}
 
     @classmethod
-    def unpacked(cls, values: list[bytes]) -> Predictor:
+    def unpacked(cls, row: dict) -> Predictor:
         self = cls.__new__(cls)
-        kinds = (np.uint64, np.uint64, np.int64, np.int64, np.float64, np.float64, np.float64)
-        self.word, self.context, self.key, self.total, self.here, share, base = (
-            np.frombuffer(v, k) for v, k in zip(values, kinds, strict=True))
-        self.share, self.base = share.reshape(KEPT, -1), base.reshape(KEPT, -1)
+        for name, x in zip(cls.KINDS, arrays_of(row, **cls.KINDS), strict=True):
+            setattr(self, name, x)
+        self.share, self.base = self.share.reshape(KEPT, -1), self.base.reshape(KEPT, -1)
         return self
 
     def counts(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -372,15 +414,11 @@ class Predictor:
 
 # --- jobs
 
-COUNTS = ("cell int, spread boolean, word binary, context binary, key binary, count binary, once long, twice long, single long, "
+COUNTS = ("cell int, spread boolean, word binary, context binary, key binary, count binary, pairs long, once long, twice long, single long, "
           "double long, known long, trained long, hot_counts array<bigint>, hot_dishes array<bigint>")
 FINAL = "cell int, word binary, context binary, key binary, total binary, here binary, share binary, base binary"
 
 
-def arrays_of(row: dict, **kinds) -> tuple:
-    return tuple(np.frombuffer(row[name], kind) for name, kind in kinds.items())
-
-
 def cell_of(row: dict) -> Cell:
     return Cell(*arrays_of(row, word=np.uint64, context=np.uint64, key=np.int64, count=np.int64), spread=row["spread"])
 
@@ -411,7 +449,7 @@ def _count(hot: np.ndarray):
         rows = table.to_pylist()
         c = Cell.of_messages([message_arrays(r) for r in rows], rows[0]["spread"])
         few = [0, 0, 0] if c.spread else [int((c.dishes == 1).sum()), int((c.dishes == 2).sum()), len(c.word)]
-        return table_of([(key[0].as_py(), c.spread, c.word.tobytes(), c.context.tobytes(), c.key.tobytes(), c.count.tobytes(),
+        return table_of([(key[0].as_py(), c.spread, *(squeezed(n, getattr(c, n)) for n in ("word", "context", "key", "count")), len(c.key),
                           int((c.count == 1).sum()), int((c.count == 2).sum()), *few, int(c.count.sum()),
                           for_hot(c, hot, c.total), for_hot(c, hot, c.dishes))], COUNTS)
     return run
@@ -426,7 +464,7 @@ def context_ranges(context: np.ndarray, ranges: int) -> Iterator[tuple[int, slic
 
 
 ASKED = "bucket int, cell int, context binary, customers binary, tables binary"
-TOTALS = "bucket int, cell int, slots binary, customers binary, tables binary"
+TOTALS = "bucket int, cell int, shared binary, slots binary, customers binary, tables binary"
 SWEPT = "bucket int, cell int, tables binary, customers long, opened long, hot array<bigint>"
 REPLIES = "bucket int, cell int, tables binary"
 
@@ -440,39 +478,50 @@ def _ask(ranges: int):
                 c = cell_of(row)
                 customers = np.bincount(c.at, c.count, len(c.context)).astype(np.int64)
                 dishes = np.bincount(c.at, minlength=len(c.context))
-                rows = [(k, row["cell"], c.context[s].tobytes(), customers[s].tobytes(), dishes[s].tobytes())
+                rows = [(k, row["cell"], squeezed("context", c.context[s]), squeezed("customers", customers[s]), squeezed("tables", dishes[s]))
                         for k, s in context_ranges(c.context, ranges)]
                 yield from table_of(rows, ASKED).to_batches()
     return run
 
 
 def _first_totals(key: tuple, table: pa.Table) -> pa.Table:
-    """A range's contexts over all cells: to each cell the place of its contexts, their customers and dishes."""
+    """A range's contexts over all cells: to each cell which of its contexts others know too, their places here, their
+    customers and dishes."""
     rows = table.to_pylist()
     parts = [arrays_of(r, context=np.uint64, customers=np.int64, tables=np.int64) for r in rows]
     names = np.unique(np.concatenate([p[0] for p in parts]))
     slots = [np.searchsorted(names, p[0]) for p in parts]
     every = np.concatenate(slots)
     customers, tables = (np.bincount(every, np.concatenate([p[k] for p in parts])).astype(np.int64) for k in (1, 2))
-    return table_of([(key[0].as_py(), r["cell"], s.astype(np.uint32).tobytes(), customers[s].tobytes(), tables[s].tobytes())
-                     for r, s in zip(rows, slots, strict=True)], TOTALS)
+    met = np.bincount(every)
+    out = []
+    for r, s, (_, own, _) in zip(rows, slots, parts, strict=True):
+        # also one that another cell only asks for, in texts that are not learned from
+        shared = (met[s] > 1) & (customers[s] > 0)
+        at = s[shared]
+        out.append((key[0].as_py(), r["cell"], squeezed("shared", shared), squeezed("slots", at.astype(np.uint32)),
+                    squeezed("customers", np.where(shared, customers[s], own)), squeezed("tables", tables[at])))
+    return table_of(out, TOTALS)
 
 
 def _next_totals(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     """The same after a sweep: the tables of each context."""
-    slots = {r["cell"]: np.frombuffer(r["slots"], np.uint32) for r in right.to_pylist()}
-    parts = [(r["cell"], np.frombuffer(r["tables"], np.int64)) for r in left.to_pylist()]
+    parts = [(r["cell"], *arrays_of(r, tables=np.int64)) for r in left.to_pylist()]
+    if not parts:
+        return table_of([], REPLIES)
+    slots = {r["cell"]: arrays_of(r, slots=np.uint32)[0] for r in right.to_pylist()}
     every = np.concatenate([slots[cell] for cell, _ in parts])
     tables = np.bincount(every, np.concatenate([t for _, t in parts])).astype(np.int64)
-    return table_of([(key[0].as_py(), cell, tables[slots[cell]].tobytes()) for cell, _ in parts], REPLIES)
+    return table_of([(key[0].as_py(), cell, squeezed("tables", tables[slots[cell]])) for cell, _ in parts], REPLIES)
 
 
-def told(replies: pa.Table, rounds: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """What a cell was told: tables of its contexts after each round, and their customers."""
+def told_by(replies: pa.Table, rounds: int) -> Told:
     rows = sorted(replies.to_pylist(), key=lambda r: r["bucket"])
-    none = np.zeros(0, np.int64)
-    tables = [np.concatenate([none, *(np.frombuffer(r["tables"], np.int64) for r in rows if r["round"] == k)]) for k in range(rounds)]
-    return tables, np.concatenate([none, *(np.frombuffer(r["customers"], np.int64) for r in rows if r["round"] == 0)])
+
+    def joined(name, kind, after):
+        return np.concatenate([np.zeros(0, kind), *(arrays_of(r, **{name: kind})[0] for r in rows if r["round"] == after)])
+
+    return Told(joined("customers", np.int64, 0), joined("shared", np.bool_, 0), [joined("tables", np.int64, k) for k in range(rounds)])
 
 
 def _sweep(shared: Shared, parents: list[Parent], ranges: int):
@@ -480,10 +529,11 @@ def _sweep(shared: Shared, parents: list[Parent], ranges: int):
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         (row,) = left.to_pylist()
         cell = cell_of(row)
-        totals, _ = told(right, len(parents))
-        *_, (tables, customers, opened) = sweeps(cell, shared, parents, totals, row["cell"])
+        told = told_by(right, len(parents))
+        *_, (tables, customers, opened) = sweeps(cell, shared, parents, told, row["cell"])
         here = np.bincount(cell.at, tables, len(cell.context)).astype(np.int64)
-        rows = [(k, row["cell"], here[s].tobytes(), None, None, None) for k, s in context_ranges(cell.context, ranges)]
+        rows = [(k, row["cell"], squeezed("tables", here[s][told.shared[s]]), None, None, None)
+                for k, s in context_ranges(cell.context, ranges) if told.shared[s].any()]
         rows.append((None, row["cell"], None, int(customers.sum()), 0 if cell.spread else int(opened.sum()),
                      for_hot(cell, shared.hot, customers)))
         return table_of(rows, SWEPT)
@@ -493,8 +543,8 @@ def _sweep(shared: Shared, parents: list[Parent], ranges: int):
 def _finish(shared: Shared, parents: list[Parent]):
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         (row,) = left.to_pylist()
-        totals, customers = told(right, len(parents))
-        return table_of([(row["cell"], *Predictor(cell_of(row), shared, parents, totals, customers, row["cell"]).packed())], FINAL)
+        model = Predictor(cell_of(row), shared, parents, told_by(right, len(parents)), row["cell"])
+        return table_of([(row["cell"], *model.packed().values())], FINAL)
     return run
 
 
@@ -510,14 +560,14 @@ def _score(labels: np.ndarray):
     """A cell's answers to each pack: log10 probabilities of its pairs, training counts of its words."""
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         (row,) = right.to_pylist()
-        model = Predictor.unpacked([row[n] for n in ("word", "context", "key", "total", "here", "share", "base")])
+        model = Predictor.unpacked(row)
         out = []
         for r in left.to_pylist():
             w, n, met, number, _ = message_arrays(r)
             at, total = model.counts(w)
             score = model.log10(np.repeat(at, n), np.searchsorted(model.context, met)[number])
-            out.append((int(labels[r["pack"] % len(labels)]), r["pack"], r["part"], score.astype(np.float32).tobytes(),
-                        r["counts"], total.tobytes()))
+            out.append((int(labels[r["pack"] % len(labels)]), r["pack"], r["part"],
+                        squeezed("score", score.astype(np.float32)), r["counts"], squeezed("total", total)))
         return table_of(out, ANSWERS)
     return run
 
@@ -533,7 +583,7 @@ def _gather(shared: Shared):
             parts = [arrays_of(r, score=np.float32, counts=np.uint32, total=np.int64) for r in answers.pop(info["pack"])]
             score = np.concatenate([p[0] for p in parts]).astype(np.float64)
             total = np.concatenate([np.repeat(p[2], p[1]) for p in parts])
-            event = np.frombuffer(info["events"], np.uint32)
+            (event,) = arrays_of(info, events=np.uint32)
             size = np.array(info["sizes"], np.int64)
             first = np.cumsum(size) - size  # each text has its end token at least
             base = np.add.reduceat(np.log10(total + 1)[event], first) - size * np.log10(shared.trained + shared.known + 1)
@@ -561,10 +611,12 @@ class Bucketed:
         self.made.append((table, path))
         return self.spark.table(table)
 
-    def drop(self) -> None:
+    def drop(self, name: str = "") -> None:
+        """Those whose name begins so."""
         for table, path in self.made:
-            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
-            delete_path(self.spark, path)
+            if table.startswith(f"pitman_yor_{name}"):
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+                delete_path(self.spark, path)
 
 
 def train_and_score(docs: DataFrame, holds, seed: int = 17) -> DataFrame:
@@ -600,8 +652,8 @@ def _train_and_score(docs: DataFrame, holds, seed: int, tables: Bucketed) -> Dat
             out[r["at"]] = r["n"]
         return out
 
-    names = ("once", "twice", "single", "double", "known", "trained")
-    once, twice, single, double, known, trained = (
+    names = ("pairs", "once", "twice", "single", "double", "known", "trained")
+    pairs, once, twice, single, double, known, trained = (
         x or 0 for x in counts.agg(*[F.sum(c).alias(c) for c in names]).first())
     # spread words count as any other does, over all their cells
     hot_counts, dishes = hot_sum(counts, "hot_counts"), hot_sum(counts, "hot_dishes")
@@ -614,8 +666,7 @@ def _train_and_score(docs: DataFrame, holds, seed: int, tables: Bucketed) -> Dat
     totals = asked.agg(F.count(F.lit(1)).alias("n")).first().n
     if not totals:
         return landed(spark.createDataFrame([], SCORES), "scores")
-    replies = asked.select("bucket", "cell", "tables", "customers", F.lit(0).alias("round"))
-    pairs = counts.agg(F.sum(F.octet_length("key") / 8).cast("long").alias("n")).first().n or 0
+    replies = asked.select("bucket", "cell", "tables", "customers", "shared", F.lit(0).alias("round"))
     parents = [Parent(pairs, known, dishes, np.minimum(dishes, 1))]
     for sweep in range(SWEEPS):
         swept = landed(counts.groupBy("cell").cogroup(replies.groupBy("cell")).applyInArrow(
@@ -628,10 +679,13 @@ def _train_and_score(docs: DataFrame, holds, seed: int, tables: Bucketed) -> Dat
         answer = landed(swept.filter("bucket is not null").select("bucket", "cell", "tables").groupBy("bucket")
                         .cogroup(asked.select("bucket", "cell", "slots").groupBy("bucket")).applyInArrow(_next_totals, REPLIES), "totals")
         replies = replies.unionByName(answer.select(
-            "bucket", "cell", "tables", F.lit(None).cast("binary").alias("customers"), F.lit(sweep + 1).alias("round")))
+            "bucket", "cell", "tables", F.lit(None).cast("binary").alias("customers"), F.lit(None).cast("binary").alias("shared"),
+            F.lit(sweep + 1).alias("round")))
 
     final = tables.write(counts.groupBy("cell").cogroup(replies.groupBy("cell")).applyInArrow(_finish(shared, parents), FINAL),
                          buckets, "cell", "final")
+    tables.drop("counts")
+    tables.drop("contexts")
     answers = packed.select("cell", "pack", "part", "words", "counts", "met", "contexts", "trained").groupBy("cell") \
         .cogroup(final.groupBy("cell")).applyInArrow(_score(labels), ANSWERS)
     scores = info.select("cell", "pack", "events", "ids", "sizes", "held").groupBy("cell") \

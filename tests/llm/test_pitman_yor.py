@@ -64,25 +64,24 @@ def cell_and_model(texts):
     token, context, _ = P.tokens(pa.array(texts))
     cell, word, ctx, trained, event = P.distinct_pairs(token, context, np.ones(len(token)), np.zeros(0, np.uint64), 1)
     assert (word[event] == token).all() and (ctx[event] == context).all() and trained.sum() == len(token)
-    kinds = (np.uint64, np.uint32, np.uint64, np.uint32, np.uint32)
     (number, *arrays), = P.messages(cell, word, ctx, trained)
-    cell = P.Cell.of_messages([[np.frombuffer(x, k) for x, k in zip(arrays, kinds, strict=True)]])
+    cell = P.Cell.of_messages([P.message_arrays(dict(zip(("words", "counts", "met", "contexts", "trained"), arrays, strict=True)))])
     customers = np.bincount(cell.at, cell.count, len(cell.context)).astype(np.int64)
     none = np.zeros(0, np.int64)
     shared = P.Shared(len(cell.word), len(token), 0.7, 0.6, np.zeros(0, np.uint64), none)
-    totals = [np.bincount(cell.at, minlength=len(cell.context))]
+    told = P.Told(customers, np.ones(len(cell.context), bool), [np.bincount(cell.at, minlength=len(cell.context))])
     parents = [P.Parent(len(cell.key), len(cell.word), none, none)]
     for _ in range(P.SWEEPS):
-        *_, (tables, guests, opened) = P.sweeps(cell, shared, list(parents), list(totals), 1)
-        totals.append(np.bincount(cell.at, tables, len(cell.context)).astype(np.int64))
+        *_, (tables, guests, opened) = P.sweeps(cell, shared, list(parents), told, 1)
+        told.tables.append(np.bincount(cell.at, tables, len(cell.context)).astype(np.int64))
         parents.append(P.Parent(guests.sum(), opened.sum(), none, none))
-    return cell, shared, parents, totals, customers
+    return cell, shared, parents, told
 
 
 def test_probabilities_sum_to_one():
     """Over all known words and the unknown one, in all contexts."""
-    cell, shared, parents, totals, customers = cell_and_model(["a b a c a b", "b c d the the the a", "x y a b"] * 5)
-    p = P.Predictor.unpacked(P.Predictor(cell, shared, parents, totals, customers, 1).packed())
+    cell, shared, parents, told = cell_and_model(["a b a c a b", "b c d the the the a", "x y a b"] * 5)
+    p = P.Predictor.unpacked(P.Predictor(cell, shared, parents, told, 1).packed())
     at, count = p.counts(np.concatenate([cell.word, np.array([12345], np.uint64)]))
     assert count[-1] == 0 and count.sum() == shared.trained
     for context in range(len(cell.context)):
@@ -91,12 +90,12 @@ def test_probabilities_sum_to_one():
 
 def test_seats_agree_with_a_plain_sampler():
     """Mean tables of each context over many seeds, against customers seated one after another in plain Python."""
-    cell, shared, parents, totals, _ = cell_and_model(["a b a c a b", "b c a b a b", "c a b"] * 2)
-    got = np.mean([next(P.sweeps(cell, shared, parents[:1], totals[:1], s))[0] for s in range(3000)], axis=0)
+    cell, shared, parents, told = cell_and_model(["a b a c a b", "b c a b a b", "c a b"] * 2)
+    got = np.mean([next(P.sweeps(cell, shared, parents[:1], told, s))[0] for s in range(3000)], axis=0)
     base = (cell.dishes - shared.parent_discount) / (P.PARENT_STRENGTH + parents[0].customers) + shared.new_table(parents[0])
     rng = np.random.default_rng(5)
     for k in range(len(cell.key)):
-        a = (P.STRENGTH + shared.discount * (totals[0][cell.at[k]] - 1)) * base[cell.of[k]]
+        a = (P.STRENGTH + shared.discount * (told.tables[0][cell.at[k]] - 1)) * base[cell.of[k]]
         seen = []
         for _ in range(3000):
             t = 1
@@ -106,6 +105,36 @@ def test_seats_agree_with_a_plain_sampler():
         assert got[k] == pytest.approx(np.mean(seen), abs=0.06)
 
 
+def test_a_context_of_one_cell_needs_no_telling():
+    """The same seats, whether a cell is told its own contexts' tables or knows that nobody else has them."""
+    cell, shared, parents, told = cell_and_model(["a b a c a b", "b c a b a b"] * 3)
+    alone = P.Told(told.customers, np.zeros(len(cell.context), bool), [np.zeros(0, np.int64)] * len(told.tables))
+    for x, y in zip(P.sweeps(cell, shared, parents[:-1], told, 1), P.sweeps(cell, shared, parents[:-1], alone, 1), strict=True):
+        assert all((a == b).all() for a, b in zip(x, y, strict=True))
+
+
+def test_totals_reach_cells_that_only_ask():
+    """Context 2 is learned in one cell and met in a text held out in another: both are told its tables."""
+    def ask(cell, context, customers):
+        return (7, cell, P.squeezed("context", np.array(context, np.uint64)), *[P.squeezed("customers", np.array(customers))] * 2)
+
+    asked = P._first_totals((pa.scalar(7),), P.table_of([ask(0, [1, 2, 3], [4, 5, 6]), ask(1, [2, 3, 9], [0, 1, 0])], P.ASKED))
+    got = {r["cell"]: P.arrays_of(r, shared=np.bool_, customers=np.int64, tables=np.int64) for r in asked.to_pylist()}
+    assert [x.tolist() for x in got[0]] == [[False, True, True], [4, 5, 7], [5, 7]]
+    assert [x.tolist() for x in got[1]] == [[True, True, False], [5, 7, 0], [5, 7]]
+    swept = P.table_of([(7, 0, P.squeezed("tables", np.array([3, 2])), None, None, None),
+                        (7, 1, P.squeezed("tables", np.array([0, 1])), None, None, None)], P.SWEPT)
+    told = {r["cell"]: P.arrays_of(r, tables=np.int64)[0].tolist() for r in P._next_totals((pa.scalar(7),), swept, asked).to_pylist()}
+    assert told == {0: [3, 3], 1: [3, 3]}
+
+
+def test_arrays_travel_whole():
+    r = np.random.default_rng(1)
+    for name, x in [("words", np.sort(r.integers(0, 2**64, 999, np.uint64))), ("key", np.sort(r.integers(-9, 2**62, 50))),
+                    ("shared", r.random(9) < 0.5), ("here", r.random(33)), ("events", np.zeros(0, np.uint32))]:
+        assert (P.unsqueezed(name, P.squeezed(name, x), x.dtype) == x).all()
+
+
 def test_contexts_are_kept_apart_whatever_their_number(session, make):
     """Each word follows one context: with every context a restaurant of its own the next word is nearly sure."""
     docs = [(i, " ".join(f"c{k} w{k}" for k in range(200 * (i % 200), 200 * (i % 200) + 200))) for i in range(1600)]
