@@ -59,7 +59,7 @@ PARENT_STRENGTH = 10.0
 #: texts sent to a Python task at once
 BATCH_ROWS = 500
 #: tokens packed at once, and rows of such a pack at most
-PACK = 1_000_000
+PACK = 2_000_000
 PACK_ROWS = 60_000
 END = mix(np.array([0x656E64], np.uint64))[0]
 
@@ -158,7 +158,7 @@ def arrays_of(row: dict, **kinds) -> tuple:
 
 
 EVENTS = ("cell int, pack long, part int, spread boolean, words binary, counts binary, met binary, contexts binary, trained binary, "
-          "events binary, ids array<bigint>, sizes array<int>, held binary")
+          "uses binary, events binary, ids array<bigint>, sizes array<int>, held binary")
 
 
 def bucket_labels(spark: SparkSession, n: int) -> np.ndarray:
@@ -198,7 +198,7 @@ def messages(cell, word, context, trained) -> Iterator[tuple]:
 
 def _events(cells: int, labels: np.ndarray, hot: np.ndarray, holds):
     names = [x.split(" ")[0] for x in EVENTS.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.bool_(), *[pa.binary()] * 6, pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.bool_(), *[pa.binary()] * 7, pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = TaskContext.get().partitionId() << 24
@@ -211,11 +211,13 @@ def _events(cells: int, labels: np.ndarray, hot: np.ndarray, holds):
             held = np.array([holds(i) for i in ids], bool)
             word, context = (np.concatenate([p[k] for p in texts]) for k in (2, 3))
             *pairs, events = distinct_pairs(word, context, np.repeat(~held, sizes), hot, cells)
-            none = (None,) * 4
+            none = (None,) * 5
+            # each pair's events by their texts
+            row = np.repeat(np.arange(len(ids)), sizes)[np.argsort(events, kind="stable")]
             rows = [(int(labels[cell]), pack, part, cell >= cells, *arrays, *none)
                     for part, (cell, *arrays) in enumerate(messages(*pairs))]
-            rows.append((int(labels[pack % len(labels)]), pack, None, None, *none, None, squeezed("events", events.astype(np.uint32)),
-                         ids, sizes.astype(np.int32).tolist(), held.tobytes()))
+            rows.append((int(labels[pack % len(labels)]), pack, None, None, *none, squeezed("uses", np.bincount(events).astype(np.uint32)),
+                         squeezed("events", row.astype(np.uint16)), ids, sizes.astype(np.int32).tolist(), held.tobytes()))
             pack, texts = pack + 1, []
             for i in range(0, len(rows), 16):
                 yield pa.record_batch([pa.array([r[k] for r in rows[i:i + 16]], t) for k, t in enumerate(kinds)], names=names)
@@ -583,15 +585,18 @@ def _gather(shared: Shared):
             parts = [arrays_of(r, score=np.float32, counts=np.uint32, total=np.int64) for r in answers.pop(info["pack"])]
             score = np.concatenate([p[0] for p in parts]).astype(np.float64)
             total = np.concatenate([np.repeat(p[2], p[1]) for p in parts])
-            (event,) = arrays_of(info, events=np.uint32)
+            uses, row = arrays_of(info, uses=np.uint32, events=np.uint16)
             size = np.array(info["sizes"], np.int64)
-            first = np.cumsum(size) - size  # each text has its end token at least
-            base = np.add.reduceat(np.log10(total + 1)[event], first) - size * np.log10(shared.trained + shared.known + 1)
+
+            def by_text(x, row=row, uses=uses, n=len(size)):
+                return np.bincount(row, np.repeat(x, uses), n)
+
+            base = by_text(np.log10(total + 1)) - size * np.log10(shared.trained + shared.known + 1)
             out.append(pa.table({
                 "doc_id": pa.array(info["ids"], pa.int64()), "held_out": pa.array(np.frombuffer(info["held"], bool)),
-                "n_tokens": pa.array(size), "n_known": pa.array(np.add.reduceat((total > 0).astype(np.int64)[event], first)),
+                "n_tokens": pa.array(size), "n_known": pa.array(by_text(total > 0).astype(np.int64)),
                 "train_tokens": pa.array(np.full(len(size), shared.trained)), "base_score": pa.array(base),
-                "score": pa.array(np.add.reduceat(score[event], first))}))
+                "score": pa.array(by_text(score))}))
         return pa.concat_tables(out)
     return run
 
@@ -688,7 +693,7 @@ def _train_and_score(docs: DataFrame, holds, seed: int, tables: Bucketed) -> Dat
     tables.drop("contexts")
     answers = packed.select("cell", "pack", "part", "words", "counts", "met", "contexts", "trained").groupBy("cell") \
         .cogroup(final.groupBy("cell")).applyInArrow(_score(labels), ANSWERS)
-    scores = info.select("cell", "pack", "events", "ids", "sizes", "held").groupBy("cell") \
+    scores = info.select("cell", "pack", "uses", "events", "ids", "sizes", "held").groupBy("cell") \
         .cogroup(answers.groupBy("home")).applyInArrow(_gather(shared), SCORES)
     return landed(scores, "scores")
 
