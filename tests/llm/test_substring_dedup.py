@@ -31,6 +31,33 @@ def test_equal_brute_force(make):
         assert results(S.remove_repeats(make(docs))) == brute.without_repeats(docs)
 
 
+def test_large_groups_refined_by_joins(make):
+    for seed in (4,):
+        docs = varied(seed)
+        assert results(S.remove_repeats(make(docs), limit=3)) == brute.without_repeats(docs)
+
+
+def test_few_words_many_matches(make):
+    r = random.Random(6)
+    docs = [(i, " ".join(r.choices("ab", k=r.randint(0, 60)) + ["c"] * r.randint(0, 30))) for i in r.sample(range(500), 120)]
+    for size, limit in ((5, 20), (20, 1000)):
+        got = {i: n for i, (_, n, _) in results(S.remove_repeats(make(docs), size, limit)).items()}
+        assert got == {i: n for i, (_, n, _) in brute.without_repeats(docs, size).items()}
+
+
+def test_near_copies_of_one_text(make):
+    r = random.Random(7)
+    base = [f"u{r.randrange(3000)}" for _ in range(400)]
+    docs = []
+    for i in r.sample(range(1000), 80):
+        words = list(base)
+        for _ in range(r.randint(0, 9)):
+            words[r.randrange(400)] = f"e{r.randrange(3)}"
+        docs.append((i, " ".join(words)))
+    for limit in (10, 1000):
+        assert results(S.remove_repeats(make(docs), limit=limit)) == brute.without_repeats(docs)
+
+
 def test_small_table(make, rows):
     assert results(S.remove_repeats(make(rows))) == brute.without_repeats(rows)
 
@@ -51,8 +78,8 @@ def test_null_and_repeated_ids(make):
 def test_kept_text_and_spans(make):
     t = " ".join(f"t{i}" for i in range(70))
     docs = make([(1, t), (2, "a b  " + t + "\nc")])
-    _, starts = S.find_repeats(docs)
-    (r,) = S.cut_texts(docs, starts).collect()
+    _, found = S.find_repeats(docs)
+    (r,) = S.cut_texts(docs, found).collect()
     assert (r.doc_id, r.kept, [(x.first, x.end) for x in r.repeats]) == (2, "a b c", [(2, 72)])
 
 
