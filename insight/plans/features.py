@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -276,3 +278,11 @@ def q_cluster_totals(spark, sf_dir):
     n = F.sum("n_rows")
     return p.agg(n.alias("n_rows"), *[F.round(F.sum(F.col(f"avg_{c}") * F.col("n_rows")) / n, 6).alias(f"avg_{c}")
                                       for c in PROFILE])
+
+
+@register("rows_of_each_cluster", STAR_CTE + f"SELECT event_id FROM star WHERE {_COMPLETE}")
+def q_rows_of_each_cluster(spark, sf_dir):
+    """The rows of cluster 0, of cluster 1, ... one after the other: every complete row, in one cluster only."""
+    assigned = land(M.kmeans_assign(projected(spark, sf_dir), k=8, seed=42).select("event_id", "cluster"), "assigned")
+    parts = [M.rows_of_cluster(assigned, "cluster", k).select("event_id") for k in range(8)]
+    return reduce(DataFrame.unionByName, parts)

@@ -10,11 +10,12 @@ from insight.functions import selection as S
 from insight.functions.columns import PRIVACY_TOKENS, time_parts as time_part_cols
 from insight.operators import events as E
 from insight.operators.dictionary import KeptDictionary
+from insight.operators.ranking import rank_within
 from insight.plans.registry import register
 from insight.plans.views import DUCK_K, ev, ev_select, table
 from insight.session import scratch_path
-from insight.sources.files import TS_FORMATS, scan_json, scan_json_permissive, tag_file_id
-from insight.sources.sinks import write_json
+from insight.sources.files import TS_FORMATS, keep_files_containing, scan_json, scan_json_permissive, tag_file_id
+from insight.sources.sinks import write_json, write_tagged
 from insight.streaming.events import read_event_stream, read_lookup, start_lookup
 
 EV_CTE = f"WITH ev AS (SELECT\n  {ev_select(DUCK_K)}\nFROM events)\n"
@@ -230,3 +231,53 @@ def q_select_by_name(spark, sf_dir):
     r = S.drop_containing(reduced(spark, sf_dir), "REFR")
     geo = [c for c in S.columns_matching(r, "^GEO_[A-Z]+$") if c in S.columns_of_type(r, T.StringType, containing="GEO")]
     return S.select_prefix(r, "privacy_", keep=["event_id", *geo])
+
+
+@register("listed_files_scan", "SELECT event_id, ts FROM events WHERE day(ts) = 1")
+def q_listed_files_scan(spark, sf_dir):
+    """A folder a day; only files whose path holds every given part are read: those of a month's first day."""
+    path = scratch_path(spark, "events-listed")
+    (table(spark, sf_dir, "events").select("event_id", "ts", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+     .write.options(**TS_FORMATS, compression="gzip").partitionBy("day").json(path))
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType())])
+    return keep_files_containing(scan_json(spark, path, schema), ["day=", "-01/part-", "json.gz"]).select("event_id", "ts")
+
+
+@register("lookup_json_round_trip", EV_CTE + """SELECT GEO_REGION, GEO_REGION_NAME, GEO_TIMEZONE FROM (
+  SELECT GEO_REGION, GEO_REGION_NAME, GEO_TIMEZONE,
+    row_number() OVER (PARTITION BY GEO_REGION ORDER BY DERIVED_TSTAMP DESC, event_id DESC) AS rn FROM ev)
+WHERE rn = 1""")
+def q_lookup_json_round_trip(spark, sf_dir):
+    """The lookup written whole as JSON, then over itself as a later run does, and read back."""
+    path = scratch_path(spark, "lookup-json")
+    found = q_latest_lookup(spark, sf_dir)
+    for _ in range(2):
+        write_json(found, path)
+    return scan_json(spark, path, found.schema)
+
+
+@register("tables_from_one_scan", REDUCED_CTE + f"""SELECT 'views' AS tab, event_id, ARTICLE_ID AS content FROM reduced
+WHERE {_VIEW_PRED} UNION ALL
+SELECT 'interactions', event_id, EVENT_NAME FROM reduced WHERE NOT ({_VIEW_PRED})"""
+          + "".join(f" UNION ALL SELECT 'flags', event_id, '{n}' FROM reduced WHERE \"{n}\" = 1" for n in PRIVACY_TOKENS))
+def q_tables_from_one_scan(spark, sf_dir):
+    """Views, interactions and one row for each privacy flag that is set, all written in one pass over the events."""
+    is_view = F.coalesce(F.col("EVENT_NAME").isin(*E.VIEW_EVENTS), F.lit(False))
+    flags = F.filter(F.array(*[F.struct("event_id", F.lit(n).alias("flag"), F.col(f"`{n}`").alias("is_set")) for n in PRIVACY_TOKENS]),
+                     lambda x: x["is_set"] == 1)
+    tables = write_tagged(reduced(spark, sf_dir), {
+        "views": F.when(is_view, F.array(F.struct("event_id", "ARTICLE_ID"))),
+        "interactions": F.when(~is_view, F.array(F.struct("event_id", "EVENT_NAME"))),
+        "flags": flags,
+    }, scratch_path(spark, "events-tables"))
+    content = {"views": "ARTICLE_ID", "interactions": "EVENT_NAME", "flags": "flag"}
+    parts = [t.select(F.lit(n).alias("tab"), "event_id", F.col(content[n]).alias("content")) for n, t in tables.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("event_order", EV_CTE + """SELECT event_id, row_number() OVER (ORDER BY DERIVED_TSTAMP DESC, event_id) AS position FROM ev""")
+def q_event_order(spark, sf_dir):
+    """All events sorted, latest first, each with its place in that order, so that the order itself is compared."""
+    rows = ev(spark, sf_dir).select("event_id", "DERIVED_TSTAMP")
+    return rank_within(rows, [F.col("DERIVED_TSTAMP").desc(), F.col("event_id")], out="position") \
+        .select("event_id", F.col("position").cast("long").alias("position"))

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from insight.operators.joins import join_dimension
 from insight.operators.ranking import rank_within
 
 CORRUPT = "_corrupt_record"
-MAX_BROADCAST_FILES = 1_000_000
 # Microsecond text forms, so timestamps survive a JSON round trip unchanged.
 TS_FORMATS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
               "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
@@ -95,17 +95,15 @@ def tag_file_id(df: DataFrame, out: str = "file_name", unit: str = "file",
 
     ``unit="dir"`` numbers the parent directories instead (one id per
     partition directory of a partitioned layout).  The file dimension has one
-    row per file, is ranked without a single-task window and joined back
-    (AQE broadcasts it when small).  With ``dimension=True`` the
+    row per file, is ranked without a single-task window and joined back:
+    broadcast where its measured bytes allow it, else shuffled.  With ``dimension=True`` the
     ``(path, id)`` table is returned as well, to be persisted as a lookup."""
     path = F.col("_metadata.file_path")
     if unit == "dir":
         path = F.regexp_replace(path, "/[^/]*$", "")
     tagged = df.withColumn("__path", path)
     dim = rank_within(tagged.select("__path").distinct(), [F.col("__path")], out=out, start=0)
-    # one row per file: the driver-side file list bounds its size up front
-    side = F.broadcast(dim) if len(df.inputFiles()) <= MAX_BROADCAST_FILES else dim
-    out_df = tagged.join(side, "__path", "inner").drop("__path")
+    out_df = join_dimension(tagged, dim, "__path").drop("__path")
     if dimension:
         return out_df, dim.withColumnRenamed("__path", "path")
     return out_df

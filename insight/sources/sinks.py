@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_csv(df: DataFrame, path: str, *, gzip: bool = False, mode: str = "overwrite") -> None:
@@ -33,3 +35,27 @@ def write_many(outputs: Mapping[str, tuple[DataFrame, str]], fmt: str = "parquet
     written by its own job that reads only the columns it needs."""
     for frame, path in outputs.values():
         frame.write.mode("overwrite").format(fmt).option("header", True).save(path)
+
+
+def write_tagged(df: DataFrame, tables: Mapping[str, Column], path: str, tag: str = "table") -> dict[str, DataFrame]:
+    """Several tables in one job and one pass over ``df``, each read back from its own folder.
+
+    ``tables``: name -> array of structs, the rows that one row of ``df`` adds to that table (null or empty: none).
+    Every row is written once, with the name of its table as the partition and only that table's struct
+    filled; there is no shuffle, and neither the input nor its parse is repeated.  A table without rows is
+    empty with its columns."""
+    arrays = df.select(*[rows.alias(name) for name, rows in tables.items()])
+    shapes = {f.name: f.dataType.elementType for f in arrays.schema.fields}
+
+    def tagged(name: str) -> Column:
+        def one(row: Column) -> Column:
+            return F.struct(*[(row if n == name else F.lit(None).cast(t)).alias(n) for n, t in shapes.items()],
+                            F.lit(name).alias(tag))
+
+        return F.transform(F.coalesce(F.col(f"`{name}`"), F.array().cast(arrays.schema[name].dataType)), one)
+
+    rows = arrays.select(F.explode(F.concat(*[tagged(n) for n in shapes])).alias("row")).select("row.*")
+    rows.write.mode("overwrite").partitionBy(tag).parquet(path)
+    schema = T.StructType([*[T.StructField(n, t) for n, t in shapes.items()], T.StructField(tag, T.StringType())])
+    back = df.sparkSession.read.schema(schema).parquet(path)
+    return {n: back.filter(F.col(tag) == n).select(f"`{n}`.*") for n in shapes}

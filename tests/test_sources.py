@@ -1,8 +1,10 @@
 """Sources: permissive JSON, CSV rename, file ids."""
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from insight.sources.files import scan_csv, scan_json, scan_json_permissive, tag_file_id
+from insight.sources.sinks import write_tagged
 
 
 def test_permissive_keeps_corrupt_lines(spark, tmp_path):
@@ -62,3 +64,22 @@ def test_keys_that_no_schema_names(spark, tmp_path):
     schema = V.open_schema(df.filter("i IS NOT NULL"), "document")
     assert all(k in schema for k in ("other", "z"))
     assert V.leaves(df.filter("false"), "document", ["i"]).collect() == []
+
+
+def test_write_tagged(spark, tmp_path):
+    """Each row gives rows of several tables with columns of their own; null and empty lists give none."""
+    df = spark.createDataFrame([(1, ["a", "b"], True), (2, [], False), (3, None, False)], "id long, tags array<string>, ok boolean")
+    out = write_tagged(df, {
+        "main": F.array(F.struct("id", "ok")),
+        "tags": F.transform("tags", lambda t: F.struct(F.col("id"), t.alias("tag"))),
+        "none": F.when(F.col("id") > 9, F.array(F.struct("id"))),
+    }, str(tmp_path / "tables"))
+    assert sorted(map(tuple, out["main"].collect())) == [(1, True), (2, False), (3, False)]
+    assert sorted(map(tuple, out["tags"].collect())) == [(1, "a"), (1, "b")]
+    assert out["none"].collect() == [] and out["none"].columns == ["id"]
+
+
+def test_write_tagged_empty_input(spark, tmp_path):
+    df = spark.createDataFrame([], "id long, table string")
+    out = write_tagged(df, {"main": F.array(F.struct("id", "table"))}, str(tmp_path / "tables"))
+    assert out["main"].collect() == [] and out["main"].columns == ["id", "table"]
