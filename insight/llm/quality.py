@@ -6,12 +6,15 @@ its line list, and :func:`verdicts` turns the table into one ``select``; no user
 function and no shuffle.
 
 Defined results: null text has no words, so every count is 0 and the base rule
-``n_words < 50`` fails it.  A ratio over an empty denominator is 0.  Very long
-texts are measured whole.  Repeated rows are measured alike.
+``n_words < 50`` fails it; an empty table gives an empty one.  A ratio over an
+empty denominator is 0.  Very long texts are measured whole.  Repeated rows are
+measured alike, and rows that tie have nothing to do with each other.  Columns
+other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,30 +58,49 @@ RULES = [
 ]
 
 
-def repeat_words(words: Column, size: int = 3) -> Column:
+def repeat_words(words: Column, size: int = 3, hashed: Callable[..., Column] = F.xxhash64) -> Column:
     """Words inside a run of ``size`` words that the text holds twice or more.
 
     The runs' hashes are sorted with their positions; neighbours that agree mark
     repeated runs, and sorted positions give the covered words.  Up to 65,536
     words, hash and position share one long (48 and 16 bits), which sorts as a
-    plain number; longer texts sort 64-bit hashes beside their positions.
+    plain number; longer texts sort 64-bit hashes beside their positions.  Runs
+    whose hashes agree are compared word by word; a text in which two different
+    ones do is counted by sorting the runs themselves, so the count is exact.
     """
     def run(w, i):
-        return F.xxhash64(*[w if k == 0 else F.get(words, i + k) for k in range(size)])
+        return [w if k == 0 else F.get(words, i + k) for k in range(size)]
 
     def runs(pairs):  # without those that would run over the end
         return F.sort_array(F.slice(pairs, 1, F.greatest(F.size(words) - (size - 1), F.lit(0))))
 
     low = F.lit(0xFFFF).cast("long")
-    packed = F.transform(words, lambda w, i: F.shiftleft(run(w, i), 16).bitwiseOR(i.cast("long")))
-    short = let(runs(packed), lambda s: F.sort_array(F.transform(
-        F.filter(s, lambda e, k: (F.shiftright(F.get(s, k - 1), 16) == F.shiftright(e, 16))
-                 | (F.shiftright(F.get(s, k + 1), 16) == F.shiftright(e, 16))),
-        lambda e: e.bitwiseAND(low).cast("int"))))
-    paired = F.transform(words, lambda w, i: F.struct(run(w, i).alias("h"), i.alias("i")))
-    long = let(runs(paired), lambda s: F.sort_array(F.transform(
-        F.filter(s, lambda e, k: (F.get(s, k - 1)["h"] == e["h"]) | (F.get(s, k + 1)["h"] == e["h"])),
-        lambda e: e["i"])))
+
+    def repeated(sorted_runs, key, place, exact):
+        """Sorted places of the runs whose neighbour has their key; ``exact`` instead where two such runs differ."""
+        def differ(e, k):
+            before = F.get(sorted_runs, k - 1)
+            other = F.lit(False)
+            for j in range(size):
+                other = other | (F.get(words, place(before) + j) != F.get(words, place(e) + j))
+            return (key(before) == key(e)) & other
+
+        found = F.sort_array(F.transform(
+            F.filter(sorted_runs, lambda e, k: (key(F.get(sorted_runs, k - 1)) == key(e)) | (key(F.get(sorted_runs, k + 1)) == key(e))),
+            place))
+        return found if exact is None else F.when(F.size(F.filter(sorted_runs, differ)) > 0, exact).otherwise(found)
+
+    def beside(value):
+        return runs(F.transform(words, lambda w, i: F.struct(value(w, i).alias("h"), i.alias("i"))))
+
+    def of_struct(exact):
+        return lambda s: repeated(s, lambda e: e["h"], lambda e: e["i"], exact)
+
+    exact = let(beside(lambda w, i: F.array(*run(w, i))), of_struct(None))
+    packed = F.transform(words, lambda w, i: F.shiftleft(hashed(*run(w, i)), 16).bitwiseOR(i.cast("long")))
+    short = let(runs(packed), lambda s: repeated(
+        s, lambda e: F.shiftright(e, 16), lambda e: e.bitwiseAND(low).cast("int"), exact))
+    long = let(beside(lambda w, i: hashed(*run(w, i))), of_struct(exact))
     found = F.when(F.size(words) <= 0xFFFF, short).otherwise(long)
     start = F.struct(F.lit(0).alias("n"), F.lit(-size).alias("last"))
     return F.aggregate(

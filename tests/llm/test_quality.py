@@ -1,6 +1,7 @@
 from collections import Counter
 
 import brute
+from pyspark.sql import functions as F
 
 from insight.llm import quality as Q
 
@@ -33,3 +34,16 @@ def test_rules_name_what_fails(make):
 
 def test_empty_table(make):
     assert Q.measured(make([])).count() == 0
+
+
+def test_runs_whose_hashes_agree_are_told_apart(make, rows):
+    """With one hash for all runs, or one of a few, the counts stay those of the words."""
+    texts = [(i, t) for i, t in rows[:25] if t is None or len(t) < 4000]
+    texts += [(-4, "a b c a b c a"), (-5, "x y z p q r x y z s t u p q r"), (-6, "a b c d e f"), (-7, "a b"), (-8, ""), (-9, "e " * 70_000)]
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    df = make(texts).select("doc_id", words.alias("w"))
+    one = Q.repeat_words(F.col("w"), hashed=lambda *run: F.octet_length(run[0]).cast("long") * 0)
+    few = Q.repeat_words(F.col("w"), hashed=lambda *run: F.pmod(F.xxhash64(*run), F.lit(7)))
+    want = {i: plain(t)[4] for i, t in texts}
+    for n in (one, few):
+        assert {r.doc_id: r.n for r in df.select("doc_id", n.alias("n")).collect()} == want
