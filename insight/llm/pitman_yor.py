@@ -61,6 +61,8 @@ BATCH_ROWS = 500
 #: tokens packed at once, and rows of such a pack at most
 PACK = 2_000_000
 PACK_ROWS = 60_000
+#: contexts told by cells that one range of the totals takes, about (the 64-bit fingerprints are even)
+RANGE = 1 << 19
 END = mix(np.array([0x656E64], np.uint64))[0]
 
 
@@ -416,8 +418,8 @@ class Predictor:
 
 # --- jobs
 
-COUNTS = ("cell int, spread boolean, word binary, context binary, key binary, count binary, pairs long, once long, twice long, single long, "
-          "double long, known long, trained long, hot_counts array<bigint>, hot_dishes array<bigint>")
+COUNTS = ("cell int, spread boolean, word binary, context binary, key binary, count binary, contexts long, pairs long, once long, twice long, "
+          "single long, double long, known long, trained long, hot_counts array<bigint>, hot_dishes array<bigint>")
 FINAL = "cell int, word binary, context binary, key binary, total binary, here binary, share binary, base binary"
 
 
@@ -451,12 +453,18 @@ def _count(hot: np.ndarray):
         rows = table.to_pylist()
         c = Cell.of_messages([message_arrays(r) for r in rows], rows[0]["spread"])
         few = [0, 0, 0] if c.spread else [int((c.dishes == 1).sum()), int((c.dishes == 2).sum()), len(c.word)]
-        return table_of([(key[0].as_py(), c.spread, *(squeezed(n, getattr(c, n)) for n in ("word", "context", "key", "count")), len(c.key),
+        return table_of([(key[0].as_py(), c.spread, *(squeezed(n, getattr(c, n)) for n in ("word", "context", "key", "count")), len(c.context), len(c.key),
                           int((c.count == 1).sum()), int((c.count == 2).sum()), *few, int(c.count.sum()),
                           for_hot(c, hot, c.total), for_hot(c, hot, c.dishes))], COUNTS)
     return run
 
 
+def ranges_for(contexts: int, cells: int) -> int:
+    """Ranges of the contexts' totals: as many as their number asks for, so that small tables in many partitions are not
+    cut into cells x cells messages of a few numbers each."""
+    return max(1, min(cells, -(-contexts // RANGE)))
+
+
 def context_ranges(context: np.ndarray, ranges: int) -> Iterator[tuple[int, slice]]:
     """Stretches of sorted fingerprints by range; stretch by stretch they are the whole again."""
     number = ((context >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
@@ -657,8 +665,8 @@ def _train_and_score(docs: DataFrame, holds, seed: int, tables: Bucketed) -> Dat
             out[r["at"]] = r["n"]
         return out
 
-    names = ("pairs", "once", "twice", "single", "double", "known", "trained")
-    pairs, once, twice, single, double, known, trained = (
+    names = ("contexts", "pairs", "once", "twice", "single", "double", "known", "trained")
+    contexts, pairs, once, twice, single, double, known, trained = (
         x or 0 for x in counts.agg(*[F.sum(c).alias(c) for c in names]).first())
     # spread words count as any other does, over all their cells
     hot_counts, dishes = hot_sum(counts, "hot_counts"), hot_sum(counts, "hot_dishes")
@@ -666,7 +674,8 @@ def _train_and_score(docs: DataFrame, holds, seed: int, tables: Bucketed) -> Dat
     shared = Shared(known, trained, discount_of(once, twice), discount_of(single, double), hot, hot_counts)
 
     # at first a table for each dish
-    asked = tables.write(counts.mapInArrow(_ask(cells), ASKED).groupBy("bucket").applyInArrow(_first_totals, TOTALS),
+    ranges = ranges_for(contexts, cells)
+    asked = tables.write(counts.mapInArrow(_ask(ranges), ASKED).groupBy("bucket").applyInArrow(_first_totals, TOTALS),
                          cells, "bucket", "contexts")
     totals = asked.agg(F.count(F.lit(1)).alias("n")).first().n
     if not totals:
@@ -675,7 +684,7 @@ def _train_and_score(docs: DataFrame, holds, seed: int, tables: Bucketed) -> Dat
     parents = [Parent(pairs, known, dishes, np.minimum(dishes, 1))]
     for sweep in range(SWEEPS):
         swept = landed(counts.groupBy("cell").cogroup(replies.groupBy("cell")).applyInArrow(
-            _sweep(shared, parents, cells), SWEPT), "swept")
+            _sweep(shared, parents, ranges), SWEPT), "swept")
         sums = swept.agg(F.sum("customers").alias("customers"), F.sum("opened").alias("opened")).first()
         customers = hot_sum(swept, "hot")
         opened = seat(customers, np.full(len(hot), shared.opened(parents[-1])), shared.parent_discount,

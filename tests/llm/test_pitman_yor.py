@@ -200,3 +200,22 @@ def test_spread_words_change_no_discount(make, rows, monkeypatch):
         monkeypatch.setattr(P, "HOT_SHARE", share)
         P.train_and_score(docs, P.seventh).count()
     assert seen[:2] == seen[2:]
+
+
+def test_messages_about_contexts_follow_their_number(make, rows, monkeypatch):
+    """A small table in many partitions sends no partitions x partitions messages; ranges change no score."""
+    sent, real = [], P.landed
+
+    def counted(df, name):
+        out = real(df, name)
+        if name == "totals":
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(P, "landed", counted)
+    few = {r.doc_id: r.score for r in P.train_and_score(make(rows[:60]), P.seventh).collect()}
+    cells = 2 * 8
+    assert len(sent) == P.SWEEPS and max(sent) <= cells
+    monkeypatch.setattr(P, "RANGE", 1)
+    many = {r.doc_id: r.score for r in P.train_and_score(make(rows[:60]), P.seventh).collect()}
+    assert min(sent[P.SWEEPS:]) > cells and many == pytest.approx(few, rel=1e-9)
