@@ -110,6 +110,12 @@ def land(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def remove_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables, and the catalogue entries of tables in that folder: once its results
     are written, before it stops."""

@@ -64,3 +64,36 @@ def test_the_block_is_bounded(spark, monkeypatch):
     df = spark.createDataFrame([(1, Vectors.dense([1.0] * 30))], ["id", "features"])
     with pytest.raises(ValueError):
         P.principal_axes(df, 2)
+
+
+def test_the_driver_sees_inner_products_only(spark, monkeypatch):
+    """Many parts and packs give the same axes; a pass brings as many numbers to the driver as directions ask for, and
+    the block itself may be larger than what goes to a task."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(P, "PART", 32)
+    monkeypatch.setattr(P, "PACK", 300)
+    monkeypatch.setattr(P, "BLOCK_BYTES", 8 * 500 * 3)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 500)) * (rng.random((400, 500)) < 0.02) + 2 * (np.arange(500) == 7)
+    x[:, 3] += 5 * rng.normal(size=400) * (np.arange(400) % 2)
+    x[:, 400:] = 0
+    sizes, real = [], DataFrame.toPandas
+    monkeypatch.setattr(DataFrame, "toPandas", lambda self: sizes.append(len(out := real(self))) or out)
+    got = P.principal_axes(vectors(spark, x, mixed=False), 2, passes=4)
+    monkeypatch.undo()
+    values, axes = dense_pca(x)
+    assert got.passes == 4 and got.components.shape == (500, 2) and got.variance[0] == pytest.approx(values[0], rel=1e-6)
+    assert abs(got.components[:, 0] @ axes[:, 0]) == pytest.approx(1, abs=1e-4) and (got.components[400:] == 0).all()
+    wide = 6 * 12 + 1
+    assert max(sizes) <= wide * (wide + 1) // 2 and len(sizes) == 4 + 2
+
+
+def test_vectors_of_zeros_and_few_rows(spark):
+    zeros = spark.createDataFrame([(i, Vectors.sparse(40, [], [])) for i in range(3)], ["id", "features"])
+    assert P.principal_axes(zeros, 2).variance.tolist() == [0, 0]
+    rows = np.zeros((3, 40))
+    rows[0, 1], rows[1, 2], rows[2, 39] = 1, 2, 3
+    got = P.principal_axes(vectors(spark, rows), 3)
+    assert np.allclose(got.variance, dense_pca(rows)[0][:3], atol=1e-9) and got.passes < 100
+    assert np.allclose(got.components.T @ got.components, np.eye(3), atol=1e-6)
